@@ -21,20 +21,24 @@ from ledgerloom.functions.constants import (
 # the spellings of infinity. Rejected: thousands separators, currency, hex,
 # underscores and Java type suffixes such as ``12d``.
 NUMERIC_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INFINITY_PATTERN = r"^\s*[+-]?(?i)(inf|infinity)\s*$"
+INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
 # FIXED VALUES: accepted date-time layouts, first hit wins. ISO text (what a
-# cast accepts) is tried only when the value starts with four digits, so bare
-# clock times such as ``12:30`` never resolve against today's date.
-ISO_GUARD = r"^\s*\d{4}"
+# cast accepts) is tried only when the value starts with a year and a month,
+# so bare clock times such as ``12:30`` never resolve against today's date and
+# bare numbers such as ``12345`` never become years.
+ISO_GUARD = r"^\s*\d{4}-\d{1,2}"
+# (layout, shape). The shape is a cheap regex the text must match before the
+# layout parser runs: a parser that fails throws and catches internally, which
+# costs far more than the regex, and most values fail most layouts.
 DATETIME_FORMATS = [
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy/M/d",
-    "M/d/yy",
-    "M-d-yy",
-    "d MMMM yyyy",
-    "MMM d, yyyy",
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("M-d-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
 ]
 
 # Largest magnitude that still fits BIGINT after a whole-number check.
@@ -91,7 +95,8 @@ def parse_datetime(c: Column) -> Column:
     """
     t = F.trim(c)
     iso = F.when(t.rlike(ISO_GUARD), F.try_to_timestamp(t))
-    tries = [iso] + [F.try_to_timestamp(t, F.lit(fmt)) for fmt in DATETIME_FORMATS]
+    tries = [iso] + [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+                     for fmt, shape in DATETIME_FORMATS]
     return to_utc_ntz(F.coalesce(*tries))
 
 

@@ -3,35 +3,30 @@
 Every query reads the parquet tables (through the fixture views in
 ``sources.fixtures``) in full, so its work grows with the data. Parameters
 such as an upload id or a page are the feature being exercised, stated as
-literals here and in the SQL.
+literals in the query and in its SQL.
 """
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import sales as S
-from ledgerloom.operators import uploads as U
-from ledgerloom.sources import fixtures as X
-
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-# Literals shared by the Spark queries and the oracle SQL.
-UPLOAD = "U3"
-SKU = "SKU42"
-SALE_ID = "00008434f8ba3796ece03cbb0cf657af"
-SKIP = 10
-LIMIT = 1000
-EXTRA_UPLOAD = "U99"
-
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
+MODULES = ["queries_sales", "queries_cleaning", "queries_profile", "queries_validation",
+           "queries_files"]
+
 
 def query(name: str, sql: str | None = None):
+    """Register a query (and its oracle SQL, when SQL can state it)."""
     def register(fn: QueryFn) -> QueryFn:
+        if name in QUERIES:
+            raise ValueError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
@@ -39,127 +34,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# ---------------------------------------------------------------------------
-# Stage 0-1: sales and upload queries
-# ---------------------------------------------------------------------------
-
-_ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S')"
-_SALE_COLS = ("id, upload_id, " + _ISO.format(c="date") + " as date, sku_id, sales_quantity, "
-              "sales_revenue, stock_level, category, unit_price")
-_SUMMARY_SQL = """count(*) as total_records,
- coalesce(cast(sum(cast(sales_quantity as decimal(38,2))) as double), 0.0) as total_quantity,
- coalesce(cast(sum(cast(sales_revenue as decimal(38,2))) as double), 0.0) as total_revenue,
- coalesce(cast(sum(cast(sales_quantity as decimal(38,2))) as double) / count(sales_quantity), 0.0) as average_quantity,
- coalesce(cast(sum(cast(sales_revenue as decimal(38,2))) as double) / count(sales_revenue), 0.0) as average_revenue,
- count(distinct sku_id) as unique_skus, min(date) as start_date, max(date) as end_date"""
-
-
-@query("sales_summary", X.with_views(f"select upload_id, {_SUMMARY_SQL} from sales group by upload_id", "sales"))
-def q_sales_summary(spark, sf):
-    return S.sales_summary(X.sales(spark, sf))
-
-
-@query("count_sales", X.with_views(
-    f"select count(*) as total from sales where upload_id = '{UPLOAD}'", "sales"))
-def q_count_sales(spark, sf):
-    return S.count_sales(X.sales(spark, sf), upload_id=UPLOAD)
-
-
-@query("list_sales", X.with_views(
-    f"select {_SALE_COLS} from sales where upload_id = '{UPLOAD}' "
-    f"order by sales.date desc, id asc limit {LIMIT} offset {SKIP}", "sales"))
-def q_list_sales(spark, sf):
-    return S.list_sales(X.sales(spark, sf), upload_id=UPLOAD, skip=SKIP, limit=LIMIT)
-
-
-@query("list_sales_by_sku", X.with_views(
-    f"select {_SALE_COLS} from sales where upload_id = '{UPLOAD}' and sku_id = '{SKU}' "
-    f"order by sales.date desc, id asc limit 100", "sales"))
-def q_list_sales_by_sku(spark, sf):
-    return S.list_sales(X.sales(spark, sf), upload_id=UPLOAD, sku_id=SKU)
-
-
-@query("get_sale", X.with_views(f"select {_SALE_COLS} from sales where id = '{SALE_ID}'", "sales"))
-def q_get_sale(spark, sf):
-    return S.get_sale(X.sales(spark, sf), SALE_ID)
-
-
-@query("sales_by_upload", X.with_views(
-    "select id, " + _ISO.format(c="date") + " as date, sku_id, sales_quantity, sales_revenue, "
-    f"stock_level, category, unit_price from sales where upload_id = '{UPLOAD}' "
-    f"order by sales.date desc, id asc limit {LIMIT} offset {SKIP}", "sales"))
-def q_sales_by_upload(spark, sf):
-    return S.sales_by_upload(X.sales(spark, sf), UPLOAD, skip=SKIP, limit=LIMIT)
-
-
-_STATE_SQL = """select upload_id,
-  arg_max(status, (event_ts, seq)) filter (where status is not null) as status,
-  min(case when status = 'uploaded' then event_ts end) as uploaded_at,
-  max(case when status = 'processed' then event_ts end) as processed_at,
-  max(event_ts) as last_event_ts,
-  arg_max(error_message, (event_ts, seq)) filter (where error_message is not null) as error_message
- from upload_events group by upload_id"""
-_COUNTS_SQL = "select upload_id, count(*) as row_count from sales group by upload_id"
-_SUMMARY_BY_UPLOAD_SQL = f"select upload_id, {_SUMMARY_SQL} from sales group by upload_id"
-
-
-def _state_sql(body: str, *views: str, extra_upload: str | None = None,
-               ctes: list[tuple[str, str]] | None = None) -> str:
-    return X.with_views(body, "upload_events", *views, extra_upload=extra_upload,
-                        ctes=[("state", _STATE_SQL)] + list(ctes or []))
-
-
-def _state(spark, sf, extra_upload=None):
-    return U.latest_state(X.upload_events(spark, sf, extra_upload=extra_upload))
-
-
-@query("upload_latest_state", _state_sql(
-    "select upload_id, status, uploaded_at, processed_at, last_event_ts, error_message from state"))
-def q_upload_latest_state(spark, sf):
-    return _state(spark, sf)
-
-
-@query("list_uploads", _state_sql(
-    "select s.upload_id, status, coalesce(row_count, 0) as row_count, uploaded_at, processed_at "
-    "from state s left join counts c on s.upload_id = c.upload_id "
-    "order by uploaded_at desc, s.upload_id asc limit 10", "sales", ctes=[("counts", _COUNTS_SQL)]))
-def q_list_uploads(spark, sf):
-    sales = X.sales(spark, sf)
-    return U.list_uploads(U.with_row_counts(_state(spark, sf), sales))
-
-
-@query("upload_status", _state_sql(
-    "select s.upload_id, status, coalesce(row_count, 0) as row_count, uploaded_at "
-    "from state s left join counts c on s.upload_id = c.upload_id where s.upload_id = 'U4'",
-    "sales", ctes=[("counts", _COUNTS_SQL)]))
-def q_upload_status(spark, sf):
-    sales = X.sales(spark, sf)
-    return U.upload_status(U.with_row_counts(_state(spark, sf), sales), "U4")
-
-
-@query("uploads_to_process", _state_sql(
-    "select upload_id, status from state where upload_id not in "
-    "(select upload_id from state where status = 'processed')"))
-def q_uploads_to_process(spark, sf):
-    events = X.upload_events(spark, sf)
-    return U.uploads_to_process(U.latest_state(events), events.select("upload_id"))
+def load() -> None:
+    for m in MODULES:
+        try:
+            importlib.import_module(f"ledgerloom.plans.{m}")
+        except ModuleNotFoundError as e:
+            if e.name != f"ledgerloom.plans.{m}":
+                raise
 
 
-@query("uploads_without_sales", _state_sql(
-    "select upload_id, status, uploaded_at, processed_at, last_event_ts, error_message from state "
-    "where upload_id not in (select upload_id from sales)", "sales", extra_upload=EXTRA_UPLOAD))
-def q_uploads_without_sales(spark, sf):
-    return U.uploads_without_sales(_state(spark, sf, EXTRA_UPLOAD), X.sales(spark, sf))
+def queries() -> dict[str, QueryFn]:
+    load()
+    return dict(QUERIES)
 
 
-@query("upload_detail", _state_sql(
-    "select s.upload_id, status, uploaded_at, processed_at, last_event_ts, error_message, "
-    "coalesce(total_records, 0) as total_records, coalesce(total_quantity, 0.0) as total_quantity, "
-    "coalesce(total_revenue, 0.0) as total_revenue, coalesce(average_quantity, 0.0) as average_quantity, "
-    "coalesce(average_revenue, 0.0) as average_revenue, coalesce(unique_skus, 0) as unique_skus, "
-    "start_date, end_date, case when coalesce(total_records, 0) = 0 "
-    f"then '{U.NO_SALES_MESSAGE}' end as message "
-    "from state s left join summary m on s.upload_id = m.upload_id",
-    "sales", extra_upload=EXTRA_UPLOAD, ctes=[("summary", _SUMMARY_BY_UPLOAD_SQL)]))
-def q_upload_detail(spark, sf):
-    return U.upload_detail(_state(spark, sf, EXTRA_UPLOAD), X.sales(spark, sf))
+def oracle_sql() -> dict[str, str]:
+    load()
+    return dict(ORACLE)
