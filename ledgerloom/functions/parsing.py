@@ -41,6 +41,9 @@ DATETIME_FORMATS = [
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
 ]
 
+# Union of every shape above: text failing it cannot parse under any layout.
+DATE_CANDIDATE = "|".join([ISO_GUARD] + [shape for _, shape in DATETIME_FORMATS])
+
 # Largest magnitude that still fits BIGINT after a whole-number check.
 _BIGINT_LIMIT = 9.2e18
 
@@ -97,7 +100,7 @@ def parse_datetime(c: Column) -> Column:
     iso = F.when(t.rlike(ISO_GUARD), F.try_to_timestamp(t))
     tries = [iso] + [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
                      for fmt, shape in DATETIME_FORMATS]
-    return to_utc_ntz(F.coalesce(*tries))
+    return to_utc_ntz(F.when(t.rlike(DATE_CANDIDATE), F.coalesce(*tries)))
 
 
 def to_utc_ntz(ts: Column) -> Column:

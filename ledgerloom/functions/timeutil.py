@@ -72,7 +72,7 @@ def isoformat(ts: Column) -> Column:
 
 def whole_days_between(start: Column, end: Column) -> Column:
     """``(end - start).days``: whole days, not calendar boundaries."""
-    return F.timestampdiff("DAY", start, end)
+    return F.timestamp_diff("DAY", start, end)
 
 
 def is_midnight(ts: Column) -> Column:

@@ -84,6 +84,9 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str] | None) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 _MEASURE_FIELDS = ["n_nonnull", "n_boolean", "n_numeric", "n_whole", "n_datetime"]
+_MEASURES_SCHEMA = ("column_name string, ordinal int, n_rows bigint, "
+                    + ", ".join(f"{m} bigint" for m in _MEASURE_FIELDS)
+                    + ", numeric_ratio double, datetime_ratio double")
 
 
 def parse_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -93,28 +96,36 @@ def parse_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     ``n_nonnull, n_boolean, n_numeric, n_whole, n_datetime``, plus the shares
     of all rows that parse as numbers and as dates. Dates are only tried on
     values that are not numbers: the two never overlap under the grammars.
+
+    The columns are stacked into (ordinal, value) rows so each parse
+    expression is generated once, then counted per ordinal: a partial
+    aggregate per task leaves one row per column per task to shuffle.
     """
     cols = columns if columns is not None else [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, c in enumerate(cols):
-        v = q(c)
-        x = parse_numeric(v)
-        ts = F.when(x.isNull(), parse_datetime(v))
-        aggs += [
-            F.count(v).alias(f"c{i}_n_nonnull"),
-            F.count_if(is_boolean_text(v)).alias(f"c{i}_n_boolean"),
-            F.count(x).alias(f"c{i}_n_numeric"),
-            F.count_if(is_whole(x)).alias(f"c{i}_n_whole"),
-            F.count(ts).alias(f"c{i}_n_datetime"),
-        ]
-    wide = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"),
-                 *[F.col(f"c{i}_{m}").alias(m) for m in _MEASURE_FIELDS])
-        for i, c in enumerate(cols)
-    ]) if cols else F.array().cast("array<struct<column_name:string,ordinal:int>>")
-    out = wide.select("n_rows", F.inline(rows))
+    spark = df.sparkSession
+    meta = spark.createDataFrame([(c, i) for i, c in enumerate(cols)],
+                                 "column_name string, ordinal int")
+    if not cols:
+        return spark.createDataFrame([], _MEASURES_SCHEMA)
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), q(c).cast("string").alias("v"))
+                      for i, c in enumerate(cols)])
+    v = F.col("v")
+    x = parse_numeric(v)
+    ts = F.when(x.isNull(), parse_datetime(v))
+    counts = df.select(F.inline(cells)).groupBy("ordinal").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(v).alias("n_nonnull"),
+        F.count_if(is_boolean_text(v)).alias("n_boolean"),
+        F.count(x).alias("n_numeric"),
+        F.count_if(is_whole(x)).alias("n_whole"),
+        F.count(ts).alias("n_datetime"),
+    )
+    # Every column sees every row, so an empty frame is the only case where a
+    # column has no group; the left join keeps it with zero counts.
+    out = meta.join(counts, "ordinal", "left").select(
+        "column_name", "ordinal",
+        *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in ["n_rows"] + _MEASURE_FIELDS])
     share = lambda n: (F.col(n) / F.nullif(F.col("n_rows"), F.lit(0))).cast("double")
     return out.select("column_name", "ordinal", "n_rows", *_MEASURE_FIELDS,
                       share("n_numeric").alias("numeric_ratio"),

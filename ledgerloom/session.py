@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this library assumes. The time zone matters: dates are
 # stored as TIMESTAMP_NTZ in UTC wall-clock, and zoned text is converted with
@@ -68,3 +68,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/staging/{name}"
 
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` into the shared checkpoint folder and cut its lineage.
+
+    For small intermediates read by several later steps (a per-column profile,
+    say): they are computed once, and a lost executor re-reads the files
+    instead of recomputing the whole upstream plan.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -19,6 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fact_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """A fact table with its columns pruned, spread over the cluster's cores
+    when the files split into fewer scan tasks than that (see ``spread``)."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the default parallelism, only when the scan
+    has fewer partitions than cores.
+
+    Parquet splits at row-group boundaries, so a large file written as one row
+    group scans in a single task and every narrow step after it (hashing,
+    parsing, stacking) would run on one core. On a large input the scan already
+    has many more partitions than cores and this returns ``df`` unchanged, so
+    no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 _LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
               "l_shipdate"]
@@ -30,7 +52,7 @@ def _row_hash() -> Column:
 
 
 def _lines_with_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select(*_LINE_COLS)
+    line = fact_table(spark, sf_dir, "lineitem", _LINE_COLS)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     # part is a dimension: the planner broadcasts it when its measured size is
     # under the threshold and falls back to a sort-merge join otherwise.
