@@ -70,46 +70,59 @@ def columns_frame(spark: SparkSession, df: DataFrame, columns: list[str]) -> Dat
     return spark.createDataFrame(rows, "column_name string, ordinal int, family string")
 
 
-def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(ordinal, value) for every cell of ``columns``; names stay in metadata."""
+def stacked(df: DataFrame, columns: list[str], order_col: str | None = None) -> DataFrame:
+    """(ordinal, value[, _order]) for every cell of ``columns``; names stay in metadata."""
     cells = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), _as_text(q(c), df.schema[c].dataType).alias("value"))
         for i, c in enumerate(columns)
     ])
-    return df.select(F.inline(cells))
+    if order_col is None:
+        return df.select(F.inline(cells))
+    return df.select(q(order_col).alias("_order"), F.inline(cells))
 
 
-def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, columns: list[str] | None = None,
+                    order_col: str | None = None) -> DataFrame:
     """One row per column: rows, nulls, null %, exact distinct count, and the
     counts the type labels need.
 
     Columns: ``column_name, ordinal, family, n_rows, null_count,
-    null_percentage, unique_count, n_nonnull, n_label_words, n_fraction``.
-    ``null_percentage`` is null for an empty frame.
+    null_percentage, unique_count, n_nonnull, n_label_words, n_fraction``,
+    and ``first_value`` (first non-null value in ``order_col`` order) when
+    ``order_col`` is given. ``null_percentage`` is null for an empty frame.
     """
     spark = df.sparkSession
-    columns = list(columns if columns is not None else df.columns)
+    columns = list(columns if columns is not None else
+                   [c for c in df.columns if c != order_col])
     meta = columns_frame(spark, df, columns)
     fractional = [i for i, c in enumerate(columns)
                   if type_family(df.schema[c].dataType) == "fractional"]
-    per_value = (stacked(df, columns)
+    value_aggs = [F.count(F.lit(1)).alias("n")]
+    if order_col is not None:
+        value_aggs.append(F.min("_order").alias("first_order"))
+    per_value = (stacked(df, columns, order_col)
                  .groupBy("ordinal", "value")
-                 .agg(F.count(F.lit(1)).alias("n")))
+                 .agg(*value_aggs))
     v, n = F.col("value"), F.col("n")
     as_double = v.try_cast("double")
     is_fraction = F.col("ordinal").isin(fractional) & (as_double != F.floor(as_double))
-    per_column = per_value.groupBy("ordinal").agg(
+    column_aggs = [
         F.sum(n).alias("n_rows"),
         F.sum(F.when(v.isNull(), n)).alias("null_count"),
         F.count(v).alias("unique_count"),
         F.sum(F.when(v.isin(BOOLEAN_LABEL_STRINGS), n)).alias("n_label_words"),
         F.sum(F.when(is_fraction, n)).alias("n_fraction"),
-    )
+    ]
+    if order_col is not None:
+        column_aggs.append(
+            F.min_by(v, F.when(v.isNotNull(), F.col("first_order"))).alias("first_value"))
+    per_column = per_value.groupBy("ordinal").agg(*column_aggs)
     counts = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction"]
     # Left join from the metadata so an empty frame still has a row per column.
+    extra = ["first_value"] if order_col is not None else []
     prof = meta.join(per_column, "ordinal", "left").select(
         "column_name", "ordinal", "family",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts], *extra)
     return (prof
             .withColumn("n_nonnull", F.col("n_rows") - F.col("null_count"))
             .withColumn("null_percentage",
@@ -186,17 +199,22 @@ def label_expr() -> Column:
              .otherwise(F.lit(LABEL_STRING)))
 
 
-def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = None) -> DataFrame:
+def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = None,
+                  with_samples: bool = True) -> DataFrame:
     """One row per column: ``column_name, ordinal, detected_type,
-    suggested_mapping, null_count, null_percentage, unique_count,
-    sample_values`` plus the profile counts used by validation."""
+    suggested_mapping, null_count, null_percentage, unique_count``,
+    ``sample_values`` (when ``with_samples``) and the profile counts used by
+    validation.
+
+    Labels need only each column's first value, which the profile pass
+    provides; the separate sampling job runs only when samples are wanted.
+    """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
-    prof = profile_columns(df, columns)
-    samples = sample_values(df, order_col, columns)
-    arrays = sample_arrays(samples)
-    out = prof.join(arrays, "ordinal", "left").withColumn(
-        "sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
-    out = out.withColumn("first_value", F.col("sample_values")[0])
+    out = profile_columns(df, columns, order_col)
+    if with_samples:
+        arrays = sample_arrays(sample_values(df, order_col, columns))
+        out = out.join(arrays, "ordinal", "left").withColumn(
+            "sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
     return (out.withColumn("detected_type", label_expr())
                .withColumn("suggested_mapping", suggest_mapping_expr(F.col("column_name")))
                .drop("first_value"))

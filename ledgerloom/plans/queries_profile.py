@@ -30,8 +30,8 @@ FAMILY = {"timestamp_ntz": "timestamp", "bigint": "integral", "double": "fractio
           "string": "text"}
 
 
-def _schema(spark, sf):
-    return P.detect_schema(typed(spark, sf), "id", RAW_COLS)
+def _schema(spark, sf, with_samples=False):
+    return P.detect_schema(typed(spark, sf), "id", RAW_COLS, with_samples=with_samples)
 
 
 # --- oracle building blocks ------------------------------------------------
@@ -135,7 +135,7 @@ def q_suggested_keys(spark, sf):
     "(select ordinal, string_agg(sample_value, '|' order by sample_rank) as sample_text from samples "
     "group by ordinal) s on l.ordinal = s.ordinal", [("samples", _SAMPLES_SQL)]))
 def q_detect_schema(spark, sf):
-    return _schema(spark, sf).select(
+    return _schema(spark, sf, with_samples=True).select(
         "column_name", "ordinal", "detected_type", "suggested_mapping", "null_count",
         "null_percentage", "unique_count", F.array_join("sample_values", "|").alias("sample_text"))
 
@@ -147,7 +147,7 @@ def q_detect_schema(spark, sf):
     "filter (where sample_rank <= 2) as first_two from samples group by ordinal) s "
     "on l.ordinal = s.ordinal", [("samples", _SAMPLES_SQL)]))
 def q_display_columns(spark, sf):
-    return _schema(spark, sf).select(
+    return _schema(spark, sf, with_samples=True).select(
         "column_name", "ordinal", first_two_samples(F.col("sample_values")).alias("first_samples"),
         grouped_count(F.col("unique_count")).alias("unique_text"),
         dash_if_null(F.col("suggested_mapping")).alias("mapping_text"))
