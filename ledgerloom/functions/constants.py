@@ -116,6 +116,9 @@ REQUIRED_DEFAULTS = [
 # Upload admission.
 ALLOWED_EXTENSIONS = [".csv", ".xlsx", ".xls", ".txt"]
 MAX_FILE_BYTES = 50 * 1024 * 1024
+REJECT_EXTENSION = "File type not allowed. Allowed: {allowed}"
+REJECT_SIZE = "File too large. Max size: {mb}MB"
+REJECT_CONTENT = "Invalid file content. File may be corrupted."
 MAGIC_XLSX = "504B0304"           # zip container
 MAGIC_XLS = "D0CF11E0"            # OLE2 compound file
 

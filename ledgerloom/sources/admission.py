@@ -20,10 +20,19 @@ from ledgerloom.functions.constants import (
     MAGIC_XLS,
     MAGIC_XLSX,
     MAX_FILE_BYTES,
+    REJECT_CONTENT,
+    REJECT_EXTENSION,
+    REJECT_SIZE,
 )
+
 from ledgerloom.functions.text import file_suffix
 
 
+def megabytes(n_bytes) -> float:
+    """Bytes -> MB (1024 * 1024 bytes)."""
+    return n_bytes / 1024 / 1024
+
+
 def _files(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
 
@@ -43,8 +52,10 @@ def file_admission(spark: SparkSession, location: str, max_bytes: int = MAX_FILE
     ext_ok = F.col("ext").isin(ALLOWED_EXTENSIONS)
     size_ok = F.col("length") <= max_bytes
     content_ok = (F.col("magic").isin(MAGIC_XLSX, MAGIC_XLS) | F.col("utf8") | F.col("no_nul"))
-    reason = (F.when(~ext_ok, F.lit("extension not allowed"))
-               .when(~size_ok, F.lit("file too large"))
-               .when(~F.coalesce(content_ok, F.lit(False)), F.lit("invalid file content")))
-    return checked.select("path", "file_name", "length", "ext",
+    too_big = REJECT_SIZE.format(mb=float(megabytes(max_bytes)))
+    reason = (F.when(~ext_ok, F.lit(REJECT_EXTENSION.format(allowed=", ".join(ALLOWED_EXTENSIONS))))
+               .when(~size_ok, F.lit(too_big))
+               .when(~F.coalesce(content_ok, F.lit(False)), F.lit(REJECT_CONTENT)))
+    return checked.select("path", "file_name", "length",
+                          megabytes(F.col("length")).alias("size_mb"), "ext",
                           reason.isNull().alias("accepted"), reason.alias("reason"))

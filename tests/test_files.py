@@ -46,7 +46,9 @@ def test_admission(spark, tmpdir_path):
     _write(tmpdir_path, "pic.png", b"\x89PNG")
     rows = {r.file_name: r for r in file_admission(spark, tmpdir_path, max_bytes=100).collect()}
     assert rows["ok.csv"].accepted and rows["OK2.TXT"].accepted and rows["book.xlsx"].accepted
-    assert rows["bin.csv"].reason == "invalid file content"
-    assert rows["big.csv"].reason == "file too large"
-    assert rows["pic.png"].reason == "extension not allowed"
+    assert rows["bin.csv"].reason == "Invalid file content. File may be corrupted."
+    assert rows["big.csv"].reason.startswith("File too large. Max size: ")
+    assert rows["pic.png"].reason == "File type not allowed. Allowed: .csv, .xlsx, .xls, .txt"
+    full = {r.file_name: r for r in file_admission(spark, tmpdir_path).collect()}
+    assert full["big.csv"].accepted and full["big.csv"].size_mb == 101 / 1024 / 1024
     assert MAX_FILE_BYTES == 50 * 1024 * 1024

@@ -63,5 +63,5 @@ def test_rejected_file(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "notes.pdf")
     with open(p, "wb") as f:
         f.write(b"%PDF")
-    with pytest.raises(ValueError, match="extension not allowed"):
+    with pytest.raises(ValueError, match="File type not allowed"):
         profile_upload(spark, p)
