@@ -274,14 +274,25 @@ def fill_missing(df: DataFrame, as_of=None, modes: dict | None = None,
     return df.select(*out)
 
 
-def clean_dataframe(df: DataFrame, as_of=None, keep: list[str] | None = None) -> DataFrame:
-    """Headers -> types -> gaps. ``keep`` names key columns left untouched."""
+def clean_dataframe(df: DataFrame, as_of=None, keep: list[str] | None = None,
+                    materialize: bool = False) -> DataFrame:
+    """Headers -> types -> gaps. ``keep`` names key columns left untouched.
+
+    The typed frame is read twice (for the date modes, then for the fill).
+    ``materialize`` checkpoints it in between, which pays one columnar write
+    instead of a second parse of the source text -- the better trade for
+    large text inputs.
+    """
     keep = list(keep or [])
     data = [c for c in df.columns if c not in keep]
     names = clean_names(data)
     renamed = df.select(*[q(k) for k in keep], *[q(o).alias(n) for o, n in zip(data, names)])
     text_cols = [n for n in names if renamed.schema[n].dataType == T.StringType()]
     typed = infer_types(renamed, text_cols)
+    if materialize:
+        from ledgerloom.session import checkpointed
+
+        typed = checkpointed(typed)
     return fill_missing(typed, as_of, skip=keep)
 
 

@@ -5,6 +5,8 @@ aggregation: each typed column becomes rows of (column, value as text),
 those are counted per (column, value) -- a partial aggregate per task, so a
 value holding a third of all rows is one row per task before the shuffle --
 and rolled up per column. Exact distinct counts come out of the same pass.
+First values (for the date/datetime label) come from one global ``min_by``
+aggregate, which is cheaper than carrying the row key on every stacked cell.
 
 ``sample_values`` takes the first values per column in row order with a
 ``row_number() <= k`` filter, which Spark plans as a per-task top-k before
@@ -70,15 +72,29 @@ def columns_frame(spark: SparkSession, df: DataFrame, columns: list[str]) -> Dat
     return spark.createDataFrame(rows, "column_name string, ordinal int, family string")
 
 
-def stacked(df: DataFrame, columns: list[str], order_col: str | None = None) -> DataFrame:
-    """(ordinal, value[, _order]) for every cell of ``columns``; names stay in metadata."""
+def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ordinal, value) for every cell of ``columns``; names stay in metadata."""
     cells = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), _as_text(q(c), df.schema[c].dataType).alias("value"))
         for i, c in enumerate(columns)
     ])
-    if order_col is None:
-        return df.select(F.inline(cells))
-    return df.select(q(order_col).alias("_order"), F.inline(cells))
+    return df.select(F.inline(cells))
+
+
+def first_values(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
+    """(ordinal, first_value): each column's first non-null value in row order.
+
+    One global aggregate of ``min_by`` per column: partial per task, one row
+    out. Kept apart from the stacked per-value count, where carrying the
+    order key on every cell costs more than this second pass.
+    """
+    o = q(order_col)
+    wide = df.agg(*[
+        F.min_by(_as_text(q(c), df.schema[c].dataType), F.when(q(c).isNotNull(), o)).alias(f"f{i}")
+        for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"f{i}").alias("first_value"))
+                     for i in range(len(columns))])
+    return wide.select(F.inline(rows))
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
@@ -97,29 +113,25 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     meta = columns_frame(spark, df, columns)
     fractional = [i for i, c in enumerate(columns)
                   if type_family(df.schema[c].dataType) == "fractional"]
-    value_aggs = [F.count(F.lit(1)).alias("n")]
-    if order_col is not None:
-        value_aggs.append(F.min("_order").alias("first_order"))
-    per_value = (stacked(df, columns, order_col)
+    per_value = (stacked(df, columns)
                  .groupBy("ordinal", "value")
-                 .agg(*value_aggs))
+                 .agg(F.count(F.lit(1)).alias("n")))
     v, n = F.col("value"), F.col("n")
     as_double = v.try_cast("double")
     is_fraction = F.col("ordinal").isin(fractional) & (as_double != F.floor(as_double))
-    column_aggs = [
+    per_column = per_value.groupBy("ordinal").agg(
         F.sum(n).alias("n_rows"),
         F.sum(F.when(v.isNull(), n)).alias("null_count"),
         F.count(v).alias("unique_count"),
         F.sum(F.when(v.isin(BOOLEAN_LABEL_STRINGS), n)).alias("n_label_words"),
         F.sum(F.when(is_fraction, n)).alias("n_fraction"),
-    ]
-    if order_col is not None:
-        column_aggs.append(
-            F.min_by(v, F.when(v.isNotNull(), F.col("first_order"))).alias("first_value"))
-    per_column = per_value.groupBy("ordinal").agg(*column_aggs)
+    )
     counts = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction"]
+    extra = []
+    if order_col is not None:
+        meta = meta.join(first_values(df, columns, order_col), "ordinal", "left")
+        extra = ["first_value"]
     # Left join from the metadata so an empty frame still has a row per column.
-    extra = ["first_value"] if order_col is not None else []
     prof = meta.join(per_column, "ordinal", "left").select(
         "column_name", "ordinal", "family",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts], *extra)

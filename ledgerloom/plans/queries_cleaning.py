@@ -38,8 +38,18 @@ def raw(spark, sf):
     return C.replace_na_tokens(X.raw_sales(spark, sf), RAW_COLS)
 
 
-def typed(spark, sf):
-    return C.infer_types(raw(spark, sf), RAW_COLS)
+def typed(spark, sf, materialize=False):
+    """Typed raw_sales.
+
+    Inference reads the text twice (measures, then conversion), so the text
+    is checkpointed first, as an uploaded file would sit on disk;
+    ``materialize`` also checkpoints the typed result for queries that read
+    it twice.
+    """
+    from ledgerloom.session import checkpointed
+
+    t = C.infer_types(checkpointed(raw(spark, sf)), RAW_COLS)
+    return checkpointed(t) if materialize else t
 
 
 # --- oracle building blocks ------------------------------------------------
@@ -127,13 +137,13 @@ def q_date_mode(spark, sf):
 
 @query("fill_missing", _with_raw("select * from filled", "filled"))
 def q_fill_missing(spark, sf):
-    return C.fill_missing(typed(spark, sf), as_of=AS_OF, skip=["id"])
+    return C.fill_missing(typed(spark, sf, materialize=True), as_of=AS_OF, skip=["id"])
 
 
 @query("clean_dataframe", _with_raw("select * from filled", "filled"))
 def q_clean_dataframe(spark, sf):
     messy = X.raw_sales(spark, sf).withColumnsRenamed(MESSY_HEADERS)
-    return C.clean_dataframe(C.replace_na_tokens(messy), as_of=AS_OF, keep=["id"])
+    return C.clean_dataframe(C.replace_na_tokens(messy), as_of=AS_OF, keep=["id"], materialize=True)
 
 
 _MAPPED = {c: X.RAW_MAPPING.get(c, c) for c in RAW_COLS}
@@ -147,7 +157,7 @@ def q_apply_mapping(spark, sf):
 
 
 def _cleaned(spark, sf):
-    return C.clean_dataframe(raw(spark, sf), as_of=AS_OF, keep=["id"])
+    return C.clean_dataframe(raw(spark, sf), as_of=AS_OF, keep=["id"], materialize=True)
 
 
 @query("conform_defaults", _with_raw(

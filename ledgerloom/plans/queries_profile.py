@@ -31,7 +31,9 @@ FAMILY = {"timestamp_ntz": "timestamp", "bigint": "integral", "double": "fractio
 
 
 def _schema(spark, sf, with_samples=False):
-    return P.detect_schema(typed(spark, sf), "id", RAW_COLS, with_samples=with_samples)
+    # With samples the typed frame is read twice (profile and samples).
+    t = typed(spark, sf, materialize=with_samples)
+    return P.detect_schema(t, "id", RAW_COLS, with_samples=with_samples)
 
 
 # --- oracle building blocks ------------------------------------------------

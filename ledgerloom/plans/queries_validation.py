@@ -173,7 +173,7 @@ def q_numeric_issues(spark, sf):
 
 
 def _issues(spark, sf):
-    t = typed(spark, sf)
+    t = typed(spark, sf, materialize=True)
     return V.validation_issues(t, P.detect_schema(t, "id", RAW_COLS, with_samples=False), AS_OF)
 
 
