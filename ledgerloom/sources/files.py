@@ -27,13 +27,12 @@ def suffix(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def utf8_files(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
-    """Per file: is the content valid UTF-8? One distributed job; the driver
-    receives one boolean per file."""
-    rows = (spark.read.format("binaryFile").load(paths)
-                 .select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("ok"))
-                 .collect())
-    return {r.path: bool(r.ok) for r in rows}
+REPLACEMENT = "\ufffd"
+
+
+def _same_path(p: str) -> str:
+    """One spelling for local file URIs (``file:/x`` and ``file:///x``)."""
+    return "file:/" + p[5:].lstrip("/") if p.startswith("file:") else p
 
 
 def _csv(spark: SparkSession, paths: list[str], sep: str, encoding: str,
@@ -43,27 +42,41 @@ def _csv(spark: SparkSession, paths: list[str], sep: str, encoding: str,
             .option("inferSchema", False).csv(paths))
 
 
+def misdecoded_files(df: DataFrame) -> list[str]:
+    """Files of a UTF-8 read whose text holds U+FFFD, the decoder's stand-in
+    for bytes that are not UTF-8.
+
+    One pass over the rows, aggregated per file (partial per task), so every
+    file is checked whole without any task holding a whole file; the driver
+    receives only the names of the failing files.
+    """
+    text = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
+    flagged = (df.select(F.col("_metadata.file_path").alias("file"),
+                         text.contains(REPLACEMENT).alias("bad"))
+                 .filter("bad").select("file").distinct().collect())
+    return [_same_path(r.file) for r in flagged]
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = False,
-             sep: str = ",") -> DataFrame:
-    """CSV as text. UTF-8 files are read as UTF-8; any other file as latin-1,
-    which decodes every byte (so no further fallback is reachable)."""
+             sep: str = ",", encoding: str | None = None) -> DataFrame:
+    """CSV as text. Without an explicit ``encoding``, files that are valid
+    UTF-8 are read as UTF-8 and the others as latin-1, which decodes every
+    byte (so no further fallback is reachable)."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    valid = utf8_files(spark, paths)
-    utf8 = [p for p in paths if valid.get(_qualify(p), valid.get(p, True))]
-    latin = [p for p in paths if p not in utf8]
-    parts = []
-    if utf8:
-        parts.append(_csv(spark, utf8, sep, "UTF-8", multiline))
-    if latin:
-        parts.append(_csv(spark, latin, sep, "ISO-8859-1", multiline))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
-def _qualify(path: str) -> str:
-    return path if ":" in path.split("/")[0] else "file:" + os.path.abspath(path)
+    if encoding:
+        return _csv(spark, paths, sep, encoding, multiline)
+    utf8 = _csv(spark, paths, sep, "UTF-8", multiline)
+    files = [_same_path(f) for f in utf8.inputFiles()]
+    bad = set(misdecoded_files(utf8))
+    if any(REPLACEMENT in c for c in utf8.columns):
+        bad = set(files)          # the header itself is not UTF-8
+    if not bad:
+        return utf8
+    good = [f for f in files if f not in bad]
+    latin = _csv(spark, sorted(bad), sep, "ISO-8859-1", multiline)
+    if not good:
+        return latin
+    return _csv(spark, good, sep, "UTF-8", multiline).unionByName(latin, allowMissingColumns=True)
 
 
 def read_text_table(spark: SparkSession, paths: str | list[str], multiline: bool = False) -> DataFrame:
