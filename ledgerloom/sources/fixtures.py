@@ -26,8 +26,8 @@ def fact_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str])
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition to the default parallelism, only when the scan has fewer
-    partitions than cores.
+    """Round-robin repartition to the default parallelism, only when the scan
+    has fewer partitions than cores.
 
     Parquet splits at row-group boundaries, so a large file written as one row
     group scans in a single task and every narrow step after it (hashing,
@@ -38,9 +38,9 @@ def spread(df: DataFrame) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    # Hash on all columns: deterministic on retry without the local sort a
-    # round-robin repartition does, and balanced unless rows repeat wholesale.
-    return df.repartition(target, *df.columns)
+    # Round-robin, not hashing on columns: a projection above still prunes
+    # columns through it down to the scan, which hash keys would pin.
+    return df.repartition(target)
 
 
 _LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
