@@ -47,16 +47,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staging tables.
 
-    Read from ``spark.checkpoint.dir`` (what the cluster names). Only when it
-    is unset -- local runs and tests -- a fresh folder under the system temp
-    directory is created and registered.
+    Read from ``spark.checkpoint.dir`` (what the cluster names). Only a local
+    session (tests, a laptop) with the setting unset gets a fresh folder
+    under the system temp directory; on a cluster an unset setting is an
+    error, because a machine-local folder is invisible to other executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return current
+        return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every "
+                           "executor can reach (for example on HDFS or object storage)")
     local = tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
