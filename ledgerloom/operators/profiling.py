@@ -145,11 +145,12 @@ def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = Non
                   k: int = SAMPLE_VALUES) -> DataFrame:
     """First ``k`` non-null values of each column in row order, as text.
 
-    Long form: ``column_name, ordinal, sample_rank, sample_value``.
+    Long form: ``column_name, ordinal, sample_rank, sample_value``. Names are
+    attached after the top-k, so the sorted cells carry only an ordinal.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
     cells = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"),
+        F.struct(F.lit(i).alias("ordinal"),
                  _as_text(q(c), df.schema[c].dataType).alias("sample_value"))
         for i, c in enumerate(columns)
     ])
@@ -157,8 +158,9 @@ def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = Non
         F.col("sample_value").isNotNull())
     w = Window.partitionBy("ordinal").orderBy(F.col("_order").asc())
     ranked = long.withColumn("sample_rank", F.row_number().over(w))
-    return ranked.filter(F.col("sample_rank") <= k).select(
-        "column_name", "ordinal", "sample_rank", "sample_value")
+    top = ranked.filter(F.col("sample_rank") <= k).select("ordinal", "sample_rank", "sample_value")
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("ordinal") + 1)
+    return top.select(names.alias("column_name"), "ordinal", "sample_rank", "sample_value")
 
 
 def sample_arrays(samples: DataFrame) -> DataFrame:
@@ -222,11 +224,15 @@ def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = Non
     provides; the separate sampling job runs only when samples are wanted.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
-    out = profile_columns(df, columns, order_col)
     if with_samples:
+        # The first sample is the first value; no separate first-value pass.
         arrays = sample_arrays(sample_values(df, order_col, columns))
-        out = out.join(arrays, "ordinal", "left").withColumn(
-            "sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
+        out = (profile_columns(df, columns).join(arrays, "ordinal", "left")
+               .withColumn("sample_values",
+                           F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
+               .withColumn("first_value", F.get(F.col("sample_values"), 0)))
+    else:
+        out = profile_columns(df, columns, order_col)
     return (out.withColumn("detected_type", label_expr())
                .withColumn("suggested_mapping", suggest_mapping_expr(F.col("column_name")))
                .drop("first_value"))

@@ -73,3 +73,8 @@ def test_schema_document_nests_columns(spark):
     typed = C.infer_types(text_frame(spark, ["a", "b"], [("1", "x"), ("2", "y")]), ["a", "b"])
     doc = P.schema_document(P.detect_schema(typed, "rid", ["a", "b"])).collect()[0][0]
     assert [c.name for c in doc.columns] == ["a", "b"] and doc.row_count == 2
+
+
+def test_all_null_column_with_samples(spark):
+    s = _schema(spark, ["a", "b"], [("1", None), ("2", None)])
+    assert s["b"].detected_type == "unknown" and s["b"].sample_values == []
