@@ -330,7 +330,7 @@ def conform_sales(df: DataFrame, upload_id: str, id_col: str | None = None,
         cols.append(q(id_col).alias("id"))
     cols += [
         F.lit(upload_id).alias("upload_id"),
-        q("date").cast("timestamp_ntz").alias("date"),
+        q("date").try_cast("timestamp_ntz").alias("date"),
         q("sku_id").cast("string").alias("sku_id"),
         q("sales_quantity").try_cast("double").alias("sales_quantity"),
         q("sales_revenue").try_cast("double").alias("sales_revenue"),
