@@ -41,6 +41,9 @@ DATETIME_FORMATS = [
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
 ]
 
+# ISO text that names its zone: an offset, Z, UTC/GMT, or a region id.
+ZONE_SUFFIX = r"(?i)(z|[+-]\d{2}(:?\d{2})?|\s*(utc|gmt)|\s*[a-z]+/[a-z_]+)$"
+
 # Union of every shape above: text failing it cannot parse under any layout.
 DATE_CANDIDATE = "|".join([ISO_GUARD] + [shape for _, shape in DATETIME_FORMATS])
 
@@ -91,16 +94,25 @@ def parse_boolean(c: Column) -> Column:
 
 
 def parse_datetime(c: Column) -> Column:
-    """Text -> TIMESTAMP_NTZ (UTC wall clock); the first layout that parses wins.
+    """Text -> TIMESTAMP_NTZ; the first layout that parses wins.
 
     Month-first is tried before day-first, so ``03/04/2024`` is 4 March and
-    ``13/04/2024`` is 13 April. Zoned ISO text is converted to UTC.
+    ``13/04/2024`` is 13 April. Naive text keeps its wall clock; text that
+    names a zone is converted to UTC. Neither depends on the session zone.
     """
     t = F.trim(c)
-    iso = F.when(t.rlike(ISO_GUARD), F.try_to_timestamp(t))
-    tries = [iso] + [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+    iso = F.when(t.rlike(ISO_GUARD), parse_iso(t))
+    # A layout parses in the session zone and the cast back uses the same
+    # zone, so the wall clock comes through unchanged.
+    tries = [iso] + [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
                      for fmt, shape in DATETIME_FORMATS]
-    return to_utc_ntz(F.when(t.rlike(DATE_CANDIDATE), F.coalesce(*tries)))
+    return F.when(t.rlike(DATE_CANDIDATE), F.coalesce(*tries))
+
+
+def parse_iso(t: Column) -> Column:
+    """ISO text -> TIMESTAMP_NTZ: zoned text as its UTC wall clock, naive text as written."""
+    return (F.when(t.rlike(ZONE_SUFFIX), to_utc_ntz(F.try_to_timestamp(t)))
+             .otherwise(t.try_cast("timestamp_ntz")))
 
 
 def to_utc_ntz(ts: Column) -> Column:

@@ -59,10 +59,11 @@ def make_naive(ts: Column, source_zone: str = "UTC") -> Column:
 
 
 def normalize_utc(text: Column) -> Column:
-    """Parse text, convert to UTC and drop the zone (``+02:00`` moves 2 h back)."""
-    from ledgerloom.functions.parsing import to_utc_ntz
+    """Parse text; zoned values move to UTC and lose the zone (``+02:00``
+    moves 2 h back), naive values stay as written."""
+    from ledgerloom.functions.parsing import parse_iso
 
-    return to_utc_ntz(F.try_to_timestamp(F.trim(text)))
+    return parse_iso(F.trim(text))
 
 
 def isoformat(ts: Column) -> Column:

@@ -55,3 +55,16 @@ def test_header_rule_as_expression_matches_python(spark):
 def test_normalize_utc_converts_offsets(spark):
     got = _one(spark, normalize_utc, ["2024-03-01T10:20:30+02:00", "2024-03-01 10:20:30"])
     assert got == [dt.datetime(2024, 3, 1, 8, 20, 30), dt.datetime(2024, 3, 1, 10, 20, 30)]
+
+
+def test_parsing_does_not_depend_on_session_zone(spark):
+    vals = ["2024-03-01T10:20:30+02:00", "2024-03-01 10:20:30", "3/1/2024"]
+    expect = [dt.datetime(2024, 3, 1, 8, 20, 30), dt.datetime(2024, 3, 1, 10, 20, 30),
+              dt.datetime(2024, 3, 1)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ["America/Los_Angeles", "Asia/Kolkata"]:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert _one(spark, parse_datetime, vals) == expect
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
