@@ -41,8 +41,11 @@ DATETIME_FORMATS = [
     ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
 ]
 
-# ISO text that names its zone: an offset, Z, UTC/GMT, or a region id.
-ZONE_SUFFIX = r"(?i)(z|[+-]\d{2}(:?\d{2})?|\s*(utc|gmt)|\s*[a-z]+/[a-z_]+)$"
+# ISO text that names its zone after a clock time: an offset, Z, UTC/GMT, or
+# a region id. A zone needs a time before it, so the day of ``2024-03-03``
+# never reads as an offset.
+ZONE_SUFFIX = (r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*"
+               r"(z|[+-]\d{1,2}(:?\d{2})?|utc|gmt|[a-z]+/[a-z_]+)$")
 
 # Union of every shape above: text failing it cannot parse under any layout.
 DATE_CANDIDATE = "|".join([ISO_GUARD] + [shape for _, shape in DATETIME_FORMATS])

@@ -33,7 +33,17 @@ def as_of_column(as_of=None) -> Column:
         as_of = _dt.datetime(as_of.year, as_of.month, as_of.day)
     if as_of.tzinfo is not None:
         as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
-    return F.lit(as_of).cast("timestamp_ntz")
+    return ntz_literal(as_of)
+
+
+def ntz_literal(value: _dt.datetime) -> Column:
+    """A naive datetime as a TIMESTAMP_NTZ literal.
+
+    Built from text: a Python datetime literal would pass through the Python
+    process's local zone and then the session zone, shifting the wall clock
+    whenever the two differ.
+    """
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def utc_midnight(as_of=None) -> Column:

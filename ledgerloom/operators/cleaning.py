@@ -231,6 +231,16 @@ def column_modes(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value"))).alias("mode_value"))
 
 
+def _literal(value, dt: T.DataType) -> Column:
+    """A collected value as a literal of ``dt``; timestamps go through text so
+    no zone conversion touches them."""
+    import datetime as _dt
+
+    if isinstance(value, _dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(dt)
+    return F.lit(value).cast(dt)
+
+
 def _is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 
@@ -262,7 +272,7 @@ def fill_missing(df: DataFrame, as_of=None, modes: dict | None = None,
             e = F.coalesce(c, F.lit(0).cast(dt))
         elif isinstance(dt, TIMESTAMP_TYPES):
             m = modes.get(f.name)
-            fallback = F.lit(m) if m is not None else utc_midnight(as_of)
+            fallback = _literal(m, dt) if m is not None else utc_midnight(as_of)
             e = F.coalesce(c, fallback.cast(dt))
         elif isinstance(dt, T.BooleanType):
             e = F.coalesce(c, F.lit(False))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.parsing import na_to_null, parse_datetime, parse_integer, parse_numeric
 from ledgerloom.functions.text import clean_name, clean_name_expr, clean_names
-from ledgerloom.functions.timeutil import normalize_utc
+from ledgerloom.functions.timeutil import as_of_column, normalize_utc
 
 
 def _one(spark, expr, values):
@@ -58,13 +58,16 @@ def test_normalize_utc_converts_offsets(spark):
 
 
 def test_parsing_does_not_depend_on_session_zone(spark):
-    vals = ["2024-03-01T10:20:30+02:00", "2024-03-01 10:20:30", "3/1/2024"]
+    vals = ["2024-03-01T10:20:30+02:00", "2024-03-01 10:20:30", "3/1/2024", "2024-03-03",
+            "2024-03-03T10:00Z"]
     expect = [dt.datetime(2024, 3, 1, 8, 20, 30), dt.datetime(2024, 3, 1, 10, 20, 30),
-              dt.datetime(2024, 3, 1)]
+              dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 3), dt.datetime(2024, 3, 3, 10)]
     before = spark.conf.get("spark.sql.session.timeZone")
     try:
         for zone in ["America/Los_Angeles", "Asia/Kolkata"]:
             spark.conf.set("spark.sql.session.timeZone", zone)
             assert _one(spark, parse_datetime, vals) == expect
+            got = spark.range(1).select(as_of_column("2001-01-01").alias("t")).collect()[0].t
+            assert got == dt.datetime(2001, 1, 1)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
