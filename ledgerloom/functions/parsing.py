@@ -114,7 +114,9 @@ def parse_datetime(c: Column) -> Column:
 
 def parse_iso(t: Column) -> Column:
     """ISO text -> TIMESTAMP_NTZ: zoned text as its UTC wall clock, naive text as written."""
-    return (F.when(t.rlike(ZONE_SUFFIX), to_utc_ntz(F.try_to_timestamp(t)))
+    # Spark's reader wants seconds before a zone; ``10:00Z`` becomes ``10:00:00Z``.
+    with_seconds = F.regexp_replace(t, r"([T ]\d{1,2}:\d{2})(\s*([zZ]|[+-]|[A-Za-z]))", "$1:00$2")
+    return (F.when(t.rlike(ZONE_SUFFIX), to_utc_ntz(F.try_to_timestamp(with_seconds)))
              .otherwise(t.try_cast("timestamp_ntz")))
 
 
