@@ -65,3 +65,24 @@ def test_rejected_file(spark, tmpdir_path):
         f.write(b"%PDF")
     with pytest.raises(ValueError, match="File type not allowed"):
         profile_upload(spark, p)
+
+
+def test_write_replaces_only_its_upload(spark, tmpdir_path):
+    import datetime as dt
+
+    from ledgerloom.sources.sales_table import write_sales
+
+    out = os.path.join(tmpdir_path, "sales")
+    schema = ("upload_id string, date timestamp_ntz, sku_id string, sales_quantity double, "
+              "sales_revenue double, stock_level int, category string, unit_price double")
+
+    def frame(upload, n):
+        return spark.createDataFrame(
+            [(upload, dt.datetime(2024, 1, 1 + i), f"S{i}", 1.0, 2.0, 3, "c", 2.0) for i in range(n)],
+            schema)
+
+    assert write_sales(frame("a", 3), out) == 3
+    assert write_sales(frame("b", 2), out) == 2
+    assert write_sales(frame("a", 5), out) == 5          # replaces a, keeps b
+    counts = {r.upload_id: r["count"] for r in read_sales(spark, out).groupBy("upload_id").count().collect()}
+    assert counts == {"a": 5, "b": 2}
