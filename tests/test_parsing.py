@@ -71,3 +71,24 @@ def test_parsing_does_not_depend_on_session_zone(spark):
             assert got == dt.datetime(2001, 1, 1)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_zone_helpers(spark):
+    from ledgerloom.functions.display import one_decimal
+    from ledgerloom.functions.timeutil import ensure_utc, is_midnight, make_naive, utc_midnight
+
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 1, 10, 20, 30),)], "t timestamp_ntz")
+    row = df.select(
+        ensure_utc(F.col("t")).alias("aware"),
+        make_naive(ensure_utc(F.col("t")), "UTC").alias("back"),
+        make_naive(ensure_utc(F.col("t")), "Asia/Kolkata").alias("kolkata"),
+        utc_midnight("2024-03-01T23:59:00").alias("midnight"),
+        is_midnight(F.col("t")).alias("is_mid"),
+    ).collect()[0]
+    assert row.back == dt.datetime(2024, 3, 1, 10, 20, 30)
+    assert row.kolkata == dt.datetime(2024, 3, 1, 15, 50, 30)
+    assert row.midnight == dt.datetime(2024, 3, 1) and row.is_mid is False
+    # One decimal like Python's "%.1f": half-even on the exact binary value.
+    vals = spark.createDataFrame([(v,) for v in [12.25, 0.15, 2.5, 66.195]], "v double")
+    got = [r[0] for r in vals.select(one_decimal(F.col("v"))).collect()]
+    assert got == [f"{v:.1f}" for v in [12.25, 0.15, 2.5, 66.195]]
