@@ -193,12 +193,7 @@ def apply_types(df: DataFrame, plan: TypePlan) -> DataFrame:
     out = []
     for c in df.columns:
         t = plan.types.get(c)
-        if t is None:
-            out.append(q(c))
-        elif t == "double" and df.schema[c].dataType == T.StringType():
-            out.append(convert(q(c), t).cast("double").alias(c))
-        else:
-            out.append(convert(q(c), t).alias(c))
+        out.append(q(c) if t is None else convert(q(c), t).alias(c))
     return df.select(*out)
 
 

@@ -35,12 +35,9 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
+    """Import the query modules; each registers its queries on import."""
     for m in MODULES:
-        try:
-            importlib.import_module(f"ledgerloom.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"ledgerloom.plans.{m}":
-                raise
+        importlib.import_module(f"ledgerloom.plans.{m}")
 
 
 def queries() -> dict[str, QueryFn]:
