@@ -238,7 +238,8 @@ def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = Non
                .drop("first_value"))
 
 
-def _key_aggs() -> list[Column]:
+def key_aggregates() -> list[Column]:
+    """Suggested date and SKU columns, row count and column count, as aggregates."""
     is_date = ((F.col("suggested_mapping") == "date")
                & F.col("detected_type").isin(LABEL_DATE, LABEL_DATETIME))
     is_sku = F.col("suggested_mapping") == "sku"
@@ -254,7 +255,7 @@ def suggested_keys(schema: DataFrame) -> DataFrame:
     """One row: the first date-like column suggested as ``date`` and the first
     column suggested as ``sku`` (by position), each null when there is none;
     plus row and column counts."""
-    return schema.agg(*_key_aggs())
+    return schema.agg(*key_aggregates())
 
 
 def schema_document(schema: DataFrame) -> DataFrame:
@@ -263,7 +264,7 @@ def schema_document(schema: DataFrame) -> DataFrame:
         F.col("column_name").alias("name"), "detected_type", "suggested_mapping", "null_count",
         "null_percentage", "unique_count", "sample_values")
     cols = F.array_sort(F.collect_list(F.struct("ordinal", info.alias("info"))))
-    doc = schema.agg(cols.alias("cols"), *_key_aggs())
+    doc = schema.agg(cols.alias("cols"), *key_aggregates())
     return doc.select(F.struct(
         F.transform("cols", lambda s: s["info"]).alias("columns"),
         "row_count", "column_count",

@@ -183,15 +183,17 @@ def numeric_issues(counts: DataFrame) -> DataFrame:
 def rule_targets(schema: DataFrame) -> tuple[str | None, list[tuple[int, str]]]:
     """The date column and the numeric columns the rules apply to.
 
-    Collects one row per column of the profile (metadata, bounded by the
-    column count) plus the suggested date column.
+    One aggregate over the profile; the driver receives one row holding the
+    suggested date column and the numeric columns (bounded by the column
+    count).
     """
-    from ledgerloom.operators.profiling import suggested_keys
+    from ledgerloom.operators.profiling import key_aggregates
 
-    keys = suggested_keys(schema).collect()[0]
-    numeric = schema.filter(F.col("detected_type").isin(LABEL_NUMERIC, LABEL_INTEGER)) \
-                    .select("ordinal", "column_name").orderBy("ordinal").collect()
-    return keys.suggested_date_column, [(r.ordinal, r.column_name) for r in numeric]
+    is_num = F.col("detected_type").isin(LABEL_NUMERIC, LABEL_INTEGER)
+    numeric = F.array_sort(F.collect_list(
+        F.when(is_num, F.struct(F.col("ordinal"), F.col("column_name")))))
+    row = schema.agg(*key_aggregates(), numeric.alias("numeric")).collect()[0]
+    return row.suggested_date_column, [(r.ordinal, r.column_name) for r in row.numeric]
 
 
 def validation_issues(df: DataFrame, schema: DataFrame, as_of=None) -> DataFrame:
