@@ -35,7 +35,7 @@ def upload_record(spark: SparkSession, registry_path: str, upload_id: str):
 def cleaned_for_load(spark: SparkSession, path: str, mapping: dict | None,
                      as_of=None) -> DataFrame:
     """Read -> clean (headers, types, gaps) -> saved mapping -> required columns."""
-    raw = read_file(spark, path)
+    raw = read_file(spark, path, materialize=True)
     cleaned = C.clean_dataframe(raw, as_of=as_of, keep=[ROW_ID], materialize=True)
     return C.conform_defaults(cleaned, mapping, as_of=as_of)
 

@@ -43,7 +43,7 @@ class UploadResult:
 
 def typed_upload(spark: SparkSession, path: str) -> DataFrame:
     """Read, clean headers, infer types (no gap filling, so null shares are real)."""
-    raw = read_file(spark, path)
+    raw = read_file(spark, path, materialize=True)
     data = [c for c in raw.columns if c != ROW_ID]
     names = clean_names(data)
     renamed = raw.select(*[C.q(o).alias(n) for o, n in zip(data, names)], ROW_ID)

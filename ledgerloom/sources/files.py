@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.cleaning import replace_na_tokens
@@ -57,14 +57,50 @@ def misdecoded_files(df: DataFrame) -> list[str]:
     return [_same_path(r.file) for r in flagged]
 
 
+def _materialized_csv(spark: SparkSession, paths: list[str], sep: str,
+                      multiline: bool) -> DataFrame:
+    """UTF-8 read checkpointed in one scan, with the encoding check riding
+    along as an ``Observation``; only files that fail are read again, as
+    latin-1. In the common case the text is parsed once."""
+    from ledgerloom.session import checkpointed
+
+    utf8 = _csv(spark, paths, sep, "UTF-8", multiline)
+    cols = utf8.columns
+    text = F.concat_ws("", *[F.col(f"`{c}`") for c in cols])
+    obs = Observation("encoding")
+    tagged = utf8.withColumn("_source_file", F.col("_metadata.file_path"))
+    saved = checkpointed(tagged.observe(obs, F.collect_set(
+        F.when(text.contains(REPLACEMENT), F.col("_source_file"))).alias("bad")))
+    bad = list(obs.get["bad"])
+    if any(REPLACEMENT in c for c in cols):
+        bad = [r.f for r in saved.select(F.col("_source_file").alias("f")).distinct().collect()]
+    if not bad:
+        return saved.drop("_source_file")
+    latin = checkpointed(_csv(spark, sorted({_same_path(b) for b in bad}), sep, "ISO-8859-1",
+                              multiline))
+    rest = saved.filter(~F.col("_source_file").isin(bad)).drop("_source_file")
+    return rest.unionByName(latin, allowMissingColumns=True)
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = False,
-             sep: str = ",", encoding: str | None = None) -> DataFrame:
+             sep: str = ",", encoding: str | None = None, materialize: bool = False) -> DataFrame:
     """CSV as text. Without an explicit ``encoding``, files that are valid
     UTF-8 are read as UTF-8 and the others as latin-1, which decodes every
-    byte (so no further fallback is reachable)."""
+    byte (so no further fallback is reachable).
+
+    ``materialize`` checkpoints the text (one scan that also checks the
+    encoding), for callers that read it several times.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if encoding:
-        return _csv(spark, paths, sep, encoding, multiline)
+        df = _csv(spark, paths, sep, encoding, multiline)
+        if materialize:
+            from ledgerloom.session import checkpointed
+
+            df = checkpointed(df)
+        return df
+    if materialize:
+        return _materialized_csv(spark, paths, sep, multiline)
     utf8 = _csv(spark, paths, sep, "UTF-8", multiline)
     files = [_same_path(f) for f in utf8.inputFiles()]
     bad = set(misdecoded_files(utf8))
@@ -79,23 +115,28 @@ def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = Fals
     return _csv(spark, good, sep, "UTF-8", multiline).unionByName(latin, allowMissingColumns=True)
 
 
-def read_text_table(spark: SparkSession, paths: str | list[str], multiline: bool = False) -> DataFrame:
+def read_text_table(spark: SparkSession, paths: str | list[str], multiline: bool = False,
+                    materialize: bool = False) -> DataFrame:
     """``.txt``: tab-separated; when the header is a single column holding a
-    comma, the file is comma-separated instead."""
-    tab = read_csv(spark, paths, multiline, sep="\t")
-    if len(tab.columns) == 1 and "," in tab.columns[0]:
-        return read_csv(spark, paths, multiline, sep=",")
-    return tab
+    comma, the file is comma-separated instead (decided from the header)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    header = _csv(spark, paths, "\t", "ISO-8859-1", multiline).columns
+    sep = "," if len(header) == 1 and "," in header[0] else "\t"
+    return read_csv(spark, paths, multiline, sep=sep, materialize=materialize)
 
 
 def read_file(spark: SparkSession, path: str, multiline: bool = False,
-              with_row_id: bool = True) -> DataFrame:
-    """An uploaded file as an all-text DataFrame with NA tokens as nulls."""
+              with_row_id: bool = True, materialize: bool = False) -> DataFrame:
+    """An uploaded file as an all-text DataFrame with NA tokens as nulls.
+
+    ``materialize`` checkpoints the text once (see ``read_csv``) for callers
+    that scan it several times, as type inference does.
+    """
     ext = suffix(path)
     if ext == ".csv":
-        df = read_csv(spark, path, multiline)
+        df = read_csv(spark, path, multiline, materialize=materialize)
     elif ext == ".txt":
-        df = read_text_table(spark, path, multiline)
+        df = read_text_table(spark, path, multiline, materialize=materialize)
     elif ext == ".xlsx":
         from ledgerloom.sources.xlsx import read_xlsx
 

@@ -52,3 +52,14 @@ def test_admission(spark, tmpdir_path):
     full = {r.file_name: r for r in file_admission(spark, tmpdir_path).collect()}
     assert full["big.csv"].accepted and full["big.csv"].size_mb == 101 / 1024 / 1024
     assert MAX_FILE_BYTES == 50 * 1024 * 1024
+
+
+def test_materialized_read_detects_encoding_in_one_scan(spark, tmpdir_path):
+    from ledgerloom.sources.files import read_csv
+
+    _write(tmpdir_path, "u.csv", "name,city\nJosé,Zürich\n".encode("utf-8"))
+    _write(tmpdir_path, "l.csv", "name,city\nJoão,Málaga\n".encode("latin-1"))
+    rows = {tuple(r) for r in read_csv(spark, tmpdir_path, materialize=True).collect()}
+    assert rows == {("João", "Málaga"), ("José", "Zürich")}
+    comma = _write(tmpdir_path, "c.txt", b"a,b\n1,2\n")
+    assert read_file(spark, comma, materialize=True).columns[:2] == ["a", "b"]
