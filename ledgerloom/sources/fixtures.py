@@ -149,7 +149,7 @@ def upload_events(spark: SparkSession, sf_dir: str, extra_upload: str | None = N
 
 
 # ---------------------------------------------------------------------------
-# The same views as DuckDB SQL, for the oracle. {S} is DuckDB's text type.
+# The same views as DuckDB SQL, for the oracle (FIXTURES.md 3 with varchar text).
 # ---------------------------------------------------------------------------
 
 _ID_SQL = ("md5(concat_ws('|', cast(l_orderkey as varchar), cast(l_partkey as varchar), "
