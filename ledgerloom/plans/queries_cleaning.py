@@ -111,8 +111,8 @@ def q_parse_numeric(spark, sf):
 def _measure_sql(i: int, c: str) -> str:
     x = Q.num(c)
     return (f"select '{c}' as column_name, {i} as ordinal, count(*) as n_rows, "
-            f"count({c}) as n_nonnull, count_if(coalesce({Q.boolean_text(c)}, false)) as n_boolean, "
-            f"count({x}) as n_numeric, count_if(coalesce({Q.whole(x)}, false)) as n_whole, "
+            f"count({c}) as n_nonnull, count(*) filter (where coalesce({Q.boolean_text(c)}, false)) as n_boolean, "
+            f"count({x}) as n_numeric, count(*) filter (where coalesce({Q.whole(x)}, false)) as n_whole, "
             f"count(case when {x} is null then {Q.dt(c)} end) as n_datetime, "
             f"cast(count({x}) as double) / nullif(count(*), 0) as numeric_ratio, "
             f"cast(count(case when {x} is null then {Q.dt(c)} end) as double) / nullif(count(*), 0) "
@@ -162,14 +162,14 @@ def _cleaned(spark, sf):
 
 @query("conform_defaults", _with_raw(
     "select id, " + ", ".join(f"{c} as {n}" for c, n in _MAPPED.items())
-    + ", 0.0 as sales_revenue from filled", "filled"))
+    + ", cast(0.0 as double) as sales_revenue from filled", "filled"))
 def q_conform_defaults(spark, sf):
     return C.conform_defaults(_cleaned(spark, sf), X.RAW_MAPPING, as_of=AS_OF)
 
 
 @query("conform_sales", _with_raw(
     f"select id, '{UPLOAD_ID}' as upload_id, order_date as date, product_code as sku_id, "
-    "cast(qty as double) as sales_quantity, 0.0 as sales_revenue, "
+    "cast(qty as double) as sales_quantity, cast(0.0 as double) as sales_revenue, "
     "coalesce(cast(stock_level as integer), 0) as stock_level, category, "
     "cast(unit_price as double) as unit_price from filled", "filled"))
 def q_conform_sales(spark, sf):

@@ -40,12 +40,12 @@ def _schema(spark, sf, with_samples=False):
 
 def _profile_sql(i: int, c: str) -> str:
     t = RAW_TYPES[c]
-    frac = (f"count_if(coalesce({c} != floor({c}), false))" if t == "double" else "0")
+    frac = (f"count(*) filter (where coalesce({c} != floor({c}), false))" if t == "double" else "0")
     first = f"arg_min(cast({c} as varchar), id) filter (where {c} is not null)"
     return (f"select '{c}' as column_name, {i} as ordinal, '{FAMILY[t]}' as family, "
             f"count(*) as n_rows, count(*) - count({c}) as null_count, "
             f"count(distinct {c}) as unique_count, "
-            f"count_if(coalesce({Q.boolean_label_text(f'cast({c} as varchar)')}, false)) as n_label_words, "
+            f"count(*) filter (where coalesce({Q.boolean_label_text(f'cast({c} as varchar)')}, false)) as n_label_words, "
             f"{frac} as n_fraction, count({c}) as n_nonnull, "
             f"cast(count(*) - count({c}) as double) / nullif(count(*), 0) * 100.0 as null_percentage, "
             f"{first} as first_value from typed")
@@ -82,7 +82,7 @@ _LABELS_SQL = (f"select *, {_label_sql()} as detected_type, {_suggest_sql('colum
 
 def _samples_sql(i: int, c: str) -> str:
     return (f"select '{c}' as column_name, {i} as ordinal, sample_rank, sample_value from "
-            f"(select cast({c} as varchar) as sample_value, row_number() over (order by id) as sample_rank "
+            f"(select cast({c} as varchar) as sample_value, cast(row_number() over (order by id) as integer) as sample_rank "
             f"from typed where {c} is not null) where sample_rank <= 5")
 
 
@@ -197,7 +197,7 @@ _MAPPED = {c: X.RAW_MAPPING.get(c, c) for c in RAW_COLS}
     "select id, " + ", ".join(
         (f"{Q.iso(c)} as {n}" if RAW_TYPES[c] == "timestamp_ntz" else f"{c} as {n}")
         for c, n in _MAPPED.items())
-    + ", 0.0 as sales_revenue from filled order by id limit 20", "filled"))
+    + ", cast(0.0 as double) as sales_revenue from filled order by id limit 20", "filled"))
 def q_preview_cleaned(spark, sf):
     conformed = C.conform_defaults(_cleaned(spark, sf), X.RAW_MAPPING, as_of=AS_OF)
     return P.preview(conformed, "id", n=20)

@@ -53,8 +53,8 @@ def _issue_sql(rule: int, seq: str, severity: str, kind: str, column: str | None
 def _date_counts_sql(table: str, col: str) -> str:
     return (f"select '{col}' as column_name, count({col}) as n_valid, min({col}) as min_date, "
             f"max({col}) as max_date, (epoch_us(max({col})) - epoch_us(min({col}))) // 86400000000 "
-            f"as span_days, count_if({col} > {AS_OF_SQL}) as n_future, "
-            f"count_if({col} < timestamp '{OLD_DATE} 00:00:00') as n_old, "
+            f"as span_days, count(*) filter (where {col} > {AS_OF_SQL}) as n_future, "
+            f"count(*) filter (where {col} < timestamp '{OLD_DATE} 00:00:00') as n_old, "
             f"max({col}) > {AS_OF_SQL} as has_future, "
             f"min({col}) < timestamp '{OLD_DATE} 00:00:00' as has_old from {table}")
 
@@ -75,8 +75,8 @@ def _date_issues_sql(src: str) -> str:
 def _numeric_counts_sql(table: str, cols: list[tuple[int, str]]) -> str:
     return "\nunion all\n".join(
         f"select '{c}' as column_name, {o} as ordinal, count(*) as n_rows, "
-        f"count_if(coalesce(cast({c} as double) < 0, false)) as n_negative, "
-        f"count_if(coalesce(cast({c} as double) = 0, false)) as n_zero from {table}"
+        f"count(*) filter (where coalesce(cast({c} as double) < 0, false)) as n_negative, "
+        f"count(*) filter (where coalesce(cast({c} as double) = 0, false)) as n_zero from {table}"
         for o, c in cols)
 
 
@@ -121,15 +121,15 @@ _ISSUES_CTES = [
 
 
 def _report_sql() -> str:
-    errors = "count_if(severity = 'error')"
-    warnings = "count_if(severity = 'warning')"
+    errors = "count(*) filter (where severity = 'error')"
+    warnings = "count(*) filter (where severity = 'warning')"
     summary = (f"case when {errors} > 0 then {_sql_render(SUMMARY_ERRORS, n=errors)} "
                f"when {warnings} > 0 then {_sql_render(SUMMARY_WARNINGS, n=warnings)} "
                f"else '{SUMMARY_CLEAN}' end")
     listing = ("coalesce(string_agg(severity || ':' || type || ':' || coalesce(\"column\", ''), ',' "
                "order by rule_order, seq), '')")
     return (f"select {errors} = 0 as is_valid, count(*) as total_issues, {errors} as errors, "
-            f"{warnings} as warnings, count_if(severity = 'info') as infos, "
+            f"{warnings} as warnings, count(*) filter (where severity = 'info') as infos, "
             f"{listing} as issue_list, {summary} as summary from issues")
 
 
