@@ -34,10 +34,11 @@ def test_entry_runs(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
-    from oracle_check import _rows
+    from oracle_check import _rows, type_mismatches
 
     sdf = entry.queries()[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
+    assert type_mismatches(sdf, rel) == []
     assert _rows(sdf.columns, srows, 9) == _rows(rel.columns, rel.fetchall(), 9)
