@@ -135,10 +135,10 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     prof = meta.join(per_column, "ordinal", "left").select(
         "column_name", "ordinal", "family",
         *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts], *extra)
-    return (prof
-            .withColumn("n_nonnull", F.col("n_rows") - F.col("null_count"))
-            .withColumn("null_percentage",
-                        (F.col("null_count") / F.nullif(F.col("n_rows"), F.lit(0))) * F.lit(100.0)))
+    return prof.select(
+        "*", (F.col("n_rows") - F.col("null_count")).alias("n_nonnull"),
+        ((F.col("null_count") / F.nullif(F.col("n_rows"), F.lit(0))) * F.lit(100.0))
+        .alias("null_percentage"))
 
 
 def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
@@ -171,13 +171,18 @@ def sample_arrays(samples: DataFrame) -> DataFrame:
 
 
 def suggest_mapping_expr(name: Column) -> Column:
-    """Field suggested by a column name: the first field with a contained keyword."""
+    """Field suggested by a column name: the first field with a contained keyword.
+
+    One alternation per field: a regex search for any of the field's keywords
+    is the same test as "some keyword is contained".
+    """
+    import re
+
     n = F.replace(F.replace(F.lower(name), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
     out = None
     for field, keywords in COLUMN_KEYWORDS:
-        for kw in keywords:
-            cond = n.contains(kw)
-            out = F.when(cond, F.lit(field)) if out is None else out.when(cond, F.lit(field))
+        cond = n.rlike("|".join(re.escape(kw) for kw in keywords))
+        out = F.when(cond, F.lit(field)) if out is None else out.when(cond, F.lit(field))
     return out
 
 
@@ -227,15 +232,16 @@ def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = Non
     if with_samples:
         # The first sample is the first value; no separate first-value pass.
         arrays = sample_arrays(sample_values(df, order_col, columns))
-        out = (profile_columns(df, columns).join(arrays, "ordinal", "left")
-               .withColumn("sample_values",
-                           F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
-               .withColumn("first_value", F.get(F.col("sample_values"), 0)))
+        joined = profile_columns(df, columns).join(arrays, "ordinal", "left")
+        samples = F.coalesce(F.col("sample_values"), F.array().cast("array<string>"))
+        out = joined.select(*[c for c in joined.columns if c != "sample_values"],
+                            samples.alias("sample_values"),
+                            F.get(samples, 0).alias("first_value"))
     else:
         out = profile_columns(df, columns, order_col)
-    return (out.withColumn("detected_type", label_expr())
-               .withColumn("suggested_mapping", suggest_mapping_expr(F.col("column_name")))
-               .drop("first_value"))
+    keep = [c for c in out.columns if c != "first_value"]
+    return out.select(*keep, label_expr().alias("detected_type"),
+                      suggest_mapping_expr(F.col("column_name")).alias("suggested_mapping"))
 
 
 def key_aggregates() -> list[Column]:
