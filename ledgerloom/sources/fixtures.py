@@ -19,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fact_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+def fact_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str],
+               key: str | None = None) -> DataFrame:
     """A fact table with its columns pruned, spread over the cluster's cores
     when the files split into fewer scan tasks than that (see ``spread``)."""
-    return spread(table(spark, sf_dir, name).select(*columns))
+    return spread(table(spark, sf_dir, name).select(*columns), key)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Round-robin repartition to the default parallelism, only when the scan
     has fewer partitions than cores.
 
@@ -38,8 +39,11 @@ def spread(df: DataFrame) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    # Round-robin, not hashing on columns: a projection above still prunes
-    # columns through it down to the scan, which hash keys would pin.
+    if key is not None:
+        # Hashing on a well-spread key is deterministic on retry without the
+        # local sort a round-robin needs; only the key stays pinned in the scan.
+        return df.repartition(target, key)
+    # Round-robin keeps every column prunable through it down to the scan.
     return df.repartition(target)
 
 
@@ -54,7 +58,7 @@ def _row_hash() -> Column:
 
 
 def _lines_with_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = fact_table(spark, sf_dir, "lineitem", _LINE_COLS)
+    line = fact_table(spark, sf_dir, "lineitem", _LINE_COLS, key="l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
     # part is a dimension: the planner broadcasts it when its measured size is
     # under the threshold and falls back to a sort-merge join otherwise.
