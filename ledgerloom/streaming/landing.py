@@ -55,8 +55,8 @@ def handle_batch(spark: SparkSession, batch: DataFrame, registry_path: str,
                    "valid": res.validation["is_valid"]}
             if sales_path and res.validation["is_valid"]:
                 out.update(process_upload(spark, registry_path, sales_path, uid, as_of=as_of))
-        except ValueError as e:
-            if "already processed" in str(e):
+        except Exception as e:  # noqa: BLE001 - one bad file must not stop the intake
+            if isinstance(e, ValueError) and "already processed" in str(e):
                 out = {"upload_id": uid, "path": row.path, "status": "processed"}
             else:
                 R.append_event(spark, registry_path, uid, STATUS_ERROR, error_message=str(e)[:2000],
