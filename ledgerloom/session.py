@@ -16,6 +16,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of frames no longer referenced are deleted, so a
+    # long-running intake does not grow the shared folder without bound.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Checkpoints serialize rows with this; Kryo is faster and smaller than Java.
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     "spark.ui.enabled": "false",
