@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import op6_quality_rules  # noqa: F401
+from ledgerloom.llm import (  # noqa: F401
+    op5_fingerprints,
+    op6_quality_rules,
+    op9_url_filter,
+)
 from ledgerloom.llm.registry import ORACLE, QUERIES  # noqa: F401
