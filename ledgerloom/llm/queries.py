@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.llm import (  # noqa: F401
+    op1_mixing,
     op5_fingerprints,
     op6_quality_rules,
     op9_url_filter,
