@@ -6,6 +6,7 @@ from ledgerloom.llm import (  # noqa: F401
     op1_mixing,
     op5_fingerprints,
     op6_quality_rules,
+    op7_packing,
     op9_url_filter,
 )
 from ledgerloom.llm.registry import ORACLE, QUERIES  # noqa: F401
