@@ -8,6 +8,7 @@ from ledgerloom.llm import (  # noqa: F401
     op5_fingerprints,
     op6_quality_rules,
     op7_packing,
+    op8_line_dedup,
     op9_url_filter,
 )
 from ledgerloom.llm.registry import ORACLE, QUERIES  # noqa: F401
