@@ -21,15 +21,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, table
+from ledgerloom.llm.common import table
 from ledgerloom.llm.registry import query
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+WORD_CHAR = r"[^\x20\x09-\x0D]"
 
-#: Rows of the sample that orders the rules, and the share of rows it is drawn from.
+#: Up to this many different repeated windows are looked up one by one.
+FEW = 24
+
+#: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 2000
-SAMPLE_FRACTION = 0.2
 
 
 def _let(value: Column, body) -> Column:
@@ -50,20 +53,23 @@ def n_words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(_clean(text), SPACES, "")).cast("long")
+    return F.length(F.array_join(words(text), "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = _clean(text)
-    return (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(_clean(text), F.lit(SYMBOLS)).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
     """Lines holding a word that equal an earlier line."""
-    lines = F.filter(F.split(_clean(text), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(_clean(text), "\n", -1), lambda x: F.rlike(x, F.lit(WORD_CHAR)))
     return _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long")
 
 
+def n_lines(text: Column) -> Column:
+    return count_of(text, "\n") + 1
+
+
 def n_repeat_words(text: Column) -> Column:
     return repeat_words_in(words(text))
 
@@ -72,9 +78,10 @@ def repeat_words_in(word_list: Column) -> Column:
     """Words inside a 3-word window that occurs twice or more in the text.
 
     Windows are 64-bit hashes. Texts whose windows are all different (a hash
-    set tells) end there; the others sort (hash, position) pairs once, take
-    the positions whose neighbour has the same hash, and add up the words
-    those windows cover.
+    set tells) end there. In the others the hashes that occur again come from
+    one sort of the plain numbers; their positions from a look at each window
+    where those hashes are few, else from one sort of (hash, position) pairs.
+    The words that those windows cover are added up.
     """
     def windows(w):
         return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
@@ -95,63 +102,76 @@ def repeat_words_in(word_list: Column) -> Column:
                      | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))),
             lambda x: x["i"])))
 
+    def few(h, again):
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i)),
+                        lambda i: i.isNotNull())
+
+    def again(s):
+        return F.array_distinct(F.filter(s, lambda x, i: F.coalesce(
+            x == F.get(s, i - 1), F.lit(False))))
+
+    def positions(h):
+        return _let(_let(F.sort_array(h), again), lambda a: F.when(
+            F.size(a) <= FEW, few(h, a)).otherwise(repeated(h)))
+
     def count(h):
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-            _let(repeated(h), covered))
+            _let(positions(h), covered))
 
     hashed = _let(word_list, windows)
     return _let(hashed, count).cast("long")
 
 
-def upper_share(text: Column) -> Column:
-    """Share of ASCII letters that are upper case (null when there are none)."""
-    t = _clean(text)
-    big, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    n = F.length(t)
-    upper = n - F.length(F.translate(t, big, ""))
-    return F.try_divide(upper, n - F.length(F.translate(t, big + small, "")))
+def n_upper(text: Column) -> Column:
+    return F.regexp_count(_clean(text), F.lit("[A-Z]")).cast("long")
 
 
-def count_of(text: Column, chars: str) -> Column:
+def count_of(text: Column, char: str) -> Column:
     t = _clean(text)
-    return F.length(t) - F.length(F.translate(t, chars, ""))
+    return F.length(t) - F.length(F.replace(t, F.lit(char), F.lit("")))
+
+
+class Measures:
+    """The counts that rules use: expressions over the text, or columns that hold them already."""
+
+    def __init__(self, text: Column, **known: Column):
+        self.text, self.known = text, known
+
+    def __getattr__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else globals()[name](self.text)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text)`` is a boolean column: true for a text to reject, never null."""
+    """``rejects(measures)`` is a boolean column: true for a text to reject, never null."""
 
     name: str
     rejects: object
 
 
-def _flag(cond: Column) -> Column:
-    return F.coalesce(cond, F.lit(False))
-
-
 #: Thresholds of the default rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PER_100_CHARS = 8
-MAX_UPPER_PERCENT = 50
+MAX_UPPER_PERCENT = 40
 MAX_SHOUTS_PER_100_CHARS = 6
 MAX_PIPES_PER_100_CHARS = 3
 MAX_DUP_LINE_PERCENT = 50
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 25
 
 DEFAULT_RULES = [
-    Rule("few_words", lambda t: n_words(t) < MIN_WORDS),
+    Rule("few_words", lambda m: m.n_words < MIN_WORDS),
     Rule("repeated_windows",
-         lambda t: n_repeat_words(t) * 100 > n_words(t) * MAX_REPEAT_PERCENT),
-    Rule("symbols", lambda t: n_symbols(t) * 100 > word_chars(t) * MAX_SYMBOLS_PER_100_CHARS),
-    Rule("upper_case", lambda t: _flag(upper_share(t) * 100 > MAX_UPPER_PERCENT)),
-    Rule("shouting", lambda t: count_of(t, "!") * 100 > word_chars(t) * MAX_SHOUTS_PER_100_CHARS),
-    Rule("table_rows", lambda t: count_of(t, "|") * 100 > word_chars(t) * MAX_PIPES_PER_100_CHARS),
-    Rule("repeated_lines",
-         lambda t: n_dup_lines(t) * 100
-         > F.size(F.split(_clean(t), "\n", -1)) * MAX_DUP_LINE_PERCENT),
-    Rule("word_length", lambda t: (word_chars(t) < n_words(t) * MIN_MEAN_WORD)
-         | (word_chars(t) > n_words(t) * MAX_MEAN_WORD)),
+         lambda m: m.n_repeat_words * 100 > m.n_words * MAX_REPEAT_PERCENT),
+    Rule("symbols", lambda m: m.n_symbols * 100 > m.word_chars * MAX_SYMBOLS_PER_100_CHARS),
+    Rule("upper_case", lambda m: m.n_upper * 100 > m.word_chars * MAX_UPPER_PERCENT),
+    Rule("shouting",
+         lambda m: count_of(m.text, "!") * 100 > m.word_chars * MAX_SHOUTS_PER_100_CHARS),
+    Rule("table_rows",
+         lambda m: count_of(m.text, "|") * 100 > m.word_chars * MAX_PIPES_PER_100_CHARS),
+    Rule("repeated_lines", lambda m: m.n_dup_lines * 100 > m.n_lines * MAX_DUP_LINE_PERCENT),
+    Rule("word_length", lambda m: (m.word_chars < m.n_words * MIN_MEAN_WORD)
+         | (m.word_chars > m.n_words * MAX_MEAN_WORD)),
 ]
 
 
@@ -159,21 +179,23 @@ def plan_cascade(docs: DataFrame, rules=None, text_col: str = "text",
                  sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Order ``rules`` by measured rejections per cost on a bounded sample.
 
-    The sample is the first ``sample_rows`` rows of a Bernoulli sample, so only
-    as many partitions are read as it takes. An empty sample keeps the order.
+    The sample is a Bernoulli sample of about ``sample_rows`` rows. An empty
+    sample keeps the order.
     """
     rules = list(DEFAULT_RULES if rules is None else rules)
-    sample = docs.select(F.col(text_col).alias("t")).sample(SAMPLE_FRACTION, seed=7) \
-        .limit(sample_rows).persist()
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(F.col(text_col).alias("t")).sample(share, seed=7) \
+        .limit(2 * sample_rows).persist()
+    m = Measures(F.col("t"))
     try:
-        flags = [r.rejects(F.col("t")).alias(f"r{i}") for i, r in enumerate(rules)]
+        flags = [r.rejects(m).alias(f"r{i}") for i, r in enumerate(rules)]
         outcomes = sample.select(*flags).groupBy(*[f"r{i}" for i in range(len(rules))]).count() \
             .collect()   # one row per combination of outcomes, at most 2^rules and sample_rows
         if not outcomes:
             return rules
         cost = []
         for r in rules:
-            probe = sample.agg(F.count_if(r.rejects(F.col("t"))))
+            probe = sample.agg(F.count_if(r.rejects(m)))
             t0 = time.perf_counter()
             probe.collect()
             cost.append(time.perf_counter() - t0)
@@ -189,18 +211,19 @@ def plan_cascade(docs: DataFrame, rules=None, text_col: str = "text",
     return [rules[i] for i in order]
 
 
-def verdict(rules, text: Column) -> Column:
+def verdict(rules, measures: Measures) -> Column:
     """True when no rule rejects; evaluation stops at the first rejection."""
     chain = None
     for r in rules:
-        cond = r.rejects(text)
+        cond = r.rejects(measures)
         chain = F.when(cond, F.lit(False)) if chain is None else chain.when(cond, F.lit(False))
     return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
 
 
 def apply_cascade(docs: DataFrame, rules=None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged."""
-    return docs.where(verdict(plan_cascade(docs, rules, text_col), F.col(text_col)))
+    return docs.where(verdict(plan_cascade(docs, rules, text_col),
+                              Measures(F.col(text_col))))
 
 
 WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
@@ -208,12 +231,12 @@ WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 def kept_sql(source: str, text: str = "text", extra: str = "") -> str:
     """DuckDB SELECT of the base counts and the verdict for every row of ``source``."""
-    big, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    big = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
 select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words) as base_failed,
  not (n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT}
   or n_symbols * 100 > word_chars * {MAX_SYMBOLS_PER_100_CHARS}
-  or coalesce(100.0 * up > {MAX_UPPER_PERCENT} * letters, false)
+  or up * 100 > word_chars * {MAX_UPPER_PERCENT}
   or shouts * 100 > word_chars * {MAX_SHOUTS_PER_100_CHARS}
   or pipes * 100 > word_chars * {MAX_PIPES_PER_100_CHARS}
   or n_dup_lines * 100 > n_lines * {MAX_DUP_LINE_PERCENT}
@@ -229,7 +252,6 @@ from (
         from (select unnest(range(1, len(w) - 1)) as i)) group by a, b, c having count(*) > 1)),
     (select unnest([0, 1, 2]) as d)), 0) as bigint) as n_repeat_words,
   length(t) - length(translate(t, '{big}', '')) as up,
-  length(t) - length(translate(t, '{big}{low}', '')) as letters,
   length(t) - length(replace(t, '!', '')) as shouts,
   length(t) - length(replace(t, '|', '')) as pipes
  from (
@@ -254,8 +276,11 @@ def op6_quality_rules(spark, sf_dir) -> DataFrame:
         n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"),
         repeat_words_in(w).alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                                   "n_repeat_words")}
     # The two base rules are columns already; the cascade runs on what they leave over.
     rest = [r for r in rules if r.name not in ("few_words", "repeated_windows")]
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                        "n_repeat_words", failed.alias("base_failed"),
-                       F.when(failed, F.lit(False)).otherwise(verdict(rest, t)).alias("kept"))
+                       F.when(failed, F.lit(False)).otherwise(
+                           verdict(rest, Measures(t, **known))).alias("kept"))
