@@ -38,3 +38,22 @@ def unit_hash(col):
     """A uniform number in [0, 1) from the text of ``col``: 52 bits of its MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 13),
                   16, 10).cast("double") / F.lit(float(16 ** 13))
+
+
+def crc_remainder(id_col, n: int):
+    """crc32 of the id as text, modulo ``n``; null for a null id."""
+    return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, modulus: int,
+                   held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, label) of at most about ``rows`` labelled documents outside the held-out part.
+
+    Ids are taken in the order of a hash, so the sample is fixed; ``rows`` ids
+    are what the broadcast is bound by. Rows with a null id or label are left out.
+    """
+    ids = labels.where(F.col(label).isNotNull() & (crc_remainder(F.col("doc_id"), modulus) != held)) \
+        .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
+    ids = ids.orderBy(unit_hash(F.col("_id")), "_id", "label").limit(rows)
+    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")) \
+        .select(F.col(text_col).alias("text"), "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm import (  # noqa: F401
     op1_mixing,
+    op10_quality_gam,
     op2_jaccard_join,
     op5_fingerprints,
     op6_quality_rules,
