@@ -6,6 +6,7 @@ from ledgerloom.llm import (  # noqa: F401
     op1_mixing,
     op10_quality_gam,
     op2_jaccard_join,
+    op3_substring_dedup,
     op4_toxicity,
     op5_fingerprints,
     op6_quality_rules,
