@@ -21,25 +21,13 @@ from ledgerloom.functions.constants import (
 # the spellings of infinity. Rejected: thousands separators, currency, hex,
 # underscores and Java type suffixes such as ``12d``.
 NUMERIC_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
 
-# FIXED VALUES: accepted date-time layouts, first hit wins. ISO text (what a
-# cast accepts) is tried only when the value starts with a year and a month,
-# so bare clock times such as ``12:30`` never resolve against today's date and
-# bare numbers such as ``12345`` never become years.
+# ISO text (what a cast accepts) is tried only when the value starts with a year
+# and a month, so bare clock times such as ``12:30`` never resolve against
+# today's date and bare numbers such as ``12345`` never become years.
 ISO_GUARD = r"^\s*\d{4}-\d{1,2}"
-# (layout, shape). The shape is a cheap regex the text must match before the
-# layout parser runs: a parser that fails throws and catches internally, which
-# costs far more than the regex, and most values fail most layouts.
-DATETIME_FORMATS = [
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
-    ("M-d-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
-    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$"),
-    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
-]
 
 # ISO text that names its zone after a clock time: an offset, Z, UTC/GMT, or
 # a region id. A zone needs a time before it, so the day of ``2024-03-03``
@@ -47,8 +35,24 @@ DATETIME_FORMATS = [
 ZONE_SUFFIX = (r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*"
                r"(z|[+-]\d{1,2}(:?\d{2})?|utc|gmt|[a-z]+/[a-z_]+)$")
 
-# Union of every shape above: text failing it cannot parse under any layout.
-DATE_CANDIDATE = "|".join([ISO_GUARD] + [shape for _, shape in DATETIME_FORMATS])
+# FIXED VALUES: the written dates accepted besides ISO text, each optionally
+# followed by a clock time. Three numbers around one kind of separator (year
+# first when it has four digits, else month first and, where that is no date,
+# day first), or a month name with a day and a year.
+YEAR_FIRST = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
+YEAR_LAST = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$"
+DAY_NAME_YEAR = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4}|\d{2})$"
+NAME_DAY_YEAR = r"^([A-Za-z]{3,9})\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})$"
+CLOCK = (r"[ T,]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6})\d*)?)?"
+         r"\s*([AaPp])?\.?([Mm])?\.?$")
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
+          "october", "november", "december"]
+# Two-digit years: 69-99 are 1969-1999, 00-68 are 2000-2068.
+YEAR_PIVOT = 69
+
+# What any of the above must look like; most text fails here and costs no more.
+DATE_CANDIDATE = (r"^\s*(\d{4}-\d{1,2}|\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}"
+                  r"|\d{1,2}(st|nd|rd|th)?[ -][A-Za-z]{3}|[A-Za-z]{3,9}\.?[ -]\d{1,2})")
 
 # Largest magnitude that still fits BIGINT after a whole-number check.
 _BIGINT_LIMIT = 9.2e18
@@ -82,9 +86,14 @@ def is_whole(x: Column) -> Column:
 
 
 def parse_integer(c: Column) -> Column:
-    """Text -> BIGINT through the numeric grammar; ``12.0`` becomes 12."""
+    """Text -> BIGINT through the numeric grammar; ``12.0`` becomes 12.
+
+    Plain digits are read as integers, never through a double, so 16- to
+    18-digit codes keep every digit.
+    """
+    plain = F.when(c.rlike(INTEGER_PATTERN), F.trim(c).try_cast("bigint"))
     x = parse_numeric(c)
-    return F.when(is_whole(x), x.try_cast("bigint"))
+    return F.coalesce(plain, F.when(is_whole(x), x.try_cast("bigint")))
 
 
 def is_boolean_text(c: Column) -> Column:
@@ -97,19 +106,84 @@ def parse_boolean(c: Column) -> Column:
 
 
 def parse_datetime(c: Column) -> Column:
-    """Text -> TIMESTAMP_NTZ; the first layout that parses wins.
+    """Text -> TIMESTAMP_NTZ, or null.
 
     Month-first is tried before day-first, so ``03/04/2024`` is 4 March and
     ``13/04/2024`` is 13 April. Naive text keeps its wall clock; text that
-    names a zone is converted to UTC. Neither depends on the session zone.
+    names a zone is converted to UTC. No step looks at the session zone.
     """
     t = F.trim(c)
-    iso = F.when(t.rlike(ISO_GUARD), parse_iso(t))
-    # A layout parses in the session zone and the cast back uses the same
-    # zone, so the wall clock comes through unchanged.
-    tries = [iso] + [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
-                     for fmt, shape in DATETIME_FORMATS]
-    return F.when(t.rlike(DATE_CANDIDATE), F.coalesce(*tries))
+    return F.when(t.rlike(DATE_CANDIDATE), _let(t, lambda x: F.coalesce(
+        F.when(x.rlike(ISO_GUARD), parse_iso(x)), _parse_written(x))))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``; keeps the expression small."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parse_written(t: Column) -> Column:
+    """A written date with an optional clock time, put together from its numbers."""
+    clocked = t.rlike(CLOCK)
+    day = F.when(clocked, F.trim(F.regexp_replace(t, CLOCK, ""))).otherwise(t)
+    return _let(_let(day, _written_day).cast("timestamp_ntz"), lambda midnight: F.when(
+        clocked, _at_clock(midnight, t)).otherwise(midnight))
+
+
+def _written_day(day: Column) -> Column:
+    return (F.when(day.rlike(YEAR_LAST), _month_or_day_first(day))
+             .when(day.rlike(YEAR_FIRST), _date(_part(day, YEAR_FIRST, 1), _part(day, YEAR_FIRST, 3),
+                                                _part(day, YEAR_FIRST, 4)))
+             .when(day.rlike(DAY_NAME_YEAR), _date(
+                 _year(_part(day, DAY_NAME_YEAR, 3)), _month(_part(day, DAY_NAME_YEAR, 2)),
+                 _part(day, DAY_NAME_YEAR, 1)))
+             .when(day.rlike(NAME_DAY_YEAR), _date(
+                 _part(day, NAME_DAY_YEAR, 3), _month(_part(day, NAME_DAY_YEAR, 1)),
+                 _part(day, NAME_DAY_YEAR, 2))))
+
+
+def _part(t: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(t, pattern, group)
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
+
+
+def _year(text: Column) -> Column:
+    n = text.try_cast("int")
+    full = F.when(n < YEAR_PIVOT, n + 2000).otherwise(n + 1900)
+    return F.when(F.length(text) == 2, full.cast("string")).otherwise(text)
+
+
+def _month(name: Column) -> Column:
+    """The number of a month given by its name or a short form of it; 0 (no date) if unknown."""
+    # ``sept`` is the one four-letter short form in common use.
+    known = {"sept": "9"} | {k: str(n) for n, full in enumerate(MONTHS, 1) for k in (full, full[:3])}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit("0"))
+
+
+def _month_or_day_first(day: Column) -> Column:
+    a, b = _part(day, YEAR_LAST, 1), _part(day, YEAR_LAST, 3)
+    year = _year(_part(day, YEAR_LAST, 4))
+    return F.coalesce(_date(year, a, b), _date(year, b, a))
+
+
+def _at_clock(day: Column, t: Column) -> Column:
+    """``day`` plus the clock time that ends ``t``; null when the clock reads no time."""
+    hour, minute = _part(t, CLOCK, 1).try_cast("int"), _part(t, CLOCK, 2).try_cast("int")
+    second = F.coalesce(_part(t, CLOCK, 3).try_cast("int"), F.lit(0))
+    micros = F.coalesce(F.rpad(_part(t, CLOCK, 4), 6, "0").try_cast("int"), F.lit(0))
+    half, m = F.lower(_part(t, CLOCK, 5)), _part(t, CLOCK, 6)
+    hour24 = (F.when(half == "", hour)
+               .when((hour < 1) | (hour > 12), F.lit(None).cast("int"))
+               .when(half == "p", hour % 12 + 12).otherwise(hour % 12))
+    # ``10:30 a`` and ``10:30 m`` are no times: both letters come or neither does.
+    fits = (hour24 < 24) & (minute < 60) & (second < 60) & ((half == "") == (m == ""))
+    return F.when(fits, F.timestamp_add(
+        "MICROSECOND", ((hour24 * 60 + minute) * 60 + second).cast("bigint") * 1_000_000 + micros,
+        day))
 
 
 def parse_iso(t: Column) -> Column:
@@ -123,18 +197,13 @@ def parse_iso(t: Column) -> Column:
 def to_utc_ntz(ts: Column) -> Column:
     """A zoned TIMESTAMP -> its UTC wall clock as TIMESTAMP_NTZ.
 
-    The cast uses the session zone; the conversion then moves that wall clock
-    to UTC, so the result does not depend on the session setting.
+    Counted from the epoch, so neither the session zone nor its clock changes
+    (a local hour that comes twice) can shift the result.
     """
-    from ledgerloom.functions.timeutil import session_zone
-
-    zone = session_zone()
-    local = ts.cast("timestamp_ntz")
-    if zone in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
-        return local
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts),
+                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def truncate_to_int(x: Column) -> Column:
-    """Python ``int()`` on a number: truncation toward zero, null when out of range."""
-    return x.try_cast("int")
+def truncate_to_bigint(x: Column) -> Column:
+    """Python ``int()`` on a number: truncation toward zero, null when it is no 64-bit number."""
+    return x.try_cast("bigint")

@@ -77,8 +77,15 @@ def normalize_utc(text: Column) -> Column:
 
 
 def isoformat(ts: Column) -> Column:
-    """``datetime.isoformat()`` for whole-second TIMESTAMP_NTZ values."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """``datetime.isoformat()``: microseconds are printed when there are any.
+
+    Built from the value's own text, which no zone touches.
+    """
+    text = ts.cast("timestamp_ntz").cast("string")
+    fraction = F.regexp_extract(text, r"\.(\d+)$", 1)
+    whole = F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T"))
+    return F.when(fraction == "", whole).otherwise(
+        F.concat(whole, F.lit("."), F.rpad(fraction, 6, "0")))
 
 
 def whole_days_between(start: Column, end: Column) -> Column:

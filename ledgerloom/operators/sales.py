@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.constants import SALES_PAGE_DEFAULT, SALES_PAGE_MAX
 from ledgerloom.functions.timeutil import isoformat
 
-# Money and quantities are summed as fixed-point decimals: the total is then
-# exact and independent of how rows are split across tasks, which a double
-# sum is not.
-SUM_TYPE = "decimal(38,2)"
+# Money and quantities are summed as fixed-point decimals with ten places: the
+# total is then independent of how rows are split across tasks, which a double
+# sum is not, and small amounts keep their digits. Values that no such decimal
+# holds (infinities, NaN, beyond 10^28) are summed as doubles beside it.
+SUM_TYPE = "decimal(38,10)"
+
+
+def exact_sum(c: Column) -> Column:
+    """The sum of a DOUBLE column as DOUBLE; null when it has no value."""
+    exact = c.try_cast(SUM_TYPE)
+    rest = F.sum(F.when(exact.isNull(), c))
+    return F.when(F.count(c) > 0, F.coalesce(F.try_sum(exact).cast("double"), F.lit(0.0))
+                  + F.coalesce(rest, F.lit(0.0)))
 
 
 def check_page(skip: int, limit: int, max_limit: int = SALES_PAGE_MAX) -> None:
@@ -64,16 +73,38 @@ def _sale_columns(df: DataFrame, with_upload: bool) -> list[Column]:
 
 
 def list_sales(sales: DataFrame, upload_id: str | None = None, sku_id: str | None = None,
-               skip: int = 0, limit: int = SALES_PAGE_DEFAULT) -> DataFrame:
-    """One page of sales, newest first, dates as ISO text."""
+               skip: int = 0, limit: int = SALES_PAGE_DEFAULT, after=None) -> DataFrame:
+    """One page of sales, newest first, dates as ISO text.
+
+    ``skip`` keeps skip + limit rows per task; to go deep, pass the last row
+    of the page before as ``after=(date, id)`` instead, which costs the same on
+    every page.
+    """
     check_page(skip, limit)
-    page = _page(sales.filter(sales_filter(upload_id, sku_id)), skip, limit)
+    rows = sales.filter(sales_filter(upload_id, sku_id))
+    if after is not None:
+        date, last = F.lit(str(after[0])).cast("timestamp_ntz"), F.lit(after[1])
+        rows = rows.filter((F.col("date") < date) | ((F.col("date") == date) & (F.col("id") > last)))
+    page = _page(rows, skip, limit)
     return page.select(*_sale_columns(sales, with_upload=True))
 
 
 def get_sale(sales: DataFrame, sale_id) -> DataFrame:
-    """The sale with this id; an empty result means not found."""
-    return sales.filter(F.col("id") == F.lit(sale_id)).select(*_sale_columns(sales, with_upload=True))
+    """The sale with this id; an empty result means not found.
+
+    Ids are ``<upload id>:<row>``; the upload prunes the scan to one partition.
+    """
+    match = F.col("id") == F.lit(sale_id)
+    if ":" in str(sale_id):
+        match = (F.col("upload_id") == F.lit(str(sale_id).rsplit(":", 1)[0])) & match
+    return sales.filter(match).select(*_sale_columns(sales, with_upload=True))
+
+
+def page_counts(sales: DataFrame, limit: int = SALES_PAGE_DEFAULT) -> DataFrame:
+    """Per upload: its total and the number of pages of ``limit`` rows."""
+    check_page(0, limit)
+    return sales.groupBy("upload_id").agg(F.count(F.lit(1)).alias("total")).withColumn(
+        "pages", F.ceil(F.col("total") / F.lit(limit)).cast("bigint"))
 
 
 def sales_by_upload(sales: DataFrame, upload_id: str, skip: int = 0,
@@ -86,8 +117,7 @@ def sales_by_upload(sales: DataFrame, upload_id: str, skip: int = 0,
 
 def summary_aggregates() -> list[Column]:
     """Count, totals, averages, distinct SKUs and date range in one pass."""
-    total_q = F.sum(F.col("sales_quantity").cast(SUM_TYPE)).cast("double")
-    total_r = F.sum(F.col("sales_revenue").cast(SUM_TYPE)).cast("double")
+    total_q, total_r = exact_sum(F.col("sales_quantity")), exact_sum(F.col("sales_revenue"))
     return [
         F.count(F.lit(1)).alias("total_records"),
         F.coalesce(total_q, F.lit(0.0)).alias("total_quantity"),

@@ -21,7 +21,7 @@ SALES_SCHEMA = T.StructType([
     T.StructField("sku_id", T.StringType()),
     T.StructField("sales_quantity", T.DoubleType()),
     T.StructField("sales_revenue", T.DoubleType()),
-    T.StructField("stock_level", T.IntegerType()),
+    T.StructField("stock_level", T.DoubleType()),
     T.StructField("category", T.StringType()),
     T.StructField("unit_price", T.DoubleType()),
     T.StructField("created_at", T.TimestampNTZType()),
@@ -34,7 +34,6 @@ def write_sales(conformed: DataFrame, path: str, as_of=None) -> int:
     The count comes from an ``Observation`` on the write itself, so no
     second job runs to count.
     """
-    spark = conformed.sparkSession
     if "id" not in conformed.columns:
         conformed = conformed.withColumn(
             "id", F.xxhash64("upload_id", F.monotonically_increasing_id()).cast("string"))
@@ -43,16 +42,13 @@ def write_sales(conformed: DataFrame, path: str, as_of=None) -> int:
     obs = Observation("sales_write")
     out = conformed.select(*[F.col(f.name).cast(f.dataType) for f in SALES_SCHEMA.fields])
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    previous = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        # No repartition: a write usually holds one upload, and hashing on
-        # upload_id would send all of it to one task. Each task writes its
-        # own sorted files into the upload's partition folder.
-        (out.sortWithinPartitions("upload_id", "date")
-            .write.mode("overwrite").partitionBy("upload_id").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", previous)
+    # No repartition: a write usually holds one upload, and hashing on
+    # upload_id would send all of it to one task. Each task writes its own
+    # sorted files into the upload's partition folder. The overwrite mode is
+    # this write's own, so parallel writes of a session do not disturb each other.
+    (out.sortWithinPartitions("upload_id", "date")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("upload_id").parquet(path))
     return int(obs.get["rows"])
 
 
