@@ -12,7 +12,7 @@ passes by nature:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +25,12 @@ from ledgerloom.functions.constants import (
 )
 from ledgerloom.functions.parsing import (
     is_boolean_text,
-    is_whole,
     na_to_null,
     parse_boolean,
     parse_datetime,
     parse_integer,
     parse_numeric,
-    truncate_to_int,
+    truncate_to_bigint,
 )
 from ledgerloom.functions.text import clean_names
 from ledgerloom.functions.timeutil import as_of_column, utc_midnight
@@ -118,7 +117,7 @@ def parse_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         F.count(v).alias("n_nonnull"),
         F.count_if(is_boolean_text(v)).alias("n_boolean"),
         F.count(x).alias("n_numeric"),
-        F.count_if(is_whole(x)).alias("n_whole"),
+        F.count(parse_integer(v)).alias("n_whole"),
         F.count(ts).alias("n_datetime"),
     )
     # Every column sees every row, so an empty frame is the only case where a
@@ -165,13 +164,16 @@ def choose_types(measures: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TypePlan:
-    """Chosen Spark type per column name (the result of pass 1)."""
+    """Chosen Spark type per column name, and how many present values do not
+    read as it (the result of pass 1)."""
     types: dict[str, str]
+    coerced: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def from_choices(cls, choices: DataFrame) -> TypePlan:
-        rows = choices.select("column_name", "spark_type").collect()
-        return cls({r.column_name: r.spark_type for r in rows})
+        rows = choices.select("column_name", "spark_type", "coerced_count").collect()
+        return cls({r.column_name: r.spark_type for r in rows},
+                   {r.column_name: r.coerced_count for r in rows})
 
 
 _CONVERT = {
@@ -279,26 +281,40 @@ def fill_missing(df: DataFrame, as_of=None, modes: dict | None = None,
     return df.select(*out)
 
 
+def plan_types(df: DataFrame, columns: list[str] | None = None) -> TypePlan:
+    """Pass 1 of inference over the whole frame."""
+    return TypePlan.from_choices(choose_types(parse_measures(df, columns)))
+
+
+def first_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order_col``, computed now: a top-n per task and a
+    small merge, whatever is built on top of them later."""
+    from ledgerloom.session import checkpointed
+
+    return checkpointed(df.orderBy(q(order_col).asc()).limit(n))
+
+
 def clean_dataframe(df: DataFrame, as_of=None, keep: list[str] | None = None,
-                    materialize: bool = False) -> DataFrame:
+                    plan: TypePlan | None = None, first: tuple[str, int] | None = None) -> DataFrame:
     """Headers -> types -> gaps. ``keep`` names key columns left untouched.
 
-    The typed frame is read twice (for the date modes, then for the fill).
-    ``materialize`` checkpoints it in between, which pays one columnar write
-    instead of a second parse of the source text -- the better trade for
-    large text inputs.
+    Types and date modes always come from the whole frame; the modes read the
+    date columns only. ``first=(order column, n)`` then converts and fills just
+    the first n rows, for previews. ``plan`` skips pass 1.
     """
     keep = list(keep or [])
     data = [c for c in df.columns if c not in keep]
     names = clean_names(data)
     renamed = df.select(*[q(k) for k in keep], *[q(o).alias(n) for o, n in zip(data, names)])
-    text_cols = [n for n in names if renamed.schema[n].dataType == T.StringType()]
-    typed = infer_types(renamed, text_cols)
-    if materialize:
-        from ledgerloom.session import checkpointed
-
-        typed = checkpointed(typed)
-    return fill_missing(typed, as_of, skip=keep)
+    if plan is None:
+        plan = plan_types(renamed, [n for n in names if renamed.schema[n].dataType == T.StringType()])
+    typed = apply_types(renamed, plan)
+    dates = [f.name for f in typed.schema.fields
+             if isinstance(f.dataType, TIMESTAMP_TYPES) and f.name not in keep]
+    modes = {r.column_name: r.mode_value for r in column_modes(typed, dates).collect()} if dates else {}
+    if first is not None:
+        typed = apply_types(first_rows(renamed, *first), plan)
+    return fill_missing(typed, as_of, modes=modes, skip=keep)
 
 
 # ---------------------------------------------------------------------------
@@ -328,7 +344,7 @@ def conform_defaults(df: DataFrame, mapping: dict[str, str] | None = None,
 def conform_sales(df: DataFrame, upload_id: str, id_col: str | None = None,
                   with_created_at: bool = False, as_of=None) -> DataFrame:
     """Coerce rows to the sales table: numbers to double, stock truncated to
-    an int (0 when missing), category as text, extras dropped, ``upload_id``
+    a whole number (0 when missing; 64 bits, kept as double), category as text, extras dropped, ``upload_id``
     added."""
     cols = []
     if id_col:
@@ -339,7 +355,8 @@ def conform_sales(df: DataFrame, upload_id: str, id_col: str | None = None,
         q("sku_id").cast("string").alias("sku_id"),
         q("sales_quantity").try_cast("double").alias("sales_quantity"),
         q("sales_revenue").try_cast("double").alias("sales_revenue"),
-        F.coalesce(truncate_to_int(q("stock_level")), F.lit(0)).alias("stock_level"),
+        F.coalesce(truncate_to_bigint(q("stock_level")).cast("double"),
+                   F.lit(0.0)).alias("stock_level"),
         q("category").cast("string").alias("category"),
         q("unit_price").try_cast("double").alias("unit_price"),
     ]

@@ -4,13 +4,13 @@
 aggregation: each typed column becomes rows of (column, value as text),
 those are counted per (column, value) -- a partial aggregate per task, so a
 value holding a third of all rows is one row per task before the shuffle --
-and rolled up per column. Exact distinct counts come out of the same pass.
-First values (for the date/datetime label) come from one global ``min_by``
-aggregate, which is cheaper than carrying the row key on every stacked cell.
+and rolled up per column. Exact distinct counts, the counts that the
+validation rules need (negative, zero, future, old values) and the first
+value of date columns come out of the same pass.
 
-``sample_values`` takes the first values per column in row order with a
-``row_number() <= k`` filter, which Spark plans as a per-task top-k before
-the shuffle (WindowGroupLimit), so at most k rows per column per task move.
+``sample_values`` takes the first values per column from the first rows (a
+heap of that many rows per task, no sort); only a column that is too empty
+there looks further, for its own first values.
 """
 
 from __future__ import annotations
@@ -33,12 +33,13 @@ from ledgerloom.functions.constants import (
     LABEL_NUMERIC,
     LABEL_STRING,
     LABEL_UNKNOWN,
+    OLD_DATE,
     PREVIEW_ROWS,
     SAMPLE_VALUES,
 )
 from ledgerloom.functions.display import json_safe
-from ledgerloom.functions.timeutil import is_midnight
-from ledgerloom.operators.cleaning import q
+from ledgerloom.functions.timeutil import as_of_column, is_midnight
+from ledgerloom.operators.cleaning import first_rows, q
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -60,9 +61,9 @@ def type_family(dt: T.DataType) -> str:
 
 
 def _as_text(c: Column, dt: T.DataType) -> Column:
-    """A value as text for counting; NaN counts as missing, like pandas."""
+    """A value as text for counting; NaN counts as missing, like pandas, and -0.0 is 0.0."""
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        c = F.when(~F.isnan(c), c)
+        c = F.when(~F.isnan(c), c + F.lit(0.0).cast(dt))
     return c.cast("string")
 
 
@@ -72,93 +73,112 @@ def columns_frame(spark: SparkSession, df: DataFrame, columns: list[str]) -> Dat
     return spark.createDataFrame(rows, "column_name string, ordinal int, family string")
 
 
-def stacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(ordinal, value) for every cell of ``columns``; names stay in metadata."""
+def stacked(df: DataFrame, columns: list[str], order_col: str | None = None) -> DataFrame:
+    """(ordinal, value, at) for every cell of ``columns``; names stay in metadata.
+
+    ``at`` is the row order of date cells, whose first value sets the label;
+    other cells leave it null, so it costs nothing in the shuffle.
+    """
+    dated = {c for c in columns if type_family(df.schema[c].dataType) in ("date", "timestamp")}
+    none = F.lit(None).cast(df.schema[order_col].dataType if order_col else "bigint")
     cells = F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), _as_text(q(c), df.schema[c].dataType).alias("value"))
+        F.struct(F.lit(i).alias("ordinal"), _as_text(q(c), df.schema[c].dataType).alias("value"),
+                 (q(order_col) if order_col and c in dated else none).alias("at"))
         for i, c in enumerate(columns)
     ])
     return df.select(F.inline(cells))
 
 
-def first_values(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
-    """(ordinal, first_value): each column's first non-null value in row order.
-
-    One global aggregate of ``min_by`` per column: partial per task, one row
-    out. Kept apart from the stacked per-value count, where carrying the
-    order key on every cell costs more than this second pass.
-    """
-    o = q(order_col)
-    wide = df.agg(*[
-        F.min_by(_as_text(q(c), df.schema[c].dataType), F.when(q(c).isNotNull(), o)).alias(f"f{i}")
-        for i, c in enumerate(columns)])
-    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"f{i}").alias("first_value"))
-                     for i in range(len(columns))])
-    return wide.select(F.inline(rows))
-
-
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
-                    order_col: str | None = None) -> DataFrame:
-    """One row per column: rows, nulls, null %, exact distinct count, and the
-    counts the type labels need.
+                    order_col: str | None = None, as_of=None) -> DataFrame:
+    """One row per column: rows, nulls, null %, exact distinct count, the
+    counts the type labels need and those the validation rules need.
 
     Columns: ``column_name, ordinal, family, n_rows, null_count,
-    null_percentage, unique_count, n_nonnull, n_label_words, n_fraction``,
-    and ``first_value`` (first non-null value in ``order_col`` order) when
-    ``order_col`` is given. ``null_percentage`` is null for an empty frame.
+    null_percentage, unique_count, n_nonnull, n_label_words, n_fraction,
+    n_negative, n_zero`` (number columns), ``min_date, max_date, n_future,
+    n_old`` (date columns; future is after ``as_of``) and ``first_value`` (first
+    non-null value of a date column in ``order_col`` order, null without one).
+    ``null_percentage`` is null for an empty frame.
     """
     spark = df.sparkSession
     columns = list(columns if columns is not None else
                    [c for c in df.columns if c != order_col])
     meta = columns_frame(spark, df, columns)
-    fractional = [i for i, c in enumerate(columns)
-                  if type_family(df.schema[c].dataType) == "fractional"]
-    per_value = (stacked(df, columns)
+    families = [type_family(df.schema[c].dataType) for c in columns]
+
+    def of(*names):
+        return F.col("ordinal").isin([i for i, f in enumerate(families) if f in names])
+
+    per_value = (stacked(df, columns, order_col)
                  .groupBy("ordinal", "value")
-                 .agg(F.count(F.lit(1)).alias("n")))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")))
     v, n = F.col("value"), F.col("n")
-    as_double = v.try_cast("double")
-    is_fraction = F.col("ordinal").isin(fractional) & (as_double != F.floor(as_double))
+    x = F.when(of("integral", "fractional"), v.try_cast("double"))
+    d = F.when(of("date", "timestamp"), v.try_cast("timestamp_ntz"))
+    is_fraction = of("fractional") & (x != F.floor(x))
     per_column = per_value.groupBy("ordinal").agg(
         F.sum(n).alias("n_rows"),
         F.sum(F.when(v.isNull(), n)).alias("null_count"),
         F.count(v).alias("unique_count"),
         F.sum(F.when(v.isin(BOOLEAN_LABEL_STRINGS), n)).alias("n_label_words"),
         F.sum(F.when(is_fraction, n)).alias("n_fraction"),
+        F.sum(F.when(x < 0, n)).alias("n_negative"),
+        F.sum(F.when(x == 0, n)).alias("n_zero"),
+        F.sum(F.when(d > as_of_column(as_of), n)).alias("n_future"),
+        F.sum(F.when(d < F.lit(OLD_DATE).cast("timestamp_ntz"), n)).alias("n_old"),
+        F.min(d).alias("min_date"), F.max(d).alias("max_date"),
+        F.min_by(v, F.when(v.isNotNull(), F.col("at"))).alias("first_value"),
     )
-    counts = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction"]
-    extra = []
-    if order_col is not None:
-        meta = meta.join(first_values(df, columns, order_col), "ordinal", "left")
-        extra = ["first_value"]
+    counts = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction", "n_negative",
+              "n_zero", "n_future", "n_old"]
     # Left join from the metadata so an empty frame still has a row per column.
     prof = meta.join(per_column, "ordinal", "left").select(
         "column_name", "ordinal", "family",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts], *extra)
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+        "min_date", "max_date", "first_value")
     return prof.select(
         "*", (F.col("n_rows") - F.col("null_count")).alias("n_nonnull"),
         ((F.col("null_count") / F.nullif(F.col("n_rows"), F.lit(0))) * F.lit(100.0))
         .alias("null_percentage"))
 
 
-def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                  k: int = SAMPLE_VALUES) -> DataFrame:
-    """First ``k`` non-null values of each column in row order, as text.
-
-    Long form: ``column_name, ordinal, sample_rank, sample_value``. Names are
-    attached after the top-k, so the sorted cells carry only an ordinal.
-    """
-    columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
+def _first_of_each(rows: DataFrame, order_col: str, columns: list[str], k: int) -> DataFrame:
     cells = F.array(*[
         F.struct(F.lit(i).alias("ordinal"),
-                 _as_text(q(c), df.schema[c].dataType).alias("sample_value"))
+                 _as_text(q(c), rows.schema[c].dataType).alias("sample_value"))
         for i, c in enumerate(columns)
     ])
-    long = df.select(q(order_col).alias("_order"), F.inline(cells)).filter(
+    long = rows.select(q(order_col).alias("_order"), F.inline(cells)).filter(
         F.col("sample_value").isNotNull())
     w = Window.partitionBy("ordinal").orderBy(F.col("_order").asc())
-    ranked = long.withColumn("sample_rank", F.row_number().over(w))
-    top = ranked.filter(F.col("sample_rank") <= k).select("ordinal", "sample_rank", "sample_value")
+    return long.withColumn("sample_rank", F.row_number().over(w)).filter(
+        F.col("sample_rank") <= k).select("ordinal", "sample_rank", "sample_value")
+
+
+def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
+                  k: int = SAMPLE_VALUES, head_rows: int = 200) -> DataFrame:
+    """First ``k`` non-null values of each column in row order, as text.
+
+    Long form: ``column_name, ordinal, sample_rank, sample_value``. Most columns
+    find theirs in the first ``head_rows`` rows, which a top-k per task picks;
+    a column with fewer there and a full head takes the first ``k`` rows that
+    hold a value for it.
+    """
+    columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
+    head = first_rows(df.select(q(order_col), *[q(c) for c in columns if c != order_col]),
+                      order_col, head_rows)
+    have = head.agg(F.count("*"), *[
+        F.count(_as_text(q(c), df.schema[c].dataType)) for c in columns]).first()
+    sparse = [i for i in range(len(columns)) if have[0] == head_rows and have[i + 1] < k]
+    top = _first_of_each(head, order_col, columns, k).filter(~F.col("ordinal").isin(sparse))
+    for i in sparse:
+        value = _as_text(q(columns[i]), df.schema[columns[i]].dataType)
+        first = df.select(q(order_col).alias("_order"), value.alias("sample_value")).filter(
+            F.col("sample_value").isNotNull()).orderBy("_order").limit(k)
+        rank = F.row_number().over(Window.orderBy("_order"))      # over k rows
+        top = top.unionByName(first.select(F.lit(i).alias("ordinal"), rank.alias("sample_rank"),
+                                           "sample_value"))
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("ordinal") + 1)
     return top.select(names.alias("column_name"), "ordinal", "sample_rank", "sample_value")
 
@@ -186,15 +206,6 @@ def suggest_mapping_expr(name: Column) -> Column:
     return out
 
 
-def suggest_mapping(name: str) -> str | None:
-    """The same rule for a single header (metadata, no data)."""
-    n = name.lower().replace(" ", "_").replace("-", "_")
-    for field, keywords in COLUMN_KEYWORDS:
-        if any(kw in n for kw in keywords):
-            return field
-    return None
-
-
 def label_expr() -> Column:
     """Type label from a profile row joined with its first sample.
 
@@ -219,28 +230,26 @@ def label_expr() -> Column:
 
 
 def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                  with_samples: bool = True) -> DataFrame:
+                  with_samples: bool = True, as_of=None,
+                  coerced: dict[str, int] | None = None) -> DataFrame:
     """One row per column: ``column_name, ordinal, detected_type,
-    suggested_mapping, null_count, null_percentage, unique_count``,
-    ``sample_values`` (when ``with_samples``) and the profile counts used by
-    validation.
+    suggested_mapping, null_count, null_percentage, unique_count,
+    coerced_count``, ``sample_values`` (when ``with_samples``) and the profile
+    counts used by validation.
 
-    Labels need only each column's first value, which the profile pass
-    provides; the separate sampling job runs only when samples are wanted.
+    ``coerced`` says per column how many present values the chosen type could
+    not hold (``cleaning.TypePlan.coerced``); they are nulls in ``df``.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
+    out = profile_columns(df, columns, order_col, as_of)
     if with_samples:
-        # The first sample is the first value; no separate first-value pass.
         arrays = sample_arrays(sample_values(df, order_col, columns))
-        joined = profile_columns(df, columns).join(arrays, "ordinal", "left")
-        samples = F.coalesce(F.col("sample_values"), F.array().cast("array<string>"))
-        out = joined.select(*[c for c in joined.columns if c != "sample_values"],
-                            samples.alias("sample_values"),
-                            F.get(samples, 0).alias("first_value"))
-    else:
-        out = profile_columns(df, columns, order_col)
-    keep = [c for c in out.columns if c != "first_value"]
-    return out.select(*keep, label_expr().alias("detected_type"),
+        out = out.join(arrays, "ordinal", "left").withColumn(
+            "sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
+    lost = F.array(*[F.lit(int((coerced or {}).get(c, 0))).cast("bigint") for c in columns])
+    return out.select(*[c for c in out.columns if c != "first_value"],
+                      F.get(lost, F.col("ordinal")).alias("coerced_count"),
+                      label_expr().alias("detected_type"),
                       suggest_mapping_expr(F.col("column_name")).alias("suggested_mapping"))
 
 
@@ -268,7 +277,7 @@ def schema_document(schema: DataFrame) -> DataFrame:
     """The whole detected schema as one nested row (for the registry)."""
     info = F.struct(
         F.col("column_name").alias("name"), "detected_type", "suggested_mapping", "null_count",
-        "null_percentage", "unique_count", "sample_values")
+        "null_percentage", "unique_count", "sample_values", "coerced_count")
     cols = F.array_sort(F.collect_list(F.struct("ordinal", info.alias("info"))))
     doc = schema.agg(cols.alias("cols"), *key_aggregates())
     return doc.select(F.struct(
@@ -280,6 +289,7 @@ def schema_document(schema: DataFrame) -> DataFrame:
 def preview(df: DataFrame, order_col: str, n: int = PREVIEW_ROWS) -> DataFrame:
     """First ``n`` rows in row order, JSON-safe (no NaN/Inf, ISO timestamps).
 
-    Sort + limit plans as a per-task top-n and a small merge.
+    Give the frame before conversions where there are any (``cleaning.apply_types``
+    of ``cleaning.first_rows``): conversions below the sort run on every row.
     """
-    return json_safe(df.orderBy(q(order_col).asc()).limit(n))
+    return json_safe(first_rows(df, order_col, n))

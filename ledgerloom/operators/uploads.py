@@ -3,9 +3,9 @@
 The registry is an append-only event log (see ``sources.registry``). The
 current state of an upload folds its events: the status of the newest
 event, and for every other attribute the newest non-null value. That fold is
-one ``groupBy(upload_id)`` with ``max_by`` aggregates, so it runs as a
-partial aggregate per task plus a final one -- no sort, and an upload with
-many events never sits whole in one task.
+one ``groupBy(upload_id)`` with ``max_by`` aggregates: a partial aggregate per
+task (over rows sorted by upload, as the values are text) plus a final one, so
+an upload with many events never sits whole in one task.
 """
 
 from __future__ import annotations
@@ -60,15 +60,31 @@ def with_row_counts(state: DataFrame, sales: DataFrame) -> DataFrame:
                 .withColumn("row_count", F.coalesce(F.col("row_count"), F.lit(0))))
 
 
-def list_uploads(state: DataFrame, skip: int = 0, limit: int = UPLOADS_PAGE_DEFAULT) -> DataFrame:
-    """Newest uploads first, without the detected schema."""
+def list_uploads(state: DataFrame, skip: int = 0, limit: int = UPLOADS_PAGE_DEFAULT,
+                 sales: DataFrame | None = None) -> DataFrame:
+    """Newest uploads first, without the detected schema.
+
+    The page is taken first; with ``sales``, ``row_count`` is then counted for
+    its uploads only.
+    """
     check_page(skip, limit, max_limit=1 << 30)
-    cols = [c for c in ["upload_id", "filename", "status", "row_count", "column_count",
-                        "uploaded_at", "processed_at", "validation_report"] if c in state.columns]
     ordered = state.orderBy(F.col("uploaded_at").desc(), F.col("upload_id").asc())
     if skip:
         ordered = ordered.offset(skip)
-    return ordered.limit(limit).select(*cols)
+    page = ordered.limit(limit)
+    if sales is not None:
+        on_page = F.broadcast(page.select("upload_id"))          # at most ``limit`` rows
+        page = with_row_counts(page, sales.join(on_page, "upload_id", "left_semi"))
+    cols = [c for c in ["upload_id", "filename", "status", "row_count", "column_count",
+                        "uploaded_at", "processed_at", "validation_report"] if c in page.columns]
+    return page.select(*cols)
+
+
+def upload_pages(state: DataFrame, limit: int = UPLOADS_PAGE_DEFAULT) -> DataFrame:
+    """One row: how many uploads there are and how many pages of ``limit``."""
+    check_page(0, limit, max_limit=1 << 30)
+    return state.agg(F.count(F.lit(1)).alias("total")).withColumn(
+        "pages", F.ceil(F.col("total") / F.lit(limit)).cast("bigint"))
 
 
 def upload_status(state: DataFrame, upload_id: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Data-quality rules with graded severities, and the validation report.
 
-Every rule is evaluated from aggregates: the per-column profile (one row per
-column) and two rule-count aggregates over the typed frame (one global
-aggregate each, partial per task). No rule scans rows on its own, and no
-row reaches the driver; the driver only learns which column is the date
-column and which are numeric, which is per-column metadata.
+Every rule of a validation is evaluated from the column profile (one row per
+column), which counts what they need in its own pass: no rule reads the data
+again, and no data row reaches the driver. ``date_rule_counts`` and
+``numeric_rule_counts`` count the same from a frame that has no profile, with
+one aggregate each.
 
 Issue rows: ``rule_order, seq, severity, type, column, message, suggestion``.
 ``rule_order`` keeps the report order: structure, missing values, dates,
@@ -180,36 +180,37 @@ def numeric_issues(counts: DataFrame) -> DataFrame:
 # Whole validation
 # ---------------------------------------------------------------------------
 
-def rule_targets(schema: DataFrame) -> tuple[str | None, list[tuple[int, str]]]:
-    """The date column and the numeric columns the rules apply to.
-
-    One aggregate over the profile; the driver receives one row holding the
-    suggested date column and the numeric columns (bounded by the column
-    count).
-    """
+def profile_date_counts(schema: DataFrame, as_of=None) -> DataFrame:
+    """The date rules' counts for the suggested date column, from its profile row."""
     from ledgerloom.operators.profiling import key_aggregates
 
-    is_num = F.col("detected_type").isin(LABEL_NUMERIC, LABEL_INTEGER)
-    numeric = F.array_sort(F.collect_list(
-        F.when(is_num, F.struct(F.col("ordinal"), F.col("column_name")))))
-    row = schema.agg(*key_aggregates(), numeric.alias("numeric")).collect()[0]
-    return row.suggested_date_column, [(r.ordinal, r.column_name) for r in row.numeric]
+    now, old = as_of_column(as_of), F.lit(OLD_DATE).cast("timestamp_ntz")
+    target = schema.agg(*key_aggregates()).select(F.col("suggested_date_column").alias("_target"))
+    return schema.join(F.broadcast(target), F.col("column_name") == F.col("_target")).select(
+        "column_name", F.col("n_nonnull").alias("n_valid"), "min_date", "max_date",
+        whole_days_between(F.col("min_date"), F.col("max_date")).alias("span_days"),
+        "n_future", "n_old",
+        (F.col("max_date") > now).alias("has_future"), (F.col("min_date") < old).alias("has_old"))
+
 
+def profile_numeric_counts(schema: DataFrame) -> DataFrame:
+    """The number rules' counts for every number column, from the profile."""
+    return schema.filter(F.col("detected_type").isin(LABEL_NUMERIC, LABEL_INTEGER)).select(
+        "column_name", "ordinal", "n_rows", "n_negative", "n_zero")
+
+
+def validation_issues(schema: DataFrame, as_of=None) -> DataFrame:
+    """All issues in report order: structure, missing values, dates, numbers.
 
-def validation_issues(df: DataFrame, schema: DataFrame, as_of=None) -> DataFrame:
-    """All issues in report order: structure, missing values, dates, numbers."""
+    ``schema`` comes from ``profiling.detect_schema`` with the same ``as_of``.
+    """
     from ledgerloom.operators.profiling import suggested_keys
     from ledgerloom.session import checkpointed
 
-    # The profile is read by several steps below; compute it once.
-    schema = checkpointed(schema)
-    date_col, numeric = rule_targets(schema)
-    parts = [structure_issues(suggested_keys(schema)), missing_value_issues(schema)]
-    if date_col is not None:
-        parts.append(date_issues(date_rule_counts(df, date_col, as_of)))
-    if numeric:
-        counts = numeric_rule_counts(df, [c for _, c in numeric], [o for o, _ in numeric])
-        parts.append(numeric_issues(counts))
+    schema = checkpointed(schema)      # one row per column, read by every rule
+    parts = [structure_issues(suggested_keys(schema)), missing_value_issues(schema),
+             date_issues(profile_date_counts(schema, as_of)),
+             numeric_issues(profile_numeric_counts(schema))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -235,10 +236,13 @@ def validation_report(issues: DataFrame) -> DataFrame:
         F.transform("ordered", lambda s: s["issue"]).alias("issues"), summary.alias("summary"))
 
 
+def badge_expr() -> Column:
+    """Worst severity present in a report, else ``ok``."""
+    return (F.when(F.col("errors") > 0, F.lit(ERROR))
+             .when(F.col("warnings") > 0, F.lit(WARNING))
+             .when(F.col("infos") > 0, F.lit(INFO))
+             .otherwise(F.lit("ok")))
+
+
 def validation_badge(report: DataFrame) -> DataFrame:
-    """Worst severity present, else ``ok``."""
-    badge = (F.when(F.col("errors") > 0, F.lit(ERROR))
-              .when(F.col("warnings") > 0, F.lit(WARNING))
-              .when(F.col("infos") > 0, F.lit(INFO))
-              .otherwise(F.lit("ok")))
-    return report.select(badge.alias("badge"), "is_valid", "errors", "warnings", "infos")
+    return report.select(badge_expr().alias("badge"), "is_valid", "errors", "warnings", "infos")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.parsing import parse_numeric
+from ledgerloom.functions.parsing import parse_datetime, parse_numeric
 from ledgerloom.functions.text import clean_name_expr
 from ledgerloom.functions.timeutil import normalize_utc
 from ledgerloom.operators import cleaning as C
@@ -38,18 +38,9 @@ def raw(spark, sf):
     return C.replace_na_tokens(X.raw_sales(spark, sf), RAW_COLS)
 
 
-def typed(spark, sf, materialize=False):
-    """Typed raw_sales.
-
-    Inference reads the text twice (measures, then conversion), so the text
-    is checkpointed first, as an uploaded file would sit on disk;
-    ``materialize`` also checkpoints the typed result for queries that read
-    it twice.
-    """
-    from ledgerloom.session import checkpointed
-
-    t = C.infer_types(checkpointed(raw(spark, sf)), RAW_COLS)
-    return checkpointed(t) if materialize else t
+def typed(spark, sf):
+    """Typed raw_sales. The source is columnar, so both passes of inference scan it."""
+    return C.infer_types(raw(spark, sf), RAW_COLS)
 
 
 # --- oracle building blocks ------------------------------------------------
@@ -112,7 +103,7 @@ def _measure_sql(i: int, c: str) -> str:
     x = Q.num(c)
     return (f"select '{c}' as column_name, {i} as ordinal, count(*) as n_rows, "
             f"count({c}) as n_nonnull, count(*) filter (where coalesce({Q.boolean_text(c)}, false)) as n_boolean, "
-            f"count({x}) as n_numeric, count(*) filter (where coalesce({Q.whole(x)}, false)) as n_whole, "
+            f"count({x}) as n_numeric, count({Q.integer(c)}) as n_whole, "
             f"count(case when {x} is null then {Q.dt(c)} end) as n_datetime, "
             f"cast(count({x}) as double) / nullif(count(*), 0) as numeric_ratio, "
             f"cast(count(case when {x} is null then {Q.dt(c)} end) as double) / nullif(count(*), 0) "
@@ -132,18 +123,19 @@ def q_infer_types(spark, sf):
 
 @query("date_mode", _with_raw("select 'order_date' as column_name, mode_value from mode", "mode"))
 def q_date_mode(spark, sf):
-    return C.column_modes(typed(spark, sf), ["order_date"])
+    return C.column_modes(C.infer_types(raw(spark, sf).select("order_date"), ["order_date"]),
+                          ["order_date"])
 
 
 @query("fill_missing", _with_raw("select * from filled", "filled"))
 def q_fill_missing(spark, sf):
-    return C.fill_missing(typed(spark, sf, materialize=True), as_of=AS_OF, skip=["id"])
+    return C.fill_missing(typed(spark, sf), as_of=AS_OF, skip=["id"])
 
 
 @query("clean_dataframe", _with_raw("select * from filled", "filled"))
 def q_clean_dataframe(spark, sf):
     messy = X.raw_sales(spark, sf).withColumnsRenamed(MESSY_HEADERS)
-    return C.clean_dataframe(C.replace_na_tokens(messy), as_of=AS_OF, keep=["id"], materialize=True)
+    return C.clean_dataframe(C.replace_na_tokens(messy), as_of=AS_OF, keep=["id"])
 
 
 _MAPPED = {c: X.RAW_MAPPING.get(c, c) for c in RAW_COLS}
@@ -157,7 +149,7 @@ def q_apply_mapping(spark, sf):
 
 
 def _cleaned(spark, sf):
-    return C.clean_dataframe(raw(spark, sf), as_of=AS_OF, keep=["id"], materialize=True)
+    return C.clean_dataframe(raw(spark, sf), as_of=AS_OF, keep=["id"])
 
 
 @query("conform_defaults", _with_raw(
@@ -170,7 +162,7 @@ def q_conform_defaults(spark, sf):
 @query("conform_sales", _with_raw(
     f"select id, '{UPLOAD_ID}' as upload_id, order_date as date, product_code as sku_id, "
     "cast(qty as double) as sales_quantity, cast(0.0 as double) as sales_revenue, "
-    "coalesce(cast(stock_level as integer), 0) as stock_level, category, "
+    "coalesce(cast(stock_level as double), 0.0) as stock_level, category, "
     "cast(unit_price as double) as unit_price from filled", "filled"))
 def q_conform_sales(spark, sf):
     conformed = C.conform_defaults(_cleaned(spark, sf), X.RAW_MAPPING, as_of=AS_OF)
@@ -182,3 +174,98 @@ def q_conform_sales(spark, sf):
 def q_normalize_utc(spark, sf):
     ev = X.table(spark, sf, "events").select("event_id", "ts")
     return ev.withColumn("ts_utc", normalize_utc(F.col("ts").cast("string")))
+
+
+_UNREADABLE = {"order_date": "order_date = 'soon'", "unit_price": "unit_price = 'oops'"}
+_COERCED_SQL = "\nunion all\n".join(
+    f"select '{c}' as column_name, {i} as ordinal, '{RAW_TYPES[c]}' as spark_type, "
+    f"count(*) filter (where {_UNREADABLE.get(c, 'false')}) as coerced_count from raw_sales"
+    for i, c in enumerate(RAW_COLS))
+
+
+@query("coerced_counts", X.with_views(_COERCED_SQL, "raw_sales"))
+def q_coerced_counts(spark, sf):
+    choices = C.choose_types(C.parse_measures(raw(spark, sf), RAW_COLS))
+    return choices.select("column_name", "ordinal", "spark_type", "coerced_count")
+
+
+# Stock above 32 bits, some with a fraction or no number at all.
+@query("conform_big_stock", "select cast(o_orderkey as varchar) as id, 'U-big' as upload_id, "
+       "cast(o_orderdate as timestamp) as date, 'SKU' || o_custkey as sku_id, 1.0::double as sales_quantity, "
+       "o_totalprice as sales_revenue, case when o_orderkey % 9 = 0 then 0.0::double "
+       "else (3000000000 + o_orderkey)::double end as stock_level, o_orderstatus as category, "
+       "0.5::double as unit_price from orders")
+def q_conform_big_stock(spark, sf):
+    key = F.col("o_orderkey")
+    stock = (F.when(key % 9 == 0, F.lit("none left"))
+              .otherwise(F.concat((key + 3_000_000_000).cast("string"),
+                                  F.when(key % 4 == 0, F.lit(".75")).otherwise(F.lit("")))))
+    rows = X.table(spark, sf, "orders").select(
+        key.cast("string").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("date"),
+        F.concat(F.lit("SKU"), F.col("o_custkey").cast("string")).alias("sku_id"),
+        F.lit(1).alias("sales_quantity"), F.col("o_totalprice").alias("sales_revenue"),
+        parse_numeric(stock).alias("stock_level"), F.col("o_orderstatus").alias("category"),
+        F.lit(0.5).alias("unit_price"))
+    return C.conform_sales(rows, "U-big", id_col="id")
+
+
+# 18-digit codes: a double would merge neighbours.
+@query("infer_wide_integers", "select 'code' as column_name, 'bigint' as spark_type, "
+       "count(*) as n_rows, count(distinct 100000000000000000 + o_orderkey) as n_distinct, "
+       "min(100000000000000000 + o_orderkey) as lowest, max(100000000000000000 + o_orderkey) as highest "
+       "from orders")
+def q_infer_wide_integers(spark, sf):
+    orders = X.table(spark, sf, "orders").select(
+        (F.col("o_orderkey").cast("bigint") + 100_000_000_000_000_000).cast("string").alias("code"))
+    codes = C.infer_types(orders, ["code"])
+    return codes.agg(F.count("*").alias("n_rows"), F.count_distinct("code").alias("n_distinct"),
+                     F.min("code").alias("lowest"), F.max("code").alias("highest")).select(
+        F.lit("code").alias("column_name"), F.lit(codes.dtypes[0][1]).alias("spark_type"),
+        "n_rows", "n_distinct", "lowest", "highest")
+
+
+_DAY = "date_trunc('day', l_shipdate)"
+_SECONDS = "((l_orderkey * 37 + l_partkey * 11 + l_linenumber) % 86400)"
+
+
+@query("parse_datetime_text", f"""select l_orderkey, l_linenumber, l_partkey, case l_orderkey % 12
+ when 0 then {_DAY} + to_seconds({_SECONDS} // 60 * 60) when 1 then {_DAY} + to_seconds({_SECONDS})
+ when 5 then {_DAY} + to_seconds({_SECONDS} - 7200) when 6 then {_DAY} + to_seconds({_SECONDS})
+ when 8 then {_DAY} + to_seconds({_SECONDS}) + interval 250 milliseconds
+ when 10 then {_DAY} + to_seconds({_SECONDS} // 60 * 60)
+ when 11 then null else {_DAY} end as parsed from lineitem""")
+def q_parse_datetime_text(spark, sf):
+    rows = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                                 "l_shipdate")
+    d = F.col("l_shipdate")
+    y, m, day = F.year(d), F.month(d), F.dayofmonth(d)
+    sec = ((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber")) % 86400)
+    hour, minute, second = (F.floor(sec / 3600).cast("int"),
+                            (F.floor(sec / 60) % 60).cast("int"), (sec % 60).cast("int"))
+    half = F.when(hour < 12, "AM").otherwise("PM")
+    twelve = (hour + 11) % 12 + 1
+    name = F.element_at(F.array(*[F.lit(x) for x in (
+        "January", "February", "March", "April", "May", "June", "July", "August", "September",
+        "October", "November", "December")]), m)
+    short = F.substring(name, 1, 3)
+    us = F.format_string("%d/%d/%d", m, day, y)
+    texts = [
+        F.concat(us, F.format_string(" %d:%02d", hour, minute)),
+        F.concat(us, F.format_string(" %d:%02d:%02d %s", twelve, minute, second, half)),
+        F.format_string("%s %d, %d", name, day, y),
+        F.format_string("%d-%s-%d", day, short, y),
+        F.format_string("%d.%02d.%02d", y, m, day),
+        F.format_string("%d-%02d-%02dT%02d:%02d:%02d+02:00", y, m, day, hour, minute, second),
+        F.format_string("%d %s %d %02d:%02d:%02d", day, name, y, hour, minute, second),
+        F.format_string("%d/%d/%02d", m, day, y % 100),
+        F.format_string("%d-%02d-%02d %02d:%02d:%02d.25", y, m, day, hour, minute, second),
+        F.when(day > 12, F.format_string("%d/%d/%d", day, m, y)).otherwise(us),
+        F.format_string("%s %d, %d %d:%02d %s", short, day, y, twelve, minute, F.lower(half)),
+        F.lit("not a date"),
+    ]
+    k = F.col("l_orderkey") % 12
+    text = F.lit(None).cast("string")
+    for n, t in enumerate(texts):
+        text = F.when(k == n, t).otherwise(text)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey",
+                       parse_datetime(text).alias("parsed"))

@@ -8,7 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.display import dash_if_null, first_two_samples, grouped_count, money
+from ledgerloom.functions.display import (
+    dash_if_null,
+    first_two_samples,
+    grouped_count,
+    json_safe,
+    money,
+)
 from ledgerloom.operators import cleaning as C
 from ledgerloom.operators import profiling as P
 from ledgerloom.operators import sales as S
@@ -18,7 +24,6 @@ from ledgerloom.plans.queries_cleaning import (
     AS_OF,
     RAW_COLS,
     RAW_TYPES,
-    _cleaned,
     _with_raw,
     raw,
     typed,
@@ -31,9 +36,7 @@ FAMILY = {"timestamp_ntz": "timestamp", "bigint": "integral", "double": "fractio
 
 
 def _schema(spark, sf, with_samples=False):
-    # With samples the typed frame is read twice (profile and samples).
-    t = typed(spark, sf, materialize=with_samples)
-    return P.detect_schema(t, "id", RAW_COLS, with_samples=with_samples)
+    return P.detect_schema(typed(spark, sf), "id", RAW_COLS, with_samples=with_samples, as_of=AS_OF)
 
 
 # --- oracle building blocks ------------------------------------------------
@@ -67,12 +70,20 @@ def _label_sql() -> str:
         "else 'string' end")
 
 
-def _suggest_sql(name: str) -> str:
-    from ledgerloom.functions.constants import COLUMN_KEYWORDS
+_FIELD_WORDS = [
+    ("date", ["date", "day", "time", "timestamp", "datetime", "dt", "period"]),
+    ("sku", ["sku", "product_id", "item_id", "product_code", "item_code", "id"]),
+    ("quantity", ["quantity", "qty", "amount", "count", "units", "volume"]),
+    ("revenue", ["revenue", "sales", "price", "total", "amount", "value", "turnover"]),
+    ("stock", ["stock", "inventory", "on_hand", "available", "balance"]),
+    ("category", ["category", "type", "group", "department", "class", "segment"]),
+]
+
 
+def _suggest_sql(name: str) -> str:
     n = f"replace(replace(lower({name}), ' ', '_'), '-', '_')"
     arms = " ".join(f"when contains({n}, '{kw}') then '{field}'"
-                    for field, kws in COLUMN_KEYWORDS for kw in kws)
+                    for field, kws in _FIELD_WORDS for kw in kws)
     return f"(case {arms} end)"
 
 
@@ -117,9 +128,22 @@ def q_detect_types(spark, sf):
     return _schema(spark, sf).select("column_name", "ordinal", "detected_type")
 
 
-@query("suggest_mapping", _profile_query("select column_name, ordinal, suggested_mapping from labels"))
+# Column headers as files spell them, one per part.
+_HEADERS = ["Order Date", "SKU", "Qty Sold", "Unit-Price", "On Hand", "Product Type", "Notes",
+            "Time Stamp", "item code", "Sales Amount", "Inventory", "Segment", "Color"]
+_HEADER_LIST = ", ".join(f"'{h}'" for h in _HEADERS)
+
+
+@query("suggest_mapping", f"select p_partkey, header, {_suggest_sql('header')} as suggested_mapping "
+       f"from (select p_partkey, [{_HEADER_LIST}][p_partkey % {len(_HEADERS)} + 1] || ' ' || p_type as header "
+       "from part)")
 def q_suggest_mapping(spark, sf):
-    return _schema(spark, sf).select("column_name", "ordinal", "suggested_mapping")
+    part = X.table(spark, sf, "part").select("p_partkey", "p_type")
+    names = F.array(*[F.lit(h) for h in _HEADERS])
+    header = F.concat(F.get(names, (F.col("p_partkey") % len(_HEADERS)).cast("int")), F.lit(" "),
+                      F.col("p_type"))
+    return part.select("p_partkey", header.alias("header")).withColumn(
+        "suggested_mapping", P.suggest_mapping_expr(F.col("header")))
 
 
 @query("suggested_keys", _profile_query(
@@ -187,7 +211,10 @@ def _json_safe_sql(c: str) -> str:
     "select id, " + ", ".join(_json_safe_sql(c) for c in RAW_COLS) + " from typed order by id limit 10",
     "typed"))
 def q_json_safe_preview(spark, sf):
-    return P.preview(typed(spark, sf), "id")
+    # The types come from all rows; only the previewed ones are converted.
+    r = raw(spark, sf)
+    plan = C.plan_types(r, RAW_COLS)
+    return json_safe(C.apply_types(C.first_rows(r, "id", 10), plan))
 
 
 _MAPPED = {c: X.RAW_MAPPING.get(c, c) for c in RAW_COLS}
@@ -199,5 +226,5 @@ _MAPPED = {c: X.RAW_MAPPING.get(c, c) for c in RAW_COLS}
         for c, n in _MAPPED.items())
     + ", cast(0.0 as double) as sales_revenue from filled order by id limit 20", "filled"))
 def q_preview_cleaned(spark, sf):
-    conformed = C.conform_defaults(_cleaned(spark, sf), X.RAW_MAPPING, as_of=AS_OF)
-    return P.preview(conformed, "id", n=20)
+    cleaned = C.clean_dataframe(raw(spark, sf), as_of=AS_OF, keep=["id"], first=("id", 20))
+    return json_safe(C.conform_defaults(cleaned, X.RAW_MAPPING, as_of=AS_OF))

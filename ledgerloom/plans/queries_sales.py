@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import sales as S
 from ledgerloom.operators import uploads as U
 from ledgerloom.plans.catalog import query
@@ -10,7 +12,6 @@ from ledgerloom.sources import fixtures as X
 # Literals shared by the Spark queries and the oracle SQL.
 UPLOAD = "U3"
 SKU = "SKU42"
-SALE_ID = "00008434f8ba3796ece03cbb0cf657af"
 SKIP = 10
 LIMIT = 1000
 EXTRA_UPLOAD = "U99"
@@ -23,10 +24,10 @@ _ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S')"
 _SALE_COLS = ("id, upload_id, " + _ISO.format(c="date") + " as date, sku_id, sales_quantity, "
               "sales_revenue, stock_level, category, unit_price")
 _SUMMARY_SQL = """count(*) as total_records,
- coalesce(cast(sum(cast(sales_quantity as decimal(38,2))) as double), 0.0) as total_quantity,
- coalesce(cast(sum(cast(sales_revenue as decimal(38,2))) as double), 0.0) as total_revenue,
- coalesce(cast(sum(cast(sales_quantity as decimal(38,2))) as double) / count(sales_quantity), 0.0) as average_quantity,
- coalesce(cast(sum(cast(sales_revenue as decimal(38,2))) as double) / count(sales_revenue), 0.0) as average_revenue,
+ coalesce(cast(sum(cast(sales_quantity as decimal(38,4))) as double), 0.0) as total_quantity,
+ coalesce(cast(sum(cast(sales_revenue as decimal(38,4))) as double), 0.0) as total_revenue,
+ coalesce(cast(sum(cast(sales_quantity as decimal(38,4))) as double) / count(sales_quantity), 0.0) as average_quantity,
+ coalesce(cast(sum(cast(sales_revenue as decimal(38,4))) as double) / count(sales_revenue), 0.0) as average_revenue,
  count(distinct sku_id) as unique_skus, min(date) as start_date, max(date) as end_date"""
 
 
@@ -55,9 +56,32 @@ def q_list_sales_by_sku(spark, sf):
     return S.list_sales(X.sales(spark, sf), upload_id=UPLOAD, sku_id=SKU)
 
 
-@query("get_sale", X.with_views(f"select {_SALE_COLS} from sales where id = '{SALE_ID}'", "sales"))
+# The newest sale of an upload, so there is one at every size.
+@query("get_sale", X.with_views(
+    f"select {_SALE_COLS} from sales where upload_id = '{UPLOAD}' and id = (select arg_min(id, "
+    f"(-epoch_us(date), id)) from sales where upload_id = '{UPLOAD}')", "sales"))
 def q_get_sale(spark, sf):
-    return S.get_sale(X.sales(spark, sf), SALE_ID)
+    sales = X.sales(spark, sf).filter(S.sales_filter(UPLOAD))
+    newest = S.list_sales(sales, limit=1).first()
+    return S.get_sale(sales, newest["id"])
+
+
+@query("list_sales_after", X.with_views(
+    f"select {_SALE_COLS} from sales where upload_id = '{UPLOAD}' "
+    f"order by sales.date desc, id asc limit 100 offset 100", "sales"))
+def q_list_sales_after(spark, sf):
+    """The second page, reached by the last row of the first."""
+    sales = X.sales(spark, sf)
+    last = S.list_sales(sales, upload_id=UPLOAD).collect()      # a page: at most 100 rows
+    if len(last) < 100:
+        return S.list_sales(sales, upload_id=UPLOAD, skip=100)
+    return S.list_sales(sales, upload_id=UPLOAD, after=(last[-1]["date"], last[-1]["id"]))
+
+
+@query("page_counts", X.with_views(
+    "select upload_id, count(*) as total, (count(*) + 99) // 100 as pages from sales group by 1", "sales"))
+def q_page_counts(spark, sf):
+    return S.page_counts(X.sales(spark, sf))
 
 
 @query("sales_by_upload", X.with_views(
@@ -101,7 +125,13 @@ def q_upload_latest_state(spark, sf):
     "order by uploaded_at desc, s.upload_id asc limit 10", "sales", ctes=[("counts", _COUNTS_SQL)]))
 def q_list_uploads(spark, sf):
     sales = X.sales(spark, sf)
-    return U.list_uploads(U.with_row_counts(_state(spark, sf), sales))
+    return U.list_uploads(_state(spark, sf), sales=sales)
+
+
+@query("upload_pages", _state_sql("select count(*) as total, (count(*) + 9) // 10 as pages from state",
+                                  extra_upload=EXTRA_UPLOAD))
+def q_upload_pages(spark, sf):
+    return U.upload_pages(_state(spark, sf, EXTRA_UPLOAD))
 
 
 @query("upload_status", _state_sql(
@@ -139,3 +169,19 @@ def q_uploads_without_sales(spark, sf):
     "sales", extra_upload=EXTRA_UPLOAD, ctes=[("summary", _SUMMARY_BY_UPLOAD_SQL)]))
 def q_upload_detail(spark, sf):
     return U.upload_detail(_state(spark, sf, EXTRA_UPLOAD), X.sales(spark, sf))
+
+
+# Amounts with four decimals: price after discount.
+@query("sales_summary_fine", "select 'U' || (l_suppkey % 10) as upload_id, count(*) as total_records, "
+       "cast(sum(cast(round(l_extendedprice * (1 - l_discount), 4) as decimal(18,4))) as double) as total_revenue, "
+       "cast(sum(cast(round(l_extendedprice * (1 - l_discount), 4) as decimal(18,4))) as double) / count(*) "
+       "as average_revenue from lineitem group by 1")
+def q_sales_summary_fine(spark, sf):
+    fine = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
+    rows = X.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("U"), (F.col("l_suppkey") % 10).cast("string")).alias("upload_id"),
+        F.concat(F.lit("SKU"), F.col("l_partkey").cast("string")).alias("sku_id"),
+        F.col("l_quantity").alias("sales_quantity"), fine.alias("sales_revenue"),
+        F.col("l_shipdate").alias("date"))
+    return S.sales_summary(rows).select("upload_id", "total_records", "total_revenue",
+                                        "average_revenue")

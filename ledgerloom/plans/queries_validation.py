@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.constants import ISSUE_TEXT, OLD_DATE, SUMMARY_CLEAN, SUMMARY_ERRORS, SUMMARY_WARNINGS
+from ledgerloom.functions.display import json_safe
+from ledgerloom.functions.parsing import parse_datetime
 from ledgerloom.operators import profiling as P
 from ledgerloom.operators import validation as V
 from ledgerloom.plans.catalog import query
-from ledgerloom.plans.queries_cleaning import AS_OF, RAW_COLS, RAW_TYPES, typed
+from ledgerloom.plans.queries_cleaning import AS_OF, RAW_COLS, RAW_TYPES
 from ledgerloom.plans.queries_profile import _profile_query, _schema
 from ledgerloom.sources import fixtures as X
 
@@ -173,8 +175,7 @@ def q_numeric_issues(spark, sf):
 
 
 def _issues(spark, sf):
-    t = typed(spark, sf, materialize=True)
-    return V.validation_issues(t, P.detect_schema(t, "id", RAW_COLS, with_samples=False), AS_OF)
+    return V.validation_issues(_schema(spark, sf), AS_OF)
 
 
 @query("validation_issues", _profile_query("select * from issues", _ISSUES_CTES))
@@ -193,3 +194,108 @@ def q_validation_report(spark, sf):
     _ISSUES_CTES + [("report", _report_sql())]))
 def q_validation_badge(spark, sf):
     return V.validation_badge(V.validation_report(_issues(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Frames on which every rule fires, one row each per supplier
+# ---------------------------------------------------------------------------
+
+CASES_AS_OF = "2024-01-01"
+
+
+def _case_frames(spark, sf):
+    key = F.col("s_suppkey")
+    rows = X.table(spark, sf, "supplier").select("s_suppkey", "s_name")
+
+    def day(first, days):
+        return F.date_add(F.lit(first).cast("date"), (key * 37 % days).cast("int")).cast("timestamp_ntz")
+
+    base = rows.select(key.alias("id"), day("2020-01-01", 400).alias("order_date"),
+                       F.concat(F.lit("SKU"), key.cast("string")).alias("sku_id"),
+                       (key + 1).cast("bigint").alias("qty"), key.alias("k"))
+
+    def gaps(tenths):
+        return F.when(F.col("k") % 10 >= tenths, F.col("qty"))
+
+    frames = {
+        "clean": base,
+        "few gaps": base.withColumn("stock", gaps(1)),
+        "many gaps": base.withColumn("stock", gaps(3)),
+        "mostly gaps": base.withColumn("stock", gaps(6)),
+        "future dates": base.withColumn("order_date", F.col("order_date") + F.expr("interval 3650 days")),
+        "old dates": base.withColumn("order_date", F.col("order_date") - F.expr("interval 10950 days")),
+        "short range": base.withColumn("order_date", day_of(base, 9)),
+        "zeros": base.withColumn("qty", F.when(F.col("k") % 10 >= 6, F.col("qty")).otherwise(0)),
+        "negative": base.withColumn("qty", -F.col("qty")),
+        "one column": base.select("id", "k", "qty"),
+        "wide": base.select("*", *[F.lit(n + 1).alias(f"extra_{n}") for n in range(48)]),
+        "empty": base.where("id < 0"),
+    }
+    return {n: f.drop("k") for n, f in frames.items()}
+
+
+def day_of(base, days):
+    return F.date_add(F.lit("2021-05-01").cast("date"),
+                      (F.col("k") % days).cast("int")).cast("timestamp_ntz")
+
+
+_CASES = [
+    ("clean", 0, 0, 0, ""),
+    ("few gaps", 0, 0, 1, "info:missing_values:stock"),
+    ("many gaps", 0, 1, 0, "warning:high_missing_values:stock"),
+    ("mostly gaps", 1, 0, 0, "error:excessive_missing_values:stock"),
+    ("future dates", 0, 1, 0, "warning:future_dates:order_date"),
+    ("old dates", 0, 1, 0, "warning:very_old_dates:order_date"),
+    ("short range", 0, 1, 0, "warning:short_date_range:order_date"),
+    ("zeros", 0, 1, 0, "warning:many_zeros:qty"),
+    ("negative", 0, 0, 1, "info:negative_values:qty"),
+    ("one column", 1, 0, 0, "error:too_few_columns:"),
+    ("wide", 0, 1, 0, "warning:too_many_columns:"),
+    ("empty", 1, 0, 0, "error:empty_file:"),
+]
+
+
+def _case_sql(name, errors, warnings, infos, issues):
+    """What the rules say of a frame, given how it was built; the table only has to have rows."""
+    badge = "error" if errors else "warning" if warnings else "info" if infos else "ok"
+    summary = (f"File has {errors} error(s) that must be fixed before processing" if errors else
+               f"File is valid but has {warnings} warning(s)" if warnings else
+               "File validation passed with no issues")
+    return (f"select '{name}' as frame, '{badge}' as badge, {str(not errors).lower()} as is_valid, "
+            f"{errors}::bigint as errors, {warnings}::bigint as warnings, {infos}::bigint as infos, "
+            f"'{issues}' as issue_list, '{summary}' as summary from (select count(*) as n from supplier) where n > 0")
+
+
+@query("rule_cases", "\nunion all\n".join(_case_sql(*c) for c in _CASES))
+def q_rule_cases(spark, sf):
+    out = None
+    for name, frame in _case_frames(spark, sf).items():
+        schema = P.detect_schema(frame, "id", with_samples=False, as_of=CASES_AS_OF)
+        report = V.validation_report(V.validation_issues(schema, CASES_AS_OF))
+        one = _issue_list(report).select(
+            F.lit(name).alias("frame"), V.badge_expr().alias("badge"), "is_valid", "errors", "warnings", "infos",
+            "issue_list", "summary")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("invalid_dates", "select 3 as rule_order, 1 as seq, 'error' as severity, 'invalid_dates' as type, "
+       "'date' as \"column\" from (select count(*) as n from orders) where n > 0")
+def q_invalid_dates(spark, sf):
+    """A date column in which nothing reads as a date."""
+    dates = X.table(spark, sf, "orders").select(
+        parse_datetime(F.col("o_orderpriority")).alias("date"))
+    return V.date_issues(V.date_rule_counts(dates, "date", AS_OF)).select(
+        "rule_order", "seq", "severity", "type", "column")
+
+
+@query("json_safe_values", "select l_orderkey, l_linenumber, l_partkey, case when l_orderkey % 5 = 0 or "
+       "l_orderkey % 7 = 0 then null else l_quantity end as x, "
+       "strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') as shipped from lineitem")
+def q_json_safe_values(spark, sf):
+    k = F.col("l_orderkey")
+    x = F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 7 == 0, F.lit(float("-inf"))).otherwise(
+        F.col("l_quantity"))
+    rows = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x"),
+                                                 F.col("l_shipdate").cast("timestamp_ntz").alias("shipped"))
+    return json_safe(rows)

@@ -1,29 +1,18 @@
-"""DuckDB text for the parsing expressions, used only by the oracle SQL.
+"""DuckDB text for the parsing rules, used only by the oracle SQL.
 
-Each function returns the SQL counterpart of a Column expression in
-``ledgerloom.functions``; patterns and layouts are taken from that module so
-the two cannot drift apart.
+The rules are stated here anew, from the survey, and share no pattern, token
+list or limit with the code they check.
 """
 
 from __future__ import annotations
 
-from ledgerloom.functions.constants import (
-    BOOLEAN_FALSE_TOKENS,
-    BOOLEAN_LABEL_STRINGS,
-    BOOLEAN_TRUE_TOKENS,
-    NA_TOKENS,
-)
-from ledgerloom.functions.parsing import (
-    DATETIME_FORMATS,
-    INFINITY_PATTERN,
-    ISO_GUARD,
-    NUMERIC_PATTERN,
-)
-
-# Spark layout -> DuckDB strptime layout.
-STRPTIME = {"M/d/yyyy": "%m/%d/%Y", "d/M/yyyy": "%d/%m/%Y", "yyyy/M/d": "%Y/%m/%d",
-            "M/d/yy": "%m/%d/%y", "M-d-yy": "%m-%d-%y", "d MMMM yyyy": "%d %B %Y",
-            "MMM d, yyyy": "%b %d, %Y"}
+# What pandas' CSV reader takes for a missing value.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+           "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+BOOLEAN_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
+BOOLEAN_LABELS = ["True", "False", "true", "false", "YES", "NO", "yes", "no"]
+WRITTEN_DATES = ["%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%m/%d/%y", "%m-%d-%y", "%d %B %Y",
+                 "%b %d, %Y"]
 
 
 def lit_list(values) -> str:
@@ -31,38 +20,41 @@ def lit_list(values) -> str:
 
 
 def na(c: str) -> str:
-    return f"(case when {c} in ({lit_list(NA_TOKENS)}) then null else {c} end)"
+    return f"(case when {c} in ({lit_list(MISSING)}) then null else {c} end)"
 
 
 def num(c: str) -> str:
-    return (f"(case when regexp_matches({c}, '{INFINITY_PATTERN}') then "
-            f"(case when starts_with(trim({c}), '-') then cast('-inf' as double) else cast('inf' as double) end) "
-            f"when regexp_matches({c}, '{NUMERIC_PATTERN}') then try_cast(trim({c}) as double) end)")
-
-
-def whole(x: str) -> str:
-    return f"(abs({x}) < 9.2e18 and {x} = floor({x}))"
+    """Digits with at most one point and an optional exponent, or an infinity."""
+    t = f"lower(trim({c}))"
+    bare = f"ltrim({t}, '+-')"
+    digits = f"regexp_full_match({bare}, '([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?')"
+    one_sign = f"length({t}) - length({bare}) <= 1"
+    return (f"(case when {bare} in ('inf', 'infinity') and {one_sign} then "
+            f"(case when {t}[1] = '-' then cast('-inf' as double) else cast('inf' as double) end) "
+            f"when {digits} and {one_sign} then try_cast({t} as double) end)")
 
 
 def integer(c: str) -> str:
-    x = num(c)
-    return f"(case when {whole(x)} then cast({x} as bigint) end)"
+    """Plain digits exactly; other numbers when they are whole and fit 64 bits."""
+    t, x = f"trim({c})", num(c)
+    return (f"(case when regexp_full_match({t}, '[+-]?[0-9]+') and try_cast({t} as bigint) is not null "
+            f"then try_cast({t} as bigint) "
+            f"when abs({x}) < 9.2e18 and {x} = floor({x}) then cast({x} as bigint) end)")
 
 
 def dt(c: str) -> str:
     t = f"trim({c})"
-    tries = [f"(case when regexp_matches({t}, '{ISO_GUARD}') then try_cast({t} as timestamp) end)"]
-    tries += [f"(case when regexp_matches({t}, '{shape}') then try_strptime({t}, '{STRPTIME[fmt]}') end)"
-              for fmt, shape in DATETIME_FORMATS]
-    return "coalesce(" + ", ".join(tries) + ")"
+    written = ", ".join(f"'{f}'" for f in WRITTEN_DATES)
+    return (f"(case when regexp_matches({t}, '^[0-9]{{4}}-[0-9]') then try_cast({t} as timestamp) "
+            f"else try_strptime({t}, [{written}]) end)")
 
 
 def boolean_text(c: str) -> str:
-    return f"({c} in ({lit_list(BOOLEAN_TRUE_TOKENS + BOOLEAN_FALSE_TOKENS)}))"
+    return f"({c} in ({lit_list(BOOLEAN_WORDS)}))"
 
 
 def boolean_label_text(c: str) -> str:
-    return f"({c} in ({lit_list(BOOLEAN_LABEL_STRINGS)}))"
+    return f"({c} in ({lit_list(BOOLEAN_LABELS)}))"
 
 
 def clean_name(c: str) -> str:
@@ -72,7 +64,3 @@ def clean_name(c: str) -> str:
 
 def iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
-
-
-def one_decimal(x: str) -> str:
-    return f"printf('%.1f', {x})"

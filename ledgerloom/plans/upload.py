@@ -1,15 +1,12 @@
 """Profile and validate an uploaded file, then register it.
 
 Jobs, in order:
-1. admission of the file (metadata, then the first bytes);
-2. the type-inference pass (one aggregate; one row per column to the driver);
-3. the typed frame is checkpointed into the shared checkpoint folder, so the
-   profile, the rules and the preview read columnar data instead of parsing
-   the text again;
-4. the profile (one stacked aggregation plus the per-column samples),
-   checkpointed as well since several steps read it;
-5. the rule counts and the report;
-6. one registry event with the schema document and the report.
+1. admission of the file (metadata, then its content);
+2. the text is read once and staged as Parquet, checking the encoding on the way;
+3. the type-inference pass (one aggregate; one row per column to the driver);
+4. the profile (one stacked aggregation plus the samples), from which every
+   rule of the report follows;
+5. one registry event with the schema document and the report.
 
 Only per-column results, the issue list and a 10-row preview reach the
 driver.
@@ -21,6 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.functions.constants import PREVIEW_ROWS
 from ledgerloom.functions.text import clean_names
 from ledgerloom.operators import cleaning as C
 from ledgerloom.operators import profiling as P
@@ -41,13 +39,15 @@ class UploadResult:
     preview: list[dict]
 
 
-def typed_upload(spark: SparkSession, path: str) -> DataFrame:
-    """Read, clean headers, infer types (no gap filling, so null shares are real)."""
+def typed_upload(spark: SparkSession, path: str) -> tuple[DataFrame, C.TypePlan, DataFrame]:
+    """(typed frame, its types, the text it was made of): read, clean headers,
+    infer types (no gap filling, so null shares are real)."""
     raw = read_file(spark, path, materialize=True)
     data = [c for c in raw.columns if c != ROW_ID]
     names = clean_names(data)
     renamed = raw.select(*[C.q(o).alias(n) for o, n in zip(data, names)], ROW_ID)
-    return C.infer_types(renamed, names)
+    plan = C.plan_types(renamed, names)
+    return C.apply_types(renamed, plan), plan, renamed
 
 
 def profile_upload(spark: SparkSession, path: str, registry_path: str | None = None,
@@ -57,13 +57,15 @@ def profile_upload(spark: SparkSession, path: str, registry_path: str | None = N
         reason = adm[0].reason if adm else "file not found"
         raise ValueError(f"File rejected: {reason}")
     upload_id = upload_id or R.new_upload_id()
-    typed = checkpointed(typed_upload(spark, path))
+    typed, plan, text = typed_upload(spark, path)
     cols = [c for c in typed.columns if c != ROW_ID]
-    schema = checkpointed(P.detect_schema(typed, ROW_ID, cols))
-    issues = V.validation_issues(typed, schema, as_of)
+    # One row per column, read by the rules and by the document.
+    schema = checkpointed(P.detect_schema(typed, ROW_ID, cols, as_of=as_of, coerced=plan.coerced))
+    issues = V.validation_issues(schema, as_of)
     report_row = V.validation_report(issues).collect()[0].asDict(recursive=True)
     schema_doc = P.schema_document(schema).collect()[0]["detected_schema"].asDict(recursive=True)
-    preview = [r.asDict() for r in P.preview(typed, ROW_ID).drop(ROW_ID).collect()]
+    head = C.apply_types(C.first_rows(text, ROW_ID, PREVIEW_ROWS), plan)
+    preview = [r.asDict() for r in P.preview(head, ROW_ID).drop(ROW_ID).collect()]
     filename = path.rstrip("/").split("/")[-1]
     if registry_path:
         R.register_upload(spark, registry_path, upload_id, filename=filename, file_path=path,
@@ -74,11 +76,4 @@ def profile_upload(spark: SparkSession, path: str, registry_path: str | None = N
     return UploadResult(upload_id, filename, "uploaded", schema_doc, report_row, preview)
 
 
-def issues_frame(typed: DataFrame, order_col: str = ROW_ID, as_of=None) -> DataFrame:
-    """The issue list of a typed frame (profile without samples)."""
-    cols = [c for c in typed.columns if c != order_col]
-    schema = P.detect_schema(typed, order_col, cols, with_samples=False)
-    return V.validation_issues(typed, schema, as_of).orderBy("rule_order", "seq")
-
-
-__all__ = ["UploadResult", "issues_frame", "profile_upload", "typed_upload"]
+__all__ = ["UploadResult", "profile_upload", "typed_upload"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +79,22 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{base}/staging/{name}"
 
 
+def staged(df: DataFrame, observe=None) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back.
+
+    For whole tables read several times: later reads prune columns, the
+    planner knows true sizes, and a lost executor re-reads files. Columns go by
+    position, so any header can be stored. ``observe=(observation, *metrics)``
+    rides along with the write.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    if observe:
+        plain = plain.observe(*observe)
+    path = staging_path(df.sparkSession, uuid.uuid4().hex)
+    plain.write.parquet(path)
+    return df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*names)
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialize ``df`` into the shared checkpoint folder and cut its lineage.

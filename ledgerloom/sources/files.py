@@ -6,137 +6,150 @@ turns NA tokens into nulls and adds ``_row_id``, which follows file order
 (Spark assigns ids per partition in increasing order, and a file's splits
 are partitions in offset order).
 
-CSV files are read line-splittable by default so a large file spreads over
-many tasks; ``multiline=True`` handles quoted line breaks at the cost of one
-task per file.
+A first scan of a CSV or text file's raw lines tells, per file, whether its
+bytes are UTF-8, whether a quoted cell breaks a line, and its header line. Files
+that agree on these are read together, by their own header and encoding, and
+the groups are put together by column name. A file without quoted line breaks
+is read line-splittable, so a large one spreads over many tasks; one with them
+takes a task. A row with more cells than the header is an error, as in pandas;
+a shorter one is filled with nulls.
 """
 
 from __future__ import annotations
 
+import csv
 import os
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.cleaning import replace_na_tokens
 
 ROW_ID = "_row_id"
+_BAD = "_row_text"
+
+# The dialect: cells quoted with ", a doubled quote inside stands for one.
+DIALECT = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "enforceSchema": "true",
+           "columnNameOfCorruptRecord": _BAD, "emptyValue": "", "nullValue": ""}
 
 
 def suffix(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-REPLACEMENT = "\ufffd"
-
-
-def _same_path(p: str) -> str:
-    """One spelling for local file URIs (``file:/x`` and ``file:///x``)."""
-    return "file:/" + p[5:].lstrip("/") if p.startswith("file:") else p
-
-
-def _csv(spark: SparkSession, paths: list[str], sep: str, encoding: str,
-         multiline: bool) -> DataFrame:
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("multiLine", multiline).option("mode", "PERMISSIVE")
-            .option("inferSchema", False).csv(paths))
-
+def file_traits(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Per file: ``not_utf8``, ``breaks`` (a cell spans lines) and its ``header`` line.
 
-def misdecoded_files(df: DataFrame) -> list[str]:
-    """Files of a UTF-8 read whose text holds U+FFFD, the decoder's stand-in
-    for bytes that are not UTF-8.
-
-    One pass over the rows, aggregated per file (partial per task), so every
-    file is checked whole without any task holding a whole file; the driver
-    receives only the names of the failing files.
+    One scan of the raw lines, aggregated per task; no task holds a whole file.
     """
-    text = F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns])
-    flagged = (df.select(F.col("_metadata.file_path").alias("file"),
-                         text.contains(REPLACEMENT).alias("bad"))
-                 .filter("bad").select("file").distinct().collect())
-    return [_same_path(r.file) for r in flagged]
-
-
-def _materialized_csv(spark: SparkSession, paths: list[str], sep: str,
-                      multiline: bool) -> DataFrame:
-    """UTF-8 read checkpointed in one scan, with the encoding check riding
-    along as an ``Observation``; only files that fail are read again, as
-    latin-1. In the common case the text is parsed once."""
-    from ledgerloom.session import checkpointed
-
-    utf8 = _csv(spark, paths, sep, "UTF-8", multiline)
-    cols = utf8.columns
-    text = F.concat_ws("", *[F.col(f"`{c}`") for c in cols])
-    obs = Observation("encoding")
-    tagged = utf8.withColumn("_source_file", F.col("_metadata.file_path"))
-    saved = checkpointed(tagged.observe(obs, F.collect_set(
-        F.when(text.contains(REPLACEMENT), F.col("_source_file"))).alias("bad")))
-    bad = list(obs.get["bad"])
-    if any(REPLACEMENT in c for c in cols):
-        bad = [r.f for r in saved.select(F.col("_source_file").alias("f")).distinct().collect()]
-    if not bad:
-        return saved.drop("_source_file")
-    latin = checkpointed(_csv(spark, sorted({_same_path(b) for b in bad}), sep, "ISO-8859-1",
-                              multiline))
-    rest = saved.filter(~F.col("_source_file").isin(bad)).drop("_source_file")
-    return rest.unionByName(latin, allowMissingColumns=True)
-
-
-def read_csv(spark: SparkSession, paths: str | list[str], multiline: bool = False,
-             sep: str = ",", encoding: str | None = None, materialize: bool = False) -> DataFrame:
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), line.alias("line"), at.alias("at"),
+        (~F.is_valid_utf8(line)).alias("not_utf8"), (quotes % 2 == 1).alias("odd"))
+    return lines.groupBy("file").agg(
+        F.bool_or("not_utf8").alias("not_utf8"), F.bool_or("odd").alias("breaks"),
+        F.min_by(F.col("line").cast("binary"), F.col("at")).alias("header"))
+
+
+def header_names(line: str, sep: str) -> list[str]:
+    """Column names of a header line, as pandas gives them: a repeated name gets
+    ``.1``, ``.2``; a blank one is ``Unnamed: i``. Names that differ only in case
+    get ``_1``, ``_2`` (columns are looked up without case)."""
+    cells = next(csv.reader([line], delimiter=sep), [])
+    out, seen, folded = [], {}, set()
+    for i, raw in enumerate(cells):
+        name = raw if raw != "" else f"Unnamed: {i}"
+        if name in seen:
+            seen[name] += 1
+            name = f"{name}.{seen[name]}"
+        else:
+            seen[name] = 0
+        base, n = name, 0
+        while name.lower() in folded:
+            n += 1
+            name = f"{base}_{n}"
+        folded.add(name.lower())
+        out.append(name)
+    return out
+
+
+def cells_beyond(bad: Column, width: int, sep: str) -> Column:
+    """True where a row kept as text (``bad``) has more cells than ``width``."""
+    plain = F.regexp_replace(bad, r'(?s)"(?:[^"]|"")*"', "q")
+    cells = F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
+    return F.coalesce(cells > width, F.lit(False))
+
+
+def _read_group(spark: SparkSession, files: list[str], names: list[str], sep: str, encoding: str,
+                multiline: bool) -> DataFrame:
+    cols = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*cols, _BAD])
+    df = (spark.read.options(**DIALECT).option("header", True).option("sep", sep)
+          .option("encoding", encoding).option("multiLine", multiline).schema(schema).csv(files))
+    # A row too long is never cut: reading it fails, naming the row.
+    stop = F.raise_error(F.concat(F.lit(f"a row has more than the header's {len(names)} cells: "),
+                                  F.substring(F.col(_BAD), 1, 200))).cast("string")
+    first = F.when(cells_beyond(F.col(_BAD), len(names), sep), stop).otherwise(F.col("c0"))
+    return df.select(first.alias("c0"), *cols[1:]).toDF(*names)
+
+
+def _separator(header: str, sep: str | None) -> str:
+    """Text tables: tabs, or commas when the header has no tab but a comma."""
+    if sep:
+        return sep
+    return "," if "\t" not in header and "," in header else "\t"
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], sep: str | None = ",",
+             encoding: str | None = None, materialize: bool = False) -> DataFrame:
     """CSV as text. Without an explicit ``encoding``, files that are valid
     UTF-8 are read as UTF-8 and the others as latin-1, which decodes every
-    byte (so no further fallback is reachable).
+    byte (so no further fallback is reachable). ``sep=None`` decides between tab
+    and comma by each file's own header.
 
-    ``materialize`` checkpoints the text (one scan that also checks the
-    encoding), for callers that read it several times.
+    ``materialize`` stages the text once as Parquet, for callers that read it
+    several times.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if encoding:
-        df = _csv(spark, paths, sep, encoding, multiline)
-        if materialize:
-            from ledgerloom.session import checkpointed
-
-            df = checkpointed(df)
-        return df
+    groups: dict[tuple, list[str]] = {}
+    for r in file_traits(spark, paths).collect():        # one row per file
+        code = encoding or ("ISO-8859-1" if r.not_utf8 else "UTF-8")
+        header = bytes(r.header).decode(code.lower().replace("utf-8", "utf-8-sig"), "replace")
+        mark = _separator(header, sep)
+        groups.setdefault((tuple(header_names(header, mark)), mark, code, r.breaks), []).append(r.file)
+    if not groups:
+        raise ValueError(f"no rows in {', '.join(paths)}")
+    out = None
+    for (names, mark, code, breaks), files in sorted(groups.items(), key=lambda g: sorted(g[1])):
+        part = _read_group(spark, sorted(files), list(names), mark, code, breaks)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if materialize:
-        return _materialized_csv(spark, paths, sep, multiline)
-    utf8 = _csv(spark, paths, sep, "UTF-8", multiline)
-    files = [_same_path(f) for f in utf8.inputFiles()]
-    bad = set(misdecoded_files(utf8))
-    if any(REPLACEMENT in c for c in utf8.columns):
-        bad = set(files)          # the header itself is not UTF-8
-    if not bad:
-        return utf8
-    good = [f for f in files if f not in bad]
-    latin = _csv(spark, sorted(bad), sep, "ISO-8859-1", multiline)
-    if not good:
-        return latin
-    return _csv(spark, good, sep, "UTF-8", multiline).unionByName(latin, allowMissingColumns=True)
-
-
-def read_text_table(spark: SparkSession, paths: str | list[str], multiline: bool = False,
+        from ledgerloom.session import staged
+
+        out = staged(out)
+    return out
+
+
+def read_text_table(spark: SparkSession, paths: str | list[str],
                     materialize: bool = False) -> DataFrame:
-    """``.txt``: tab-separated; when the header is a single column holding a
-    comma, the file is comma-separated instead (decided from the header)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    header = _csv(spark, paths, "\t", "ISO-8859-1", multiline).columns
-    sep = "," if len(header) == 1 and "," in header[0] else "\t"
-    return read_csv(spark, paths, multiline, sep=sep, materialize=materialize)
+    """``.txt``: tab-separated; comma-separated where the file's header says so."""
+    return read_csv(spark, paths, sep=None, materialize=materialize)
 
 
-def read_file(spark: SparkSession, path: str, multiline: bool = False,
-              with_row_id: bool = True, materialize: bool = False) -> DataFrame:
+def read_file(spark: SparkSession, path: str, with_row_id: bool = True,
+              materialize: bool = False) -> DataFrame:
     """An uploaded file as an all-text DataFrame with NA tokens as nulls.
 
-    ``materialize`` checkpoints the text once (see ``read_csv``) for callers
+    ``materialize`` stages the text once (see ``read_csv``) for callers
     that scan it several times, as type inference does.
     """
     ext = suffix(path)
     if ext == ".csv":
-        df = read_csv(spark, path, multiline, materialize=materialize)
+        df = read_csv(spark, path, materialize=materialize)
     elif ext == ".txt":
-        df = read_text_table(spark, path, multiline, materialize=materialize)
+        df = read_text_table(spark, path, materialize=materialize)
     elif ext == ".xlsx":
         from ledgerloom.sources.xlsx import read_xlsx
 

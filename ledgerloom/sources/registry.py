@@ -46,6 +46,7 @@ COLUMN_INFO_TYPE = T.StructType([
     T.StructField("null_percentage", T.DoubleType()),
     T.StructField("unique_count", T.LongType()),
     T.StructField("sample_values", T.ArrayType(T.StringType())),
+    T.StructField("coerced_count", T.LongType()),
 ])
 
 SCHEMA_TYPE = T.StructType([

@@ -2,9 +2,8 @@
 
 Workbooks are read with the binary-file source (any Hadoop filesystem, one
 row per workbook, spread over tasks) and parsed per workbook inside
-``mapInPandas`` with the standard library's zip and XML readers. The header
--- which fixes the output schema -- comes from one small job reading the
-first workbook only.
+``mapInPandas`` with the standard library's zip and XML readers. The output
+columns are those of all headers, which a first pass over the workbooks gives.
 
 Cell text: shared and inline strings as written; numbers as their stored
 text; booleans as ``True``/``False``; numbers styled as dates as ISO text
@@ -136,28 +135,32 @@ def _header(names: list[str | None]) -> list[str]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) \
-                 .filter(F.lower(F.col("path")).endswith(".xlsx"))
-    first = files.select("path", "content").orderBy("path").limit(1).collect()
-    if not first:
-        raise ValueError(f"no .xlsx workbook at {path}")
-    rows = sheet_rows(bytes(first[0].content))
-    if not rows:
-        raise ValueError("workbook sheet is empty")
-    header = _header(rows[0])
-    width = len(header)
-    positional = [f"c{i}" for i in range(width)]
-    schema = ", ".join(f"{c} string" for c in positional)
+    """All workbooks at ``path``, columns matched by header name.
+
+    Cells beyond a header get names of their own (``Unnamed: i``), as pandas
+    gives them; none is cut.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True) \
+                 .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(path).select("content")
 
     def parse(batches):
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for content in pdf["content"]:
-                for r in sheet_rows(bytes(content))[1:]:
-                    r = (r + [None] * width)[:width]
-                    out.append(r)
-            yield pd.DataFrame(out, columns=positional, dtype=object)
-
-    return files.select("content").mapInPandas(parse, schema).toDF(*header)
+            for content in pdf["content"]:          # one workbook at a time
+                rows = sheet_rows(bytes(content))
+                if not rows:
+                    raise ValueError("workbook sheet is empty")
+                width = max(map(len, rows))
+                names = _header(rows[0] + [None] * (width - len(rows[0])))
+                body = [r + [None] * (width - len(r)) for r in rows[1:]] or [None]
+                yield pd.DataFrame({"names": [names] * len(body), "cells": body})
+
+    sheets = files.mapInPandas(parse, "names array<string>, cells array<string>")
+    headers = [r.names for r in sheets.select("names").distinct().collect()]   # one per header
+    if not headers:
+        raise ValueError(f"no .xlsx workbook at {path}")
+    columns = list(dict.fromkeys(n for h in sorted(headers) for n in h))
+    at = F.col("names")
+    return sheets.where("cells is not null").select(*[
+        F.get("cells", F.array_position(at, n).cast("int") - 1).alias(n) for n in columns])

@@ -59,7 +59,7 @@ def handle_batch(spark: SparkSession, batch: DataFrame, registry_path: str,
             if isinstance(e, ValueError) and "already processed" in str(e):
                 out = {"upload_id": uid, "path": row.path, "status": "processed"}
             else:
-                R.append_event(spark, registry_path, uid, STATUS_ERROR, error_message=str(e)[:2000],
+                R.append_event(spark, registry_path, uid, STATUS_ERROR, error_message=str(e),
                                filename=row.path.rstrip("/").split("/")[-1], file_path=row.path)
                 out = {"upload_id": uid, "path": row.path, "status": STATUS_ERROR, "error": str(e)}
         results.append(out)

@@ -63,3 +63,39 @@ def test_materialized_read_detects_encoding_in_one_scan(spark, tmpdir_path):
     assert rows == {("João", "Málaga"), ("José", "Zürich")}
     comma = _write(tmpdir_path, "c.txt", b"a,b\n1,2\n")
     assert read_file(spark, comma, materialize=True).columns[:2] == ["a", "b"]
+
+
+def test_quotes_breaks_and_short_rows(spark, tmpdir_path):
+    p = _write(tmpdir_path, "q.csv", b'Date,date,x\n1,2,"12"" pipe, steel"\n3,4\n5,6,"two\nlines"\n')
+    df = read_file(spark, p, materialize=True)
+    assert df.columns[:3] == ["Date", "date_1", "x"]
+    assert [tuple(r)[:3] for r in df.orderBy(ROW_ID).collect()] == [
+        ("1", "2", '12" pipe, steel'), ("3", "4", None), ("5", "6", "two\nlines")]
+
+
+def test_a_row_too_long_is_an_error_not_a_cut(spark, tmpdir_path):
+    p = _write(tmpdir_path, "long.csv", b'a,b\n1,2\n1,"x,y",3\n')
+    with pytest.raises(Exception, match="more than the header's 2 cells"):
+        read_file(spark, p).collect()
+    ok = _write(tmpdir_path, "ok.csv", b'a,b\n1,"x,y"\n')
+    assert read_file(spark, ok).collect()[0].b == "x,y"
+
+
+def test_files_are_matched_by_name(spark, tmpdir_path):
+    from ledgerloom.sources.files import read_csv
+
+    _write(tmpdir_path, "1.csv", b"date,qty\n2024-01-01,3\n")
+    _write(tmpdir_path, "2.csv", b"qty,date,note\n4,2024-01-02,n\n")
+    rows = {(r.date, r.qty, r.note) for r in read_csv(spark, tmpdir_path).collect()}
+    assert rows == {("2024-01-01", "3", None), ("2024-01-02", "4", "n")}
+
+
+def test_replacement_character_in_valid_utf8_stays(spark, tmpdir_path):
+    p = _write(tmpdir_path, "r.csv", "n,c\nJos\u00e9 \ufffd,x\n".encode())
+    assert read_file(spark, p).collect()[0].n == "Jos\u00e9 \ufffd"
+
+
+def test_repeated_headers(spark):
+    from ledgerloom.sources.files import header_names
+
+    assert header_names("a,a,A,,b", ",") == ["a", "a.1", "A_1", "Unnamed: 3", "b"]

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from ledgerloom.operators import profiling as P
+from ledgerloom.operators import validation as V
 from ledgerloom.operators import sales as S
 from ledgerloom.sources.sales_table import read_sales, write_sales
 
@@ -50,11 +51,28 @@ def test_summary_aggregates_partially_and_is_exact_under_skew(spark, skewed_sale
     assert rows["hot"].total_quantity == sum(float(i % 7) for i in range(2000) if i % 5)
 
 
-def test_samples_limit_before_the_shuffle(spark, skewed_sales):
+def test_date_mode_reads_only_its_column(spark):
+    from ledgerloom.plans.catalog import queries
+
+    plan = _plan(queries()["date_mode"](spark, "/root/testdata/sf0.001"))
+    reads = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert reads and not any("p_type" in line or "l_quantity" in line for line in reads)
+
+
+def test_previews_sort_no_whole_table(spark):
+    from ledgerloom.plans.catalog import queries
+
+    for name in ("preview_raw", "json_safe_preview", "preview_cleaned"):
+        plan = _plan(queries()[name](spark, "/root/testdata/sf0.001"))
+        # Built on the first rows alone: no scan of the table, no sort, no shuffle.
+        assert "FileScan" not in plan and "Sort" not in plan and "Exchange" not in plan, name
+
+
+def test_validation_reads_the_profile_only(spark, skewed_sales):
     sales = read_sales(spark, skewed_sales)
-    plan = _plan(P.sample_values(sales, "id", ["sku_id", "category"]))
-    # The partial top-k sits below the exchange, the final one above it.
-    assert "row_number(), 5, Partial" in plan and "row_number(), 5, Final" in plan
+    schema = P.detect_schema(sales, "id", ["date", "sku_id", "sales_quantity"], with_samples=False)
+    plan = _plan(V.validation_issues(schema))
+    assert "parquet" not in plan.lower()
 
 
 def test_profile_counts_partially_per_value(spark, skewed_sales):

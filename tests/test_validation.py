@@ -10,8 +10,8 @@ from ledgerloom.operators import validation as V
 
 def _issues(spark, cols, rows, as_of="2024-07-01"):
     typed = C.infer_types(C.replace_na_tokens(text_frame(spark, cols, rows)), cols)
-    schema = P.detect_schema(typed, "rid", cols, with_samples=False)
-    return V.validation_issues(typed, schema, as_of).orderBy("rule_order", "seq").collect()
+    schema = P.detect_schema(typed, "rid", cols, with_samples=False, as_of=as_of)
+    return V.validation_issues(schema, as_of).orderBy("rule_order", "seq").collect()
 
 
 def test_missing_value_thresholds_at_20_and_50(spark):
@@ -64,12 +64,12 @@ def test_exactly_half_zeros_is_fine(spark):
 def test_structure_rules(spark):
     empty = spark.createDataFrame([], "rid int, a string, b string")
     schema = P.detect_schema(empty, "rid", ["a", "b"], with_samples=False)
-    issues = V.validation_issues(empty, schema).collect()
+    issues = V.validation_issues(schema).collect()
     assert [i.type for i in issues] == ["empty_file"]
     wide_cols = [f"c{i}" for i in range(51)]
     wide = text_frame(spark, wide_cols, [tuple("x" for _ in wide_cols)])
     schema = P.detect_schema(wide, "rid", wide_cols, with_samples=False)
-    got = [(i.type, i.message) for i in V.validation_issues(wide, schema).collect()]
+    got = [(i.type, i.message) for i in V.validation_issues(schema).collect()]
     assert got == [("too_many_columns", "File has 51 columns, which is unusual")]
 
 
@@ -78,10 +78,10 @@ def test_report_summary_and_badge(spark):
     cols = ["mostly_empty", "qty"]
     typed = C.infer_types(C.replace_na_tokens(text_frame(spark, cols, rows)), cols)
     schema = P.detect_schema(typed, "rid", cols, with_samples=False)
-    report = V.validation_report(V.validation_issues(typed, schema)).collect()[0]
+    report = V.validation_report(V.validation_issues(schema)).collect()[0]
     assert not report.is_valid and report.errors == 1
     assert report.summary == "File has 1 error(s) that must be fixed before processing"
-    badge = V.validation_badge(V.validation_report(V.validation_issues(typed, schema)))
+    badge = V.validation_badge(V.validation_report(V.validation_issues(schema)))
     assert badge.collect()[0].badge == "error"
     clean = spark.createDataFrame([], "severity string, type string, column string, message string, "
                                       "suggestion string, rule_order int, seq int")

@@ -41,5 +41,5 @@ def test_xlsx_first_sheet_as_text(spark, tmpdir_path):
     rows = df.orderBy("_row_id").collect()
     assert rows[0]["Order Date"] == "2024-03-01 00:00:00" and rows[0]["SKU"] == "P1"
     assert rows[5]["SKU"] is None and rows[5]["Qty"] == "7"
-    typed = typed_upload(spark, p).orderBy("_row_id").collect()
+    typed = typed_upload(spark, p)[0].orderBy("_row_id").collect()
     assert typed[0].order_date == dt.datetime(2024, 3, 1) and typed[5].qty == 7
