@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stage
 
-BLOCK = 256
+BLOCK = 1024
 #: Rows (ids in blocks, about 100 bytes each) that are broadcast at most, counted.
 BROADCAST_ROWS = 500_000
 
@@ -66,13 +66,8 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def candidate_matrix(kernel, sigs: np.ndarray, keys: list, bucket: int, slots: np.ndarray,
-                     cross: bool) -> np.ndarray:
-    """Which pairs (upper triangle) of a group are its own to check."""
-    n = len(sigs)
-    cand = np.triu(kernel.similar(sigs), 1)
-    if cross:
-        cand &= slots[:, None] != slots[None, :]
+def earlier_buckets(cand: np.ndarray, keys: list, bucket: int) -> np.ndarray:
+    """``cand`` without the pairs that also meet in a bucket with a smaller number."""
     if not cand.any():
         return cand
     earlier: dict[int, list[int]] = {}
@@ -89,7 +84,8 @@ def candidate_matrix(kernel, sigs: np.ndarray, keys: list, bucket: int, slots: n
 def _groups(batches, kernel, texts: bool):
     for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
         cols = {c: t.column(c).to_numpy() for c in ("bucket", "i", "j", "slot")}
-        ids, keys = t.column("id").to_pylist(), t.column("keys").to_pylist()
+        ids = t.column("id").to_pylist()
+        keys = t.column("keys").to_pylist() if "keys" in t.column_names else None
         sigs = t.column("sig").combine_chunks()
         width = len(sigs[0]) if len(sigs) else 0
         sigs = np.asarray(sigs.flatten()).reshape(-1, width)
@@ -101,9 +97,11 @@ def _groups(batches, kernel, texts: bool):
                 at = list(range(a, b))
             if len(at) < 2:
                 continue
-            cand = candidate_matrix(kernel, sigs[at], [keys[x] for x in at],
-                                    int(cols["bucket"][a]), cols["slot"][at],
-                                    cols["i"][a] != cols["j"][a])
+            cand = np.triu(kernel.candidates(sigs[at], int(cols["bucket"][a]),
+                                             keys and [keys[x] for x in at]), 1)
+            if cols["i"][a] != cols["j"][a]:
+                slots = cols["slot"][at]
+                cand &= slots[:, None] != slots[None, :]
             if cand.any():
                 yield (int(cols["bucket"][a]), int(cols["i"][a]), int(cols["j"][a]),
                        cols["slot"], ids, at, cand, body)
@@ -171,25 +169,25 @@ def _heavy(kernel):
 HEAVY = [pa.string(), pa.string(), pa.int64()]
 
 
-def linked(members: DataFrame, sigs: DataFrame, fetch, kernel, name: str,
-           block: int = BLOCK) -> DataFrame:
+def taking_part(rows: DataFrame, kernel, name: str) -> DataFrame:
+    """(bucket, i, j, slot, id) of the rows in a candidate pair. Staged."""
+    light = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
+        .mapInArrow(_light(kernel), "bucket long, i int, j int, slot int, id string")
+    return stage(light, f"{name}-needed")
+
+
+def linked(needed: DataFrame, info: DataFrame, fetch, kernel, name: str) -> DataFrame:
     """(id, root, links) rows, several per id, staged.
 
-    ``members``: (bucket, id, n), staged. ``sigs``: (id, sig array<bigint>).
-    ``fetch(ids, broadcast)`` gives (id, text) joined to the rows of ``ids``.
-    ``kernel`` has ``similar(sigs)`` and ``verified(texts, candidates)``.
+    ``needed`` comes from the first pass; ``info`` has (id, sig array<bigint>)
+    and, where the kernel reads it, keys. ``fetch(rows)`` adds text to rows.
+    ``kernel`` has ``candidates(sigs, bucket, keys)`` and ``verified(texts, candidates)``.
     """
-    keys = members.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("keys"))
-    info = keys.join(sigs, "id")
-    rows = dealt(members, block).join(info, "id") \
-        .select("bucket", "i", "j", "slot", "id", "keys", "sig")
-    light = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
-        .mapInArrow(_light(kernel), "bucket long, i int, j int, slot int, id string")
-    needed = stage(light, f"{name}-needed")
     n = needed.count()
     full = needed.join(info, "id")
     bodies = fetch(F.broadcast(full) if n <= BROADCAST_ROWS else full)
-    heavy = bodies.select("bucket", "i", "j", "slot", "id", "keys", "sig", "text") \
+    heavy = bodies.select("bucket", "i", "j", "slot", "id", *[c for c in info.columns if c != "id"],
+                          "text") \
         .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
         .mapInArrow(_heavy(kernel), "id string, root string, links long")
     return stage(heavy, f"{name}-links")

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import buckets, textnp
-from ledgerloom.llm.common import stage, table
+from ledgerloom.llm.buckets import earlier_buckets
+from ledgerloom.llm.common import stage, table, unwrapped, wrapped
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.registry import query
 
@@ -86,18 +87,18 @@ class Kernel:
 
     def __init__(self, threshold: float, size: int):
         self.threshold, self.size = threshold, size
+        self.powers = textnp.Powers()          # grown once per task, on first use
 
-    def similar(self, sigs: np.ndarray) -> np.ndarray:
+    def candidates(self, sigs: np.ndarray, bucket: int, keys: list) -> np.ndarray:
         shared = np.zeros((len(sigs), len(sigs)), dtype=np.int16)
         for p in range(sigs.shape[1]):
             shared += sigs[:, p][:, None] == sigs[:, p][None, :]
-        return shared >= MIN_SHARED
+        return earlier_buckets(np.triu(shared >= MIN_SHARED, 1), keys, bucket)
 
     def verified(self, texts, cand: np.ndarray) -> np.ndarray:
-        powers = textnp.Powers()
         sets = []
         for _, _, data, offsets in textnp.blocks(texts):
-            h, first = shingles_of(data, offsets, powers, self.size)
+            h, first = shingles_of(data, offsets, self.powers, self.size)
             sets += [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         if len(sets) <= 8:
@@ -193,8 +194,13 @@ def text_groups(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THR
             (F.col("id") == F.col("_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))
         return own
 
-    found = buckets.linked(members, sets.select("id", "sig"), fetch, Kernel(threshold, size),
-                           "jaccard")
+    keys = members.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("keys"))
+    info = keys.join(sets.select("id", "sig"), "id")
+    kernel = Kernel(threshold, size)
+    rows_in = buckets.dealt(members).join(info, "id") \
+        .select("bucket", "i", "j", "slot", "id", "keys", "sig")
+    needed = buckets.taking_part(rows_in, kernel, "jaccard")
+    found = buckets.linked(needed, info, fetch, kernel, "jaccard")
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = sets.select("id", "rep", "n_copies").join(roots, "id", "left").join(
@@ -227,10 +233,10 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", threshold=THRESH
         groups.select("id", "root"), "id")
     keep = holders.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("n"), "doc_id", "id")).alias("k")).select(
-        F.col("k.doc_id").alias("_doc"), F.col("k.id").alias("_id"))
-    on = F.col(id_col).eqNullSafe(F.col("_doc")) \
-        & (F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_id"))
-    return docs.join(keep, on, "left_semi")
+        F.col("k.doc_id").alias("k_doc"), F.col("k.id").alias("k_id"))
+    rows = wrapped(docs, doc=F.col(id_col), id=F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    on = F.col("doc").eqNullSafe(F.col("k_doc")) & (F.col("id") == F.col("k_id"))
+    return unwrapped(rows.join(keep, on, "left_semi"), docs.columns)
 
 
 @query("op2_jaccard_join")
