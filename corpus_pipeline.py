@@ -27,7 +27,7 @@ from ledgerloom.llm import (
     op7_packing,
     op8_line_dedup,
 )
-from ledgerloom.llm.common import stage, table
+from ledgerloom.llm.common import free_name, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +35,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = op8_line_dedup.without_repeats(docs)
+    gone = free_name(docs.columns, "_dropped")
+    out = op8_line_dedup.without_repeats(docs, dropped_col=gone,
+                                         lines_col=free_name([*docs.columns, gone], "_lines"))
     whole = F.exists(F.split("text", "\n", -1),
                      lambda x: F.size(op6_quality_rules.words(x)) >= op8_line_dedup.MIN_WORDS)
-    kept = out.where((F.col("_dropped") == 0) | whole)
+    kept = out.where((F.col(gone) == 0) | whole)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast(
+        kept = kept.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op1_mixing.mix(docs).where("_selected").select(*docs.columns)
+    names: list[str] = []
+    for name in ("_topic", "_tokens", "_rate", "_selected"):
+        names.append(free_name([*docs.columns, *names], name))
+    out = op1_mixing.mix(docs, out=names).where(F.col(names[-1]))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,30 @@ def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def wrapped(docs: DataFrame, **named) -> DataFrame:
+    """``docs`` with each row as one struct ``row``, next to columns computed from it.
+
+    Whatever the extra columns of ``docs`` are called, they clash with nothing.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[c.alias(n) for n, c in named.items()])
+
+
+def unwrapped(df: DataFrame, columns: list[str], **replaced) -> DataFrame:
+    """The columns that ``wrapped`` packed, some replaced or added."""
+    new = {c: replaced.pop(c, None) for c in columns}
+    return df.select(*[(F.col(f"row.`{c}`") if new[c] is None else new[c]).alias(c) for c in columns],
+                     *[c.alias(n) for n, c in replaced.items()])
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores put before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def unit_hash(col):
     """A uniform number in [0, 1) from the text of ``col``: 52 bits of its MD5."""
     return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 13),
@@ -55,5 +79,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, mo
     ids = labels.where(F.col(label).isNotNull() & (crc_remainder(F.col("doc_id"), modulus) != held)) \
         .select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     ids = ids.orderBy(unit_hash(F.col("_id")), "_id", "label").limit(rows)
-    return docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")) \
-        .select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("text", "label")

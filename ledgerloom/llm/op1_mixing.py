@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small, stage, table, unit_hash
+from ledgerloom.llm.common import small, stage, table, unit_hash, unwrapped, wrapped
 from ledgerloom.llm.registry import query
 
 #: Targets are shares to the power of these (1 keeps the corpus mix, 0 is uniform).
@@ -112,19 +112,19 @@ def cell_rates(docs: DataFrame, dims, tokens_col: str, targets=None, budget: flo
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", lang_col: str = "lang", targets=None,
-        budget: float = BUDGET) -> DataFrame:
-    """``docs`` plus ``_topic``, ``_tokens``, ``_rate`` and ``_selected``."""
-    marked = docs.withColumns({"_topic": topic_of(F.col(text_col)),
-                               "_tokens": tokens_of(F.col(text_col))})
-    keys = marked.select(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
-                         F.col("_topic").alias("topic"), "_tokens")
-    rates, n = cell_rates(keys, ["source", "lang", "topic"], "_tokens", targets, budget)
-    rates = rates.select(F.col("source").alias("_s"), F.col("lang").alias("_l"),
-                         F.col("topic").alias("_t"), F.col("rate").alias("_rate"))
-    on = (F.col(source_col).eqNullSafe(F.col("_s")) & F.col(lang_col).eqNullSafe(F.col("_l"))
-          & (F.col("_topic") == F.col("_t")))
-    return marked.join(small(rates, n), on).drop("_s", "_l", "_t") \
-        .withColumn("_selected", unit_hash(F.col(id_col)) < F.col("_rate"))
+        budget: float = BUDGET, out=("_topic", "_tokens", "_rate", "_selected")) -> DataFrame:
+    """``docs`` plus four columns (named by ``out``): topic, tokens, rate and whether selected."""
+    rows = wrapped(docs, source=F.col(source_col), lang=F.col(lang_col),
+                   topic=topic_of(F.col(text_col)), tokens=tokens_of(F.col(text_col)),
+                   u=unit_hash(F.col(id_col)))
+    rates, n = cell_rates(rows.select("source", "lang", "topic", "tokens"),
+                          ["source", "lang", "topic"], "tokens", targets, budget)
+    rates = rates.select(F.col("source").alias("r_source"), F.col("lang").alias("r_lang"),
+                         F.col("topic").alias("r_topic"), "rate")
+    on = (F.col("source").eqNullSafe(F.col("r_source")) & F.col("lang").eqNullSafe(F.col("r_lang"))
+          & (F.col("topic") == F.col("r_topic")))
+    made = (F.col("topic"), F.col("tokens"), F.col("rate"), F.col("u") < F.col("rate"))
+    return unwrapped(rows.join(small(rates, n), on), docs.columns, **dict(zip(out, made)))
 
 
 def mix_sql(source: str) -> str:
