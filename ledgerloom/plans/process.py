@@ -28,8 +28,7 @@ from ledgerloom.sources.sales_table import write_sales
 
 def upload_record(spark: SparkSession, registry_path: str, upload_id: str):
     """The current state of one upload (one row) or ``None``."""
-    state = latest_state(R.read_events(spark, registry_path))
-    rows = state.filter(F.col("upload_id") == upload_id).collect()
+    rows = latest_state(R.read_events(spark, registry_path, upload_id)).collect()
     return rows[0] if rows else None
 
 
@@ -51,16 +50,26 @@ def cleaned_for_load(raw: DataFrame, plan: C.TypePlan, mapping: dict | None, as_
 
 
 def process_upload(spark: SparkSession, registry_path: str, sales_path: str, upload_id: str,
-                   as_of=None) -> dict:
-    """Load one upload. The result also says what did not read as its column's
+                   as_of=None, record=None, events: list | None = None) -> dict:
+    """Load one upload. With ``record`` (an object with ``status``, ``file_path``
+    and ``column_mapping``) the registry is not read, and with ``events`` the status
+    events are added to that list for a later ``registry.append_events``.
+    The result also says what did not read as its column's
     type: ``coerced`` values per column (they were filled), and loaded rows
     without a date or quantity."""
-    record = upload_record(spark, registry_path, upload_id)
+    record = record or upload_record(spark, registry_path, upload_id)
     if record is None:
         raise ValueError(f"Upload {upload_id} not found")
     if record.status == STATUS_PROCESSED:
         raise ValueError(f"Upload {upload_id} already processed")
-    R.record_status(spark, registry_path, upload_id, STATUS_PROCESSING)
+
+    def note(status, **attrs):
+        if events is None:
+            R.record_status(spark, registry_path, upload_id, status, **attrs)
+        else:
+            events.append(R.event(upload_id, status, **attrs))
+
+    note(STATUS_PROCESSING)
     try:
         raw, plan = planned(spark, record.file_path)
         ready = cleaned_for_load(raw, plan, record.column_mapping, as_of)
@@ -72,9 +81,9 @@ def process_upload(spark: SparkSession, registry_path: str, sales_path: str, upl
                             F.count_if(F.col("sales_quantity").isNull()).alias("quantity"))
         n = write_sales(rows, sales_path, as_of=as_of)
     except Exception as e:
-        R.record_status(spark, registry_path, upload_id, STATUS_ERROR, error_message=str(e))
+        note(STATUS_ERROR, error_message=str(e))
         raise
-    R.record_status(spark, registry_path, upload_id, STATUS_PROCESSED)
+    note(STATUS_PROCESSED)
     return {"upload_id": upload_id, "status": STATUS_PROCESSED, "rows_processed": n,
             "rows_inserted": n, "coerced": {c: k for c, k in plan.coerced.items() if k},
             "rows_without_date": int(seen.get["date"]),

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.functions.constants import PREVIEW_ROWS
+from ledgerloom.functions.constants import PREVIEW_ROWS, STATUS_UPLOADED
 from ledgerloom.functions.text import clean_names
 from ledgerloom.operators import cleaning as C
 from ledgerloom.operators import profiling as P
@@ -51,7 +51,10 @@ def typed_upload(spark: SparkSession, path: str) -> tuple[DataFrame, C.TypePlan,
 
 
 def profile_upload(spark: SparkSession, path: str, registry_path: str | None = None,
-                   upload_id: str | None = None, as_of=None) -> UploadResult:
+                   upload_id: str | None = None, as_of=None,
+                   events: list | None = None) -> UploadResult:
+    """Profile and register one file; with ``events`` the registry event is added to
+    that list for a later ``registry.append_events`` instead of being written."""
     adm = file_admission(spark, path).collect()
     if not adm or not adm[0].accepted:
         reason = adm[0].reason if adm else "file not found"
@@ -67,12 +70,14 @@ def profile_upload(spark: SparkSession, path: str, registry_path: str | None = N
     head = C.apply_types(C.first_rows(text, ROW_ID, PREVIEW_ROWS), plan)
     preview = [r.asDict() for r in P.preview(head, ROW_ID).drop(ROW_ID).collect()]
     filename = path.rstrip("/").split("/")[-1]
-    if registry_path:
-        R.register_upload(spark, registry_path, upload_id, filename=filename, file_path=path,
-                          file_size_bytes=int(adm[0].length),
-                          row_count=int(schema_doc["row_count"]),
-                          column_count=int(schema_doc["column_count"]),
-                          detected_schema=schema_doc, validation_report=report_row)
+    facts = R.event(upload_id, STATUS_UPLOADED, filename=filename, file_path=path,
+                    file_size_bytes=int(adm[0].length), row_count=int(schema_doc["row_count"]),
+                    column_count=int(schema_doc["column_count"]), detected_schema=schema_doc,
+                    validation_report=report_row)
+    if events is not None:
+        events.append(facts)
+    elif registry_path:
+        R.append_events(spark, registry_path, [facts])
     return UploadResult(upload_id, filename, "uploaded", schema_doc, report_row, preview)
 
 

@@ -1,16 +1,20 @@
 """The upload registry as an append-only Parquet event table.
 
-Each state change appends one event row; nothing is updated in place, so a
+Each state change is one event row; nothing is updated in place, so a
 retried or concurrent writer never loses an earlier fact, and the current
-state is a fold over events (``operators.uploads.latest_state``).
+state is a fold over events (``operators.uploads.latest_state``). Events lie in
+``BUCKETS`` folders by a hash of the upload id, so reading one upload opens one
+folder; ``append_events`` writes any number of events at once.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.constants import (
@@ -20,6 +24,8 @@ from ledgerloom.functions.constants import (
     STATUS_UPLOADED,
 )
 
+BUCKET, BUCKETS = "bucket", 64
+
 ISSUE_TYPE = T.StructType([
     T.StructField("severity", T.StringType()),
     T.StructField("type", T.StringType()),
@@ -85,21 +91,39 @@ def _now() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
-def append_event(spark: SparkSession, registry_path: str, upload_id: str, status: str | None,
-                 event_ts: _dt.datetime | None = None, **attrs) -> DataFrame:
-    """Append one event row and return it as a DataFrame."""
+def event(upload_id: str, status: str | None, event_ts: _dt.datetime | None = None, **attrs) -> dict:
+    """One event as a row of the registry."""
     unknown = set(attrs) - set(EVENT_SCHEMA.fieldNames())
     if unknown:
         raise ValueError(f"unknown registry attributes: {sorted(unknown)}")
-    row = {f: None for f in EVENT_SCHEMA.fieldNames()}
+    row = dict.fromkeys(EVENT_SCHEMA.fieldNames())
     row.update(attrs)
     row.update(upload_id=upload_id, seq=_SEQ.get(status, 2), event_ts=event_ts or _now(),
                status=status)
-    df = spark.createDataFrame([tuple(row[f] for f in EVENT_SCHEMA.fieldNames())], EVENT_SCHEMA)
-    df.coalesce(1).write.mode("append").parquet(registry_path)
+    return row
+
+
+def append_events(spark: SparkSession, registry_path: str, events: list[dict]) -> DataFrame | None:
+    """Append event rows (see ``event``) in one write, and return them as a DataFrame."""
+    if not events:
+        return None
+    df = spark.createDataFrame([tuple(e[f] for f in EVENT_SCHEMA.fieldNames()) for e in events],
+                               EVENT_SCHEMA)
+    df.withColumn(BUCKET, _bucket(F.col("upload_id"))).coalesce(1) \
+        .write.mode("append").partitionBy(BUCKET).parquet(registry_path)
     return df
 
 
+def _bucket(upload_id):
+    return F.pmod(F.crc32(upload_id.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def append_event(spark: SparkSession, registry_path: str, upload_id: str, status: str | None,
+                 event_ts: _dt.datetime | None = None, **attrs) -> DataFrame:
+    """Append one event row and return it as a DataFrame."""
+    return append_events(spark, registry_path, [event(upload_id, status, event_ts, **attrs)])
+
+
 def register_upload(spark: SparkSession, registry_path: str, upload_id: str, filename: str,
                     file_path: str, file_size_bytes: int | None = None,
                     row_count: int | None = None, column_count: int | None = None,
@@ -129,5 +153,12 @@ def save_mapping(spark: SparkSession, registry_path: str, upload_id: str,
                         column_mapping=dict(mapping))
 
 
-def read_events(spark: SparkSession, registry_path: str) -> DataFrame:
-    return spark.read.schema(EVENT_SCHEMA).parquet(registry_path)
+def read_events(spark: SparkSession, registry_path: str, upload_id: str | None = None) -> DataFrame:
+    """All events, or those of one upload (from its folder alone)."""
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField(BUCKET, T.IntegerType())])
+    events = spark.read.schema(schema).parquet(registry_path)
+    if upload_id is not None:
+        # A number, not an expression: the folder is picked when the scan is planned.
+        n = zlib.crc32(upload_id.encode()) % BUCKETS
+        events = events.filter((F.col(BUCKET) == n) & (F.col("upload_id") == upload_id))
+    return events.drop(BUCKET)

@@ -5,7 +5,9 @@ folder instead. The file stream source tracks which files are new (its
 progress lives in the query's checkpoint location, so a restarted or
 failed query resumes without re-reading finished files), and each
 micro-batch runs the same batch plans per new file: admission, profile and
-registration, and optionally the load into the sales table.
+registration, and optionally the load into the sales table. The files are
+handled one after the other by the driver, each by distributed jobs; more
+volume is met by larger files or by several landing folders.
 
 The upload id is derived from the file's path and modification time, so a
 micro-batch replayed after a failure re-registers the same id, and the load
@@ -15,11 +17,18 @@ guard refuses a second load of a processed upload.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.constants import STATUS_ERROR
+from ledgerloom.functions.constants import STATUS_ERROR, STATUS_PROCESSED, STATUS_UPLOADED
+from ledgerloom.operators.uploads import latest_state
+from ledgerloom.plans.process import process_upload
+from ledgerloom.plans.upload import profile_upload
+from ledgerloom.sources import registry as R
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -35,34 +44,51 @@ def new_files(spark: SparkSession, landing_dir: str, max_files: int = 100) -> Da
             .load(landing_dir).select("path", "modificationTime", "length"))
 
 
+@dataclass
+class _Accepted:
+    """What a load needs of an upload that this batch has just profiled."""
+
+    file_path: str
+    status: str = STATUS_UPLOADED
+    column_mapping: dict | None = None
+
+
 def handle_batch(spark: SparkSession, batch: DataFrame, registry_path: str,
                  sales_path: str | None, as_of=None) -> list[dict]:
     """Run the upload (and optionally the load) plan for each file of a micro-batch.
 
     The batch holds one row per new file (at most ``max_files``), so
-    collecting it brings file names, not data, to the driver.
+    collecting it brings file names, not data, to the driver. Uploads that a
+    replayed batch finds processed are skipped; all events of the batch are
+    appended in one write.
     """
-    from ledgerloom.plans.process import process_upload
-    from ledgerloom.plans.upload import profile_upload
-    from ledgerloom.sources import registry as R
-
-    results = []
-    for row in batch.select("path", "modificationTime").collect():
-        uid = upload_id_for(row.path, row.modificationTime)
+    files = batch.select("path", "modificationTime").collect()
+    ids = {upload_id_for(r.path, r.modificationTime): r.path for r in files}
+    done: set[str] = set()
+    try:
+        state = latest_state(R.read_events(spark, registry_path).filter(
+            F.col("upload_id").isin(list(ids))))
+        done = {r.upload_id for r in state.filter(F.col("status") == STATUS_PROCESSED).collect()}
+    except AnalysisException:
+        pass                                             # no registry yet
+    results, events = [], []
+    for uid, path in ids.items():
+        if uid in done:
+            results.append({"upload_id": uid, "path": path, "status": STATUS_PROCESSED})
+            continue
         try:
-            res = profile_upload(spark, row.path, registry_path, upload_id=uid, as_of=as_of)
-            out = {"upload_id": uid, "path": row.path, "status": res.status,
+            res = profile_upload(spark, path, upload_id=uid, as_of=as_of, events=events)
+            out = {"upload_id": uid, "path": path, "status": res.status,
                    "valid": res.validation["is_valid"]}
             if sales_path and res.validation["is_valid"]:
-                out.update(process_upload(spark, registry_path, sales_path, uid, as_of=as_of))
+                out.update(process_upload(spark, registry_path, sales_path, uid, as_of=as_of,
+                                          record=_Accepted(path), events=events))
         except Exception as e:  # noqa: BLE001 - one bad file must not stop the intake
-            if isinstance(e, ValueError) and "already processed" in str(e):
-                out = {"upload_id": uid, "path": row.path, "status": "processed"}
-            else:
-                R.append_event(spark, registry_path, uid, STATUS_ERROR, error_message=str(e),
-                               filename=row.path.rstrip("/").split("/")[-1], file_path=row.path)
-                out = {"upload_id": uid, "path": row.path, "status": STATUS_ERROR, "error": str(e)}
+            events.append(R.event(uid, STATUS_ERROR, error_message=str(e), file_path=path,
+                                  filename=path.rstrip("/").split("/")[-1]))
+            out = {"upload_id": uid, "path": path, "status": STATUS_ERROR, "error": str(e)}
         results.append(out)
+    R.append_events(spark, registry_path, events)
     return results
 
 
