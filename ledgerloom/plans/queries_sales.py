@@ -185,3 +185,25 @@ def q_sales_summary_fine(spark, sf):
         F.col("l_shipdate").alias("date"))
     return S.sales_summary(rows).select("upload_id", "total_records", "total_revenue",
                                         "average_revenue")
+
+
+# Registry attributes that events carry: set on arrival, the row count when processed.
+@query("upload_payload", _state_sql(
+    "select s.upload_id, s.upload_id || '.csv' as filename, status, cast(9 as bigint) as column_count, "
+    "case when status = 'processed' then cast(length(s.upload_id) * 100 as bigint) end as row_count, "
+    "uploaded_at, processed_at from state s order by uploaded_at desc, s.upload_id asc limit 10"))
+def q_upload_payload(spark, sf):
+    first, processed = F.col("seq") == 1, F.col("status") == "processed"
+    events = X.upload_events(spark, sf).withColumns({
+        "filename": F.when(first, F.concat("upload_id", F.lit(".csv"))),
+        "column_count": F.when(first, F.lit(9).cast("bigint")),
+        "row_count": F.when(processed, (F.length("upload_id") * 100).cast("bigint"))})
+    return U.list_uploads(U.latest_state(events))
+
+
+@query("list_sales_created", X.with_views(
+    f"select {_SALE_COLS}, strftime(sales.date + interval 93784500 milliseconds, '%Y-%m-%dT%H:%M:%S.%f') "
+    f"as created_at from sales where upload_id = '{UPLOAD}' order by sales.date desc, id asc limit 100", "sales"))
+def q_list_sales_created(spark, sf):
+    created = F.timestamp_add("MICROSECOND", F.lit(93_784_500_000), F.col("date"))
+    return S.list_sales(X.sales(spark, sf).withColumn("created_at", created), upload_id=UPLOAD)
