@@ -220,10 +220,18 @@ def verdict(rules, measures: Measures) -> Column:
     return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
 
 
+def from_words(text: Column, w: Column) -> Measures:
+    """Measures that take what they can from the text's list of words."""
+    return Measures(text, n_words=F.size(w).cast("long"),
+                    word_chars=F.length(F.array_join(w, "")).cast("long"),
+                    n_repeat_words=repeat_words_in(w))
+
+
 def apply_cascade(docs: DataFrame, rules=None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged."""
-    return docs.where(verdict(plan_cascade(docs, rules, text_col),
-                              Measures(F.col(text_col))))
+    text, order = F.col(text_col), plan_cascade(docs, rules, text_col)
+    # Bound by _let, the words are made once; a column would be made anew in every rule.
+    return docs.where(_let(words(text), lambda w: verdict(order, from_words(text, w))))
 
 
 WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
