@@ -81,6 +81,9 @@ def earlier_buckets(cand: np.ndarray, keys: list, bucket: int) -> np.ndarray:
     return cand
 
 
+TWO = np.array([[False, True], [False, False]])
+
+
 def _groups(batches, kernel, texts: bool):
     for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
         cols = {c: t.column(c).to_numpy() for c in ("bucket", "i", "j", "slot")}
@@ -97,6 +100,13 @@ def _groups(batches, kernel, texts: bool):
                 at = list(range(a, b))
             if len(at) < 2:
                 continue
+            if len(at) == 2 and hasattr(kernel, "pair"):      # most groups: no matrices
+                x, y = at
+                if (cols["i"][a] == cols["j"][a] or cols["slot"][x] != cols["slot"][y]) \
+                        and kernel.pair(int(sigs[x, 0]), int(sigs[y, 0]), int(cols["bucket"][a])):
+                    yield (int(cols["bucket"][a]), int(cols["i"][a]), int(cols["j"][a]),
+                           cols["slot"], ids, at, TWO, body)
+                continue
             cand = np.triu(kernel.candidates(sigs[at], int(cols["bucket"][a]),
                                              keys and [keys[x] for x in at]), 1)
             if cols["i"][a] != cols["j"][a]:
@@ -151,6 +161,11 @@ def _heavy(kernel):
     def run(batches):
         out = []
         for _, _, _, _, ids, at, cand, body in _groups(batches, kernel, True):
+            if cand is TWO:
+                if kernel.same(body[at[0]].as_py(), body[at[1]].as_py()):
+                    root = min(ids[at[0]], ids[at[1]])
+                    out += [(ids[at[0]], root, 1), (ids[at[1]], root, 1)]
+                continue
             linked = kernel.verified(body.take(pa.array(at)), cand)
             if not linked.any():
                 continue
@@ -181,7 +196,8 @@ def linked(needed: DataFrame, info: DataFrame, fetch, kernel, name: str) -> Data
 
     ``needed`` comes from the first pass; ``info`` has (id, sig array<bigint>)
     and, where the kernel reads it, keys. ``fetch(rows)`` adds text to rows.
-    ``kernel`` has ``candidates(sigs, bucket, keys)`` and ``verified(texts, candidates)``.
+    ``kernel`` has ``candidates(sigs, bucket, keys)`` and ``verified(texts, candidates)``, and
+    for signatures of one number may have ``pair`` and ``same`` for groups of two.
     """
     n = needed.count()
     full = needed.join(info, "id")

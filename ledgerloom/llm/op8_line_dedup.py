@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import buckets, textnp
-from ledgerloom.llm.common import small, stage, table
+from ledgerloom.llm.buckets import whole_groups
+from ledgerloom.llm.common import small, stage, table, unwrapped, wrapped
 from ledgerloom.llm.graph import components
 from ledgerloom.llm.registry import query
 
@@ -34,8 +35,9 @@ MIN_WORDS = 5
 MAX_BITS = 3
 BLOCKS, PICK = 5, 2
 MIN_EDIT = 0.9
-#: Rows that are broadcast at most, counted: bucket numbers, and documents with lines to drop.
-BROADCAST_BUCKETS = 1_000_000
+#: Buckets with this many lines, by a sample of one line in so many, are dealt over blocks.
+LARGE, SAMPLE_ONE_IN = 4096, 128
+#: Rows that are broadcast at most, counted: repeated lines, and documents with lines to drop.
 BROADCAST_DOCS = 200_000
 
 _codes = np.arange(256, dtype=np.uint8)
@@ -55,17 +57,16 @@ def normal_line(raw: bytes) -> str:
 
 def line_marks(data, offsets, powers, min_words=MIN_WORDS):
     """(text number, line number, h1, h2, simhash, words) of the lines with enough words."""
-    n = len(data)
     clean = NORMAL[data]
     starts, ends, _ = textnp.words(clean, offsets)
-    breaks = np.flatnonzero(data == 10) + 1
-    heads = offsets[:-1]
-    order = np.sort(np.concatenate([heads, breaks]), kind="stable") if n else heads
-    line_of = np.searchsorted(order, starts, side="right") - 1
-    first_line = np.searchsorted(order, heads, side="left")
-    # Texts that start at one offset (empty ones before it) hold no words; the last of them counts.
-    doc_of = np.searchsorted(heads, order, side="right") - 1
-    count = np.bincount(line_of, minlength=len(order))
+    breaks = np.flatnonzero(data == 10)
+    before = np.searchsorted(breaks, offsets)
+    first_line = np.concatenate([[0], np.cumsum(np.diff(before) + 1)])
+    # Empty texts start where the next one does and hold no words: the last text there counts.
+    word_doc = np.searchsorted(offsets[:-1], starts, side="right") - 1
+    line_of = first_line[word_doc] + np.searchsorted(breaks, starts) - before[word_doc]
+    doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first_line))
+    count = np.bincount(line_of, minlength=first_line[-1])
     good = np.flatnonzero(count >= min_words)
     word_hash = textnp.span_hashes(clean, starts, ends, powers)
     up, down = powers.upto(len(word_hash) + 1)
@@ -81,9 +82,7 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS):
     if len(good):
         bits = np.unpackbits(word_hash.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
                              bitorder="little")
-        votes = np.add.reduceat(bits, np.cumsum(count)[good] - count[good], axis=0,
-                                dtype=np.int32) if len(good) == len(order) else \
-            _votes(bits, begin, end)
+        votes = _votes(bits, begin, end)
         on = (2 * votes > count[good][:, None]).astype(np.uint8)
         sim = np.packbits(on, axis=1, bitorder="little").reshape(-1).view("<i8").astype(np.int64)
     doc = doc_of[good]
@@ -91,9 +90,17 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS):
 
 
 def _votes(bits, begin, end):
-    both = np.stack([begin, end], axis=1).reshape(-1)
-    padded = np.concatenate([bits, np.zeros((1, bits.shape[1]), bits.dtype)])
-    return np.add.reduceat(padded, both, axis=0, dtype=np.int32)[::2]
+    """Column sums of the 0/1 bytes of ``bits`` over the rows [begin, end) of each line.
+
+    Eight columns add up at once, as the bytes of one number, over at most 255 rows.
+    """
+    n_parts = (end - begin + 254) // 255
+    first = np.concatenate([[0], np.cumsum(n_parts)])[:-1]
+    start = np.repeat(begin, n_parts) + 255 * (np.arange(n_parts.sum()) - np.repeat(first, n_parts))
+    stop = np.minimum(start + 255, np.repeat(end, n_parts))
+    lanes = np.concatenate([bits, np.zeros((1, 64), np.uint8)]).view(np.uint64)
+    parts = np.add.reduceat(lanes, np.stack([start, stop], axis=1).reshape(-1), axis=0)[::2]
+    return np.add.reduceat(np.ascontiguousarray(parts).view(np.uint8).astype(np.int32), first, axis=0)
 
 
 def _lines(min_words: int):
@@ -111,8 +118,27 @@ def _lines(min_words: int):
     return run
 
 
+def _shared_start(a: str, b: str) -> int:
+    """How many first characters are equal, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as bits of one integer."""
+    """Levenshtein distance, a column of the table at a time as bits of one integer.
+
+    Equal starts and ends are cut off first; they never change the distance.
+    """
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_start(a[::-1], b[::-1])
+    a, b = a[:len(a) - end], b[:len(b) - end]
     if len(a) < len(b):
         a, b = b, a
     if not b:
@@ -139,18 +165,75 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+class Blocks:
+    """Tables of bucket keys: one per choice of ``pick`` out of ``n`` bit blocks.
+
+    A key holds the chosen blocks' bits and, in the low bits, its table.
+    """
+
+    TABLES = 64
+
+    def __init__(self, n: int, pick: int):
+        edges = [round(k * 64 / n) for k in range(n + 1)]
+        self.ranges = list(zip(edges, edges[1:]))
+        self.choices = list(combinations(range(n), pick))
+        if len(self.choices) > self.TABLES or max(
+                sum(b - a for a, b in (self.ranges[k] for k in c)) for c in self.choices) > 56:
+            raise ValueError("too many tables or too wide keys")
+
+    def keys(self, sim: Column) -> Column:
+        out = []
+        for n, choice in enumerate(self.choices):
+            key = F.lit(0).cast("bigint")
+            for k in choice:
+                a, b = self.ranges[k]
+                part = F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << b - a) - 1).cast("bigint"))
+                key = F.shiftleft(key, b - a).bitwiseOR(part)
+            out.append(key * self.TABLES + n)
+        return F.array(*out)
+
+    def first_table(self, differ: np.ndarray) -> np.ndarray:
+        """The first table where SimHashes that differ in these bits meet."""
+        same = [(differ >> np.uint64(a)) & np.uint64((1 << b - a) - 1) == 0 for a, b in self.ranges]
+        out = np.full(differ.shape, -1, dtype=np.int64)
+        for n in range(len(self.choices) - 1, -1, -1):
+            meet = same[self.choices[n][0]]
+            for k in self.choices[n][1:]:
+                meet = meet & same[k]
+            out[meet] = n
+        return out
+
+
+    def first_of(self, differ: int) -> int:
+        """``first_table`` of one number."""
+        same = [not differ >> a & (1 << b - a) - 1 for a, b in self.ranges]
+        return next((n for n, choice in enumerate(self.choices) if all(same[k] for k in choice)), -1)
+
+
 class Kernel:
     """Candidates are within MAX_BITS bits; verified pairs reach the edit similarity.
 
-    Only connections count here, so pairs already connected are not measured.
+    A pair belongs to the first table where it meets. Only connections count
+    here, so pairs already connected are not measured.
     """
 
-    def __init__(self, max_bits: int, min_edit: float):
-        self.max_bits, self.min_edit = max_bits, min_edit
+    def __init__(self, blocks: Blocks, max_bits: int, min_edit: float):
+        self.blocks, self.max_bits, self.min_edit = blocks, max_bits, min_edit
 
-    def similar(self, sigs: np.ndarray) -> np.ndarray:
+    def candidates(self, sigs: np.ndarray, bucket: int, keys=None) -> np.ndarray:
         s = sigs[:, 0].view(np.uint64)
-        return np.bitwise_count(s[:, None] ^ s[None, :]) <= self.max_bits
+        differ = s[:, None] ^ s[None, :]
+        near = np.bitwise_count(differ) <= self.max_bits
+        near[near] = self.blocks.first_table(differ[near]) == bucket % Blocks.TABLES
+        return near
+
+    def pair(self, a: int, b: int, bucket: int) -> bool:
+        differ = (a ^ b) & (1 << 64) - 1
+        return differ.bit_count() <= self.max_bits \
+            and self.blocks.first_of(differ) == bucket % Blocks.TABLES
+
+    def same(self, a: str, b: str) -> bool:
+        return self.alike(normal_line(a.encode()), normal_line(b.encode()))
 
     def verified(self, texts, cand: np.ndarray) -> np.ndarray:
         lines = [normal_line(x.encode()) for x in texts.to_pylist()]
@@ -171,19 +254,48 @@ class Kernel:
         return out
 
     def alike(self, a: str, b: str) -> bool:
-        longer = max(len(a), len(b))
-        if longer - min(len(a), len(b)) > (1 - self.min_edit) * longer + 1e-9:
+        limit = (1 - self.min_edit) * max(len(a), len(b)) + 1e-9
+        if abs(len(a) - len(b)) > limit:
             return False
-        return edit_distance(a, b) <= (1 - self.min_edit) * longer + 1e-9
-
-
-def _block_keys(sim: Column, n_blocks: int, pick: int) -> Column:
-    """A key per choice of ``pick`` bit blocks out of ``n_blocks``."""
-    edges = [round(k * 64 / n_blocks) for k in range(n_blocks + 1)]
-    parts = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << b - a) - 1).cast("bigint"))
-             for a, b in zip(edges, edges[1:])]
-    return F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in c])
-                     for n, c in enumerate(combinations(range(n_blocks), pick))])
+        start = _shared_start(a, b)
+        a, b = a[start:], b[start:]
+        end = _shared_start(a[::-1], b[::-1])
+        a, b = a[:len(a) - end], b[:len(b) - end]
+        # Upper bounds first: rewriting all of the middle, or the words in it that differ.
+        if max(len(a), len(b)) <= limit:
+            return True
+        v, w = a.split(" "), b.split(" ")
+        if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= limit:
+            return True
+        return edit_distance(a, b) <= limit
+
+    def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that are in a candidate pair of their (bucket, i, j) group.
+
+        Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
+        small groups costs a few array operations.
+        """
+        names = ["bucket", "i", "j", "slot", "h1", "h2"]
+        for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
+            col = {c: t.column(c).to_numpy() for c in (*names, "sim")}
+            sim = col["sim"].view(np.uint64)
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            table, cross = col["bucket"] % Blocks.TABLES, col["i"] != col["j"]
+            hit = np.zeros(len(sim), dtype=bool)
+            at = np.arange(len(sim))
+            for apart in range(1, int(np.diff(bounds).max(initial=1))):
+                at = at[at + apart < len(sim)]
+                at = at[group[at] == group[at + apart]]
+                if not len(at):
+                    break
+                differ = sim[at] ^ sim[at + apart]
+                near = np.bitwise_count(differ) <= self.max_bits
+                a, b = at[near], at[near] + apart
+                own = (self.blocks.first_table(differ[near]) == table[a]) \
+                    & (~cross[a] | (col["slot"][a] != col["slot"][b]))
+                hit[a[own]] = hit[b[own]] = True
+            rows = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(col[c][rows]) for c in names], names=names)
 
 
 def _where_first(doc: Column, md5: Column, line_no: Column) -> Column:
@@ -191,11 +303,37 @@ def _where_first(doc: Column, md5: Column, line_no: Column) -> Column:
                     line_no.alias("line_no"))
 
 
+def _id() -> Column:
+    return F.concat_ws(".", "h1", "h2")
+
+
+def _near(different: DataFrame, kernel: Kernel) -> DataFrame:
+    """(bucket, i, j, slot, h1, h2) of the lines with a candidate in a bucket.
+
+    Buckets that a sample shows to be large are dealt out over pairs of blocks.
+    """
+    keyed = different.select(F.explode(kernel.blocks.keys(F.col("sim"))).alias("bucket"), "sim",
+                             "h1", "h2")
+    large = stage(keyed.where(F.pmod(F.xxhash64("h1"), F.lit(SAMPLE_ONE_IN)) == 0)
+                  .groupBy("bucket").agg((F.count("*") * SAMPLE_ONE_IN).alias("n"))
+                  .where(F.col("n") >= LARGE).withColumnRenamed("bucket", "_bucket"), "large")
+    k = F.coalesce(F.ceil(F.col("n") / buckets.BLOCK), F.lit(1)).cast("int")
+    rows = keyed.join(F.broadcast(large), F.col("bucket") == F.col("_bucket"), "left") \
+        .withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("h2"), F.col("k")).cast("int"))
+    rows = rows.select("bucket", "sim", "h1", "h2", "slot", F.explode(
+        F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    rows = rows.select("bucket", F.least("slot", "other").alias("i"),
+                       F.greatest("slot", "other").alias("j"), "slot", "sim", "h1", "h2")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
+        .mapInArrow(kernel.near_rows, "bucket long, i int, j int, slot int, h1 long, h2 long")
+
+
 def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
                   max_bits=MAX_BITS, min_edit=MIN_EDIT, n_blocks=BLOCKS, pick=PICK) -> DataFrame:
     """(doc_id, md5, drop): per document the line numbers (from 0) to drop. Staged."""
     if n_blocks - max_bits < pick:
         raise ValueError("lines within max_bits could share fewer blocks than pick")
+    kernel = Kernel(Blocks(n_blocks, pick), max_bits, min_edit)
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.md5(text_col).alias("md5"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -203,34 +341,31 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
                                  "h1 long, h2 long, sim long, n_words int"), "lines")
     where = _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no"))
     different = stage(seen.groupBy("h1", "h2").agg(
-        F.min(where).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("n"))
-        .select(F.concat_ws(".", F.hex("h1"), F.hex("h2")).alias("id"), "h1", "h2", "first", "sim",
-                F.col("n").alias("times")), "different")
-    keyed = different.select(F.explode(_block_keys(F.col("sim"), n_blocks, pick)).alias("bucket"),
-                             "id")
-    counts = stage(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-                   .withColumnRenamed("bucket", "_bucket"), "bucket-sizes")
-    members = stage(keyed.join(small(counts, counts.count(), BROADCAST_BUCKETS),
-                               F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
+        F.min(where).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("times")),
+        "different")
+    needed = stage(_near(different, kernel).withColumn("id", _id()).drop("h1", "h2"), "near-lines")
 
     def fetch(needed: DataFrame) -> DataFrame:
-        at = needed.join(different.select("id", "first"), "id").select(
+        at = needed.join(different.select(_id().alias("id"), "first"), "id").select(
             *needed.columns, F.col("first.doc_id").alias("_doc"), F.col("first.md5").alias("_md5"),
             F.col("first.line_no").alias("_no"))
         found = rows.join(at, F.col("doc_id").eqNullSafe(F.col("_doc"))
                           & (F.col("md5") == F.col("_md5")))
         return found.withColumn("text", F.get(F.split("text", "\n", -1), F.col("_no")))
 
-    found = buckets.linked(members, different.select("id", F.array("sim").alias("sig")), fetch,
-                           Kernel(max_bits, min_edit), "lines")
+    found = buckets.linked(needed, different.select(_id().alias("id"), F.array("sim").alias("sig")),
+                           fetch, kernel, "lines")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    groups = different.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    firsts = groups.where("times > 1 or root <> id").select("root").unionByName(
-        roots.select("root")).distinct()
-    many = groups.join(firsts, "root")
-    keep = many.groupBy("root").agg(F.min("first").alias("keep"))
-    repeated = stage(many.join(keep, "root").select(
-        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "keep"), "repeated")
+    grouped = different.join(roots, _id() == F.col("id"), "left") \
+        .select("h1", "h2", "first", "times", F.col("root"))
+    # Groups of several lines keep their first occurrence; a line alone matters when it repeats.
+    keep = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("keep")) \
+        .withColumnRenamed("root", "_root")
+    alone = grouped.where("root is null and times > 1").select("h1", "h2", F.col("first").alias("keep"))
+    many = grouped.where("root is not null").join(keep, F.col("root") == F.col("_root")) \
+        .select("h1", "h2", "keep")
+    repeated = stage(alone.unionByName(many).withColumnsRenamed({"h1": "_h1", "h2": "_h2"}),
+                     "repeated")
     n = repeated.count()
     gone = seen.join(small(repeated, n, BROADCAST_DOCS),
                      (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(
@@ -239,19 +374,22 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
         F.sort_array(F.collect_set("line_no")).alias("drop")), "dropped")
 
 
-def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", **params) -> DataFrame:
-    """``docs`` with repeated lines taken out of the text, plus ``_lines`` and ``_dropped``."""
+def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", lines_col="_lines",
+                    dropped_col="_dropped", **params) -> DataFrame:
+    """``docs`` with repeated lines taken out of the text, plus the numbers of lines and of
+    dropped lines."""
     drops = dropped_lines(docs, id_col, text_col, **params)
     n = drops.count()
-    drops = drops.withColumnsRenamed({"doc_id": "_doc", "md5": "_md5", "drop": "_drop"})
-    on = F.col(id_col).eqNullSafe(F.col("_doc")) & (F.md5(text_col) == F.col("_md5"))
-    joined = docs.join(small(drops, n, BROADCAST_DOCS), on, "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(
-        F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    return joined.withColumns({text_col: text, "_lines": F.coalesce(F.size(lines), F.lit(0)),
-                               "_dropped": F.coalesce(F.size("_drop"), F.lit(0))}) \
-        .drop("_doc", "_md5", "_drop")
+    rows = wrapped(docs, doc=F.col(id_col), md5=F.md5(text_col), text=F.col(text_col))
+    drops = drops.withColumnsRenamed({"doc_id": "d_doc", "md5": "d_md5"})
+    on = F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("md5") == F.col("d_md5"))
+    joined = rows.join(small(drops, n, BROADCAST_DOCS), on, "left")
+    lines = F.split("text", "\n", -1)
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(
+        F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
+    return unwrapped(joined, docs.columns, **{
+        text_col: text, lines_col: F.coalesce(F.size(lines), F.lit(0)),
+        dropped_col: F.coalesce(F.size("drop"), F.lit(0))})
 
 
 @query("op8_line_dedup")
