@@ -17,6 +17,7 @@ are one document and lose the same lines. Extra columns stay untouched.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -267,6 +268,10 @@ class Kernel:
         v, w = a.split(" "), b.split(" ")
         if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= limit:
             return True
+        # A lower bound: characters that only one side has must all be changed.
+        x, y = Counter(a), Counter(b)
+        if max((x - y).total(), (y - x).total()) > limit:
+            return False
         return edit_distance(a, b) <= limit
 
     def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
