@@ -103,7 +103,7 @@ def _groups(batches, kernel, texts: bool):
             if len(at) == 2 and hasattr(kernel, "pair"):      # most groups: no matrices
                 x, y = at
                 if (cols["i"][a] == cols["j"][a] or cols["slot"][x] != cols["slot"][y]) \
-                        and kernel.pair(int(sigs[x, 0]), int(sigs[y, 0]), int(cols["bucket"][a])):
+                        and kernel.pair(sigs[x], sigs[y], int(cols["bucket"][a])):
                     yield (int(cols["bucket"][a]), int(cols["i"][a]), int(cols["j"][a]),
                            cols["slot"], ids, at, TWO, body)
                 continue
@@ -197,7 +197,7 @@ def linked(needed: DataFrame, info: DataFrame, fetch, kernel, name: str) -> Data
     ``needed`` comes from the first pass; ``info`` has (id, sig array<bigint>)
     and, where the kernel reads it, keys. ``fetch(rows)`` adds text to rows.
     ``kernel`` has ``candidates(sigs, bucket, keys)`` and ``verified(texts, candidates)``, and
-    for signatures of one number may have ``pair`` and ``same`` for groups of two.
+    for groups of two may have ``pair`` (of two signatures) and ``same`` (of two texts).
     """
     n = needed.count()
     full = needed.join(info, "id")

@@ -1,14 +1,15 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line per group.
+"""Fuzzy line dedup: min-hash bands, edit similarity, one line per group.
 
 Lines are normalised (ASCII letters to lower case, digits to 0, ASCII
 punctuation and white space to single spaces); lines with fewer than MIN_WORDS
 words are never touched. Equal normalised lines collapse by a 128-bit hash.
-Each different line has a 64-bit SimHash of its words; lines within MAX_BITS
-bits of each other agree on at least ``PICK`` of ``BLOCKS`` bit blocks, so every
-choice of PICK blocks is a bucket key. Pairs in a bucket within MAX_BITS bits
-are verified by edit similarity (Levenshtein distance over the longer length)
-on the normalised lines. Connected lines form a group, of which the first
-occurrence (by document id, then text, then line number) stays.
+Each different line has BANDS bucket keys, each of ROWS min-hashes of its GRAM-byte
+substrings: lines that share a part J of their substrings meet in a bucket with
+probability 1 - (1 - J^ROWS)^BANDS, 0.99 at J = 0.56 (one word of ten replaced).
+Pairs in a bucket whose lengths allow it are verified by edit similarity
+(Levenshtein distance over the longer length) on the normalised lines. Connected
+lines form a group, of which the first occurrence (by document id, then text,
+then line number) stays.
 
 Defined results: a null text stays null; a text without lines to drop stays as
 it is, down to its bytes. Null ids come last. Rows that repeat both id and text
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,16 @@ from ledgerloom.llm.graph import components
 from ledgerloom.llm.registry import query
 
 MIN_WORDS = 5
-MAX_BITS = 3
-BLOCKS, PICK = 5, 2
+#: Bits of a 64-bit SimHash in which two lines may differ: any. Only edit similarity decides.
+MAX_BITS = 64
+GRAM, ROWS, BANDS = 8, 2, 12
 MIN_EDIT = 0.9
 #: Buckets with this many lines, by a sample of one line in so many, are dealt over blocks.
 LARGE, SAMPLE_ONE_IN = 4096, 128
 #: Rows that are broadcast at most, counted: repeated lines, and documents with lines to drop.
 BROADCAST_DOCS = 200_000
+#: 64-bit ids that are broadcast at most, counted.
+BROADCAST_IDS = 1_000_000
 
 _codes = np.arange(256, dtype=np.uint8)
 NORMAL = _codes.copy()
@@ -48,6 +51,10 @@ NORMAL[ord("a"):ord("z") + 1] = _codes[ord("a"):ord("z") + 1]
 NORMAL[ord("A"):ord("Z") + 1] = _codes[ord("a"):ord("z") + 1]
 NORMAL[ord("0"):ord("9") + 1] = ord("0")
 OTHER = np.uint64(0xD6E8FEB86659FD93)
+_rng = np.random.default_rng(88)
+SEEDS = _rng.integers(1, 2**31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Buckets are numbered by key and, in the low bits, band.
+TABLES = 64
 
 
 def normal_line(raw: bytes) -> str:
@@ -57,7 +64,7 @@ def normal_line(raw: bytes) -> str:
 
 
 def line_marks(data, offsets, powers, min_words=MIN_WORDS):
-    """(text number, line number, h1, h2, simhash, words) of the lines with enough words."""
+    """(text number, line number, h1, h2, band keys, characters) of the lines with enough words."""
     clean = NORMAL[data]
     starts, ends, _ = textnp.words(clean, offsets)
     breaks = np.flatnonzero(data == 10)
@@ -79,29 +86,42 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS):
             total = np.zeros(len(h) + 1, dtype=np.uint64)
             np.cumsum(h * up[:len(h)], out=total[1:])
             marks.append(textnp.mix64((total[end] - total[begin]) * down[begin]).view(np.int64))
-    sim = np.zeros(len(good), dtype=np.int64)
-    if len(good):
-        bits = np.unpackbits(word_hash.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
-                             bitorder="little")
-        votes = _votes(bits, begin, end)
-        on = (2 * votes > count[good][:, None]).astype(np.uint8)
-        sim = np.packbits(on, axis=1, bitorder="little").reshape(-1).view("<i8").astype(np.int64)
+    keys, chars = _bands(clean, starts, ends, begin, end)
     doc = doc_of[good]
-    return doc, good - first_line[doc], *marks, sim, count[good]
-
-
-def _votes(bits, begin, end):
-    """Column sums of the 0/1 bytes of ``bits`` over the rows [begin, end) of each line.
-
-    Eight columns add up at once, as the bytes of one number, over at most 255 rows.
-    """
-    n_parts = (end - begin + 254) // 255
-    first = np.concatenate([[0], np.cumsum(n_parts)])[:-1]
-    start = np.repeat(begin, n_parts) + 255 * (np.arange(n_parts.sum()) - np.repeat(first, n_parts))
-    stop = np.minimum(start + 255, np.repeat(end, n_parts))
-    lanes = np.concatenate([bits, np.zeros((1, 64), np.uint8)]).view(np.uint64)
-    parts = np.add.reduceat(lanes, np.stack([start, stop], axis=1).reshape(-1), axis=0)[::2]
-    return np.add.reduceat(np.ascontiguousarray(parts).view(np.uint8).astype(np.int32), first, axis=0)
+    return doc, good - first_line[doc], *marks, keys, chars
+
+
+def _bands(clean, starts, ends, begin, end):
+    """Band keys, and numbers of characters, of the lines that hold the words [begin, end)."""
+    if not len(begin):
+        return np.zeros((0, BANDS), np.int32), np.zeros(0, np.int32)
+    # The normalised lines: words with one space after each.
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    norm = np.full(at[-1] + GRAM, 32, dtype=np.uint8)
+    move = np.repeat(at[:-1] - starts, size)
+    source = np.arange(len(move)) + np.repeat(starts - np.cumsum(size) + size, size)
+    norm[source + move] = clean[source]
+    start, stop = at[begin], at[end] - 1
+    leads = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
+    chars = (leads[stop] - leads[start]).astype(np.int32)
+    grams = np.empty(at[-1], dtype="<u8")
+    for k in range(GRAM):
+        part = norm[k:k + (at[-1] - k + GRAM - 1) // GRAM * GRAM].view("<u8")
+        grams[k::GRAM] = part[:len(grams[k::GRAM])]
+    short = np.flatnonzero(stop - start < GRAM)
+    grams[start[short]] &= (np.uint64(1) << (8 * (stop - start)[short]).astype(np.uint64)) - np.uint64(1)
+    grams = np.append((textnp.mix64(grams) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    cut = np.stack([start, np.maximum(stop - GRAM + 1, start + 1)], axis=1).reshape(-1)
+    keys = np.empty((len(begin), BANDS), dtype=np.int32)
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            key = np.zeros(len(begin), dtype=np.uint64)
+            for seed in SEEDS[band]:
+                low = np.minimum.reduceat(grams * seed, cut)[::2]
+                key = textnp.mix64((key << np.uint64(32)) ^ key ^ low)
+            keys[:, band] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return keys, chars
 
 
 def _lines(min_words: int):
@@ -110,12 +130,14 @@ def _lines(min_words: int):
         for batch in batches:
             rest = batch.select(["doc_id", "md5"])
             for i, j, data, offsets in textnp.blocks(batch.column("text")):
-                doc, no, h1, h2, sim, count = line_marks(data, offsets, powers, min_words)
+                doc, no, h1, h2, keys, chars = line_marks(data, offsets, powers, min_words)
+                bands = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
                 part = rest.slice(i, j - i).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(no, pa.int32()), pa.array(h1), pa.array(h2),
-                     pa.array(sim), pa.array(count, pa.int32())],
-                    names=["doc_id", "md5", "line_no", "h1", "h2", "sim", "n_words"])
+                     bands, pa.array(chars)],
+                    names=["doc_id", "md5", "line_no", "h1", "h2", "bands", "chars"])
     return run
 
 
@@ -166,72 +188,24 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-class Blocks:
-    """Tables of bucket keys: one per choice of ``pick`` out of ``n`` bit blocks.
-
-    A key holds the chosen blocks' bits and, in the low bits, its table.
-    """
-
-    TABLES = 64
-
-    def __init__(self, n: int, pick: int):
-        edges = [round(k * 64 / n) for k in range(n + 1)]
-        self.ranges = list(zip(edges, edges[1:]))
-        self.choices = list(combinations(range(n), pick))
-        if len(self.choices) > self.TABLES or max(
-                sum(b - a for a, b in (self.ranges[k] for k in c)) for c in self.choices) > 56:
-            raise ValueError("too many tables or too wide keys")
-
-    def keys(self, sim: Column) -> Column:
-        out = []
-        for n, choice in enumerate(self.choices):
-            key = F.lit(0).cast("bigint")
-            for k in choice:
-                a, b = self.ranges[k]
-                part = F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << b - a) - 1).cast("bigint"))
-                key = F.shiftleft(key, b - a).bitwiseOR(part)
-            out.append(key * self.TABLES + n)
-        return F.array(*out)
-
-    def first_table(self, differ: np.ndarray) -> np.ndarray:
-        """The first table where SimHashes that differ in these bits meet."""
-        same = [(differ >> np.uint64(a)) & np.uint64((1 << b - a) - 1) == 0 for a, b in self.ranges]
-        out = np.full(differ.shape, -1, dtype=np.int64)
-        for n in range(len(self.choices) - 1, -1, -1):
-            meet = same[self.choices[n][0]]
-            for k in self.choices[n][1:]:
-                meet = meet & same[k]
-            out[meet] = n
-        return out
-
-
-    def first_of(self, differ: int) -> int:
-        """``first_table`` of one number."""
-        same = [not differ >> a & (1 << b - a) - 1 for a, b in self.ranges]
-        return next((n for n, choice in enumerate(self.choices) if all(same[k] for k in choice)), -1)
-
-
 class Kernel:
-    """Candidates are within MAX_BITS bits; verified pairs reach the edit similarity.
+    """Candidates share a band; verified pairs reach the edit similarity.
 
-    A pair belongs to the first table where it meets. Only connections count
+    A pair belongs to the first band that it shares. Only connections count
     here, so pairs already connected are not measured.
     """
 
-    def __init__(self, blocks: Blocks, max_bits: int, min_edit: float):
-        self.blocks, self.max_bits, self.min_edit = blocks, max_bits, min_edit
+    def __init__(self, min_edit: float):
+        self.min_edit = min_edit
 
     def candidates(self, sigs: np.ndarray, bucket: int, keys=None) -> np.ndarray:
-        s = sigs[:, 0].view(np.uint64)
-        differ = s[:, None] ^ s[None, :]
-        near = np.bitwise_count(differ) <= self.max_bits
-        near[near] = self.blocks.first_table(differ[near]) == bucket % Blocks.TABLES
-        return near
+        own = np.ones((len(sigs), len(sigs)), dtype=bool)
+        for band in range(bucket % TABLES):
+            own &= sigs[:, band, None] != sigs[None, :, band]
+        return own
 
-    def pair(self, a: int, b: int, bucket: int) -> bool:
-        differ = (a ^ b) & (1 << 64) - 1
-        return differ.bit_count() <= self.max_bits \
-            and self.blocks.first_of(differ) == bucket % Blocks.TABLES
+    def pair(self, a: np.ndarray, b: np.ndarray, bucket: int) -> bool:
+        return int(np.argmax(a == b)) == bucket % TABLES
 
     def same(self, a: str, b: str) -> bool:
         return self.alike(normal_line(a.encode()), normal_line(b.encode()))
@@ -272,33 +246,43 @@ class Kernel:
         x, y = Counter(a), Counter(b)
         if max((x - y).total(), (y - x).total()) > limit:
             return False
+        # Another: one edit changes at most q substrings of length q.
+        q = GRAM // 2
+        x, y = (Counter([c[k:k + q] for k in range(len(c) - q + 1)]) for c in (a, b))
+        if max((x - y).total(), (y - x).total()) > q * limit:
+            return False
         return edit_distance(a, b) <= limit
 
     def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that are in a candidate pair of their (bucket, i, j) group.
 
-        Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
-        small groups costs a few array operations.
+        Candidates have lengths that are near enough and, where rows carry all their
+        bands, share no earlier one. Looks at rows 1, 2, 3 ... apart while they share
+        a group, so a batch of small groups costs a few array operations.
         """
-        names = ["bucket", "i", "j", "slot", "h1", "h2"]
         for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
-            col = {c: t.column(c).to_numpy() for c in (*names, "sim")}
-            sim = col["sim"].view(np.uint64)
+            names = [c for c in t.column_names if c not in ("chars", "bands")]
+            col = {c: t.column(c).to_numpy() for c in (*names, "chars")}
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) \
+                if "bands" in t.column_names else None
+            chars, table, cross = col["chars"], col["bucket"] % TABLES, col["i"] != col["j"]
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            table, cross = col["bucket"] % Blocks.TABLES, col["i"] != col["j"]
-            hit = np.zeros(len(sim), dtype=bool)
-            at = np.arange(len(sim))
+            hit = np.zeros(len(chars), dtype=bool)
+            at = np.arange(len(chars))
             for apart in range(1, int(np.diff(bounds).max(initial=1))):
-                at = at[at + apart < len(sim)]
+                at = at[at + apart < len(chars)]
                 at = at[group[at] == group[at + apart]]
                 if not len(at):
                     break
-                differ = sim[at] ^ sim[at + apart]
-                near = np.bitwise_count(differ) <= self.max_bits
-                a, b = at[near], at[near] + apart
-                own = (self.blocks.first_table(differ[near]) == table[a]) \
-                    & (~cross[a] | (col["slot"][a] != col["slot"][b]))
-                hit[a[own]] = hit[b[own]] = True
+                a, b = at, at + apart
+                near = np.abs(chars[a] - chars[b]) \
+                    <= (1 - self.min_edit) * np.maximum(chars[a], chars[b]) + 1e-9
+                near &= ~cross[a] | (col["slot"][a] != col["slot"][b])
+                a, b = a[near], b[near]
+                if bands is not None:
+                    own = np.argmax(bands[a] == bands[b], axis=1) == table[a]
+                    a, b = a[own], b[own]
+                hit[a] = hit[b] = True
             rows = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([pa.array(col[c][rows]) for c in names], names=names)
 
@@ -312,53 +296,70 @@ def _id() -> Column:
     return F.concat_ws(".", "h1", "h2")
 
 
-def _near(different: DataFrame, kernel: Kernel) -> DataFrame:
-    """(bucket, i, j, slot, h1, h2) of the lines with a candidate in a bucket.
+def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
+    """(bucket, i, j, slot, h1, h2) of the lines with a candidate in a bucket, and the rows of
+    ``different`` that may be among them.
 
-    Buckets that a sample shows to be large are dealt out over pairs of blocks.
+    Buckets that a sample shows to be large are dealt out over pairs of blocks. A first pass
+    looks at lengths only; the lines it leaves bring all their bands.
     """
-    keyed = different.select(F.explode(kernel.blocks.keys(F.col("sim"))).alias("bucket"), "sim",
-                             "h1", "h2")
+    keyed = different.select(F.posexplode("bands").alias("band", "key"), "chars", "h1").select(
+        (F.col("key").cast("bigint") * TABLES + F.col("band")).alias("bucket"), "chars", "h1")
     large = stage(keyed.where(F.pmod(F.xxhash64("h1"), F.lit(SAMPLE_ONE_IN)) == 0)
                   .groupBy("bucket").agg((F.count("*") * SAMPLE_ONE_IN).alias("n"))
                   .where(F.col("n") >= LARGE).withColumnRenamed("bucket", "_bucket"), "large")
     k = F.coalesce(F.ceil(F.col("n") / buckets.BLOCK), F.lit(1)).cast("int")
     rows = keyed.join(F.broadcast(large), F.col("bucket") == F.col("_bucket"), "left") \
-        .withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("h2"), F.col("k")).cast("int"))
-    rows = rows.select("bucket", "sim", "h1", "h2", "slot", F.explode(
+        .withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("k")).cast("int"))
+    rows = rows.select("bucket", "chars", "h1", "slot", F.explode(
         F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     rows = rows.select("bucket", F.least("slot", "other").alias("i"),
-                       F.greatest("slot", "other").alias("j"), "slot", "sim", "h1", "h2")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j") \
-        .mapInArrow(kernel.near_rows, "bucket long, i int, j int, slot int, h1 long, h2 long")
+                       F.greatest("slot", "other").alias("j"), "slot", "chars", "h1")
+
+    def passed(rows: DataFrame, kinds: str, name: str) -> DataFrame:
+        return stage(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+                     .mapInArrow(kernel.near_rows, f"bucket long, i int, j int, slot int, {kinds}"),
+                     name)
+
+    hits = passed(rows, "h1 long", "near-lengths")
+    ids = stage(hits.select(F.col("h1").alias("_h1")).distinct(), "near-ids")
+    some = stage(different.join(small(ids, ids.count(), BROADCAST_IDS), F.col("h1") == F.col("_h1"),
+                                "left_semi"), "near-different")
+    full = hits.join(some.select("h1", "h2", "chars", "bands"), "h1").select(
+        "bucket", "i", "j", "slot", "h1", "h2", "chars", "bands")
+    return passed(full, "h1 long, h2 long", "near-lines"), some
 
 
 def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
-                  max_bits=MAX_BITS, min_edit=MIN_EDIT, n_blocks=BLOCKS, pick=PICK) -> DataFrame:
+                  min_edit=MIN_EDIT) -> DataFrame:
     """(doc_id, md5, drop): per document the line numbers (from 0) to drop. Staged."""
-    if n_blocks - max_bits < pick:
-        raise ValueError("lines within max_bits could share fewer blocks than pick")
-    kernel = Kernel(Blocks(n_blocks, pick), max_bits, min_edit)
+    kernel = Kernel(min_edit)
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.md5(text_col).alias("md5"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     seen = stage(rows.mapInArrow(_lines(min_words), f"doc_id {kind}, md5 string, line_no int, "
-                                 "h1 long, h2 long, sim long, n_words int"), "lines")
+                                 "h1 long, h2 long, bands array<int>, chars int"), "lines")
     where = _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no"))
     different = stage(seen.groupBy("h1", "h2").agg(
-        F.min(where).alias("first"), F.max("sim").alias("sim"), F.count("*").alias("times")),
+        F.min(where).alias("first"), F.any_value("bands").alias("bands"),
+        F.max("chars").alias("chars"), F.count("*").alias("times")),
         "different")
-    needed = stage(_near(different, kernel).withColumn("id", _id()).drop("h1", "h2"), "near-lines")
-
-    def fetch(needed: DataFrame) -> DataFrame:
-        at = needed.join(different.select(_id().alias("id"), "first"), "id").select(
-            *needed.columns, F.col("first.doc_id").alias("_doc"), F.col("first.md5").alias("_md5"),
-            F.col("first.line_no").alias("_no"))
-        found = rows.join(at, F.col("doc_id").eqNullSafe(F.col("_doc"))
-                          & (F.col("md5") == F.col("_md5")))
-        return found.withColumn("text", F.get(F.split("text", "\n", -1), F.col("_no")))
-
-    found = buckets.linked(needed, different.select(_id().alias("id"), F.array("sim").alias("sig")),
+    needed, some = _near(different, kernel)
+
+    # The lines in question by document, which is split once for all of them.
+    at = stage(some.join(needed.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy(
+        F.col("first.doc_id").alias("_doc"), F.col("first.md5").alias("_md5")).agg(
+        F.collect_list(F.struct("first.line_no", "h1", "h2")).alias("want")), "near-documents")
+    cut = rows.join(small(at, at.count(), BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_doc"))
+                    & (F.col("md5") == F.col("_md5"))) \
+        .select(F.split("text", "\n", -1).alias("lines"), F.explode("want").alias("w")) \
+        .select(F.concat_ws(".", "w.h1", "w.h2").alias("id"), F.get("lines", F.col("w.line_no")).alias("text"))
+
+    def fetch(full: DataFrame) -> DataFrame:
+        return cut.join(full, "id")
+
+    found = buckets.linked(needed.withColumn("id", _id()).drop("h1", "h2"),
+                           some.select(_id().alias("id"), F.col("bands").alias("sig")),
                            fetch, kernel, "lines")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = different.join(roots, _id() == F.col("id"), "left") \

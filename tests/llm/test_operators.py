@@ -564,6 +564,42 @@ def test_lines_match_brute_force(spark, docs, empty, monkeypatch):
     assert op8_line_dedup.without_repeats(empty).count() == 0
 
 
+def words_changed(line, r, how):
+    """``line`` with one edit that keeps an edit similarity of 0.9."""
+    w = line.split(" ")
+    k = r.randrange(len(w))
+    if how == "replace":
+        w[k] = r.choice(VOCABULARY)
+    elif how == "insert":
+        w.insert(k, r.choice(VOCABULARY))
+    elif how == "drop":
+        del w[k]
+    else:                                                  # two letters, anywhere
+        s = list(line)
+        for at in r.sample(range(len(s)), 2):
+            s[at] = r.choice("abcdefgh")
+        return "".join(s)
+    return " ".join(w)
+
+
+def test_near_lines_of_every_length_meet(spark):
+    """Recall against edit similarity alone, whatever made the candidates."""
+    r = random.Random(81)
+    rows, pairs_of = [], defaultdict(list)
+    for words in (8, 12, 20, 30, 50):
+        while len(pairs_of[words]) < 100:
+            a = " ".join(r.choice(VOCABULARY) for _ in range(words))
+            b = words_changed(a, r, r.choice(["replace", "insert", "drop", "letters"]))
+            if a != b and distance(a, b) <= (1 - op8_line_dedup.MIN_EDIT) * max(len(a), len(b)):
+                pairs_of[words].append(len(rows) + 1)
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x.doc_id for x in op8_line_dedup.without_repeats(data).where("_dropped > 0").collect()}
+    assert gone <= {i for m in pairs_of.values() for i in m}
+    for words, m in pairs_of.items():
+        assert len(gone & set(m)) >= 0.95 * len(m), words
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
