@@ -284,6 +284,19 @@ def test_passages_repeated_across_documents(spark, docs, empty, heavy, monkeypat
     assert op3_substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_with_an_edit_in_the_middle_meet(spark):
+    r = random.Random(33)
+    rows = []
+    for i in range(200):
+        p = [r.choice(VOCABULARY) for _ in range(52)]
+        q = [*p[:26], "changed", *p[27:]]
+        for k, words in enumerate((p, q)):
+            rows.append((2 * i + k, " ".join([*prose(30, 9000 + 4 * i + k).split(), *words,
+                                              *prose(30, 9002 + 4 * i + k).split()])))
+    got = op3_substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({x.doc_id for x in got.collect()}) >= 0.98 * len(rows)
+
+
 # -------------------------------------------------------------------------------- 4 toxicity
 
 def distance(a, b):
