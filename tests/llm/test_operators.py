@@ -297,6 +297,18 @@ def test_passages_with_an_edit_in_the_middle_meet(spark):
     assert len({x.doc_id for x in got.collect()}) >= 0.98 * len(rows)
 
 
+def test_a_first_text_with_part_of_a_passage_hides_no_other_pair(spark):
+    r = random.Random(34)
+    rows = []
+    for i in range(150):
+        p = [r.choice(VOCABULARY) for _ in range(52)]
+        for k, words in enumerate((p[2:50], p, p)):
+            rows.append((3 * i + k, " ".join([*prose(30, 20000 + 6 * i + k).split(), *words,
+                                              *prose(30, 20003 + 6 * i + k).split()])))
+    got = op3_substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in got.collect()} >= {i for i, _ in rows if i % 3}
+
+
 # -------------------------------------------------------------------------------- 4 toxicity
 
 def distance(a, b):
