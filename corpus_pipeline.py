@@ -36,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = free_name(docs.columns, "_dropped")
-    out = op8_line_dedup.without_repeats(docs, dropped_col=gone,
+    out = op8_line_dedup.without_repeats(docs, dropped_col=gone, exact_words=1,
                                          lines_col=free_name([*docs.columns, gone], "_lines"))
     whole = F.exists(F.split("text", "\n", -1),
                      lambda x: F.size(op6_quality_rules.words(x)) >= op8_line_dedup.MIN_WORDS)

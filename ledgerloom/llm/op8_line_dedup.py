@@ -1,8 +1,9 @@
 """Fuzzy line dedup: min-hash bands, edit similarity, one line per group.
 
 Lines are normalised (ASCII letters to lower case, digits to 0, ASCII
-punctuation and white space to single spaces); lines with fewer than MIN_WORDS
-words are never touched. Equal normalised lines collapse by a 128-bit hash.
+punctuation and white space to single spaces). Lines with fewer than MIN_WORDS
+words take no part in the fuzzy step; of those with ``exact_words`` words or more, as
+every line with a word in the query and the pipeline, exact repeats go. Equal normalised lines collapse by a 128-bit hash.
 Each different line has BANDS bucket keys, each of ROWS min-hashes of its GRAM-byte
 substrings: lines that share a part J of their substrings meet in a bucket with
 probability 1 - (1 - J^ROWS)^BANDS, 0.99 at J = 0.56 (one word of ten replaced).
@@ -64,7 +65,7 @@ def normal_line(raw: bytes) -> str:
 
 
 def line_marks(data, offsets, powers, min_words=MIN_WORDS):
-    """(text number, line number, h1, h2, band keys, characters) of the lines with enough words."""
+    """(text number, line number, h1, h2, band keys, characters, words) of the lines with enough words."""
     clean = NORMAL[data]
     starts, ends, _ = textnp.words(clean, offsets)
     breaks = np.flatnonzero(data == 10)
@@ -88,7 +89,7 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS):
             marks.append(textnp.mix64((total[end] - total[begin]) * down[begin]).view(np.int64))
     keys, chars = _bands(clean, starts, ends, begin, end)
     doc = doc_of[good]
-    return doc, good - first_line[doc], *marks, keys, chars
+    return doc, good - first_line[doc], *marks, keys, chars, count[good]
 
 
 def _bands(clean, starts, ends, begin, end):
@@ -124,15 +125,17 @@ def _bands(clean, starts, ends, begin, end):
     return keys, chars
 
 
-def _lines(min_words: int):
+def _lines(min_words: int, exact_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = textnp.Powers()
         for batch in batches:
             rest = batch.select(["doc_id", "md5"])
             for i, j, data, offsets in textnp.blocks(batch.column("text")):
-                doc, no, h1, h2, keys, chars = line_marks(data, offsets, powers, min_words)
+                doc, no, h1, h2, keys, chars, count = line_marks(
+                    data, offsets, powers, min(min_words, exact_words))
                 bands = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
+                    pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)),
+                    mask=pa.array(count < min_words))
                 part = rest.slice(i, j - i).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(no, pa.int32()), pa.array(h1), pa.array(h2),
@@ -331,13 +334,13 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
 
 
 def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
-                  min_edit=MIN_EDIT) -> DataFrame:
+                  min_edit=MIN_EDIT, exact_words=MIN_WORDS) -> DataFrame:
     """(doc_id, md5, drop): per document the line numbers (from 0) to drop. Staged."""
     kernel = Kernel(min_edit)
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.md5(text_col).alias("md5"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    seen = stage(rows.mapInArrow(_lines(min_words), f"doc_id {kind}, md5 string, line_no int, "
+    seen = stage(rows.mapInArrow(_lines(min_words, exact_words), f"doc_id {kind}, md5 string, line_no int, "
                                  "h1 long, h2 long, bands array<int>, chars int"), "lines")
     where = _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no"))
     different = stage(seen.groupBy("h1", "h2").agg(
@@ -400,6 +403,6 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", lines_col
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark, sf_dir) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_words=1)
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"),
                       F.col("_dropped").cast("long").alias("n_dropped"), "text")

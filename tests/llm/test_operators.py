@@ -625,6 +625,13 @@ def test_near_lines_of_every_length_meet(spark):
         assert len(gone & set(m)) >= 0.95 * len(m), words
 
 
+def test_exact_repeats_of_short_lines_go(spark, tmp_path):
+    rows = [(0, "Read more\none\n--\n"), (1, "read MORE!\ntwo\n--\n"), (2, "Read mores\none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.text for x in op8_line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: rows[0][1], 1: "two\n--\n", 2: "Read mores"}
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
