@@ -5,6 +5,8 @@ from __future__ import annotations
 from ledgerloom.llm import (  # noqa: F401
     op1_mixing,
     op10_quality_gam,
+    op11_whitening,
+    op12_conversation_repair,
     op2_jaccard_join,
     op3_substring_dedup,
     op4_toxicity,
