@@ -7,6 +7,7 @@ from ledgerloom.llm import (  # noqa: F401
     op10_quality_gam,
     op11_whitening,
     op12_conversation_repair,
+    op13_best_fit,
     op2_jaccard_join,
     op3_substring_dedup,
     op4_toxicity,

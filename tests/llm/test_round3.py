@@ -1,9 +1,7 @@
 """Whitening, conversation repair and best-fit packing against brute force."""
 
 import hashlib
-import heapq  # noqa: F401
 import itertools
-import math
 import random
 import re
 import zlib
@@ -13,11 +11,186 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import op11_whitening, op12_conversation_repair
+from ledgerloom.llm import op11_whitening, op12_conversation_repair, op13_best_fit
 
 SF = "/root/testdata/sf0.001"
 
 
+# ------------------------------------------------------------------------------- 11 whitening
+
+def brute_whitening(vectors):
+    x = np.floor(1024 * np.array(vectors, dtype=np.float64)) + 100_000
+    values, axes = np.linalg.eigh(np.cov(x.T, bias=True).reshape(x.shape[1], -1))
+    return x - x.mean(axis=0), values[::-1], axes[:, ::-1]
+
+
+def embeddings(spark, vectors, ids=None):
+    rows = [(i, v, 0) for i, v in zip(ids or range(len(vectors)), vectors)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, component int")
+
+
+def check_components(m, got, vectors, n, k):
+    centred, values, axes = brute_whitening(vectors)
+    assert m.n == n == len(vectors) and len(m.values) == k
+    assert np.allclose(m.values, values[:k], rtol=1e-12)
+    assert np.allclose(m.vectors.T @ m.vectors, np.eye(k), atol=1e-13)
+    # Each vector lies in the space of the eigenvalues that equal its own.
+    for j in range(k):
+        same = np.abs(values - values[j]) < 1e-9 * values[0]
+        assert np.linalg.norm(axes[:, same].T @ m.vectors[:, j]) == pytest.approx(1, abs=1e-12)
+    want = centred @ m.vectors / np.sqrt(m.values)
+    for r in got:
+        assert r.whitened == pytest.approx(want[r.id, r.component - 1], abs=1e-9)
+        assert r.explained == pytest.approx(values[r.component - 1] / values.sum(), rel=1e-10)
+    x = np.floor(1024 * np.array(vectors, dtype=np.float64)).astype(int).tolist()
+    sums = [sum(c) for c in zip(*x)]
+    exact = [sum((n * a - b) ** 2 for a, b in zip(row, sums)) for row in x]
+    assert {(r.id, int(r.deviation)) for r in got} == set(enumerate(exact))
+    assert len(got) == n * k
+
+
+def test_components_match_a_dense_solver(spark):
+    m = op11_whitening
+    r = np.random.default_rng(1)
+    steep = r.standard_normal((300, 40)) * 3.0 ** -np.arange(40) * 4
+    flat = r.standard_normal((300, 64)) / 8
+    twins = np.concatenate([flat[:, :20], flat[:, 20:40] * 0], axis=1)
+    for vectors in (steep, flat, twins, np.repeat(flat[:9, :5], 30, axis=0)):
+        vectors = vectors.astype(np.float32).tolist()
+        rows, n, d = m.vectors_of(embeddings(spark, vectors))
+        w = m.fit(rows, n, d)
+        check_components(w, m.whiten(rows, w).collect(), vectors, len(vectors), min(d, 8))
+        assert m.identity_error(rows, w) < 1e-9 and w.residual < 1e-11
+
+
+def test_vectors_that_do_not_count(spark):
+    m = op11_whitening
+    nan, inf = float("nan"), float("inf")
+    good = [[0.1, 0.2, 0.3], [0.3, -0.1, 0.0], [0.0, 0.0, 0.9], [0.1, 0.2, 0.3]]
+    bad = [None, [], [0.1, None, 0.2], [nan, 0.0, 0.0], [0.0, inf, 0.0], [0.0, 0.0, -inf], [1.0, 2.0]]
+    rows, n, d = m.vectors_of(embeddings(spark, good + bad, [None, 1, 1, 3, *range(4, 11)]))
+    assert (n, d) == (4, 3) and sorted(str(r[0]) for r in rows.select("id").collect()) == ["1", "1", "3", "None"]
+    w = m.fit(rows, n, d)
+    assert len(w.values) == 2 and m.whiten(rows, w).count() == 8   # three points span a plane
+    for few in ([], [[0.5, 0.5]], [[0.5, 0.5]] * 9):
+        rows, n, d = m.vectors_of(embeddings(spark, few))
+        w = m.fit(rows, n, d)
+        assert m.whiten(rows, w).count() == 0 and n == len(few) and m.identity_error(rows, w) == 0
+    one = [[0.5], [0.25], [1.0]]
+    rows, n, d = m.vectors_of(embeddings(spark, one))
+    check_components(m.fit(rows, n, d), m.whiten(rows, m.fit(rows, n, d)).collect(), one, 3, 1)
+
+
+def test_deviations_beyond_64_bits(spark):
+    m = op11_whitening
+    vectors = [[3e12, 1.0], [-3e12, 2.0], [0.0, 0.0]]
+    rows, n, d = m.vectors_of(embeddings(spark, vectors))
+    check = {int(r.deviation) for r in m.whiten(rows, m.fit(rows, n, d)).collect()}
+    x = [[int(np.floor(np.float64(np.float32(c)) * 1024)) + 100_000 for c in v] for v in vectors]
+    s = [sum(c) for c in zip(*x)]
+    assert check == {sum((3 * a - b) ** 2 for a, b in zip(v, s)) for v in x} and max(check) > 2 ** 63
+
+
+def test_whole_embeddings_table(spark):
+    got = op11_whitening.op11_whitening(spark, SF).collect()
+    vectors = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()]
+    centred, values, axes = brute_whitening(vectors)
+    assert len(got) == 8 * len(vectors) and {r.n for r in got} == {len(vectors)}
+    error = {r.identity_error for r in got}
+    assert len(error) == 1 and error.pop() < 1e-9
+    for r in got:
+        want = abs(centred[r.vec_id] @ axes[:, r.component - 1] / np.sqrt(values[r.component - 1]))
+        assert abs(r.whitened) == pytest.approx(want, abs=1e-7)
+
+
+# -------------------------------------------------------------------------------- 13 best fit
+
+def brute_best_fit(sizes, window, limit):
+    """(bin of each size, bins) with a plain list of open bins."""
+    open_, where, made = [], [], 0
+    for n in sizes:
+        fits = [b for b in open_ if b[0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+        else:
+            if len(open_) == limit:
+                open_.remove(min(open_, key=lambda b: b[0]))
+            b = [window, made]
+            open_.append(b)
+            made += 1
+        b[0] -= n
+        where.append(window - n - b[0])
+        if not b[0]:
+            open_.remove(b)
+    return where, made
+
+
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_bins_choose_the_best_fit(limit):
+    r = random.Random(limit)
+    for most in (5, 40, 100):
+        sizes = [r.randint(1, most) for _ in range(600)]
+        bins = op13_best_fit.Bins(100, limit)
+        got = [bins.place(n)[1] for n in sizes]
+        want, made = brute_best_fit(sizes, 100, limit)
+        assert got == want and bins.made == made and bins.open == len(bins.left_open()) <= limit
+
+
+def check_pieces(got, texts):
+    """Every rule of the packing; the number of sequences."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(op13_best_fit.tokenizer_path())
+    want = defaultdict(int)
+    for i, t in texts:
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], dtype="<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024
+        edges = sorted({0, *range(first, len(ids) + 1, 1024), len(ids)})
+        for p, (a, b) in enumerate(zip(edges, edges[1:])):
+            want[i, p, a, b - a, zlib.crc32(ids[a:b]), len(ids)] += 1
+    have, by = defaultdict(int), defaultdict(list)
+    for r in got:
+        have[r.doc_id, r.piece, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+        by[r.sequence_id].append(r)
+    assert have == want
+    for rows in by.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    return len(by)
+
+
+def test_pieces_of_hard_texts(spark):
+    m = op13_best_fit
+    texts = [(0, None), (1, ""), (2, "a b c"), (2, "a b c"), (None, "x <|endoftext|> y"), (3, "word " * 1023),
+             (4, "word " * 1022), (5, "word " * 5000), (6, "é漢🙂 " * 900), (7, "z" * 1_300_000)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, piece int, open int")
+    for options in ({}, {"open_bins": 1, "items": 2}):
+        check_pieces(m.pack(df, **options).collect(), texts)
+    empty = df.where("false")
+    assert m.pack(empty).count() == 0 and m.pack(empty).columns == m.pack(df).columns
+
+
+def test_little_is_lost(spark):
+    m = op13_best_fit
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(6)
+    texts = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    for options in ({}, {"items": 300}):
+        got = m.pack(df, **options).collect()
+        used = check_pieces(got, texts)
+        least = -(-sum(r.length for r in got) // 1024)
+        assert used <= 1.01 * least + 2
+
+
+def test_alike_pieces_end(spark):
+    """Pieces that fill no sequence are not carried on for ever."""
+    df = spark.createDataFrame([(i, "one two three four") for i in range(3000)], "doc_id long, text string")
+    got = op13_best_fit.pack(df, items=10).collect()
+    assert len(got) == 3000 and len({r.sequence_id for r in got}) <= 1.1 * sum(r.length for r in got) / 1020 + 310
+
+
 # ------------------------------------------------------------------------ 12 conversation repair
 
 def brute_repair(rows):
