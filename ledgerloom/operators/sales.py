@@ -7,7 +7,7 @@ Parquet reader as a pushed predicate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.constants import SALES_PAGE_DEFAULT, SALES_PAGE_MAX
@@ -20,11 +20,15 @@ from ledgerloom.functions.timeutil import isoformat
 SUM_TYPE = "decimal(38,10)"
 
 
-def exact_sum(c: Column) -> Column:
-    """The sum of a DOUBLE column as DOUBLE; null when it has no value."""
+def exact_sum(c: Column, over: WindowSpec | None = None) -> Column:
+    """The sum of a DOUBLE column as DOUBLE, of a group or ``over`` a window; null
+    when it has no value."""
+    def total(aggregate: Column) -> Column:
+        return aggregate if over is None else aggregate.over(over)
+
     exact = c.try_cast(SUM_TYPE)
-    rest = F.sum(F.when(exact.isNull(), c))
-    return F.when(F.count(c) > 0, F.coalesce(F.try_sum(exact).cast("double"), F.lit(0.0))
+    rest = total(F.sum(F.when(exact.isNull(), c)))
+    return F.when(total(F.count(c)) > 0, F.coalesce(total(F.try_sum(exact)).cast("double"), F.lit(0.0))
                   + F.coalesce(rest, F.lit(0.0)))
 
 

@@ -57,7 +57,7 @@ def profile_upload(spark: SparkSession, path: str, registry_path: str | None = N
     that list for a later ``registry.append_events`` instead of being written."""
     adm = file_admission(spark, path).collect()
     if not adm or not adm[0].accepted:
-        reason = adm[0].reason if adm else "file not found"
+        reason = adm[0].reason if adm else "file is empty"
         raise ValueError(f"File rejected: {reason}")
     upload_id = upload_id or R.new_upload_id()
     typed, plan, text = typed_upload(spark, path)

@@ -7,7 +7,8 @@ turns NA tokens into nulls and adds ``_row_id``, which follows file order
 are partitions in offset order).
 
 A first scan of a CSV or text file's raw lines tells, per file, whether its
-bytes are UTF-8, whether a quoted cell breaks a line, and its header line. Files
+bytes are UTF-8, whether a quoted cell breaks a line, and its header line; a header
+line that ends inside a quoted cell is read on as a record. Files
 that agree on these are read together, by their own header and encoding, and
 the groups are put together by column name. A file without quoted line breaks
 is read line-splittable, so a large one spreads over many tasks; one with them
@@ -28,6 +29,9 @@ from ledgerloom.operators.cleaning import replace_na_tokens
 ROW_ID = "_row_id"
 _BAD = "_row_text"
 
+# Stands for an empty cell that is not quoted where quoted ones are kept apart: no text holds it.
+_BLANK = "\ufdd0\ufdd1"
+
 # The dialect: cells quoted with ", a doubled quote inside stands for one.
 DIALECT = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "enforceSchema": "true",
            "columnNameOfCorruptRecord": _BAD, "emptyValue": "", "nullValue": ""}
@@ -53,11 +57,21 @@ def file_traits(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.min_by(F.col("line").cast("binary"), F.col("at")).alias("header"))
 
 
-def header_names(line: str, sep: str) -> list[str]:
-    """Column names of a header line, as pandas gives them: a repeated name gets
+def header_cells(spark: SparkSession, file: str, line: str, sep: str, encoding: str) -> list[str]:
+    """The cells of a header: of its ``line``, or, where a quoted cell breaks that line, of the
+    file's first record (the reader stops there)."""
+    if line.count('"') % 2 == 0:
+        return next(csv.reader([line], delimiter=sep), [])
+    record = (spark.read.options(**DIALECT).option("sep", sep).option("encoding", encoding)
+              .option("multiLine", True).option("header", False).csv(file).first())
+    cells = [x or "" for x in record]
+    return [cells[0].removeprefix("\ufeff"), *cells[1:]]
+
+
+def header_names(cells: list[str]) -> list[str]:
+    """Column names of a header's cells, as pandas gives them: a repeated name gets
     ``.1``, ``.2``; a blank one is ``Unnamed: i``. Names that differ only in case
     get ``_1``, ``_2`` (columns are looked up without case)."""
-    cells = next(csv.reader([line], delimiter=sep), [])
     out, seen, folded = [], {}, set()
     for i, raw in enumerate(cells):
         name = raw if raw != "" else f"Unnamed: {i}"
@@ -83,10 +97,11 @@ def cells_beyond(bad: Column, width: int, sep: str) -> Column:
 
 
 def _read_group(spark: SparkSession, files: list[str], names: list[str], sep: str, encoding: str,
-                multiline: bool) -> DataFrame:
+                multiline: bool, keep_empty: bool) -> DataFrame:
     cols = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} string" for c in [*cols, _BAD])
-    df = (spark.read.options(**DIALECT).option("header", True).option("sep", sep)
+    df = (spark.read.options(**DIALECT | ({"nullValue": _BLANK} if keep_empty else {}))
+          .option("header", True).option("sep", sep)
           .option("encoding", encoding).option("multiLine", multiline).schema(schema).csv(files))
     # A row too long is never cut: reading it fails, naming the row.
     stop = F.raise_error(F.concat(F.lit(f"a row has more than the header's {len(names)} cells: "),
@@ -103,13 +118,14 @@ def _separator(header: str, sep: str | None) -> str:
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], sep: str | None = ",",
-             encoding: str | None = None, materialize: bool = False) -> DataFrame:
+             encoding: str | None = None, materialize: bool = False, keep_empty: bool = False) -> DataFrame:
     """CSV as text. Without an explicit ``encoding``, files that are valid
     UTF-8 are read as UTF-8 and the others as latin-1, which decodes every
     byte (so no further fallback is reachable). ``sep=None`` decides between tab
     and comma by each file's own header.
 
-    ``materialize`` stages the text once as Parquet, for callers that read it
+    Empty cells are null, as in pandas; with ``keep_empty`` a quoted empty cell (``""``) is an
+    empty text. ``materialize`` stages the text once as Parquet, for callers that read it
     several times.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -118,12 +134,13 @@ def read_csv(spark: SparkSession, paths: str | list[str], sep: str | None = ",",
         code = encoding or ("ISO-8859-1" if r.not_utf8 else "UTF-8")
         header = bytes(r.header).decode(code.lower().replace("utf-8", "utf-8-sig"), "replace")
         mark = _separator(header, sep)
-        groups.setdefault((tuple(header_names(header, mark)), mark, code, r.breaks), []).append(r.file)
+        names = header_names(header_cells(spark, r.file, header, mark, code))
+        groups.setdefault((tuple(names), mark, code, r.breaks), []).append(r.file)
     if not groups:
         raise ValueError(f"no rows in {', '.join(paths)}")
     out = None
     for (names, mark, code, breaks), files in sorted(groups.items(), key=lambda g: sorted(g[1])):
-        part = _read_group(spark, sorted(files), list(names), mark, code, breaks)
+        part = _read_group(spark, sorted(files), list(names), mark, code, breaks, keep_empty)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if materialize:
         from ledgerloom.session import staged

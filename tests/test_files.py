@@ -98,4 +98,4 @@ def test_replacement_character_in_valid_utf8_stays(spark, tmpdir_path):
 def test_repeated_headers(spark):
     from ledgerloom.sources.files import header_names
 
-    assert header_names("a,a,A,,b", ",") == ["a", "a.1", "A_1", "Unnamed: 3", "b"]
+    assert header_names(["a", "a", "A", "", "b"]) == ["a", "a.1", "A_1", "Unnamed: 3", "b"]
