@@ -1,7 +1,8 @@
 """Column expressions that turn raw text into typed values.
 
-All of these are built-in Spark expressions (no UDF), so they stay inside
-whole-stage codegen. ANSI mode is assumed on: every conversion uses a
+All of these are built-in Spark expressions (no UDF, no lambda), so they stay
+inside whole-stage codegen, which also evaluates what several places share (the
+parts of a written date, say) once. ANSI mode is assumed on: every conversion uses a
 ``try_*`` form and returns null instead of failing the task.
 """
 
@@ -39,12 +40,17 @@ ZONE_SUFFIX = (r"(?i)\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*"
 # followed by a clock time. Three numbers around one kind of separator (year
 # first when it has four digits, else month first and, where that is no date,
 # day first), or a month name with a day and a year.
-YEAR_FIRST = r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$"
-YEAR_LAST = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$"
-DAY_NAME_YEAR = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4}|\d{2})$"
-NAME_DAY_YEAR = r"^([A-Za-z]{3,9})\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})$"
-CLOCK = (r"[ T,]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6})\d*)?)?"
-         r"\s*([AaPp])?\.?([Mm])?\.?$")
+YEAR_LAST = r"(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})"
+YEAR_FIRST = r"(\d{4})([/.])(\d{1,2})\6(\d{1,2})"
+DAY_NAME_YEAR = r"(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4}|\d{2})"
+NAME_DAY_YEAR = r"([A-Za-z]{3,9})\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -](\d{4})"
+CLOCK = (r" *[ T,]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,6})\d*)?)?"
+         r"\s*([AaPp])?\.?([Mm])?\.?")
+WRITTEN = f"^(?:{YEAR_LAST}|{YEAR_FIRST}|{DAY_NAME_YEAR}|{NAME_DAY_YEAR})(?:{CLOCK})?$"
+# What a written date is rewritten to: a mark, then its groups. Only one kind's are not empty.
+_MARK = "\u0001"
+_GROUPS = {"first": "$1", "second": "$3", "year": "$4$5$11$14", "month": "$7", "day": "$8$9$13", "name": "$10$12",
+           "hour": "$15", "minute": "$16", "second_of": "$17", "fraction": "$18", "half": "$19", "m": "$20"}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
           "october", "november", "december"]
 # Two-digit years: 69-99 are 1969-1999, 00-68 are 2000-2068.
@@ -76,8 +82,8 @@ def parse_numeric(c: Column) -> Column:
     """
     t = F.trim(c)
     inf = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return (F.when(c.rlike(INFINITY_PATTERN), inf)
-             .when(c.rlike(NUMERIC_PATTERN), t.try_cast("double")))
+    return (F.when(c.rlike(NUMERIC_PATTERN), t.try_cast("double"))
+             .when(c.rlike(INFINITY_PATTERN), inf))
 
 
 def is_whole(x: Column) -> Column:
@@ -85,14 +91,14 @@ def is_whole(x: Column) -> Column:
     return (F.abs(x) < F.lit(_BIGINT_LIMIT)) & (x == F.floor(x))
 
 
-def parse_integer(c: Column) -> Column:
+def parse_integer(c: Column, x: Column | None = None) -> Column:
     """Text -> BIGINT through the numeric grammar; ``12.0`` becomes 12.
 
     Plain digits are read as integers, never through a double, so 16- to
-    18-digit codes keep every digit.
+    18-digit codes keep every digit. ``x`` is the number, where it is known already.
     """
     plain = F.when(c.rlike(INTEGER_PATTERN), F.trim(c).try_cast("bigint"))
-    x = parse_numeric(c)
+    x = parse_numeric(c) if x is None else x
     return F.coalesce(plain, F.when(is_whole(x), x.try_cast("bigint")))
 
 
@@ -113,84 +119,57 @@ def parse_datetime(c: Column) -> Column:
     names a zone is converted to UTC. No step looks at the session zone.
     """
     t = F.trim(c)
-    return F.when(t.rlike(DATE_CANDIDATE), _let(t, lambda x: F.coalesce(
-        F.when(x.rlike(ISO_GUARD), parse_iso(x)), _parse_written(x))))
+    iso = t.rlike(ISO_GUARD)
+    return _parse_written(F.when(t.rlike(DATE_CANDIDATE) & ~iso, t), F.when(iso, parse_iso(t)))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once for all its uses in ``body``; keeps the expression small."""
-    return F.transform(F.array(value), body)[0]
+def _parse_written(t: Column, other: Column) -> Column:
+    """A written date with an optional clock time, built from its numbers; ``other`` where ``t``
+    is null.
 
-
-def _parse_written(t: Column) -> Column:
-    """A written date with an optional clock time, put together from its numbers."""
-    clocked = t.rlike(CLOCK)
-    day = F.when(clocked, F.trim(F.regexp_replace(t, CLOCK, ""))).otherwise(t)
-    return _let(_let(day, _written_day).cast("timestamp_ntz"), lambda midnight: F.when(
-        clocked, _at_clock(midnight, t)).otherwise(midnight))
-
-
-def _written_day(day: Column) -> Column:
-    return (F.when(day.rlike(YEAR_LAST), _month_or_day_first(day))
-             .when(day.rlike(YEAR_FIRST), _date(_part(day, YEAR_FIRST, 1), _part(day, YEAR_FIRST, 3),
-                                                _part(day, YEAR_FIRST, 4)))
-             .when(day.rlike(DAY_NAME_YEAR), _date(
-                 _year(_part(day, DAY_NAME_YEAR, 3)), _month(_part(day, DAY_NAME_YEAR, 2)),
-                 _part(day, DAY_NAME_YEAR, 1)))
-             .when(day.rlike(NAME_DAY_YEAR), _date(
-                 _part(day, NAME_DAY_YEAR, 3), _month(_part(day, NAME_DAY_YEAR, 1)),
-                 _part(day, NAME_DAY_YEAR, 2))))
-
-
-def _part(t: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(t, pattern, group)
-
-
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
-
-
-def _year(text: Column) -> Column:
-    n = text.try_cast("int")
-    full = F.when(n < YEAR_PIVOT, n + 2000).otherwise(n + 1900)
-    return F.when(F.length(text) == 2, full.cast("string")).otherwise(text)
+    One pattern rewrites the text to its groups; text it does not match has no groups. The
+    groups stand in the first condition, so generated code makes them once.
+    """
+    parts = F.split(F.regexp_replace(t, WRITTEN, "|".join([_MARK, *_GROUPS.values()])), r"\|", -1)
+    part = {name: F.get(parts, F.lit(i)) for i, name in enumerate(_GROUPS, 1)}
+    first, second, n = (part[k].try_cast("int") for k in ("first", "second", "year"))
+    year = F.when(F.length(part["year"]) > 2, n).when(n < YEAR_PIVOT, n + 2000).otherwise(n + 1900)
+    # Month first, and day first where that is no month: a day over 12 never makes a month.
+    month = F.when(part["name"] != "", _month(part["name"])).when(part["month"] != "", part["month"].try_cast("int")) \
+        .when(first > 12, second).otherwise(first)
+    day = F.when(part["day"] != "", part["day"].try_cast("int")).when(first > 12, first).otherwise(second)
+    hour, minute, at = (part[k].try_cast("int") for k in ("hour", "minute", "second_of"))
+    micros = F.coalesce(F.rpad(part["fraction"], 6, "0").try_cast("int"), F.lit(0))
+    half, m = F.lower(part["half"]), part["m"]
+    hour24 = (F.when(half == "", hour)
+               .when((hour < 1) | (hour > 12), F.lit(None).cast("int"))
+               .when(half == "p", hour % 12 + 12).otherwise(hour % 12))
+    at = F.coalesce(at, F.lit(0))
+    # ``10:30 a`` and ``10:30 m`` are no times: both letters come or neither does.
+    fits = (hour24 < 24) & (minute < 60) & (at < 60) & ((half == "") == (m == ""))
+    micros = ((hour24 * 60 + minute) * 60 + at).cast("bigint") * 1_000_000 + micros
+    zero = F.lit(0)
+    midnight = F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(16,6)"))
+    found = F.when(part["hour"] == "", midnight).when(fits, F.timestamp_add("MICROSECOND", micros, midnight))
+    marked = (F.size(parts) == len(_GROUPS) + 1) & (F.get(parts, F.lit(0)) == _MARK)
+    return F.when(marked, found).when(t.isNull(), other)
 
 
 def _month(name: Column) -> Column:
-    """The number of a month given by its name or a short form of it; 0 (no date) if unknown."""
+    """The number of a month given by its name or a short form of it; null if unknown."""
     # ``sept`` is the one four-letter short form in common use.
-    known = {"sept": "9"} | {k: str(n) for n, full in enumerate(MONTHS, 1) for k in (full, full[:3])}
+    known = {"sept": 9} | {k: n for n, full in enumerate(MONTHS, 1) for k in (full, full[:3])}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit("0"))
-
-
-def _month_or_day_first(day: Column) -> Column:
-    a, b = _part(day, YEAR_LAST, 1), _part(day, YEAR_LAST, 3)
-    year = _year(_part(day, YEAR_LAST, 4))
-    return F.coalesce(_date(year, a, b), _date(year, b, a))
-
-
-def _at_clock(day: Column, t: Column) -> Column:
-    """``day`` plus the clock time that ends ``t``; null when the clock reads no time."""
-    hour, minute = _part(t, CLOCK, 1).try_cast("int"), _part(t, CLOCK, 2).try_cast("int")
-    second = F.coalesce(_part(t, CLOCK, 3).try_cast("int"), F.lit(0))
-    micros = F.coalesce(F.rpad(_part(t, CLOCK, 4), 6, "0").try_cast("int"), F.lit(0))
-    half, m = F.lower(_part(t, CLOCK, 5)), _part(t, CLOCK, 6)
-    hour24 = (F.when(half == "", hour)
-               .when((hour < 1) | (hour > 12), F.lit(None).cast("int"))
-               .when(half == "p", hour % 12 + 12).otherwise(hour % 12))
-    # ``10:30 a`` and ``10:30 m`` are no times: both letters come or neither does.
-    fits = (hour24 < 24) & (minute < 60) & (second < 60) & ((half == "") == (m == ""))
-    return F.when(fits, F.timestamp_add(
-        "MICROSECOND", ((hour24 * 60 + minute) * 60 + second).cast("bigint") * 1_000_000 + micros,
-        day))
+    return F.try_element_at(table, F.lower(name))
 
 
 def parse_iso(t: Column) -> Column:
     """ISO text -> TIMESTAMP_NTZ: zoned text as its UTC wall clock, naive text as written."""
     # Spark's reader wants seconds before a zone; ``10:00Z`` becomes ``10:00:00Z``.
     with_seconds = F.regexp_replace(t, r"([T ]\d{1,2}:\d{2})(\s*([zZ]|[+-]|[A-Za-z]))", "$1:00$2")
-    return (F.when(t.rlike(ZONE_SUFFIX), to_utc_ntz(F.try_to_timestamp(with_seconds)))
+    # A zone comes after a clock time, so a short text has none.
+    zoned = (F.length(t) > 12) & t.rlike(ZONE_SUFFIX)
+    return (F.when(zoned, to_utc_ntz(F.try_to_timestamp(with_seconds)))
              .otherwise(t.try_cast("timestamp_ntz")))
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.constants import (
-    NA_TOKENS,
     PARSE_SHARE_THRESHOLD,
     REQUIRED_DEFAULTS,
 )
@@ -109,24 +108,36 @@ def parse_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         return spark.createDataFrame([], _MEASURES_SCHEMA)
     cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), q(c).cast("string").alias("v"))
                       for i, c in enumerate(cols)])
-    v = F.col("v")
-    x = parse_numeric(v)
-    ts = F.when(x.isNull(), parse_datetime(v))
-    counts = df.select(F.inline(cells)).groupBy("ordinal").agg(
+    return measured(meta, parse_counts(df.select(F.inline(cells)), ["ordinal"]), ["ordinal"])
+
+
+def parse_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Parse outcomes of ``cells`` (``keys`` and the text ``v``), counted per key."""
+    # Each parse is made once, in a projection below the counts.
+    v, x = F.col("v"), F.col("x")
+    parsed = cells.select(*keys, "v", parse_numeric(v).alias("x")).select(
+        *keys, "v", "x", F.when(x.isNotNull(), parse_integer(v, x)).alias("whole"),
+        F.when(x.isNull(), parse_datetime(v)).alias("ts"))
+    return parsed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(v).alias("n_nonnull"),
         F.count_if(is_boolean_text(v)).alias("n_boolean"),
         F.count(x).alias("n_numeric"),
-        F.count(parse_integer(v)).alias("n_whole"),
-        F.count(ts).alias("n_datetime"),
+        F.count("whole").alias("n_whole"),
+        F.count("ts").alias("n_datetime"),
     )
-    # Every column sees every row, so an empty frame is the only case where a
-    # column has no group; the left join keeps it with zero counts.
-    out = meta.join(counts, "ordinal", "left").select(
-        "column_name", "ordinal",
-        *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in ["n_rows"] + _MEASURE_FIELDS])
+
+
+def measured(columns: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``columns`` (metadata: keys, ``column_name``, ``ordinal``) with their parse counts and shares.
+
+    Every column sees every row, so an empty input is the only case where a
+    column has no counts; the left join keeps it with zeros.
+    """
+    out = columns.join(counts, keys, "left").select(
+        *columns.columns, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in ["n_rows"] + _MEASURE_FIELDS])
     share = lambda n: (F.col(n) / F.nullif(F.col("n_rows"), F.lit(0))).cast("double")
-    return out.select("column_name", "ordinal", "n_rows", *_MEASURE_FIELDS,
+    return out.select(*columns.columns, "n_rows", *_MEASURE_FIELDS,
                       share("n_numeric").alias("numeric_ratio"),
                       share("n_datetime").alias("datetime_ratio"))
 
@@ -366,7 +377,7 @@ def conform_sales(df: DataFrame, upload_id: str, id_col: str | None = None,
 
 
 __all__ = [
-    "NA_TOKENS", "apply_mapping", "apply_types", "choose_types", "clean_column_names",
+    "apply_mapping", "apply_types", "choose_types", "clean_column_names",
     "clean_dataframe", "column_modes", "conform_defaults", "conform_sales", "fill_missing",
     "infer_types", "parse_measures", "replace_na_tokens", "TypePlan",
 ]

@@ -105,19 +105,25 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     columns = list(columns if columns is not None else
                    [c for c in df.columns if c != order_col])
     meta = columns_frame(spark, df, columns)
-    families = [type_family(df.schema[c].dataType) for c in columns]
-
-    def of(*names):
-        return F.col("ordinal").isin([i for i, f in enumerate(families) if f in names])
-
-    per_value = (stacked(df, columns, order_col)
-                 .groupBy("ordinal", "value")
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")))
-    v, n = F.col("value"), F.col("n")
-    x = F.when(of("integral", "fractional"), v.try_cast("double"))
-    d = F.when(of("date", "timestamp"), v.try_cast("timestamp_ntz"))
-    is_fraction = of("fractional") & (x != F.floor(x))
-    per_column = per_value.groupBy("ordinal").agg(
+    families = F.array(*[F.lit(type_family(df.schema[c].dataType)) for c in columns]).cast("array<string>")
+    cells = stacked(df, columns, order_col).withColumn("family", F.get(families, F.col("ordinal")))
+    return profiled(meta, profile_cells(cells, ["ordinal"], as_of), ["ordinal"])
+
+
+_COUNTS = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction", "n_negative",
+           "n_zero", "n_future", "n_old"]
+
+
+def profile_cells(cells: DataFrame, keys: list[str], as_of=None) -> DataFrame:
+    """The counts of ``profile_columns`` per key, from ``cells``: the keys, ``family``,
+    ``value`` (text) and ``at`` (row order where the first value matters)."""
+    per_value = cells.groupBy(*keys, "family", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    v, n, family = F.col("value"), F.col("n"), F.col("family")
+    x = F.when(family.isin("integral", "fractional"), v.try_cast("double"))
+    d = F.when(family.isin("date", "timestamp"), v.try_cast("timestamp_ntz"))
+    is_fraction = (family == "fractional") & (x != F.floor(x))
+    return per_value.groupBy(*keys).agg(
         F.sum(n).alias("n_rows"),
         F.sum(F.when(v.isNull(), n)).alias("null_count"),
         F.count(v).alias("unique_count"),
@@ -130,12 +136,15 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
         F.min(d).alias("min_date"), F.max(d).alias("max_date"),
         F.min_by(v, F.when(v.isNotNull(), F.col("at"))).alias("first_value"),
     )
-    counts = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction", "n_negative",
-              "n_zero", "n_future", "n_old"]
-    # Left join from the metadata so an empty frame still has a row per column.
-    prof = meta.join(per_column, "ordinal", "left").select(
-        "column_name", "ordinal", "family",
-        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+
+
+def profiled(columns: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``columns`` (metadata: keys, ``column_name``, ``ordinal``, ``family``) with their counts.
+
+    A left join, so a column of an empty input still has a row.
+    """
+    prof = columns.join(counts, keys, "left").select(
+        *columns.columns, *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in _COUNTS],
         "min_date", "max_date", "first_value")
     return prof.select(
         "*", (F.col("n_rows") - F.col("null_count")).alias("n_nonnull"),
@@ -266,21 +275,21 @@ def key_aggregates() -> list[Column]:
     ]
 
 
-def suggested_keys(schema: DataFrame) -> DataFrame:
-    """One row: the first date-like column suggested as ``date`` and the first
-    column suggested as ``sku`` (by position), each null when there is none;
-    plus row and column counts."""
-    return schema.agg(*key_aggregates())
+def suggested_keys(schema: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row (per file, given the columns ``by`` that name one): the first date-like column
+    suggested as ``date`` and the first column suggested as ``sku`` (by position), each
+    null when there is none; plus row and column counts."""
+    return schema.groupBy(*(by or [])).agg(*key_aggregates())
 
 
-def schema_document(schema: DataFrame) -> DataFrame:
-    """The whole detected schema as one nested row (for the registry)."""
+def schema_document(schema: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The whole detected schema as one nested row (per file, given ``by``) for the registry."""
     info = F.struct(
         F.col("column_name").alias("name"), "detected_type", "suggested_mapping", "null_count",
         "null_percentage", "unique_count", "sample_values", "coerced_count")
     cols = F.array_sort(F.collect_list(F.struct("ordinal", info.alias("info"))))
-    doc = schema.agg(cols.alias("cols"), *key_aggregates())
-    return doc.select(F.struct(
+    doc = schema.groupBy(*(by or [])).agg(cols.alias("cols"), *key_aggregates())
+    return doc.select(*(by or []), F.struct(
         F.transform("cols", lambda s: s["info"]).alias("columns"),
         "row_count", "column_count",
         "suggested_date_column", "suggested_sku_column").alias("detected_schema"))

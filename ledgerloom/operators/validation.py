@@ -69,17 +69,20 @@ def issue(rule: int, seq: Column, severity: str, kind: str, column: Column | Non
         render(message, **values).alias("message"), F.lit(suggestion).alias("suggestion"))
 
 
-def _explode_issues(df: DataFrame, candidates: list[Column]) -> DataFrame:
-    """Each candidate is a ``when(condition, issue(...))``; keep the ones that fire."""
-    return (df.select(F.explode(F.array(*candidates)).alias("i"))
-              .filter(F.col("i").isNotNull()).select("i.*"))
+def _explode_issues(df: DataFrame, candidates: list[Column], by: list[str] | None = None) -> DataFrame:
+    """Each candidate is a ``when(condition, issue(...))``; keep the ones that fire.
+
+    ``by`` are columns that name the file, where the frame holds several.
+    """
+    return (df.select(*(by or []), F.explode(F.array(*candidates)).alias("i"))
+              .filter(F.col("i").isNotNull()).select(*(by or []), "i.*"))
 
 
 # ---------------------------------------------------------------------------
 # Rules
 # ---------------------------------------------------------------------------
 
-def structure_issues(keys: DataFrame) -> DataFrame:
+def structure_issues(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Empty file (error), more than 50 columns (warning), fewer than 2 (error).
 
     ``keys`` is the one-row ``suggested_keys`` frame (``row_count``, ``column_count``).
@@ -90,10 +93,10 @@ def structure_issues(keys: DataFrame) -> DataFrame:
         F.when(n_cols > MAX_COLUMNS,
                issue(RULE_STRUCTURE, F.lit(2), WARNING, "too_many_columns", None, n=n_cols)),
         F.when(n_cols < MIN_COLUMNS, issue(RULE_STRUCTURE, F.lit(3), ERROR, "too_few_columns", None)),
-    ])
+    ], by)
 
 
-def missing_value_issues(schema: DataFrame) -> DataFrame:
+def missing_value_issues(schema: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per column by null %: > 50 error, > 20 warning, > 0 info."""
     pct, name, seq = F.col("null_percentage"), F.col("column_name"), F.col("ordinal")
     shown = one_decimal(pct)
@@ -103,7 +106,7 @@ def missing_value_issues(schema: DataFrame) -> DataFrame:
                   issue(RULE_MISSING, seq, WARNING, "high_missing_values", name, col=name, pct=shown))
             .when(pct > 0,
                   issue(RULE_MISSING, seq, INFO, "missing_values", name, col=name, pct=shown)))
-    return _explode_issues(schema, [one])
+    return _explode_issues(schema, [one], by)
 
 
 def date_rule_counts(df: DataFrame, date_col: str, as_of=None) -> DataFrame:
@@ -126,7 +129,7 @@ def date_rule_counts(df: DataFrame, date_col: str, as_of=None) -> DataFrame:
         (F.col("max_date") > now).alias("has_future"), (F.col("min_date") < old).alias("has_old"))
 
 
-def date_issues(counts: DataFrame) -> DataFrame:
+def date_issues(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """No parsed date: error (and no further date rule). Otherwise warnings for
     dates after ``as_of``, dates before 2000, and a span under 30 days."""
     name = F.col("column_name")
@@ -139,7 +142,7 @@ def date_issues(counts: DataFrame) -> DataFrame:
                issue(RULE_DATE, F.lit(3), WARNING, "very_old_dates", name, n=F.col("n_old"))),
         F.when(~none & (F.col("span_days") < SHORT_RANGE_DAYS),
                issue(RULE_DATE, F.lit(4), WARNING, "short_date_range", name, days=F.col("span_days"))),
-    ])
+    ], by)
 
 
 def numeric_rule_counts(df: DataFrame, columns: list[str],
@@ -164,7 +167,7 @@ def numeric_rule_counts(df: DataFrame, columns: list[str],
         "column_name", "ordinal", "n_rows", "n_negative", "n_zero")
 
 
-def numeric_issues(counts: DataFrame) -> DataFrame:
+def numeric_issues(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Negative values: info with the count. Zeros in more than half of all rows: warning."""
     name, seq = F.col("column_name"), F.col("ordinal")
     return _explode_issues(counts, [
@@ -173,66 +176,82 @@ def numeric_issues(counts: DataFrame) -> DataFrame:
                      n=F.col("n_negative"), col=name)),
         F.when(F.col("n_zero") > F.col("n_rows") * F.lit(ZERO_SHARE),
                issue(RULE_NUMERIC, seq * 2 + 1, WARNING, "many_zeros", name, col=name)),
-    ])
+    ], by)
 
 
 # ---------------------------------------------------------------------------
 # Whole validation
 # ---------------------------------------------------------------------------
 
-def profile_date_counts(schema: DataFrame, as_of=None) -> DataFrame:
+def profile_date_counts(schema: DataFrame, as_of=None, by: list[str] | None = None) -> DataFrame:
     """The date rules' counts for the suggested date column, from its profile row."""
     from ledgerloom.operators.profiling import key_aggregates
 
+    by = by or []
     now, old = as_of_column(as_of), F.lit(OLD_DATE).cast("timestamp_ntz")
-    target = schema.agg(*key_aggregates()).select(F.col("suggested_date_column").alias("_target"))
-    return schema.join(F.broadcast(target), F.col("column_name") == F.col("_target")).select(
-        "column_name", F.col("n_nonnull").alias("n_valid"), "min_date", "max_date",
+    target = schema.groupBy(*by).agg(*key_aggregates()).select(
+        *[F.col(k).alias(f"_{k}") for k in by], F.col("suggested_date_column").alias("_target"))
+    on = F.col("column_name") == F.col("_target")
+    for k in by:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return schema.join(target if by else F.broadcast(target), on).select(
+        *by, "column_name", F.col("n_nonnull").alias("n_valid"), "min_date", "max_date",
         whole_days_between(F.col("min_date"), F.col("max_date")).alias("span_days"),
         "n_future", "n_old",
         (F.col("max_date") > now).alias("has_future"), (F.col("min_date") < old).alias("has_old"))
 
 
-def profile_numeric_counts(schema: DataFrame) -> DataFrame:
+def profile_numeric_counts(schema: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The number rules' counts for every number column, from the profile."""
     return schema.filter(F.col("detected_type").isin(LABEL_NUMERIC, LABEL_INTEGER)).select(
-        "column_name", "ordinal", "n_rows", "n_negative", "n_zero")
+        *(by or []), "column_name", "ordinal", "n_rows", "n_negative", "n_zero")
 
 
-def validation_issues(schema: DataFrame, as_of=None) -> DataFrame:
+def validation_issues(schema: DataFrame, as_of=None, by: list[str] | None = None,
+                      keys: DataFrame | None = None) -> DataFrame:
     """All issues in report order: structure, missing values, dates, numbers.
 
-    ``schema`` comes from ``profiling.detect_schema`` with the same ``as_of``.
+    ``schema`` comes from ``profiling.detect_schema`` with the same ``as_of``. With ``by``,
+    the columns that name a file, it holds the columns of many files and the issues
+    carry them; ``keys`` then adds files without any column (``by``, ``row_count``,
+    ``column_count``).
     """
     from ledgerloom.operators.profiling import suggested_keys
     from ledgerloom.session import checkpointed
 
     schema = checkpointed(schema)      # one row per column, read by every rule
-    parts = [structure_issues(suggested_keys(schema)), missing_value_issues(schema),
-             date_issues(profile_date_counts(schema, as_of)),
-             numeric_issues(profile_numeric_counts(schema))]
+    parts = [structure_issues(keys if keys is not None else suggested_keys(schema, by), by),
+             missing_value_issues(schema, by), date_issues(profile_date_counts(schema, as_of, by), by),
+             numeric_issues(profile_numeric_counts(schema, by), by)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(*ISSUE_COLUMNS)
+    return out.select(*(by or []), *ISSUE_COLUMNS)
 
 
-def validation_report(issues: DataFrame) -> DataFrame:
-    """One row: ``is_valid, total_issues, errors, warnings, infos, issues, summary``."""
-    sev = F.col("severity")
+def validation_report(issues: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: ``is_valid, total_issues, errors, warnings, infos, issues, summary``.
+
+    With ``files`` (the columns that name a file, a row for each) one row per
+    file, also for those without an issue.
+    """
+    by = files.columns if files is not None else []
+    rows = files.join(issues, by, "left") if by else issues
+    sev, found = F.col("severity"), F.col("severity").isNotNull()
     body = F.struct(*[F.col(c) for c in ["severity", "type", "column", "message", "suggestion"]])
-    agg = issues.agg(
-        F.count(F.lit(1)).alias("total_issues"),
+    agg = rows.groupBy(*by).agg(
+        F.count_if(found).alias("total_issues"),
         F.count_if(sev == ERROR).alias("errors"),
         F.count_if(sev == WARNING).alias("warnings"),
         F.count_if(sev == INFO).alias("infos"),
-        F.array_sort(F.collect_list(F.struct("rule_order", "seq", body.alias("issue")))).alias("ordered"),
+        F.array_sort(F.collect_list(F.when(found, F.struct("rule_order", "seq", body.alias("issue")))))
+        .alias("ordered"),
     )
     summary = (F.when(F.col("errors") > 0, render(SUMMARY_ERRORS, n=F.col("errors")))
                 .when(F.col("warnings") > 0, render(SUMMARY_WARNINGS, n=F.col("warnings")))
                 .otherwise(F.lit(SUMMARY_CLEAN)))
     return agg.select(
-        (F.col("errors") == 0).alias("is_valid"), "total_issues", "errors", "warnings", "infos",
+        *by, (F.col("errors") == 0).alias("is_valid"), "total_issues", "errors", "warnings", "infos",
         F.transform("ordered", lambda s: s["issue"]).alias("issues"), summary.alias("summary"))
 
 

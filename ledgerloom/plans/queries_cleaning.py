@@ -235,8 +235,8 @@ _SECONDS = "((l_orderkey * 37 + l_partkey * 11 + l_linenumber) % 86400)"
  when 10 then {_DAY} + to_seconds({_SECONDS} // 60 * 60)
  when 11 then null else {_DAY} end as parsed from lineitem""")
 def q_parse_datetime_text(spark, sf):
-    rows = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
-                                                 "l_shipdate")
+    rows = X.fact_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey",
+                                                   "l_shipdate"])
     d = F.col("l_shipdate")
     y, m, day = F.year(d), F.month(d), F.dayofmonth(d)
     sec = ((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber")) % 86400)

@@ -135,10 +135,10 @@ def _report_sql() -> str:
             f"{listing} as issue_list, {summary} as summary from issues")
 
 
-def _issue_list(report):
+def _issue_list(report, *by):
     listing = F.transform("issues", lambda i: F.concat_ws(
         ":", i["severity"], i["type"], F.coalesce(i["column"], F.lit(""))))
-    return report.select("is_valid", "total_issues", "errors", "warnings", "infos",
+    return report.select(*by, "is_valid", "total_issues", "errors", "warnings", "infos",
                          F.array_join(listing, ",").alias("issue_list"), "summary")
 
 
@@ -268,15 +268,22 @@ def _case_sql(name, errors, warnings, infos, issues):
 
 @query("rule_cases", "\nunion all\n".join(_case_sql(*c) for c in _CASES))
 def q_rule_cases(spark, sf):
-    out = None
+    """One profile of all frames, keyed by (frame, column)."""
+    cells = columns = None
     for name, frame in _case_frames(spark, sf).items():
-        schema = P.detect_schema(frame, "id", with_samples=False, as_of=CASES_AS_OF)
-        report = V.validation_report(V.validation_issues(schema, CASES_AS_OF))
-        one = _issue_list(report).select(
-            F.lit(name).alias("frame"), V.badge_expr().alias("badge"), "is_valid", "errors", "warnings", "infos",
-            "issue_list", "summary")
-        out = one if out is None else out.unionByName(one)
-    return out
+        names = [c for c in frame.columns if c != "id"]
+        meta = P.columns_frame(spark, frame, names).select(F.lit(name).alias("frame"), "*")
+        family = F.get(F.array(*[F.lit(P.type_family(frame.schema[c].dataType)) for c in names]), F.col("ordinal"))
+        part = P.stacked(frame, names, "id").select(F.lit(name).alias("frame"), "*", family.alias("family"))
+        cells, columns = (part, meta) if cells is None else (cells.unionByName(part), columns.unionByName(meta))
+    keys = ["frame", "ordinal"]
+    profile = P.profiled(columns, P.profile_cells(cells, keys, CASES_AS_OF), keys)
+    schema = profile.select("*", P.label_expr().alias("detected_type"),
+                            P.suggest_mapping_expr(F.col("column_name")).alias("suggested_mapping"))
+    issues = V.validation_issues(schema, CASES_AS_OF, ["frame"])
+    report = V.validation_report(issues, columns.select("frame").distinct())
+    return _issue_list(report, "frame").withColumn("badge", V.badge_expr()).select(
+        "frame", "badge", "is_valid", "errors", "warnings", "infos", "issue_list", "summary")
 
 
 @query("invalid_dates", "select 3 as rule_order, 1 as seq, 'error' as severity, 'invalid_dates' as type, "

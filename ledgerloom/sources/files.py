@@ -20,10 +20,13 @@ from __future__ import annotations
 
 import csv
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.parsing import na_to_null
 from ledgerloom.operators.cleaning import replace_na_tokens
 
 ROW_ID = "_row_id"
@@ -57,13 +60,18 @@ def file_traits(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.min_by(F.col("line").cast("binary"), F.col("at")).alias("header"))
 
 
+def _readable(uri: str) -> str:
+    """A file's name as a scan reports it (encoded), as a path to read that matches nothing else."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def header_cells(spark: SparkSession, file: str, line: str, sep: str, encoding: str) -> list[str]:
     """The cells of a header: of its ``line``, or, where a quoted cell breaks that line, of the
     file's first record (the reader stops there)."""
     if line.count('"') % 2 == 0:
         return next(csv.reader([line], delimiter=sep), [])
     record = (spark.read.options(**DIALECT).option("sep", sep).option("encoding", encoding)
-              .option("multiLine", True).option("header", False).csv(file).first())
+              .option("multiLine", True).option("header", False).csv(_readable(file)).first())
     cells = [x or "" for x in record]
     return [cells[0].removeprefix("\ufeff"), *cells[1:]]
 
@@ -102,7 +110,7 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], sep: st
     schema = ", ".join(f"{c} string" for c in [*cols, _BAD])
     df = (spark.read.options(**DIALECT | ({"nullValue": _BLANK} if keep_empty else {}))
           .option("header", True).option("sep", sep)
-          .option("encoding", encoding).option("multiLine", multiline).schema(schema).csv(files))
+          .option("encoding", encoding).option("multiLine", multiline).schema(schema).csv([_readable(f) for f in files]))
     # A row too long is never cut: reading it fails, naming the row.
     stop = F.raise_error(F.concat(F.lit(f"a row has more than the header's {len(names)} cells: "),
                                   F.substring(F.col(_BAD), 1, 200))).cast("string")
@@ -110,6 +118,45 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], sep: st
     return df.select(first.alias("c0"), *cols[1:]).toDF(*names)
 
 
+def read_batch(spark: SparkSession, files: dict[str, int]) -> tuple[DataFrame | None, dict[int, list[str]]]:
+    """Many CSV and text files as one all-text frame, and the headers of each.
+
+    ``files`` numbers the paths. The frame has ``file_no``, ``_row_id`` (in file order),
+    ``bad`` (the text of a row with more cells than its header, else null) and the
+    cells by position, ``c0, c1, ...``, NA tokens as nulls; a file with fewer columns
+    than others has nulls behind its own. Files that agree on header, separator
+    and encoding are read together; the plan has a scan for each such group, and
+    one job reads the raw lines of all files first. A file without a line is not in the headers.
+    """
+    def bare(path: str) -> str:
+        return path.split(":", 1)[-1].lstrip("/")
+
+    numbers = {bare(p): n for p, n in files.items()}
+    groups: dict[tuple, list[tuple[str, int]]] = {}
+    headers: dict[int, list[str]] = {}
+    for r in file_traits(spark, list(files)).collect():      # one row per file
+        code = "ISO-8859-1" if r.not_utf8 else "UTF-8"
+        header = bytes(r.header).decode(code.lower().replace("utf-8", "utf-8-sig"), "replace")
+        mark = "," if suffix(r.file) == ".csv" else _separator(header, None)
+        n = numbers[bare(unquote(r.file))]
+        headers[n] = header_names(header_cells(spark, r.file, header, mark, code))
+        groups.setdefault((len(headers[n]), mark, code, r.breaks), []).append((r.file, n))
+    out, widest = None, max(map(len, headers.values()), default=0)
+    for (width, mark, code, breaks), members in sorted(groups.items(), key=lambda g: sorted(g[1])):
+        cols = [f"c{i}" for i in range(width)]
+        df = (spark.read.options(**DIALECT).option("header", True).option("sep", mark)
+              .option("encoding", code).option("multiLine", breaks)
+              .schema(", ".join(f"{c} string" for c in [*cols, _BAD])).csv([_readable(f) for f, _ in members]))
+        number = F.create_map(*[F.lit(x) for pair in members for x in pair])
+        bad = F.when(cells_beyond(F.col(_BAD), width, mark), F.col(_BAD))
+        part = df.select(F.element_at(number, F.col("_metadata.file_path")).alias("file_no"),
+                         F.monotonically_increasing_id().alias(ROW_ID), bad.alias("bad"),
+                         *[na_to_null(F.col(c)).alias(c) for c in cols],
+                         *[F.lit(None).cast("string").alias(f"c{i}") for i in range(width, widest)])
+        out = part if out is None else out.unionByName(part)
+    return out, headers
+
+
 def _separator(header: str, sep: str | None) -> str:
     """Text tables: tabs, or commas when the header has no tab but a comma."""
     if sep:

@@ -3,11 +3,11 @@
 The service handles one file per request; at volume, files arrive in a
 folder instead. The file stream source tracks which files are new (its
 progress lives in the query's checkpoint location, so a restarted or
-failed query resumes without re-reading finished files), and each
-micro-batch runs the same batch plans per new file: admission, profile and
-registration, and optionally the load into the sales table. The files are
-handled one after the other by the driver, each by distributed jobs; more
-volume is met by larger files or by several landing folders.
+failed query resumes without re-reading finished files). All CSV and text files
+of a micro-batch go through admission, profile, registration and, optionally, the load
+into the sales table together, in a number of jobs that does not depend on
+theirs (``plans.batch``); workbooks are handled one after the other, and
+so are the files of a batch whose common jobs fail, to find the one at fault.
 
 The upload id is derived from the file's path and modification time, so a
 micro-batch replayed after a failure re-registers the same id, and the load
@@ -26,9 +26,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.constants import STATUS_ERROR, STATUS_PROCESSED, STATUS_UPLOADED
 from ledgerloom.operators.uploads import latest_state
+from ledgerloom.plans.batch import BATCH_SUFFIXES, run_batch
 from ledgerloom.plans.process import process_upload
 from ledgerloom.plans.upload import profile_upload
 from ledgerloom.sources import registry as R
+from ledgerloom.sources.files import suffix
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -55,12 +57,11 @@ class _Accepted:
 
 def handle_batch(spark: SparkSession, batch: DataFrame, registry_path: str,
                  sales_path: str | None, as_of=None) -> list[dict]:
-    """Run the upload (and optionally the load) plan for each file of a micro-batch.
+    """Run the upload (and optionally the load) plan for the files of a micro-batch.
 
     The batch holds one row per new file (at most ``max_files``), so
     collecting it brings file names, not data, to the driver. Uploads that a
-    replayed batch finds processed are skipped; all events of the batch are
-    appended in one write.
+    replayed batch finds processed are skipped.
     """
     files = batch.select("path", "modificationTime").collect()
     ids = {upload_id_for(r.path, r.modificationTime): r.path for r in files}
@@ -71,11 +72,24 @@ def handle_batch(spark: SparkSession, batch: DataFrame, registry_path: str,
         done = {r.upload_id for r in state.filter(F.col("status") == STATUS_PROCESSED).collect()}
     except AnalysisException:
         pass                                             # no registry yet
+    results = [{"upload_id": uid, "path": path, "status": STATUS_PROCESSED}
+               for uid, path in ids.items() if uid in done]
+    new = {uid: path for uid, path in ids.items() if uid not in done}
+    together = {uid: path for uid, path in new.items() if suffix(path) in BATCH_SUFFIXES}
+    if together:
+        try:
+            results += run_batch(spark, together, registry_path, sales_path, as_of=as_of)
+        except Exception:  # noqa: BLE001 - one unreadable file must not stop the others
+            together = {}
+    single = {uid: path for uid, path in new.items() if uid not in together}
+    return results + _one_by_one(spark, single, registry_path, sales_path, as_of)
+
+
+def _one_by_one(spark: SparkSession, uploads: dict[str, str], registry_path: str, sales_path: str | None,
+                as_of) -> list[dict]:
+    """The plans of a single file for each of ``uploads``; all events are appended in one write."""
     results, events = [], []
-    for uid, path in ids.items():
-        if uid in done:
-            results.append({"upload_id": uid, "path": path, "status": STATUS_PROCESSED})
-            continue
+    for uid, path in uploads.items():
         try:
             res = profile_upload(spark, path, upload_id=uid, as_of=as_of, events=events)
             out = {"upload_id": uid, "path": path, "status": res.status,
