@@ -309,6 +309,28 @@ def test_a_first_text_with_part_of_a_passage_hides_no_other_pair(spark):
     assert {x.doc_id for x in got.collect()} >= {i for i, _ in rows if i % 3}
 
 
+def test_a_passage_is_one_class_of_all_its_texts(spark, monkeypatch):
+    """Twenty texts with one passage: 19 partners each, also dealt out over parts; a notice under
+    the length makes no class, and pairs grow with the texts."""
+    m, r = op3_substring_dedup, random.Random(35)
+    passage, notice = ([r.choice(VOCABULARY) for _ in range(n)] for n in (60, 43))
+    rows = [(i, " ".join([*prose(40, 30000 + 2 * i).split(), *(passage if i < 20 else notice),
+                          *prose(40, 30001 + 2 * i).split()])) for i in range(320)]
+    rows.append((400, " ".join([*prose(30, 1).split(), *passage, *prose(70, 2).split(), *passage])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share, heavy, part in ((0.02, 40, 2000), (1.0, 2, 6)):
+        for name, value in (("SAMPLE", share), ("HEAVY", heavy), ("PART", part)):
+            monkeypatch.setattr(m, name, value)
+        got = m.repeated_passages(df).collect()
+        assert Counter(x.doc_id for x in got) == Counter([*range(20), 400, 400])
+        assert {x.n_partners for x in got} == {20} and len({x.class_id for x in got}) == 1
+        assert all(x.n_words >= 60 and x.partner_id in {*range(20), 400} for x in got)
+    texts = df.select(F.xxhash64("text").alias("id"), "text")
+    none = spark.createDataFrame([], "h_key long, parts long")
+    windows = texts.mapInArrow(m._windows, m.WINDOW)
+    assert m._pairs(windows, none, 0).count() <= m.REACH * windows.count()
+
+
 # -------------------------------------------------------------------------------- 4 toxicity
 
 def distance(a, b):
