@@ -1,16 +1,26 @@
-"""Fuzzy line dedup: min-hash bands, edit similarity, one line per group.
+"""Fuzzy line dedup: SimHash blocks, edit similarity, one line per group.
 
 Lines are normalised (ASCII letters to lower case, digits to 0, ASCII
 punctuation and white space to single spaces). Lines with fewer than MIN_WORDS
 words take no part in the fuzzy step; of those with ``exact_words`` words or more, as
-every line with a word in the query and the pipeline, exact repeats go. Equal normalised lines collapse by a 128-bit hash.
-Each different line has BANDS bucket keys, each of ROWS min-hashes of its GRAM-byte
-substrings: lines that share a part J of their substrings meet in a bucket with
-probability 1 - (1 - J^ROWS)^BANDS, 0.99 at J = 0.56 (one word of ten replaced).
-Pairs in a bucket whose lengths allow it are verified by edit similarity
-(Levenshtein distance over the longer length) on the normalised lines. Connected
-lines form a group, of which the first occurrence (by document id, then text,
-then line number) stays.
+every line with a word in the query and the pipeline, exact repeats go. Equal normalised
+lines collapse by a 128-bit hash.
+
+A line of n words is cut into five parts: two of n // 5 words from its start, two from its
+end, and the middle. Each part has a SimHash of BITS bits: the signs of the
+sums of its words' hash bits, weighted by the words' lengths. These blocks make the line's
+fingerprint, and lines are joined on pairs of blocks by the pigeonhole
+principle: edits in at most three of five parts leave two blocks as they are, so lines apart by any
+three replaced words or letters share a pair. An inserted or lost word moves no part
+before it or, counted from the end, behind it, so the outer pair of the other side
+is shared (a line whose number of words is a multiple of five is also cut as if it had one
+word less). A SimHash of the whole line would not do: one word of ten moves a bit of six, so
+blocks wide enough to tell lines apart keep few near pairs (3 of 64 bits: a third).
+
+Pairs in a bucket whose lengths and letter counts allow it are verified by edit
+similarity (Levenshtein distance over the longer length) on the normalised lines, which
+alone decides. Connected lines form a group, of which the first occurrence (by document
+id, then text, then line number) stays.
 
 Defined results: a null text stays null; a text without lines to drop stays as
 it is, down to its bytes. Null ids come last. Rows that repeat both id and text
@@ -34,9 +44,11 @@ from ledgerloom.llm.graph import components
 from ledgerloom.llm.registry import query
 
 MIN_WORDS = 5
-#: Bits of a 64-bit SimHash in which two lines may differ: any. Only edit similarity decides.
-MAX_BITS = 64
-GRAM, ROWS, BANDS = 8, 2, 12
+#: Parts of a line, bits of a part's SimHash, and letter classes that are counted.
+PARTS, BITS, CLASSES = 5, 32, 16
+#: The pairs of blocks that lines are joined on; the first two are the outer ones.
+JOINED = [(0, 1), (3, 4), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+KEYS = len(JOINED) + 2
 MIN_EDIT = 0.9
 #: Buckets with this many lines, by a sample of one line in so many, are dealt over blocks.
 LARGE, SAMPLE_ONE_IN = 4096, 128
@@ -53,9 +65,10 @@ NORMAL[ord("A"):ord("Z") + 1] = _codes[ord("a"):ord("z") + 1]
 NORMAL[ord("0"):ord("9") + 1] = ord("0")
 OTHER = np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(88)
-SEEDS = _rng.integers(1, 2**31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: Buckets are numbered by key and, in the low bits, band.
-TABLES = 64
+PAIR_SEEDS = _rng.integers(1, 2**63, len(JOINED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The class of a character by its first byte; continuation bytes have none.
+LETTER = (np.arange(256) * 7 % CLASSES).astype(np.int64)
+LETTER[128:192] = -1
 
 
 def normal_line(raw: bytes) -> str:
@@ -64,8 +77,9 @@ def normal_line(raw: bytes) -> str:
         else b" ".join(clean.split()).decode("utf-8", "replace")
 
 
-def line_marks(data, offsets, powers, min_words=MIN_WORDS):
-    """(text number, line number, h1, h2, band keys, characters, words) of the lines with enough words."""
+def line_marks(data, offsets, powers, min_words=MIN_WORDS, fuzzy_words=MIN_WORDS):
+    """(text number, line number, h1, h2, block keys, letter counts, characters, words) of the
+    lines with enough words."""
     clean = NORMAL[data]
     starts, ends, _ = textnp.words(clean, offsets)
     breaks = np.flatnonzero(data == 10)
@@ -87,42 +101,74 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS):
             total = np.zeros(len(h) + 1, dtype=np.uint64)
             np.cumsum(h * up[:len(h)], out=total[1:])
             marks.append(textnp.mix64((total[end] - total[begin]) * down[begin]).view(np.int64))
-    keys, chars = _bands(clean, starts, ends, begin, end)
+    fuzzy = count[good] >= max(fuzzy_words, PARTS)
+    keys = np.zeros((len(good), KEYS), dtype=np.int64)
+    keys[fuzzy] = block_keys(word_hash, ends - starts, begin[fuzzy], end[fuzzy], marks[0][fuzzy])
+    letters, chars = _letters(clean, starts, ends, begin, end)
     doc = doc_of[good]
-    return doc, good - first_line[doc], *marks, keys, chars, count[good]
+    return doc, good - first_line[doc], *marks, keys, fuzzy, letters, chars
 
 
-def _bands(clean, starts, ends, begin, end):
-    """Band keys, and numbers of characters, of the lines that hold the words [begin, end)."""
-    if not len(begin):
-        return np.zeros((0, BANDS), np.int32), np.zeros(0, np.int32)
-    # The normalised lines: words with one space after each.
-    size = ends - starts
-    at = np.concatenate([[0], np.cumsum(size + 1)])
-    norm = np.full(at[-1] + GRAM, 32, dtype=np.uint8)
-    move = np.repeat(at[:-1] - starts, size)
-    source = np.arange(len(move)) + np.repeat(starts - np.cumsum(size) + size, size)
-    norm[source + move] = clean[source]
-    start, stop = at[begin], at[end] - 1
-    leads = np.concatenate([[0], np.cumsum((norm & 0xC0) != 0x80)])
-    chars = (leads[stop] - leads[start]).astype(np.int32)
-    grams = np.empty(at[-1], dtype="<u8")
-    for k in range(GRAM):
-        part = norm[k:k + (at[-1] - k + GRAM - 1) // GRAM * GRAM].view("<u8")
-        grams[k::GRAM] = part[:len(grams[k::GRAM])]
-    short = np.flatnonzero(stop - start < GRAM)
-    grams[start[short]] &= (np.uint64(1) << (8 * (stop - start)[short]).astype(np.uint64)) - np.uint64(1)
-    grams = np.append((textnp.mix64(grams) >> np.uint64(32)).astype(np.uint32), np.uint32(0))
-    cut = np.stack([start, np.maximum(stop - GRAM + 1, start + 1)], axis=1).reshape(-1)
-    keys = np.empty((len(begin), BANDS), dtype=np.int32)
+def sim_hashes(word_hash, weight, bounds) -> np.ndarray:
+    """The BITS-bit SimHash of the words [bounds[:, p], bounds[:, p + 1]) of every part p."""
+    sums = np.zeros((len(bounds), bounds.shape[1] - 1), dtype=np.uint64)
+    if not len(bounds):
+        return sums
+    at = bounds.reshape(-1)
+    word_hash, weight = np.append(word_hash, np.uint64(0)), np.append(weight, 0).astype(np.int32)
+    for bit in range(BITS):
+        side = np.where(word_hash >> np.uint64(bit + 16) & np.uint64(1), weight, -weight)
+        positive = np.add.reduceat(side, at).reshape(bounds.shape)[:, :-1] > 0
+        sums |= positive.astype(np.uint64) << np.uint64(bit)
+    return sums
+
+
+def block_keys(word_hash, sizes, begin, end, own) -> np.ndarray:
+    """The KEYS keys of every line: its pairs of blocks, then the outer pairs of one word less.
+
+    Lines without the last two have numbers of their own there (from ``own``), which no line shares.
+    """
+    n = end - begin
+
+    def cut(w):
+        return np.stack([begin, begin + w, begin + 2 * w, end - 2 * w, end - w, end], axis=1)
+
+    def key(blocks, p, w):
+        i, j = JOINED[p]
+        with np.errstate(over="ignore"):
+            return textnp.mix64((blocks[:, i] << np.uint64(32) | blocks[:, j]) * PAIR_SEEDS[p] + w.astype(np.uint64))
+
+    keys = np.empty((len(n), KEYS), dtype=np.uint64)
+    blocks, w = sim_hashes(word_hash, sizes, cut(n // PARTS)), n // PARTS
+    for p in range(len(JOINED)):
+        keys[:, p] = key(blocks, p, w)
+    less = np.flatnonzero((n % PARTS == 0) & (w > 1))
     with np.errstate(over="ignore"):
-        for band in range(BANDS):
-            key = np.zeros(len(begin), dtype=np.uint64)
-            for seed in SEEDS[band]:
-                low = np.minimum.reduceat(grams * seed, cut)[::2]
-                key = textnp.mix64((key << np.uint64(32)) ^ key ^ low)
-            keys[:, band] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return keys, chars
+        for p in (0, 1):
+            keys[:, len(JOINED) + p] = textnp.mix64(own.view(np.uint64) ^ PAIR_SEEDS[p])
+    if len(less):
+        blocks = sim_hashes(word_hash, sizes, cut(w - 1)[less])
+        for p in (0, 1):
+            keys[less, len(JOINED) + p] = key(blocks, p, w[less] - 1)
+    return keys.view(np.int64)
+
+
+def _letters(clean, starts, ends, begin, end):
+    """Characters per class (255 at most), and all characters, of the lines that hold the words [begin, end).
+
+    Words stand with one space between; spaces are not counted as letters.
+    """
+    size = ends - starts
+    line = np.repeat(np.arange(len(begin)), end - begin)
+    words = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange(len(line))
+    size = size[words]
+    at = np.arange(int(size.sum())) + np.repeat(starts[words] - (np.cumsum(size) - size), size)
+    kind = LETTER[clean[at]]
+    real = kind >= 0
+    cell = np.repeat(line * CLASSES, size)[real] + kind[real]
+    counts = np.bincount(cell, minlength=len(begin) * CLASSES).reshape(-1, CLASSES)
+    chars = counts.sum(axis=1) + np.maximum(end - begin - 1, 0)
+    return np.minimum(counts, 255).astype(np.uint8), chars.astype(np.int32)
 
 
 def _lines(min_words: int, exact_words: int):
@@ -131,16 +177,17 @@ def _lines(min_words: int, exact_words: int):
         for batch in batches:
             rest = batch.select(["doc_id", "md5"])
             for i, j, data, offsets in textnp.blocks(batch.column("text")):
-                doc, no, h1, h2, keys, chars, count = line_marks(
-                    data, offsets, powers, min(min_words, exact_words))
-                bands = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)),
-                    mask=pa.array(count < min_words))
+                doc, no, h1, h2, keys, fuzzy, letters, chars = line_marks(
+                    data, offsets, powers, min(min_words, exact_words), min_words)
+                mask = pa.array(~fuzzy)
+                held = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, keys.size + 1, KEYS), pa.int32()), pa.array(keys.reshape(-1)), mask=mask)
+                counts = pa.Array.from_buffers(pa.binary(CLASSES), len(doc), [None, pa.py_buffer(letters.tobytes())])
                 part = rest.slice(i, j - i).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(no, pa.int32()), pa.array(h1), pa.array(h2),
-                     bands, pa.array(chars)],
-                    names=["doc_id", "md5", "line_no", "h1", "h2", "bands", "chars"])
+                     held, counts.cast(pa.binary()), pa.array(chars)],
+                    names=["doc_id", "md5", "line_no", "h1", "h2", "keys", "letters", "chars"])
     return run
 
 
@@ -192,23 +239,32 @@ def edit_distance(a: str, b: str) -> int:
 
 
 class Kernel:
-    """Candidates share a band; verified pairs reach the edit similarity.
+    """Candidates share a bucket; verified pairs reach the edit similarity.
 
-    A pair belongs to the first band that it shares. Only connections count
+    A pair belongs to the smallest bucket that it shares. Only connections count
     here, so pairs already connected are not measured.
     """
 
     def __init__(self, min_edit: float):
         self.min_edit = min_edit
 
+    def near(self, letters_a, letters_b, chars_a, chars_b):
+        """Whether lengths and letter counts allow the edit similarity: one edit changes two counts at most."""
+        limit = (1 - self.min_edit) * np.maximum(chars_a, chars_b) + 1e-9
+        apart = np.abs(letters_a.astype(np.int32) - letters_b).sum(axis=-1)
+        return (np.abs(chars_a - chars_b) <= limit) & (apart <= 2 * limit)
+
     def candidates(self, sigs: np.ndarray, bucket: int, keys=None) -> np.ndarray:
-        own = np.ones((len(sigs), len(sigs)), dtype=bool)
-        for band in range(bucket % TABLES):
-            own &= sigs[:, band, None] != sigs[None, :, band]
-        return own
+        """``sigs`` hold a line's keys, its letter counts and its number of characters."""
+        letters, chars = sigs[:, KEYS:KEYS + CLASSES], sigs[:, -1]
+        out = np.zeros((len(sigs), len(sigs)), dtype=bool)
+        for x in range(len(sigs)):
+            out[x] = self.near(letters[x], letters, chars[x], chars)
+        return buckets.earlier_buckets(np.triu(out, 1), sigs[:, :KEYS].tolist(), bucket)
 
     def pair(self, a: np.ndarray, b: np.ndarray, bucket: int) -> bool:
-        return int(np.argmax(a == b)) == bucket % TABLES
+        return min(set(a[:KEYS].tolist()) & set(b[:KEYS].tolist())) == bucket and bool(
+            self.near(a[KEYS:KEYS + CLASSES], b[KEYS:KEYS + CLASSES], a[-1], b[-1]))
 
     def same(self, a: str, b: str) -> bool:
         return self.alike(normal_line(a.encode()), normal_line(b.encode()))
@@ -250,7 +306,7 @@ class Kernel:
         if max((x - y).total(), (y - x).total()) > limit:
             return False
         # Another: one edit changes at most q substrings of length q.
-        q = GRAM // 2
+        q = 4
         x, y = (Counter([c[k:k + q] for k in range(len(c) - q + 1)]) for c in (a, b))
         if max((x - y).total(), (y - x).total()) > q * limit:
             return False
@@ -259,16 +315,19 @@ class Kernel:
     def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that are in a candidate pair of their (bucket, i, j) group.
 
-        Candidates have lengths that are near enough and, where rows carry all their
-        bands, share no earlier one. Looks at rows 1, 2, 3 ... apart while they share
-        a group, so a batch of small groups costs a few array operations.
+        Candidates have lengths that are near enough and, where rows carry them, letter counts.
+        Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
+        small groups costs a few array operations.
         """
         for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
-            names = [c for c in t.column_names if c not in ("chars", "bands")]
+            names = [c for c in t.column_names if c not in ("chars", "letters")]
             col = {c: t.column(c).to_numpy() for c in (*names, "chars")}
-            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) \
-                if "bands" in t.column_names else None
-            chars, table, cross = col["chars"], col["bucket"] % TABLES, col["i"] != col["j"]
+            letters = None
+            if "letters" in t.column_names:
+                held = t.column("letters").combine_chunks().cast(pa.binary(CLASSES))
+                letters = np.frombuffer(held.buffers()[1], np.uint8, len(held) * CLASSES,
+                                        held.offset * CLASSES).reshape(-1, CLASSES)
+            chars, cross = col["chars"], col["i"] != col["j"]
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             hit = np.zeros(len(chars), dtype=bool)
             at = np.arange(len(chars))
@@ -282,8 +341,8 @@ class Kernel:
                     <= (1 - self.min_edit) * np.maximum(chars[a], chars[b]) + 1e-9
                 near &= ~cross[a] | (col["slot"][a] != col["slot"][b])
                 a, b = a[near], b[near]
-                if bands is not None:
-                    own = np.argmax(bands[a] == bands[b], axis=1) == table[a]
+                if letters is not None:
+                    own = self.near(letters[a], letters[b], chars[a], chars[b])
                     a, b = a[own], b[own]
                 hit[a] = hit[b] = True
             rows = np.flatnonzero(hit)
@@ -299,15 +358,20 @@ def _id() -> Column:
     return F.concat_ws(".", "h1", "h2")
 
 
+def _counts() -> Column:
+    """The letter counts as an array of numbers."""
+    return F.transform(F.sequence(F.lit(1), F.lit(CLASSES)), lambda k: F.conv(
+        F.hex(F.substring("letters", k, F.lit(1))), 16, 10).cast("bigint"))
+
+
 def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     """(bucket, i, j, slot, h1, h2) of the lines with a candidate in a bucket, and the rows of
     ``different`` that may be among them.
 
     Buckets that a sample shows to be large are dealt out over pairs of blocks. A first pass
-    looks at lengths only; the lines it leaves bring all their bands.
+    looks at lengths only; the lines it leaves bring their letter counts.
     """
-    keyed = different.select(F.posexplode("bands").alias("band", "key"), "chars", "h1").select(
-        (F.col("key").cast("bigint") * TABLES + F.col("band")).alias("bucket"), "chars", "h1")
+    keyed = different.select(F.explode("keys").alias("bucket"), "chars", "h1")
     large = stage(keyed.where(F.pmod(F.xxhash64("h1"), F.lit(SAMPLE_ONE_IN)) == 0)
                   .groupBy("bucket").agg((F.count("*") * SAMPLE_ONE_IN).alias("n"))
                   .where(F.col("n") >= LARGE).withColumnRenamed("bucket", "_bucket"), "large")
@@ -328,8 +392,8 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     ids = stage(hits.select(F.col("h1").alias("_h1")).distinct(), "near-ids")
     some = stage(different.join(small(ids, ids.count(), BROADCAST_IDS), F.col("h1") == F.col("_h1"),
                                 "left_semi"), "near-different")
-    full = hits.join(some.select("h1", "h2", "chars", "bands"), "h1").select(
-        "bucket", "i", "j", "slot", "h1", "h2", "chars", "bands")
+    full = hits.join(some.select("h1", "h2", "chars", "letters"), "h1").select(
+        "bucket", "i", "j", "slot", "h1", "h2", "chars", "letters")
     return passed(full, "h1 long, h2 long", "near-lines"), some
 
 
@@ -341,11 +405,11 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
         F.col(id_col).alias("doc_id"), F.md5(text_col).alias("md5"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     seen = stage(rows.mapInArrow(_lines(min_words, exact_words), f"doc_id {kind}, md5 string, line_no int, "
-                                 "h1 long, h2 long, bands array<int>, chars int"), "lines")
+                                 "h1 long, h2 long, keys array<long>, letters binary, chars int"), "lines")
     where = _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no"))
     different = stage(seen.groupBy("h1", "h2").agg(
-        F.min(where).alias("first"), F.any_value("bands").alias("bands"),
-        F.max("chars").alias("chars"), F.count("*").alias("times")),
+        F.min(where).alias("first"), F.any_value("keys").alias("keys"),
+        F.any_value("letters").alias("letters"), F.max("chars").alias("chars"), F.count("*").alias("times")),
         "different")
     needed, some = _near(different, kernel)
 
@@ -362,7 +426,8 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
         return cut.join(full, "id")
 
     found = buckets.linked(needed.withColumn("id", _id()).drop("h1", "h2"),
-                           some.select(_id().alias("id"), F.col("bands").alias("sig")),
+                           some.select(_id().alias("id"), F.concat("keys", _counts(), F.array(
+                               F.col("chars").cast("bigint"))).alias("sig")),
                            fetch, kernel, "lines")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     grouped = different.join(roots, _id() == F.col("id"), "left") \

@@ -542,23 +542,15 @@ def test_windows_follow_the_weights(spark):
 
 # --------------------------------------------------------------------------------- 8 line dedup
 
-def sim_hash(line):
-    data = np.frombuffer(line.encode(), dtype=np.uint8)
-    s, e, _ = textnp.words(data, np.array([0, len(data)]))
-    h = textnp.span_hashes(data, s, e, textnp.Powers())
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    return sum(1 << k for k in range(64) if 2 * int(bits[:, k].sum()) > len(h))
-
-
-def brute_lines(rows):
+def brute_lines(rows, exact_words=op8_line_dedup.MIN_WORDS):
+    """Lines that go, by edit similarity alone; shorter ones by equality."""
     occurrences = []
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             norm = op8_line_dedup.normal_line(line.encode())
-            if t is not None and len(norm.split()) >= op8_line_dedup.MIN_WORDS:
+            if t is not None and len(norm.split()) >= min(exact_words, op8_line_dedup.MIN_WORDS):
                 occurrences.append(((i is None, i or 0, hashlib.md5(t.encode()).hexdigest(), k), norm))
     different = list(dict.fromkeys(n for _, n in occurrences))
-    sims = [sim_hash(n) for n in different]
     parent = {n: n for n in different}
 
     def find(x):
@@ -566,12 +558,14 @@ def brute_lines(rows):
             x = parent[x]
         return x
 
-    for x in range(len(different)):
+    long = [n for n in different if len(n.split()) >= op8_line_dedup.MIN_WORDS]
+    counts = [Counter(n) for n in long]
+    for x in range(len(long)):
         for y in range(x):
-            if bin(sims[x] ^ sims[y]).count("1") <= op8_line_dedup.MAX_BITS:
-                a, b = different[x], different[y]
-                if distance(a, b) <= (1 - op8_line_dedup.MIN_EDIT) * max(len(a), len(b)) + 1e-9:
-                    parent[find(a)] = find(b)
+            a, b = long[x], long[y]
+            limit = (1 - op8_line_dedup.MIN_EDIT) * max(len(a), len(b)) + 1e-9
+            if abs(len(a) - len(b)) <= limit and (counts[x] - counts[y]).total() <= limit and distance(a, b) <= limit:
+                parent[find(a)] = find(b)
     first = {}
     for at, norm in occurrences:
         first[find(norm)] = min(first.get(find(norm), at), at)
@@ -621,9 +615,9 @@ def words_changed(line, r, how):
         w.insert(k, r.choice(VOCABULARY))
     elif how == "drop":
         del w[k]
-    else:                                                  # two letters, anywhere
+    else:                                                  # three letters, anywhere
         s = list(line)
-        for at in r.sample(range(len(s)), 2):
+        for at in r.sample([k for k in range(len(s)) if s[k] != " "], 3):
             s[at] = r.choice("abcdefgh")
         return "".join(s)
     return " ".join(w)
@@ -633,7 +627,7 @@ def test_near_lines_of_every_length_meet(spark):
     """Recall against edit similarity alone, whatever made the candidates."""
     r = random.Random(81)
     rows, pairs_of = [], defaultdict(list)
-    for words in (8, 12, 20, 30, 50):
+    for words in (5, 8, 9, 10, 12, 20, 30, 50):
         while len(pairs_of[words]) < 100:
             a = " ".join(r.choice(VOCABULARY) for _ in range(words))
             b = words_changed(a, r, r.choice(["replace", "insert", "drop", "letters"]))
@@ -654,6 +648,26 @@ def test_exact_repeats_of_short_lines_go(spark, tmp_path):
     assert got == {0: rows[0][1], 1: "two\n--\n", 2: "Read mores"}
 
 
+def test_pairs_of_blocks_survive_three_replaced_words_and_one_moved():
+    r, m = random.Random(83), op8_line_dedup
+
+    def keys(words):
+        data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+        return set(m.line_marks(data, np.array([0, len(data)]), textnp.Powers())[4][0].tolist())
+
+    for _ in range(200):
+        n = r.randint(5, 60)
+        line = [r.choice(VOCABULARY) for _ in range(n)]
+        other = list(line)
+        for k in r.sample(range(n), 3):
+            other[k] = r.choice(VOCABULARY)
+        assert keys(line) & keys(other)
+        k = r.randrange(n + 1)
+        if n >= 6:
+            assert keys(line) & keys([*line[:k], r.choice(VOCABULARY), *line[k:]])
+        assert len(keys(line)) == m.KEYS
+
+
 def test_edit_distance():
     r = random.Random(2)
     for _ in range(300):
