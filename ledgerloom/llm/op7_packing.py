@@ -47,9 +47,9 @@ ROWS_PER_BUCKET = 1000
 ROUNDS_PER_BUCKET = 2048
 #: Positions (24 bytes each) are broadcast up to this many, counted.
 BROADCAST_ROWS = 1_000_000
-BLOCK_BYTES = 4 << 20
-#: Different pieces of text a worker remembers before it starts over.
-CACHE_PIECES = 400_000
+BLOCK_BYTES = 1 << 20
+#: Different pieces of text, and their bytes, that a worker remembers before it starts over.
+CACHE_PIECES, CACHE_BYTES = 300_000, 16 << 20
 
 
 def tokenizer_path() -> str:
@@ -75,12 +75,11 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
+        import json
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = tuple(t.content.encode() for t in
-                             self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = None
+        with open(path, "rb") as f:
+            self.special = tuple(t["content"].encode() for t in json.load(f).get("added_tokens", []))
+        self.path, self._tokenizer, self.plain = path, None, None
         if ranks:
             import base64
 
@@ -94,8 +93,18 @@ class Encoder:
                                            special_tokens={}).encode_ordinary
         self.reset()
 
+    @property
+    def tokenizer(self):
+        """Loaded when first needed: a worker that meets no special token's text never holds it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def reset(self):
         self.known: dict[str, int] = {}
+        self.known_bytes = 0
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.size = np.zeros(1 << 12, dtype=np.int64)
@@ -117,6 +126,7 @@ class Encoder:
         self.start[k:k + len(size)] = used + np.cumsum(size) - size
         self.used += len(flat)
         self.known.update(zip(pieces, range(k, k + len(size))))
+        self.known_bytes += sum(map(len, pieces))
 
     def block(self, data: np.ndarray, offsets: np.ndarray):
         """(ids of all texts one after the other, first id of each text plus the total)."""
@@ -139,7 +149,7 @@ class Encoder:
                                                pa.py_buffer(np.ascontiguousarray(data)))
         coded = arr.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES or self.known_bytes > CACHE_BYTES:
             self.reset()
         if new := [p for p in pieces if p not in self.known]:
             raw = data.tobytes()
