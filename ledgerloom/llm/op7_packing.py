@@ -1,29 +1,35 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
 Every source is a queue of documents in shuffled order. A round of deficit
-round-robin credits each queue with its share of a window's tokens and serves
-the documents the credit covers; what is left of the credit carries over. With
-a queue's credit per round fixed, the document whose tokens end at position
-``e`` of its queue is served in round ``ceil(e / credit)``, so the whole
-schedule follows from running sums: deficits carry across windows and across
-partitions because they are part of the position, not of a worker's state.
-Documents ordered by (round, queue, position) form one stream, which is cut
-every 1024 tokens; the tokens past the last full window fill sequences of
+round-robin fills one window: it credits each queue with its share of the window's
+tokens and serves the piece of the queue that the whole tokens of the credit cover;
+the rest carries over. Within a window the queues lie one after the other, and the
+bounds between them are the targets' running shares, rounded down after a shift that is the
+same for all bounds of a window and runs through a bit-reversed sequence over
+windows. So every window holds each source's share to within one token, windows are
+always full, and what a queue has been served in the first r windows, deficits included, has a
+closed form: which windows a document's tokens fall into follows from its place in its
+queue alone, across windows and partitions, with no worker's state.
+
+When a queue cannot fill its share of the next window, it has run dry: the others go on
+in proportion among themselves. What is left of dry queues, less than a window's share of
+each, comes last, with the tokens past the last full window in sequences of
 falling powers of two. No sequence needs padding.
 
-Running sums take two steps: sums per bucket (a slice of a queue, or of rounds)
-and a window inside each bucket, so no queue has to fit in one task. Token ids
+A document's place in its queue is a running sum in two steps: sums per bucket (a slice of
+a queue) and a window inside each bucket, so no queue has to fit in one task. Token ids
 are computed once, into a staged table, and are not shuffled; they are joined
-to the positions by a broadcast of the positions while their counted number is
-small, else by a shuffle.
+to the places by a broadcast of the places while their counted number is
+small, else by a shuffle. The driver holds a few numbers per source; the sources beyond
+the QUEUES largest share one queue.
 
 Tokenizing splits text before every space that a non-space follows (a token
 never spans that point) and encodes each different piece once per worker.
 
 Defined results: a null text is empty and packs its end-of-document id alone.
 A null source is a queue of its own. Documents with equal ids, and repeated
-rows, are packed one by one. Extra columns are left out. An empty table gives
-no rows.
+rows, are packed one by one. A weight must be positive. A text of any length is encoded whole,
+in a block of its own. Extra columns are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +49,10 @@ from ledgerloom.llm.registry import query
 
 WINDOW = 1024
 END_ID = 0
-ROWS_PER_BUCKET = 1000
-ROUNDS_PER_BUCKET = 2048
+ROWS_PER_BUCKET = 20_000
+QUEUES = 50_000
+#: Binary places of a share of a window, and the bits of the windows' shifts.
+PLACES = 24
 #: Positions (24 bytes each) are broadcast up to this many, counted.
 BROADCAST_ROWS = 1_000_000
 BLOCK_BYTES = 1 << 20
@@ -195,37 +203,177 @@ def tokens_of(docs: DataFrame, path: str, ranks: str | None = None, id_col="doc_
                                  "ids binary"), "tokens")
 
 
-def schedule(tokens: DataFrame, weights: dict | None = None) -> tuple[DataFrame, int, int]:
-    """((rid, at): each document's place in the stream; number of documents; of tokens).
+ONE = 1 << PLACES
+_BYTE = np.array([int(f"{x:08b}"[::-1], 2) for x in range(256)], dtype=np.int64)
+
+
+def shift(r: np.ndarray) -> np.ndarray:
+    """The shift of window ``r``: its number's lowest PLACES bits, reversed."""
+    return _BYTE[r & 255] << 16 | _BYTE[r >> 8 & 255] << 8 | _BYTE[r >> 16 & 255]
+
+
+def bound(a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The sum of a window's bound ``(a + shift) / ONE``, rounded down, over the windows before ``r``."""
+    least = ONE - (a & ONE - 1)             # the shifts from here on round up
+    m = r & ONE - 1
+    up = (r >> PLACES) * (a & ONE - 1)
+    fixed = np.zeros_like(m)
+    for i in range(PLACES - 1, -1, -1):
+        # Windows that agree with m above bit i and have a 0 there: i bits of the shift are free.
+        low = least & (1 << PLACES - i) - 1
+        count = np.maximum((1 << i) - 1 - (least >> PLACES - i), -1) + (fixed >= low)
+        up = up + np.where(m >> i & 1, np.maximum(count, 0), 0)
+        fixed = fixed | (m >> i & 1) << PLACES - 1 - i
+    return r * (a >> PLACES) + up
+
+
+class Phase:
+    """Windows ``first`` to ``first + windows`` with the queues that still run.
+
+    ``low`` and ``high`` are the running shares before and behind each queue in units of
+    1 / ONE token (equal for queues that do not run), ``begin`` its tokens served before.
+    """
+
+    def __init__(self, first: int, low: np.ndarray, high: np.ndarray, begin: np.ndarray):
+        self.first, self.low, self.high, self.begin, self.windows = first, low, high, begin, 0
+
+    def served(self, s: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Tokens of queue ``s`` in the phase's windows before ``r``."""
+        return bound(self.high[s], r) - bound(self.low[s], r)
+
+    def quota(self, s: np.ndarray, r: np.ndarray) -> np.ndarray:
+        t = shift(r)
+        return (self.high[s] + t >> PLACES) - (self.low[s] + t >> PLACES)
+
+    def window_of(self, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The window of the phase's ``y``-th token of queue ``s``: the last with no more than y before it."""
+        share = np.maximum(self.high[s] - self.low[s], 1) / ONE
+        low = np.maximum(((y - 2 * PLACES) / share).astype(np.int64), 0)
+        high = ((y + 2 * PLACES) / share).astype(np.int64) + 2
+        while (low + 1 < high).any():
+            mid = (low + high) >> 1
+            here = self.served(s, mid) <= y
+            low, high = np.where(here, mid, low), np.where(here, high, mid)
+        return low
+
+    def pieces(self, s: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """(row, start in the queue, length, window, offset) of the tokens [begin, end) of queues ``s``."""
+        total = self.served(s, np.full(len(s), self.windows))
+        y0 = np.maximum(begin - self.begin[s], 0)
+        y1 = np.minimum(end - self.begin[s], total)
+        row = np.flatnonzero(y1 > y0)
+        s, y0, y1 = s[row], y0[row], y1[row]
+        first = self.window_of(s, y0)
+        thin = self.high[s] - self.low[s] < ONE      # under a token a window: token by token
+        n = np.where(thin, y1 - y0, self.window_of(s, y1 - 1) - first + 1)
+        at = np.repeat(np.arange(len(row)), n)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        r, start, stop = first[at] + step, y0[at] + step, y0[at] + step + 1
+        each = thin[at]
+        r[each] = self.window_of(s[at[each]], start[each])
+        before = self.served(s, first)
+        quota = self.quota(s[at], r)
+        run = np.cumsum(np.where(each, 0, quota))
+        ahead = np.repeat(np.append(0, run)[np.cumsum(n) - n], n)
+        behind = before[at] + run - ahead            # served up to and with window r
+        start = np.where(each, start, np.maximum(y0[at], behind - quota))
+        stop = np.where(each, stop, np.minimum(y1[at], behind))
+        inside = np.where(each, 0, start - (behind - quota))
+        offset = (self.low[s[at]] + shift(r) >> PLACES) + inside
+        keep = stop > start
+        return row[at[keep]], (self.begin[s[at]] + start)[keep], (stop - start)[keep], r[keep] + self.first, offset[keep]
+
+
+class Plan:
+    """Phases, and where what is left of each queue lies behind them."""
+
+    def __init__(self, tokens: np.ndarray, shares: np.ndarray):
+        tokens = tokens.astype(np.int64)
+        served, running, window = np.zeros_like(tokens), tokens > 0, 0
+        self.total, self.phases = int(tokens.sum()), []
+        while running.any():
+            share = np.where(running, shares, 0.0)
+            edge = np.concatenate([[0], np.round(np.cumsum(share) / share.sum() * WINDOW * ONE).astype(np.int64)])
+            phase = Phase(window, edge[:-1], edge[1:], served.copy())
+            left, every = tokens - served, np.arange(len(tokens))
+            mean = (phase.high - phase.low) / ONE
+            live = phase.high > phase.low
+            r = int((left[live] / mean[live]).min())
+            while r and (over := phase.served(every, np.full(len(tokens), r)) - left)[live].max() > 0:
+                r = max(0, r - max(1, int((over[live] / mean[live]).max())))
+            if r:
+                phase.windows = r
+                self.phases.append(phase)
+                served += phase.served(every, np.full(len(tokens), r))
+                window += r
+            # Dry: no whole share of two more windows is left.
+            running &= live & (tokens - served >= 2 * mean + 2)
+        left = tokens - served
+        self.tail_from, self.tail_at = served, window * WINDOW + np.cumsum(left) - left
+        self.full = self.total // WINDOW
+        tail, at = [], self.full * WINDOW
+        for bit in range(WINDOW.bit_length() - 2, -1, -1):
+            if self.total % WINDOW >> bit & 1:
+                tail.append(at)
+                at += 1 << bit
+        self.last = np.array(tail, dtype=np.int64)
+
+    def pieces(self, s: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """Pieces of the tokens [begin, end) of queues ``s``: arrays (row, start, length, sequence, offset)."""
+        out = [p.pieces(s, begin, end) for p in self.phases]
+        rest = []
+        for k in np.flatnonzero(end > self.tail_from[s]).tolist():
+            q = int(s[k])
+            x = max(int(begin[k]), int(self.tail_from[q]))
+            move = int(self.tail_at[q]) - int(self.tail_from[q])
+            while x < end[k]:
+                pos = x + move
+                if pos < self.full * WINDOW:
+                    seq, off = divmod(pos, WINDOW)
+                    room = WINDOW - off
+                else:
+                    t = int(np.searchsorted(self.last, pos, side="right")) - 1
+                    seq, off = self.full + t, pos - int(self.last[t])
+                    room = (int(self.last[t + 1]) if t + 1 < len(self.last) else self.total) - pos
+                n = min(room, int(end[k]) - x)
+                rest.append((k, x, n, seq, off))
+                x += n
+        out.append(tuple(np.array(rest, dtype=np.int64).reshape(-1, 5).T))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def schedule(tokens: DataFrame, weights: dict | None = None) -> tuple[DataFrame, int, Plan]:
+    """((rid, turn, end): each document's queue and the place behind it there; documents; the plan).
 
     ``weights`` gives the target token share of sources (missing ones share
     like the corpus); without it the targets are the corpus' own shares.
     """
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be positive; leave a source out by filtering its documents")
     light = tokens.select("rid", "doc_id", "source", "n")
     by_source = stage(light.groupBy("source").agg(F.sum("n").alias("s_tokens"),
                                                   F.count("*").alias("s_rows")), "sources")
-    s = by_source.agg(F.count("*"), F.sum("s_tokens"), F.sum("s_rows")).first()
-    n_sources, total, n_rows = s[0], s[1] or 0, s[2] or 0
-    want = F.col("s_tokens").cast("double") / float(max(1, total))
-    if weights:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        want = F.coalesce(given[F.col("source")], want)
-    every = Window.partitionBy()
-    queues = by_source.withColumn("_w", want).select(
-        F.col("source").alias("_s"),
-        (F.lit(float(WINDOW)) * F.col("_w") / F.sum("_w").over(every)).alias("credit"),
-        F.row_number().over(Window.orderBy(F.asc_nulls_first("source"))).alias("turn"),
-        F.greatest(F.lit(1), F.ceil(F.col("s_rows") / ROWS_PER_BUCKET)).alias("n_b"))
-    queued = light.join(small(queues, n_sources), F.col("source").eqNullSafe(F.col("_s"))) \
+    top = by_source.orderBy(F.desc("s_tokens"), "source").limit(QUEUES).collect()     # a few numbers a source
+    top.sort(key=lambda r: (r.source is not None, r.source or ""))
+    every = by_source.agg(F.sum("s_tokens"), F.sum("s_rows")).first()
+    total, n_rows = every[0] or 0, every[1] or 0
+    sizes, rows = [r.s_tokens for r in top], [r.s_rows for r in top]
+    shares = [(weights or {}).get(r.source, r.s_tokens / max(1, total)) for r in top]
+    if sum(sizes) < total:                               # all other sources together
+        rest = total - sum(sizes)
+        sizes, rows, shares = [*sizes, rest], [*rows, n_rows - sum(rows)], [*shares, rest / total]
+    plan = Plan(np.array(sizes, dtype=np.int64), np.array(shares, dtype=float))
+    spark = tokens.sparkSession
+    queues = spark.createDataFrame([(r.source, k, max(1, -(-r.s_rows // ROWS_PER_BUCKET))) for k, r in enumerate(top)],
+                                   "_s string, turn int, n_b long")
+    queued = light.join(small(queues, len(top)), F.col("source").eqNullSafe(F.col("_s")), "left") \
+        .withColumn("turn", F.coalesce("turn", F.lit(len(top)))) \
+        .withColumn("n_b", F.coalesce("n_b", F.lit(max(1, -(-(rows[-1] if rows else 1) // ROWS_PER_BUCKET))))) \
         .withColumn("u", unit_hash(F.col("doc_id"))) \
         .withColumn("b", F.floor(F.col("u") * F.col("n_b")).cast("long")) \
-        .select("rid", "n", "turn", "credit", "u", "b")
-    queued = _running(queued, ["turn"], "b", ["u", "rid"], "end", n_rows)
-    rounds = queued.withColumn("round", F.ceil(F.col("end") / F.col("credit")).cast("long"))
-    rounds = rounds.withColumn("rb", F.floor(F.col("round") / ROUNDS_PER_BUCKET).cast("long"))
-    placed = _running(rounds.select("rid", "n", "turn", "round", "end", "rb"), [], "rb",
-                      ["round", "turn", "end", "rid"], "stop", n_rows)
-    return placed.select("rid", (F.col("stop") - F.col("n")).alias("at")), n_rows, total
+        .select("rid", "n", "turn", "u", "b")
+    placed = _running(queued, ["turn"], "b", ["u", "rid"], "end", n_rows)
+    return placed.select("rid", "turn", "end"), n_rows, plan
 
 
 def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], out: str,
@@ -246,45 +394,32 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list[str], out:
         .drop("_base", "_b", *[f"_{k}" for k in keys])
 
 
-def _pieces(total: int):
-    """Cut documents at sequence bounds; ``total`` tokens end in a tail of powers of two."""
-    full = total // WINDOW
-    tail, at = [], full * WINDOW
-    for bit in range(WINDOW.bit_length() - 2, -1, -1):
-        if total % WINDOW >> bit & 1:
-            tail.append(at)
-            at += 1 << bit
-    tail_starts = np.array(tail, dtype=np.int64)
-
+def _pieces(plan: Plan):
+    """Cut documents where their queues' windows end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            ats, ns = batch.column("at").to_pylist(), batch.column("n").to_pylist()
+            if not batch.num_rows:
+                continue
+            turn, end, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("turn", "end", "n"))
+            row, start, length, seq, off = plan.pieces(turn, end - n, end)
+            order = np.lexsort([start, row])
+            row, start, length, seq, off = (c[order] for c in (row, start, length, seq, off))
+            start = start - (end - n)[row]
             widths, ids = batch.column("width").to_pylist(), batch.column("ids")
-            docs = batch.column("doc_id").to_pylist()
+            crc = np.empty(len(row), dtype=np.int64)
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            at, to = (4 * start).tolist(), (4 * (start + length)).tolist()
             for k in range(batch.num_rows):
-                at, n = ats[k], ns[k]
                 raw = np.frombuffer(ids[k].as_buffer(), dtype="<u2" if widths[k] == 2 else "<u4")
-                all_ids = np.empty(n, dtype="<u4")
-                all_ids[:-1] = raw
-                all_ids[-1] = END_ID
-                pos = at
-                while pos < at + n:
-                    if pos < full * WINDOW:
-                        seq = pos // WINDOW
-                        off, stop = pos - seq * WINDOW, (seq + 1) * WINDOW
-                    else:
-                        t = int(np.searchsorted(tail_starts, pos, side="right")) - 1
-                        seq, off = full + t, pos - int(tail_starts[t])
-                        stop = int(tail_starts[t + 1]) if t + 1 < len(tail_starts) else total
-                    stop = min(stop, at + n)
-                    out.append((docs[k], pos - at, stop - pos,
-                                zlib.crc32(all_ids[pos - at:stop - at]), n, seq, off))
-                    pos = stop
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [batch.schema.field("doc_id").type] + [pa.int64()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[
-                "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                whole = np.empty(n[k], dtype="<u4")
+                whole[:-1] = raw
+                whole[-1] = END_ID
+                view = memoryview(whole).cast("B")
+                for x in range(first[k], first[k + 1]):
+                    crc[x] = zlib.crc32(view[at[x]:to[x]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), *map(pa.array, (start, length, crc, n[row], seq, off))],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
     return run
 
 
@@ -294,12 +429,12 @@ def pack(docs: DataFrame, weights: dict | None = None, path: str | None = None,
     if path is None:
         path, ranks = tokenizer_path(), ranks_path()
     tokens = tokens_of(docs, path, ranks, id_col, text_col, source_col)
-    placed, n_rows, total = schedule(tokens, weights)
+    placed, n_rows, plan = schedule(tokens, weights)
     placed = placed.withColumnRenamed("rid", "_rid")
     kind = dict(tokens.dtypes)["doc_id"]
     rows = tokens.join(small(placed, n_rows, BROADCAST_ROWS), F.col("rid") == F.col("_rid")) \
-        .select("doc_id", "n", "width", "ids", "at")
-    return rows.mapInArrow(_pieces(total), f"doc_id {kind}, start long, length long, ids_crc32 long, "
+        .select("doc_id", "n", "width", "ids", "turn", "end")
+    return rows.mapInArrow(_pieces(plan), f"doc_id {kind}, start long, length long, ids_crc32 long, "
                            "doc_tokens long, sequence_id long, offset long")
 
 

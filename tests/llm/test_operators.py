@@ -511,8 +511,14 @@ def test_pieces_are_exact_and_sequences_full(docs, empty):
         whole[i, n] = starts.count(0)
     assert whole == Counter({(i, n): sum(k for (a, b, _), k in want.items() if (a, b) == (i, n))
                              for i, n, _ in want})
-    one = {(r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["length"] == r["doc_tokens"]}
-    assert one <= set(want)
+    # Every piece, of cut documents too, is the ids that it says.
+    texts = defaultdict(list)
+    for i, t in pairs(docs):
+        texts[i].append(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4"))
+    for r in got:
+        cuts = {zlib.crc32(ids[r["start"]:r["start"] + r["length"]]) for ids in texts[r["doc_id"]]
+                if len(ids) == r["doc_tokens"]}
+        assert r["ids_crc32"] in cuts
     assert op7_packing.pack(empty).count() == 0
 
 
@@ -531,6 +537,61 @@ def test_encoder_splits_where_no_token_spans():
         assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bounds_of_windows_add_up():
+    m, r = op7_packing, np.random.default_rng(7)
+    for a in r.integers(0, m.WINDOW * m.ONE, 20):
+        for at in (np.arange(600), m.ONE * 3 - 300 + np.arange(600)):
+            got = m.bound(np.full(600, a), at)
+            assert (np.diff(got) == (a + m.shift(at[:-1]) >> m.PLACES)).all()
+    assert m.bound(np.array([5 * m.ONE + 7]), np.array([3 * m.ONE])) == 3 * (5 * m.ONE + 7)
+
+
+def test_every_window_of_real_documents_holds_the_mixture(spark):
+    """Full windows hold each running source's share to within one token; deficits stay small."""
+    m = op7_packing
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sources = [r[0] for r in df.select("source").distinct().orderBy("source").collect()]
+    for weights in (None, {sources[0]: 0.3, sources[1]: 0.01}):
+        tokens = m.tokens_of(df, m.tokenizer_path(), m.ranks_path())
+        placed, n_rows, plan = m.schedule(tokens, weights)
+        of = {r.doc_id: r.source for r in df.collect()}
+        held = defaultdict(Counter)
+        for r in m.pack(df, weights).collect():
+            held[r.sequence_id][of[r.doc_id]] += r.length
+        assert sum(p.windows for p in plan.phases) >= 0.9 * len(held) and placed.count() == n_rows == df.count()
+        for p in plan.phases:
+            share = (p.high - p.low) / m.ONE
+            carried = np.zeros(len(sources))
+            for w in range(p.first, p.first + p.windows):
+                got = np.array([held[w][x] for x in sources])
+                assert got.sum() == m.WINDOW and np.abs(got - share).max() < 1
+                carried += got - share
+                assert np.abs(carried).max() < m.PLACES
+        if weights:
+            first = plan.phases[0]
+            total = sum(weights.values()) + 1 - sum(sum(held[w][x] for w in held) for x in list(weights)) / plan.total
+            assert (first.high - first.low)[0] / m.ONE == pytest.approx(m.WINDOW * 0.3 / total, abs=0.01)
+
+
+def test_weights_must_be_positive(spark, docs):
+    with pytest.raises(ValueError, match="positive"):
+        op7_packing.pack(docs, weights={"s": 0.0})
+
+
+def test_rare_sources_share_a_queue(spark, monkeypatch):
+    rows = [(i, "w " * (5 + i % 90), f"s{i % 40}" if i % 9 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(op7_packing, "QUEUES", 6)
+    monkeypatch.setattr(op7_packing, "ROWS_PER_BUCKET", 50)
+    got = op7_packing.pack(df).collect()
+    parts = defaultdict(list)
+    for r in got:
+        parts[r.doc_id, r.doc_tokens].append((r.start, r.length))
+    assert len(parts) == 1500
+    for (_, n), p in parts.items():
+        assert [a for a, _ in sorted(p)] == [0, *np.cumsum([b for _, b in sorted(p)])[:-1]] and sum(b for _, b in p) == n
+
+
 def test_windows_follow_the_weights(spark):
     rows = [(i, "w " * 50, f"s{i % 2}") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
