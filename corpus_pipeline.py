@@ -7,7 +7,7 @@ but the last return the columns of ``docs``.
 1. ``quality``: documents that a quality rule rejects go.
 2. ``lines``: lines repeated across the corpus (fuzzily) go but for the first
    occurrence; ``n_chars`` follows the new text. A document that loses lines
-   and keeps none of five words or more goes.
+   and keeps none with a word goes.
 3. ``near_duplicates``: one document of each group of near copies stays.
 4. ``mix``: documents are sampled to source, language and topic targets.
 5. ``pack``: the pieces of all that is left, in sequences of 1024 tokens.
@@ -27,7 +27,7 @@ from ledgerloom.llm import (
     op7_packing,
     op8_line_dedup,
 )
-from ledgerloom.llm.common import free_name, stage, table
+from ledgerloom.llm.common import SPACES, free_name, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = free_name(docs.columns, "_dropped")
     out = op8_line_dedup.without_repeats(docs, dropped_col=gone, exact_words=1,
                                          lines_col=free_name([*docs.columns, gone], "_lines"))
-    whole = F.exists(F.split("text", "\n", -1),
-                     lambda x: F.size(op6_quality_rules.words(x)) >= op8_line_dedup.MIN_WORDS)
+    whole = F.rtrim("text", F.lit(SPACES)) != ""
     kept = out.where((F.col(gone) == 0) | whole)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(

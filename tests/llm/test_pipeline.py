@@ -16,7 +16,7 @@ from test_operators import (
     prose,
 )
 
-from ledgerloom.llm import op1_mixing, op6_quality_rules, op7_packing, op8_line_dedup
+from ledgerloom.llm import op1_mixing, op6_quality_rules, op7_packing
 
 ROWS = [(i, t, ["en", "de", None][i % 3], f"s{i % 4}", len(t) if t else None) for i, t in enumerate(TEXTS)
         if t is None or len(t) < 20000]
@@ -52,7 +52,7 @@ def after_quality(data):
 
 
 def after_lines(data):
-    gone = brute_lines([r[:2] for r in data])
+    gone = brute_lines([r[:2] for r in data], exact_words=1)
     out = []
     for r in data:
         lines = (r[1] or "").split("\n")
@@ -60,7 +60,7 @@ def after_lines(data):
         kept = [x for k, x in enumerate(lines) if (*key, k) not in gone]
         if len(kept) == len(lines):
             out.append(r)
-        elif any(len(WORD.findall(x)) >= op8_line_dedup.MIN_WORDS for x in kept):
+        elif any(WORD.findall(x) for x in kept):
             text = "\n".join(kept)
             out.append((r[0], text, r[2], r[3], len(text), *r[5:]))
     return out
