@@ -40,6 +40,11 @@ def check_page(skip: int, limit: int, max_limit: int = SALES_PAGE_MAX) -> None:
         raise ValueError(f"limit must be between 1 and {max_limit}, got {limit}")
 
 
+def page_allowed(skip: Column, limit: Column, max_limit: int = SALES_PAGE_MAX) -> Column:
+    """``check_page`` over columns, for tables of requests."""
+    return (skip >= 0) & limit.between(1, max_limit)
+
+
 def sales_filter(upload_id: str | None = None, sku_id: str | None = None) -> Column:
     """Optional equality filters, ANDed; ``None`` or empty text means no filter."""
     cond = F.lit(True)

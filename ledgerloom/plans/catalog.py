@@ -19,7 +19,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ["queries_sales", "queries_cleaning", "queries_profile", "queries_validation",
-           "queries_files", "queries_insights"]
+           "queries_files", "queries_insights", "queries_tables"]
 
 
 def query(name: str, sql: str | None = None):

@@ -236,7 +236,7 @@ _SECONDS = "((l_orderkey * 37 + l_partkey * 11 + l_linenumber) % 86400)"
  when 11 then null else {_DAY} end as parsed from lineitem""")
 def q_parse_datetime_text(spark, sf):
     rows = X.fact_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey",
-                                                   "l_shipdate"])
+                                                "l_shipdate"])
     d = F.col("l_shipdate")
     y, m, day = F.year(d), F.month(d), F.dayofmonth(d)
     sec = ((F.col("l_orderkey") * 37 + F.col("l_partkey") * 11 + F.col("l_linenumber")) % 86400)
@@ -267,5 +267,6 @@ def q_parse_datetime_text(spark, sf):
     text = F.lit(None).cast("string")
     for n, t in enumerate(texts):
         text = F.when(k == n, t).otherwise(text)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey",
-                       parse_datetime(text).alias("parsed"))
+    written = rows.select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+    return written.select("l_orderkey", "l_linenumber", "l_partkey",
+                          parse_datetime(F.col("text")).alias("parsed"))

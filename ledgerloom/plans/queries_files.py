@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.catalog import query
 from ledgerloom.sources import fixtures as X
-from ledgerloom.sources.admission import file_admission, verdict
+from ledgerloom.sources.admission import file_admission, megabytes, verdict
 from ledgerloom.sources.files import DIALECT
 
 
@@ -25,7 +25,7 @@ def q_file_admission(spark, sf):
 _NAMES = [".csv", ".TXT", ".xlsx", ".pdf", ".xls"]
 
 
-@query("admission_rules", f"""select doc_id, file_name, length, reason is null as accepted, reason from (
+@query("admission_rules", f"""select doc_id, file_name, length, length / 1024 / 1024 as size_mb, reason is null as accepted, reason from (
  select doc_id, file_name, length, case
   when ext not in ('.csv', '.txt', '.xlsx', '.xls') then 'File type not allowed. Allowed: .csv, .xlsx, .xls, .txt'
   when length > 50 * 1024 * 1024 then 'File too large. Max size: 50.0MB'
@@ -44,7 +44,8 @@ def q_admission_rules(spark, sf):
                         F.when(key % 7 == 0, damaged).otherwise(F.col("text").cast("binary"))
                         .alias("content"))
     reason = verdict(F.col("file_name"), F.col("length"), F.col("content"))
-    return files.select("doc_id", "file_name", "length", reason.isNull().alias("accepted"),
+    return files.select("doc_id", "file_name", "length", megabytes(F.col("length")).alias("size_mb"),
+                        reason.isNull().alias("accepted"),
                         reason.alias("reason"))
 
 
