@@ -66,6 +66,8 @@ NORMAL[ord("0"):ord("9") + 1] = ord("0")
 OTHER = np.uint64(0xD6E8FEB86659FD93)
 _rng = np.random.default_rng(88)
 PAIR_SEEDS = _rng.integers(1, 2**63, len(JOINED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Four bits, each in a lane of 16.
+LANES = np.array([sum((x >> k & 1) << 16 * k for k in range(4)) for x in range(16)], dtype=np.uint64)
 #: The class of a character by its first byte; continuation bytes have none.
 LETTER = (np.arange(256) * 7 % CLASSES).astype(np.int64)
 LETTER[128:192] = -1
@@ -110,16 +112,26 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS, fuzzy_words=MIN_WORDS
 
 
 def sim_hashes(word_hash, weight, bounds) -> np.ndarray:
-    """The BITS-bit SimHash of the words [bounds[:, p], bounds[:, p + 1]) of every part p."""
+    """The BITS-bit SimHash of the words [bounds[:, p], bounds[:, p + 1]) of every part p.
+
+    Four bits are summed at once, in lanes of one number; a word weighs its length, 15 at most.
+    """
     sums = np.zeros((len(bounds), bounds.shape[1] - 1), dtype=np.uint64)
     if not len(bounds):
         return sums
     at = bounds.reshape(-1)
-    word_hash, weight = np.append(word_hash, np.uint64(0)), np.append(weight, 0).astype(np.int32)
-    for bit in range(BITS):
-        side = np.where(word_hash >> np.uint64(bit + 16) & np.uint64(1), weight, -weight)
-        positive = np.add.reduceat(side, at).reshape(bounds.shape)[:, :-1] > 0
-        sums |= positive.astype(np.uint64) << np.uint64(bit)
+    word_hash = np.append(word_hash, np.uint64(0))
+    weight = np.append(np.minimum(weight, 15), 0).astype(np.uint64)
+
+    def total(values):
+        return np.add.reduceat(values, at).reshape(bounds.shape)[:, :-1]
+
+    half = total(weight)
+    for low in range(0, BITS, 4):
+        lanes = total(LANES[(word_hash >> np.uint64(low + 16) & np.uint64(15)).astype(np.intp)] * weight)
+        for lane in range(4):
+            positive = 2 * (lanes >> np.uint64(16 * lane) & np.uint64(0xFFFF)) > half
+            sums |= positive.astype(np.uint64) << np.uint64(low + lane)
     return sums
 
 
@@ -315,15 +327,16 @@ class Kernel:
     def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that are in a candidate pair of their (bucket, i, j) group.
 
-        Candidates have lengths that are near enough and, where rows carry them, letter counts.
-        Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
+        Candidates have lengths that are near enough and, where rows carry them, letter counts, and
+        share no smaller bucket. Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
         small groups costs a few array operations.
         """
         for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
-            names = [c for c in t.column_names if c not in ("chars", "letters")]
+            names = [c for c in t.column_names if c not in ("chars", "letters", "keys")]
             col = {c: t.column(c).to_numpy() for c in (*names, "chars")}
-            letters = None
+            letters = keys = None
             if "letters" in t.column_names:
+                keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
                 held = t.column("letters").combine_chunks().cast(pa.binary(CLASSES))
                 letters = np.frombuffer(held.buffers()[1], np.uint8, len(held) * CLASSES,
                                         held.offset * CLASSES).reshape(-1, CLASSES)
@@ -344,6 +357,12 @@ class Kernel:
                 if letters is not None:
                     own = self.near(letters[a], letters[b], chars[a], chars[b])
                     a, b = a[own], b[own]
+                    x, y, least = keys[a], keys[b], col["bucket"][a][:, None]
+                    first = ~((x == y) & (x < least)).any(axis=1)
+                    n = len(JOINED)                  # the outer pairs of one word less meet those of the other
+                    for v, w in ((x, y), (y, x)):
+                        first &= ~((v[:, n:] == w[:, :2]) & (v[:, n:] < least)).any(axis=1)
+                    a, b = a[first], b[first]
                 hit[a] = hit[b] = True
             rows = np.flatnonzero(hit)
             yield pa.RecordBatch.from_arrays([pa.array(col[c][rows]) for c in names], names=names)
@@ -369,7 +388,7 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     ``different`` that may be among them.
 
     Buckets that a sample shows to be large are dealt out over pairs of blocks. A first pass
-    looks at lengths only; the lines it leaves bring their letter counts.
+    looks at lengths only; the lines it leaves bring their letter counts and keys.
     """
     keyed = different.select(F.explode("keys").alias("bucket"), "chars", "h1")
     large = stage(keyed.where(F.pmod(F.xxhash64("h1"), F.lit(SAMPLE_ONE_IN)) == 0)
@@ -392,8 +411,8 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     ids = stage(hits.select(F.col("h1").alias("_h1")).distinct(), "near-ids")
     some = stage(different.join(small(ids, ids.count(), BROADCAST_IDS), F.col("h1") == F.col("_h1"),
                                 "left_semi"), "near-different")
-    full = hits.join(some.select("h1", "h2", "chars", "letters"), "h1").select(
-        "bucket", "i", "j", "slot", "h1", "h2", "chars", "letters")
+    full = hits.join(some.select("h1", "h2", "chars", "letters", "keys"), "h1").select(
+        "bucket", "i", "j", "slot", "h1", "h2", "chars", "letters", "keys")
     return passed(full, "h1 long, h2 long", "near-lines"), some
 
 
