@@ -70,6 +70,7 @@ def _label_sql() -> str:
         "else 'string' end")
 
 
+# FIXED VALUES: the keywords of each field, in order, stated again for the oracle.
 _FIELD_WORDS = [
     ("date", ["date", "day", "time", "timestamp", "datetime", "dt", "period"]),
     ("sku", ["sku", "product_id", "item_id", "product_code", "item_code", "id"]),

@@ -6,7 +6,8 @@ list or limit with the code they check.
 
 from __future__ import annotations
 
-# What pandas' CSV reader takes for a missing value.
+# FIXED VALUES: what pandas' CSV reader takes for a missing value, the boolean words and labels,
+# and the written dates.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
            "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 BOOLEAN_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
