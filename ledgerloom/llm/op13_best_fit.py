@@ -1,7 +1,7 @@
 """Best-fit packing: bounded-space online best fit.
 
-Documents arrive one by one; each goes into the open sequence with the least free
-space that still takes it. The open sequences are stacks by free space, with one bit
+Documents arrive in batches of BATCH, the longest of a batch first; each goes into the open
+sequence with the least free space that still takes it. The open sequences are stacks by free space, with one bit
 per free space in a bitset: the best fit is the lowest bit at or above the document's
 size. A fixed number may be open; where one more would be, the fullest closes first.
 A sequence without free space closes at once.
@@ -43,6 +43,9 @@ WINDOW = 1024
 END_ID = 2
 #: Sequences open at once in a task.
 OPEN = 1024
+#: Pieces that are put in order of length as they arrive. As many as may be open: short pieces of a
+#: batch then find the gaps that its long ones leave.
+BATCH = OPEN
 #: Carried pieces packed by one task.
 ITEMS = 200_000
 
@@ -83,6 +86,13 @@ class Bins:
             self.open += 1
         return where, self.window - free
 
+    def place_batch(self, sizes: list[int]) -> list[tuple[int, int]]:
+        """``place`` for every size, the largest first."""
+        out: list = [None] * len(sizes)
+        for k in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+            out[k] = self.place(sizes[k])
+        return out
+
     def left_open(self) -> set[int]:
         return {b for stack in self.stacks for b in stack}
 
@@ -118,8 +128,15 @@ def _batches(columns: list[list], still: set, id_type, rows: int = 1 << 16) -> I
 def _encode_and_pack(path: str, ranks: str | None, id_type, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bins, base = Encoder(path, ranks), Bins(limit=limit), _first_sequence(0)
-        # The pieces of open sequences wait here; those of closed ones leave with each batch.
+        # The pieces of open sequences wait here; those of closed ones leave now and then.
         waiting: list[list] = [[] for _ in range(9)]
+        arrived: list[int] = []                              # rows of pieces without a place
+
+        def settle() -> None:
+            for k, (where, offset) in zip(arrived, bins.place_batch([waiting[3][k] for k in arrived])):
+                waiting[6][k], waiting[7][k] = base + where, offset
+            arrived.clear()
+
         for batch in batches:
             docs, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
             for i, j, data, offsets in textnp.blocks(batch.column("text")):
@@ -132,16 +149,22 @@ def _encode_and_pack(path: str, ranks: str | None, id_type, limit: int):
                 for k in range(m):
                     begin, n = at[k], at[k + 1] - at[k]
                     for p, (start, length) in enumerate(cuts(n)):
-                        where, offset = bins.place(length) if length < WINDOW else (bins.new(), 0)
+                        whole = length == WINDOW
+                        if not whole:
+                            arrived.append(len(waiting[0]))
                         crc = zlib.crc32(raw[4 * (begin + start):4 * (begin + start + length)])
-                        for column, value in zip(waiting, (docs[i + k], p, start, length, crc, n, base + where,
-                                                           offset, rids[i + k])):
+                        for column, value in zip(waiting, (docs[i + k], p, start, length, crc, n,
+                                                           base + bins.new() if whole else -1, 0, rids[i + k])):
                             column.append(value)
+                        if len(arrived) == BATCH:
+                            settle()
             if len(waiting[0]) > 1 << 17:
+                settle()
                 still = {base + b for b in bins.left_open()}
                 gone = [s not in still for s in waiting[6]]
                 yield from _batches([[v for v, g in zip(c, gone) if g] for c in waiting], set(), id_type)
                 waiting = [[v for v, g in zip(c, gone) if not g] for c in waiting]
+        settle()
         yield from _batches(waiting, {base + b for b in bins.left_open()}, id_type)
     return run
 
@@ -152,11 +175,12 @@ def _repack(id_type, level: int, limit: int):
         held: list[list] = [[] for _ in range(9)]
         for batch in batches:
             rows = batch.to_pydict()
-            placed = [bins.place(length) for length in rows["length"]]
-            rows["sequence_id"] = [base + where for where, _ in placed]
-            rows["offset"] = [offset for _, offset in placed]
             for column, name in zip(held, ["doc_id", *[n for n, _ in PIECE if n != "open"]]):
                 column += rows[name]
+        for k in range(0, len(held[3]), BATCH):
+            placed = bins.place_batch(held[3][k:k + BATCH])
+            held[6][k:k + BATCH] = [base + where for where, _ in placed]
+            held[7][k:k + BATCH] = [offset for _, offset in placed]
         yield from _batches(held, {base + b for b in bins.left_open()}, id_type)
     return run
 
