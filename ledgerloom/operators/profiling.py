@@ -77,18 +77,39 @@ def stacked(df: DataFrame, columns: list[str], order_col: str | None = None) ->
     """(ordinal, value, at) for every cell of ``columns``; names stay in metadata.
 
     ``at`` is the row order of date cells, whose first value sets the label;
-    other cells leave it null, so it costs nothing in the shuffle.
+    other cells leave it null, so it costs nothing in the shuffle. An order that is no
+    number is left out (see ``_first_dates``).
     """
-    dated = {c for c in columns if type_family(df.schema[c].dataType) in ("date", "timestamp")}
-    none = F.lit(None).cast(df.schema[order_col].dataType if order_col else "bigint")
+    if order_col and not isinstance(df.schema[order_col].dataType, INTEGRAL):
+        order_col = None
+    dated = _dated(df, columns)
+    none = F.lit(None).cast("bigint")
     cells = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), _as_text(q(c), df.schema[c].dataType).alias("value"),
-                 (q(order_col) if order_col and c in dated else none).alias("at"))
+                 (q(order_col).cast("bigint") if order_col and c in dated else none).alias("at"))
         for i, c in enumerate(columns)
     ])
     return df.select(F.inline(cells))
 
 
+def _dated(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c in columns if type_family(df.schema[c].dataType) in ("date", "timestamp")]
+
+
+def _first_dates(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
+    """(ordinal, first_value) of the date columns, in the order of any type of column.
+
+    Text in an aggregate's buffer would make Spark sort all cells of the profile instead of
+    hashing them; over the date columns alone, ungrouped, it costs nothing.
+    """
+    dated = _dated(df, columns)
+    firsts = df.agg(*[F.min_by(q(c), F.when(q(c).isNotNull(), q(order_col))).cast("string").alias(f"d{i}")
+                      for i, c in enumerate(dated)])
+    return firsts.select(F.inline(F.array(*[
+        F.struct(F.lit(columns.index(c)).alias("ordinal"), F.col(f"d{i}").alias("first_value"))
+        for i, c in enumerate(dated)])))
+
+
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
                     order_col: str | None = None, as_of=None) -> DataFrame:
     """One row per column: rows, nulls, null %, exact distinct count, the
@@ -107,7 +128,10 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     meta = columns_frame(spark, df, columns)
     families = F.array(*[F.lit(type_family(df.schema[c].dataType)) for c in columns]).cast("array<string>")
     cells = stacked(df, columns, order_col).withColumn("family", F.get(families, F.col("ordinal")))
-    return profiled(meta, profile_cells(cells, ["ordinal"], as_of), ["ordinal"])
+    counts = profile_cells(cells, ["ordinal"], as_of)
+    if order_col and _dated(df, columns) and not isinstance(df.schema[order_col].dataType, INTEGRAL):
+        counts = counts.drop("first_value").join(_first_dates(df, columns, order_col), "ordinal", "left")
+    return profiled(meta, counts, ["ordinal"])
 
 
 _COUNTS = ["n_rows", "null_count", "unique_count", "n_label_words", "n_fraction", "n_negative",
@@ -134,7 +158,7 @@ def profile_cells(cells: DataFrame, keys: list[str], as_of=None) -> DataFrame:
         F.sum(F.when(d > as_of_column(as_of), n)).alias("n_future"),
         F.sum(F.when(d < F.lit(OLD_DATE).cast("timestamp_ntz"), n)).alias("n_old"),
         F.min(d).alias("min_date"), F.max(d).alias("max_date"),
-        F.min_by(v, F.when(v.isNotNull(), F.col("at"))).alias("first_value"),
+        F.min_by(d, F.when(d.isNotNull(), F.col("at"))).cast("string").alias("first_value"),
     )
 
 
