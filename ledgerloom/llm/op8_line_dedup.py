@@ -49,6 +49,8 @@ PARTS, BITS, CLASSES = 5, 32, 16
 #: The pairs of blocks that lines are joined on; the first two are the outer ones.
 JOINED = [(0, 1), (3, 4), (0, 2), (0, 3), (0, 4), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
 KEYS = len(JOINED) + 2
+#: No bucket; larger than any other key, so it never comes first.
+NO_KEY = 2 ** 63 - 1
 MIN_EDIT = 0.9
 #: Buckets with this many lines, by a sample of one line in so many, are dealt over blocks.
 LARGE, SAMPLE_ONE_IN = 4096, 128
@@ -105,7 +107,7 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS, fuzzy_words=MIN_WORDS
             marks.append(textnp.mix64((total[end] - total[begin]) * down[begin]).view(np.int64))
     fuzzy = count[good] >= max(fuzzy_words, PARTS)
     keys = np.zeros((len(good), KEYS), dtype=np.int64)
-    keys[fuzzy] = block_keys(word_hash, ends - starts, begin[fuzzy], end[fuzzy], marks[0][fuzzy])
+    keys[fuzzy] = block_keys(word_hash, ends - starts, begin[fuzzy], end[fuzzy])
     letters, chars = _letters(clean, starts, ends, begin, end)
     doc = doc_of[good]
     return doc, good - first_line[doc], *marks, keys, fuzzy, letters, chars
@@ -135,11 +137,9 @@ def sim_hashes(word_hash, weight, bounds) -> np.ndarray:
     return sums
 
 
-def block_keys(word_hash, sizes, begin, end, own) -> np.ndarray:
-    """The KEYS keys of every line: its pairs of blocks, then the outer pairs of one word less.
-
-    Lines without the last two have numbers of their own there (from ``own``), which no line shares.
-    """
+def block_keys(word_hash, sizes, begin, end) -> np.ndarray:
+    """The KEYS keys of every line: its pairs of blocks, then the outer pairs of one word less (NO_KEY
+    where it has none)."""
     n = end - begin
 
     def cut(w):
@@ -155,9 +155,7 @@ def block_keys(word_hash, sizes, begin, end, own) -> np.ndarray:
     for p in range(len(JOINED)):
         keys[:, p] = key(blocks, p, w)
     less = np.flatnonzero((n % PARTS == 0) & (w > 1))
-    with np.errstate(over="ignore"):
-        for p in (0, 1):
-            keys[:, len(JOINED) + p] = textnp.mix64(own.view(np.uint64) ^ PAIR_SEEDS[p])
+    keys[:, len(JOINED):] = NO_KEY
     if len(less):
         blocks = sim_hashes(word_hash, sizes, cut(w - 1)[less])
         for p in (0, 1):
@@ -390,7 +388,7 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     Buckets that a sample shows to be large are dealt out over pairs of blocks. A first pass
     looks at lengths only; the lines it leaves bring their letter counts and keys.
     """
-    keyed = different.select(F.explode("keys").alias("bucket"), "chars", "h1")
+    keyed = different.select(F.explode("keys").alias("bucket"), "chars", "h1").where(F.col("bucket") != NO_KEY)
     large = stage(keyed.where(F.pmod(F.xxhash64("h1"), F.lit(SAMPLE_ONE_IN)) == 0)
                   .groupBy("bucket").agg((F.count("*") * SAMPLE_ONE_IN).alias("n"))
                   .where(F.col("n") >= LARGE).withColumnRenamed("bucket", "_bucket"), "large")
