@@ -812,3 +812,38 @@ def test_pair_tables_learn_an_interaction():
     assert ((with_pairs.score(x) > 0.5) == y).mean() > 0.97 > 0.7 > ((without.score(x) > 0.5) == y).mean()
     one = with_pairs.score(x[:1])
     assert one == pytest.approx(with_pairs.score(x)[:1])
+
+
+def brute_features(t):
+    words, lines = [w.encode() for w in WORD.findall(t)], [x for x in t.split("\n") if x]
+    raw, size, n = t.encode(), max(1, sum(len(w.encode()) for w in WORD.findall(t))), max(1, len(words))
+    windows = [tuple(words[k:k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+
+    def share(chars):
+        return sum(raw.count(c.encode()) for c in chars) / size
+
+    return [math.log1p(len(words)), sum(map(len, words)) / n, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"),
+            share("#*$%&<>=+~^_\\{}[]"), share("!"), share("|"), (raw.count(b".") + raw.count(b",")) / n,
+            sum(b >= 128 for b in raw) / size, sum(a == b for a, b in zip(words, words[1:])) / n,
+            (len(windows) - len(set(windows))) / max(1, len(windows)), len(words) / max(1, len(lines)),
+            (len(lines) - len(set(lines))) / max(1, len(lines))]
+
+
+def test_quality_features_and_scores_match_brute_force():
+    import pyarrow as pa
+
+    m, texts = op10_quality_gam, [*TEXTS, None, "", "a a a b", "x\n\nx\ny\n", "É! #1 {a|b}", " "]
+    got, powers = [], textnp.Powers()
+    for _, _, data, offsets in textnp.blocks(pa.array(texts), 3000):
+        got.append(m.features(data, offsets, powers))
+    got = np.concatenate(got)
+    assert np.allclose(got, [brute_features(t or "") for t in texts], rtol=1e-12)
+    r = np.random.default_rng(4)
+    x = r.random((400, len(m.FEATURES)))
+    model = m.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), rounds=8, pair_rounds=4)
+    for row, score in zip(x[:50], model.score(x[:50])):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges)]
+        logit = model.intercept + sum(t[k] for t, k in zip(model.tables, b))
+        logit += sum(g[b[f], b[h]] for (f, h), g in zip(model.pairs, model.grids))
+        assert score == pytest.approx(1 / (1 + math.exp(-logit)), rel=1e-9)
+    assert model.pairs and 0 < model.score(x).min() < model.score(x).max() < 1
