@@ -175,7 +175,9 @@ def fit(rows: DataFrame, n: int, d: int, k: int = COMPONENTS, seed: int = 11) ->
         before, block = q, 2 / cut * w - q
         for _ in range(degree - 1):
             before, block = block, 2 * (2 / cut * times(block) - block) - before
-        q = block / np.linalg.norm(block, axis=0)
+        # By the largest entry first: the square of one may not fit in a double.
+        q = block / np.maximum(np.abs(block).max(axis=0), 1e-300)
+        q /= np.maximum(np.linalg.norm(q, axis=0), 1e-300)
         for _ in range(2):
             q = np.linalg.qr(q)[0]
     found = values[:k] > NULL_SPACE * trace
