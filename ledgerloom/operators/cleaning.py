@@ -117,7 +117,7 @@ def parse_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     v, x = F.col("v"), F.col("x")
     parsed = cells.select(*keys, "v", parse_numeric(v).alias("x")).select(
         *keys, "v", "x", F.when(x.isNotNull(), parse_integer(v, x)).alias("whole"),
-        F.when(x.isNull(), parse_datetime(v)).alias("ts"))
+        parse_datetime(F.when(x.isNull(), v)).alias("ts"))
     return parsed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(v).alias("n_nonnull"),
