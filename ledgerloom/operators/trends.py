@@ -24,13 +24,30 @@ PRICE_TYPE, APART_TYPE = "decimal(17,6)", "decimal(18,6)"
 
 PERIODS = ("day", "week", "month")
 
+#: Rows that a task sums or sorts: what it holds does not grow with the input.
+ROWS_A_TASK = 250_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Into how many tasks to deal ``rows``: in proportion to their number."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+
 
 def daily_sales(sales: DataFrame, key: str = "sku_id") -> DataFrame:
     """One row per SKU (or other ``key``) and day with sales: ``sku_id, day, quantity, revenue, n_sales``."""
-    return sales.where(F.col("date").isNotNull()).groupBy(key, F.to_date("date").alias("day")).agg(
+    return _daily(sales, key)[0]
+
+
+def _daily(sales: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``daily_sales``, and the number of tasks that its rows fit in."""
+    rows = sales.where(F.col("date").isNotNull()).select(key, "date", "sales_quantity", "sales_revenue")
+    tasks = _tasks(rows)
+    # Dealt by whole rows, so a hot SKU, or a hot day of it, is not one task's.
+    days = rows.repartition(tasks, *rows.columns).groupBy(key, F.to_date("date").alias("day")).agg(
         F.coalesce(exact_sum(F.col("sales_quantity")), F.lit(0.0)).alias("quantity"),
         F.coalesce(exact_sum(F.col("sales_revenue")), F.lit(0.0)).alias("revenue"),
         F.count(F.lit(1)).alias("n_sales"))
+    return days, tasks
 
 
 def _at_least_a_day(days: Sequence[int]) -> None:
@@ -67,30 +84,27 @@ def lagged_sales(sales: DataFrame, lags: Sequence[int] = (7, 30), key: str = "sk
     Columns: ``sku_id, day, quantity, revenue`` and ``quantity_lag_N,
     revenue_lag_N`` for each N.
 
-    A day's sums are sent to the days that look back at it, so one shuffle by (SKU, day)
-    joins all lags with the calendar; the calendar itself is made after the
-    shuffle's keys are known, one row per SKU, and is never sorted.
+    The days are dealt once by SKU, which has as many rows as days; all lags are windows over
+    them, and the calendar is made and met where the SKU's days are.
     """
     _at_least_a_day(lags)
-    daily = daily_sales(sales, key).select(key, "day", "quantity", "revenue")
-    spans = daily.groupBy(key).agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    sent = daily.select(key, "quantity", "revenue", F.inline(F.array(*[
-        F.struct(F.date_add("day", n).alias("day"), F.lit(n).alias("lag")) for n in (0, *lags)])))
-    if dense:
-        sent = sent.unionByName(spans.select(key, F.explode(F.sequence("first", "last")).alias("day")),
-                                allowMissingColumns=True)
-    met = sent.groupBy(key, "day").agg(
-        F.count_if(F.col("lag").isNull() | (F.col("lag") == 0)).alias("rows"),
-        *[F.max(F.when(F.col("lag") == n, F.col(c))).alias(f"{c}_{n}")
-          for n in (0, *lags) for c in ("quantity", "revenue")])
-    begun = spans.select(F.col(key).alias("_key"), "first")
-    met = met.where("rows > 0").join(begun, F.col(key).eqNullSafe(F.col("_key")))
+    daily, tasks = _daily(sales, key)
+    daily = daily.select(key, "day", "quantity", "revenue").repartition(tasks, key)
     zero = F.lit(0.0)
-    out = [F.coalesce(f"{c}_0", zero).alias(c) for c in ("quantity", "revenue")]
+    if dense:
+        spans = daily.groupBy(key).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+        daily = daily.unionByName(spans.select(key, F.explode(F.sequence("first", "last")).alias("day")),
+                                  allowMissingColumns=True).repartition(tasks, key).groupBy(key, "day").agg(
+            *[F.coalesce(F.max(c), zero).alias(c) for c in ("quantity", "revenue")])
+    number = F.unix_date("day")
+    per_key = Window.partitionBy(key).orderBy(number)
+    first = F.min("day").over(per_key)
+    out = []
     for n in lags:
-        known = F.date_sub("day", n) >= F.col("first")
-        out += [F.when(known, F.coalesce(f"{c}_{n}", zero)).alias(f"{c}_lag_{n}") for c in ("quantity", "revenue")]
-    return met.select(key, "day", *out)
+        known = F.date_sub("day", n) >= first
+        out += [F.when(known, F.coalesce(F.max(c).over(per_key.rangeBetween(-n, -n)), zero)).alias(f"{c}_lag_{n}")
+                for c in ("quantity", "revenue")]
+    return daily.select(key, "day", "quantity", "revenue", *out)
 
 
 def _start(period: str, day: Column) -> Column:
@@ -106,30 +120,32 @@ def sales_trend(sales: DataFrame) -> DataFrame:
     """Sales per day, week (from Monday) and month, of each SKU and of all, with
     the change against the period before.
 
-    All six groupings come from one pass over the days and one shuffle (grouping
-    sets). Columns: ``period`` (day, week, month), ``start``, ``all_skus`` (then
+    The days are dealt once by SKU, which has as many rows as days: its periods are made
+    where its days are. Those of all SKUs are three groupings of few rows. Columns: ``period`` (day, week, month), ``start``, ``all_skus`` (then
     ``sku_id`` is null), ``quantity, revenue, n_sales``, ``revenue_change``
     (against the calendar period before, which is 0 when it had no sales; null
     for the first period) and ``revenue_change_pct`` (null where the period
     before is 0). Only periods with sales have a row.
     """
-    days = daily_sales(sales).select("sku_id", *[_start(p, F.col("day")).alias(p) for p in PERIODS],
-                                     "quantity", "revenue", "n_sales")
-    sets = [[F.col(p)] for p in PERIODS] + [[F.col("sku_id"), F.col(p)] for p in PERIODS]
-    grouped = days.groupingSets(sets, "sku_id", *PERIODS).agg(
-        F.grouping("sku_id").alias("over_all"), *[F.grouping(p).alias(f"no_{p}") for p in PERIODS],
-        exact_sum(F.col("quantity")).alias("quantity"), exact_sum(F.col("revenue")).alias("revenue"),
-        F.sum("n_sales").alias("n_sales"))
-    period = F.coalesce(*[F.when(F.col(f"no_{p}") == 0, F.lit(p)) for p in PERIODS])
-    rows = grouped.select(
-        period.alias("period"), F.coalesce(*[F.when(F.col(f"no_{p}") == 0, F.col(p)) for p in PERIODS]).alias("start"),
-        (F.col("over_all") == 1).alias("all_skus"), "sku_id", "quantity", "revenue", "n_sales")
-    w = Window.partitionBy("period", "all_skus", "sku_id").orderBy("start")
-    expected = F.coalesce(*[F.when(F.col("period") == p, _start_before(p, F.col("start"))) for p in PERIODS])
-    rows = rows.withColumn("_start", F.lag("start").over(w)).withColumn("_revenue", F.lag("revenue").over(w))
-    before = F.when(F.col("_start").isNotNull(),
-                    F.when(F.col("_start") == expected, F.col("_revenue")).otherwise(F.lit(0.0)))
-    return rows.withColumn("_before", before).select(
+    daily, tasks = _daily(sales, "sku_id")
+    days = daily.select("sku_id", *[_start(p, F.col("day")).alias(p) for p in PERIODS],
+                        "quantity", "revenue", "n_sales").repartition(tasks, "sku_id")
+    sums = [exact_sum(F.col("quantity")).alias("quantity"), exact_sum(F.col("revenue")).alias("revenue"),
+            F.sum("n_sales").alias("n_sales")]
+    rows = None
+    for p in PERIODS:
+        for keys in ([], ["sku_id"]):
+            sku = F.col("sku_id") if keys else F.lit(None).cast(days.schema["sku_id"].dataType).alias("sku_id")
+            # A day of a SKU is one row as it is.
+            part = (days.select("sku_id", F.col(p).alias("start"), "quantity", "revenue", "n_sales")
+                    if keys and p == "day" else days.groupBy(*keys, F.col(p).alias("start")).agg(*sums))
+            w = Window.partitionBy(*keys).orderBy("start")
+            before = F.when(F.lag("start").over(w) == _start_before(p, F.col("start")), F.lag("revenue").over(w))
+            before = F.when(F.lag("start").over(w).isNotNull(), F.coalesce(before, F.lit(0.0)))
+            part = part.select(F.lit(p).alias("period"), "start", F.lit(not keys).alias("all_skus"), sku,
+                               "quantity", "revenue", "n_sales", before.alias("_before"))
+            rows = part if rows is None else rows.unionByName(part)
+    return rows.select(
         "period", "start", "all_skus", "sku_id", "quantity", "revenue", "n_sales",
         (F.col("revenue") - F.col("_before")).alias("revenue_change"),
         ((F.col("revenue") - F.col("_before")) / F.nullif(F.col("_before"), F.lit(0.0)) * F.lit(100.0))
