@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.cleaning import q
 from ledgerloom.operators.ranking import HOT_ROWS, SLICES, running_total, same
+from ledgerloom.session import checkpointed
 
 FENCE = 1.5
 
@@ -94,9 +95,9 @@ def duplicate_rows(df: DataFrame, order_col: str, columns: list[str] | None = No
     Rows are equal when all ``columns`` (all but ``order_col`` by default) are; null
     equals null and NaN equals NaN. ``order_col`` is a unique number that orders rows.
 
-    Rows are first counted by a 128-bit hash; those whose hash is not alone are then
-    compared column by column. A row that a third of the table repeats is counted per
-    task before the shuffle and numbered in slices.
+    Rows are first counted by a 128-bit hash, then dealt by it once and compared column by
+    column there. A row that more than ``limit`` rows repeat is left out of that: it is
+    counted per task before a shuffle and numbered in slices.
     """
     columns = list(columns or [c for c in df.columns if c != order_col])
     # What Spark can group and compare; maps and variants go by their hash alone.
@@ -105,16 +106,23 @@ def duplicate_rows(df: DataFrame, order_col: str, columns: list[str] | None = No
     hashed = df.select(_packed(df), q(order_col).alias("at"), cells.alias("cells"),
                        F.unhex(F.md5(F.concat(*[_canonical(df, c) for c in columns]))).alias("hash"))
     sizes = hashed.groupBy(F.col("hash").alias("s_hash")).agg(F.count(F.lit(1)).alias("n"))
-    rows = hashed.join(sizes, F.col("hash") == F.col("s_hash"))
+    hot = checkpointed(sizes.where(F.col("n") > limit).select("s_hash"))
+    is_hot = F.col("hash") == F.col("s_hash")
+    some_hot = not hot.isEmpty()
     one = F.lit(1).cast("bigint")
-    alone = rows.where("n = 1").select("row", one.alias("copies"), one.alias("occurrence"), F.col("at").alias("first_row"))
-    many = rows.where("n > 1").select("row", "at", "cells", "hash")
-    firsts = many.groupBy(F.col("hash").alias("e_hash"), F.col("cells").alias("e_cells")).agg(
-        F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_row"))
-    many = many.join(firsts, (F.col("hash") == F.col("e_hash")) & F.col("cells").eqNullSafe(F.col("e_cells")))
-    many = running_total(many.select("row", "at", "copies", "first_row"), ["first_row"], "at", one, "occurrence",
-                         limit=limit, slices=slices)
-    both = alone.unionByName(many.select("row", "copies", "occurrence", "first_row"))
+    equal = Window.partitionBy("hash", "cells")
+    both = (hashed.join(hot, is_hot, "left_anti") if some_hot else hashed).select(
+        "row", F.count(F.lit(1)).over(equal).alias("copies"),
+        F.row_number().over(equal.orderBy("at")).cast("bigint").alias("occurrence"),
+        F.min("at").over(equal).alias("first_row"))
+    if some_hot:
+        many = hashed.join(hot, is_hot, "left_semi")
+        firsts = many.groupBy(F.col("hash").alias("e_hash"), F.col("cells").alias("e_cells")).agg(
+            F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_row"))
+        many = many.join(firsts, (F.col("hash") == F.col("e_hash")) & F.col("cells").eqNullSafe(F.col("e_cells")))
+        many = running_total(many.select("row", "at", "copies", "first_row"), ["first_row"], "at", one, "occurrence",
+                             limit=limit, slices=slices)
+        both = both.unionByName(many.select("row", "copies", "occurrence", "first_row"))
     return _unpacked(both, df.columns, ["copies", "occurrence", "first_row"])
 
 
