@@ -31,6 +31,9 @@ from ledgerloom.functions.constants import (
 NUMERIC_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+# Numeric text begins with a byte below this one (a digit, point, sign or blank). Comparing
+# bytes spares most other text the pattern, which copies the text first.
+_AFTER_DIGITS = ":"
 
 # ISO text (what a cast accepts) is tried only when the value starts with a year
 # and a month, so bare clock times such as ``12:30`` never resolve against
@@ -89,8 +92,13 @@ def parse_numeric(c: Column) -> Column:
     """
     t = F.trim(c)
     inf = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return (F.when(c.rlike(NUMERIC_PATTERN), t.try_cast("double"))
-             .when(c.rlike(INFINITY_PATTERN), inf))
+    return (F.when((c < _AFTER_DIGITS) & c.rlike(NUMERIC_PATTERN), t.try_cast("double"))
+             .when(_begins_infinity(c) & c.rlike(INFINITY_PATTERN), inf))
+
+
+def _begins_infinity(c: Column) -> Column:
+    """The first byte is that of a blank, a sign or an ``i``: no more text needs the pattern."""
+    return (c < "0") | ((c >= "I") & (c < "J")) | ((c >= "i") & (c < "j"))
 
 
 def is_whole(x: Column) -> Column:
@@ -104,11 +112,21 @@ def parse_integer(c: Column, x: Column | None = None) -> Column:
     Plain digits are read as integers, never through a double, so 16- to
     18-digit codes keep every digit. ``x`` is the number, where it is known already.
     """
-    plain = F.when(c.rlike(INTEGER_PATTERN), F.trim(c).try_cast("bigint"))
+    plain = F.when((c < _AFTER_DIGITS) & c.rlike(INTEGER_PATTERN), F.trim(c).try_cast("bigint"))
     x = parse_numeric(c) if x is None else x
     return F.coalesce(plain, F.when(is_whole(x), x.try_cast("bigint")))
 
 
+def reads_as_integer(c: Column, x: Column) -> Column:
+    """True where ``parse_integer(c, x)`` is not null, given the number ``x``.
+
+    The digits are read only where a double is too large to tell.
+    """
+    digits = (F.abs(x) >= F.lit(_BIGINT_LIMIT)) & c.rlike(INTEGER_PATTERN)
+    return F.when(is_whole(x), F.lit(True)).otherwise(
+        F.coalesce(F.when(digits, F.trim(c).try_cast("bigint").isNotNull()), F.lit(False)))
+
+
 def is_boolean_text(c: Column) -> Column:
     return c.isin(BOOLEAN_TRUE_TOKENS + BOOLEAN_FALSE_TOKENS)
 
@@ -125,9 +143,21 @@ def parse_datetime(c: Column) -> Column:
     ``13/04/2024`` is 13 April. Naive text keeps its wall clock; text that
     names a zone is converted to UTC. No step looks at the session zone.
     """
-    t = F.trim(c)
+    return read_date(date_text(c))
+
+
+def date_text(c: Column) -> Column:
+    """The text, trimmed, where it may be a date; null elsewhere. ISO text may be one, too."""
+    # Every candidate holds a separator; looking for bytes spares most other text the pattern.
+    separated = c.contains("-") | c.contains("/") | c.contains(" ") | c.contains(".")
+    return F.when(separated & c.rlike(DATE_CANDIDATE), F.trim(c))
+
+
+def read_date(t: Column) -> Column:
+    """``date_text`` -> TIMESTAMP_NTZ, or null. Over many rows, give ``t`` a projection of its own
+    (``cleaning.parse_counts``): generated code reads an expression again in every branch."""
     iso = t.rlike(ISO_GUARD)
-    return _parse_written(F.when(t.rlike(DATE_CANDIDATE) & ~iso, t), F.when(iso, parse_iso(t)))
+    return _parse_written(F.when(~iso, t), F.when(iso, parse_iso(t)))
 
 
 def _parse_written(t: Column, other: Column) -> Column:

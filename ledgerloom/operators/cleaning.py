@@ -23,12 +23,15 @@ from ledgerloom.functions.constants import (
     REQUIRED_DEFAULTS,
 )
 from ledgerloom.functions.parsing import (
+    date_text,
     is_boolean_text,
     na_to_null,
     parse_boolean,
     parse_datetime,
     parse_integer,
     parse_numeric,
+    read_date,
+    reads_as_integer,
     truncate_to_bigint,
 )
 from ledgerloom.functions.text import clean_names
@@ -113,18 +116,24 @@ def parse_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def parse_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Parse outcomes of ``cells`` (``keys`` and the text ``v``), counted per key."""
-    # Each parse is made once, in a projection below the counts.
+    # Each parse is made once, in a projection below the counts. Dates are read once per text
+    # that may be one (few cells hold any), after a partial aggregate per task.
     v, x = F.col("v"), F.col("x")
     parsed = cells.select(*keys, "v", parse_numeric(v).alias("x")).select(
-        *keys, "v", "x", F.when(x.isNotNull(), parse_integer(v, x)).alias("whole"),
-        parse_datetime(F.when(x.isNull(), v)).alias("ts"))
-    return parsed.groupBy(*keys).agg(
+        *keys, "v", "x", F.when(reads_as_integer(v, x), F.lit(True)).alias("whole"),
+        F.when(x.isNull(), date_text(v)).alias("t"))
+    per_text = parsed.groupBy(*keys, "t").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(v).alias("n_nonnull"),
         F.count_if(is_boolean_text(v)).alias("n_boolean"),
         F.count(x).alias("n_numeric"),
         F.count("whole").alias("n_whole"),
-        F.count("ts").alias("n_datetime"),
+    )
+    # A text that may be a date is no null, so its rows are its values.
+    dated = per_text.select("*", read_date(F.col("t")).alias("ts"))
+    return dated.groupBy(*keys).agg(
+        *[F.sum(m).alias(m) for m in ("n_rows", "n_nonnull", "n_boolean", "n_numeric", "n_whole")],
+        F.coalesce(F.sum(F.when(F.col("ts").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("n_datetime"),
     )
 
 
@@ -202,11 +211,18 @@ def convert(c: Column, spark_type: str) -> Column:
 
 
 def apply_types(df: DataFrame, plan: TypePlan) -> DataFrame:
-    """Pass 2: one lazy ``select`` of conversions; unplanned columns pass through."""
+    """Pass 2: lazy conversions; unplanned columns pass through. What may be a date is picked out
+    in a projection of its own (see ``read_date``)."""
+    dates = {c for c in df.columns if plan.types.get(c) == "timestamp_ntz"}
+    if dates:
+        df = df.select(*[date_text(q(c)).alias(c) if c in dates else q(c) for c in df.columns])
     out = []
     for c in df.columns:
         t = plan.types.get(c)
-        out.append(q(c) if t is None else convert(q(c), t).alias(c))
+        if c in dates:
+            out.append(read_date(q(c)).alias(c))
+        else:
+            out.append(q(c) if t is None else convert(q(c), t).alias(c))
     return df.select(*out)
 
 
