@@ -44,6 +44,8 @@ from ledgerloom.operators.cleaning import first_rows, q
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
+#: First rows that most columns find their samples and first value in.
+HEAD_ROWS = 200
 
 
 def type_family(dt: T.DataType) -> str:
@@ -96,22 +98,37 @@ def _dated(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if type_family(df.schema[c].dataType) in ("date", "timestamp")]
 
 
-def _first_dates(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
+def _first_dates(df: DataFrame, columns: list[str], order_col: str,
+                 head: DataFrame | None = None) -> DataFrame:
     """(ordinal, first_value) of the date columns, in the order of any type of column.
 
     Text in an aggregate's buffer would make Spark sort all cells of the profile instead of
-    hashing them; over the date columns alone, ungrouped, it costs nothing.
+    hashing them; over the date columns alone, ungrouped, it costs nothing. With ``head``, the
+    first HEAD_ROWS rows, only columns without a value there look at the others.
     """
     dated = _dated(df, columns)
-    firsts = df.agg(*[F.min_by(q(c), F.when(q(c).isNotNull(), q(order_col))).cast("string").alias(f"d{i}")
-                      for i, c in enumerate(dated)])
-    return firsts.select(F.inline(F.array(*[
+    known = []
+    if head is not None:
+        seen = _firsts(head, dated, order_col, F.count(F.lit(1)).alias("n")).first()
+        known = [(columns.index(c), seen[i]) for i, c in enumerate(dated) if seen[i] is not None or seen.n < HEAD_ROWS]
+        dated = [c for c in dated if columns.index(c) not in dict(known)]
+    found = df.sparkSession.createDataFrame(known, "ordinal int, first_value string")
+    if not dated:
+        return found
+    firsts = _firsts(df, dated, order_col).select(F.inline(F.array(*[
         F.struct(F.lit(columns.index(c)).alias("ordinal"), F.col(f"d{i}").alias("first_value"))
         for i, c in enumerate(dated)])))
+    return firsts.unionByName(found) if known else firsts
+
+
+def _firsts(df: DataFrame, dated: list[str], order_col: str, *more: Column) -> DataFrame:
+    return df.agg(*[F.min_by(q(c), F.when(q(c).isNotNull(), q(order_col))).cast("string").alias(f"d{i}")
+                    for i, c in enumerate(dated)], *more)
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
-                    order_col: str | None = None, as_of=None) -> DataFrame:
+                    order_col: str | None = None, as_of=None,
+                    head: DataFrame | None = None) -> DataFrame:
     """One row per column: rows, nulls, null %, exact distinct count, the
     counts the type labels need and those the validation rules need.
 
@@ -120,7 +137,8 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     n_negative, n_zero`` (number columns), ``min_date, max_date, n_future,
     n_old`` (date columns; future is after ``as_of``) and ``first_value`` (first
     non-null value of a date column in ``order_col`` order, null without one).
-    ``null_percentage`` is null for an empty frame.
+    ``null_percentage`` is null for an empty frame. ``head``: the first HEAD_ROWS rows by
+    ``order_col`` with their date columns, where known.
     """
     spark = df.sparkSession
     columns = list(columns if columns is not None else
@@ -130,7 +148,8 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     cells = stacked(df, columns, order_col).withColumn("family", F.get(families, F.col("ordinal")))
     counts = profile_cells(cells, ["ordinal"], as_of)
     if order_col and _dated(df, columns) and not isinstance(df.schema[order_col].dataType, INTEGRAL):
-        counts = counts.drop("first_value").join(_first_dates(df, columns, order_col), "ordinal", "left")
+        counts = counts.drop("first_value").join(
+            F.broadcast(_first_dates(df, columns, order_col, head)), "ordinal", "left")
     return profiled(meta, counts, ["ordinal"])
 
 
@@ -189,18 +208,23 @@ def _first_of_each(rows: DataFrame, order_col: str, columns: list[str], k: int)
         F.col("sample_rank") <= k).select("ordinal", "sample_rank", "sample_value")
 
 
+def _head(df: DataFrame, order_col: str, columns: list[str], n: int = HEAD_ROWS) -> DataFrame:
+    return first_rows(df.select(q(order_col), *[q(c) for c in columns if c != order_col]), order_col, n)
+
+
 def sample_values(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                  k: int = SAMPLE_VALUES, head_rows: int = 200) -> DataFrame:
+                  k: int = SAMPLE_VALUES, head_rows: int = HEAD_ROWS,
+                  head: DataFrame | None = None) -> DataFrame:
     """First ``k`` non-null values of each column in row order, as text.
 
     Long form: ``column_name, ordinal, sample_rank, sample_value``. Most columns
     find theirs in the first ``head_rows`` rows, which a top-k per task picks;
     a column with fewer there and a full head takes the first ``k`` rows that
-    hold a value for it.
+    hold a value for it. ``head``: the first ``head_rows`` rows, where known.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
-    head = first_rows(df.select(q(order_col), *[q(c) for c in columns if c != order_col]),
-                      order_col, head_rows)
+    if head is None:
+        head = _head(df, order_col, columns, head_rows)
     have = head.agg(F.count("*"), *[
         F.count(_as_text(q(c), df.schema[c].dataType)) for c in columns]).first()
     sparse = [i for i in range(len(columns)) if have[0] == head_rows and have[i + 1] < k]
@@ -264,19 +288,23 @@ def label_expr() -> Column:
 
 def detect_schema(df: DataFrame, order_col: str, columns: list[str] | None = None,
                   with_samples: bool = True, as_of=None,
-                  coerced: dict[str, int] | None = None) -> DataFrame:
+                  coerced: dict[str, int] | None = None, head: DataFrame | None = None) -> DataFrame:
     """One row per column: ``column_name, ordinal, detected_type,
     suggested_mapping, null_count, null_percentage, unique_count,
     coerced_count``, ``sample_values`` (when ``with_samples``) and the profile
     counts used by validation.
 
     ``coerced`` says per column how many present values the chosen type could
-    not hold (``cleaning.TypePlan.coerced``); they are nulls in ``df``.
+    not hold (``cleaning.TypePlan.coerced``); they are nulls in ``df``. ``head``: the first
+    HEAD_ROWS rows of ``df`` by ``order_col``, the date columns at least, and all with samples.
+    Give it where ``df`` is converted, from the frame before conversions (see ``preview``).
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c != order_col])
-    out = profile_columns(df, columns, order_col, as_of)
+    if head is None and with_samples:
+        head = _head(df, order_col, columns)
+    out = profile_columns(df, columns, order_col, as_of, head)
     if with_samples:
-        arrays = sample_arrays(sample_values(df, order_col, columns))
+        arrays = sample_arrays(sample_values(df, order_col, columns, head=head))
         out = out.join(arrays, "ordinal", "left").withColumn(
             "sample_values", F.coalesce(F.col("sample_values"), F.array().cast("array<string>")))
     lost = F.array(*[F.lit(int((coerced or {}).get(c, 0))).cast("bigint") for c in columns])

@@ -13,8 +13,7 @@ from ledgerloom.operators import profiling as P
 from ledgerloom.operators import sketches as K
 from ledgerloom.operators import trends as T
 from ledgerloom.plans.catalog import query
-from ledgerloom.plans.queries_cleaning import AS_OF, RAW_COLS, typed
-from ledgerloom.plans.queries_profile import _SAMPLES_SQL, _profile_query
+from ledgerloom.plans.queries_profile import _SAMPLES_SQL, _profile_query, _schema
 from ledgerloom.session import staging_path
 from ledgerloom.sources import export as E
 from ledgerloom.sources import fixtures as X
@@ -171,7 +170,7 @@ def q_csv_export(spark, sf):
     "group by ordinal) s on l.ordinal = s.ordinal", [("samples", _SAMPLES_SQL)]))
 def q_schema_json(spark, sf):
     """The detected schema as a JSON document, and back."""
-    schema = P.detect_schema(typed(spark, sf), "id", RAW_COLS, as_of=AS_OF)
+    schema = _schema(spark, sf, with_samples=True)
     text = J.to_json_text(P.schema_document(schema), ["detected_schema"])
     back = J.from_json_text(text, {"detected_schema": SCHEMA_TYPE})
     return back.select(F.inline("detected_schema.columns"), "detected_schema_unread").select(

@@ -36,7 +36,13 @@ FAMILY = {"timestamp_ntz": "timestamp", "bigint": "integral", "double": "fractio
 
 
 def _schema(spark, sf, with_samples=False):
-    return P.detect_schema(typed(spark, sf), "id", RAW_COLS, with_samples=with_samples, as_of=AS_OF)
+    # The types come from all rows; of the first ones, only these are converted.
+    r = raw(spark, sf)
+    plan = C.plan_types(r, RAW_COLS)
+    shown = RAW_COLS if with_samples else [c for c in RAW_COLS if plan.types[c] == "timestamp_ntz"]
+    head = C.apply_types(C.first_rows(r.select("id", *shown), "id", P.HEAD_ROWS), plan) if shown else None
+    return P.detect_schema(C.infer_types(r, RAW_COLS, plan), "id", RAW_COLS, with_samples=with_samples,
+                           as_of=AS_OF, head=head)
 
 
 # --- oracle building blocks ------------------------------------------------
