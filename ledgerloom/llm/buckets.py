@@ -166,7 +166,8 @@ def _heavy(kernel):
                     root = min(ids[at[0]], ids[at[1]])
                     out += [(ids[at[0]], root, 1), (ids[at[1]], root, 1)]
                 continue
-            linked = kernel.verified(body.take(pa.array(at)), cand)
+            low = min(at)       # taken from the group's own rows: from the whole column, each call copies it
+            linked = kernel.verified(body.slice(low, max(at) + 1 - low).take(pa.array([x - low for x in at])), cand)
             if not linked.any():
                 continue
             names = [ids[x] for x in at]

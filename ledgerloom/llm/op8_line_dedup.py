@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +71,9 @@ _rng = np.random.default_rng(88)
 PAIR_SEEDS = _rng.integers(1, 2**63, len(JOINED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Four bits, each in a lane of 16.
 LANES = np.array([sum((x >> k & 1) << 16 * k for k in range(4)) for x in range(16)], dtype=np.uint64)
-#: The class of a character by its first byte; continuation bytes have none.
-LETTER = (np.arange(256) * 7 % CLASSES).astype(np.int64)
-LETTER[128:192] = -1
+#: The class of a character by its first byte; continuation bytes are in a class behind the last.
+LETTER = (np.arange(256) * 7 % CLASSES).astype(np.int8)
+LETTER[128:192] = CLASSES
 
 
 def normal_line(raw: bytes) -> str:
@@ -82,18 +83,24 @@ def normal_line(raw: bytes) -> str:
 
 
 def line_marks(data, offsets, powers, min_words=MIN_WORDS, fuzzy_words=MIN_WORDS):
-    """(text number, line number, h1, h2, block keys, letter counts, characters, words) of the
-    lines with enough words."""
+    """(text number, line number, h1, h2, block keys, whether it has such, letter counts, characters,
+    first byte in the text, bytes) of the lines with enough words."""
     clean = NORMAL[data]
     starts, ends, _ = textnp.words(clean, offsets)
     breaks = np.flatnonzero(data == 10)
     before = np.searchsorted(breaks, offsets)
     first_line = np.concatenate([[0], np.cumsum(np.diff(before) + 1)])
-    # Empty texts start where the next one does and hold no words: the last text there counts.
-    word_doc = np.searchsorted(offsets[:-1], starts, side="right") - 1
-    line_of = first_line[word_doc] + np.searchsorted(breaks, starts) - before[word_doc]
     doc_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first_line))
-    count = np.bincount(line_of, minlength=first_line[-1])
+    # A line starts behind a break or with its text; its words are those before the next line's first.
+    line_start = np.empty(first_line[-1], dtype=np.int64)
+    line_start[first_line[:-1]] = offsets[:-1]
+    later = np.ones(first_line[-1], dtype=bool)
+    later[first_line[:-1]] = False
+    line_start[later] = breaks + 1
+    line_end = np.empty(first_line[-1], dtype=np.int64)
+    line_end[first_line[1:] - 1] = offsets[1:]
+    line_end[np.flatnonzero(later) - 1] = breaks
+    count = np.diff(np.searchsorted(starts, np.append(line_start, len(data))))
     good = np.flatnonzero(count >= min_words)
     word_hash = textnp.span_hashes(clean, starts, ends, powers)
     up, down = powers.upto(len(word_hash) + 1)
@@ -108,9 +115,10 @@ def line_marks(data, offsets, powers, min_words=MIN_WORDS, fuzzy_words=MIN_WORDS
     fuzzy = count[good] >= max(fuzzy_words, PARTS)
     keys = np.zeros((len(good), KEYS), dtype=np.int64)
     keys[fuzzy] = block_keys(word_hash, ends - starts, begin[fuzzy], end[fuzzy])
-    letters, chars = _letters(clean, starts, ends, begin, end)
+    letters, chars = _letters(clean, ends - starts, count, good)
     doc = doc_of[good]
-    return doc, good - first_line[doc], *marks, keys, fuzzy, letters, chars
+    return (doc, good - first_line[doc], *marks, keys, fuzzy, letters, chars,
+            line_start[good] - offsets[doc], line_end[good] - line_start[good])
 
 
 def sim_hashes(word_hash, weight, bounds) -> np.ndarray:
@@ -151,33 +159,28 @@ def block_keys(word_hash, sizes, begin, end) -> np.ndarray:
             return textnp.mix64((blocks[:, i] << np.uint64(32) | blocks[:, j]) * PAIR_SEEDS[p] + w.astype(np.uint64))
 
     keys = np.empty((len(n), KEYS), dtype=np.uint64)
-    blocks, w = sim_hashes(word_hash, sizes, cut(n // PARTS)), n // PARTS
-    for p in range(len(JOINED)):
-        keys[:, p] = key(blocks, p, w)
+    w = n // PARTS
     less = np.flatnonzero((n % PARTS == 0) & (w > 1))
+    blocks = sim_hashes(word_hash, sizes, np.concatenate([cut(w), cut(w - 1)[less]]))
+    for p in range(len(JOINED)):
+        keys[:, p] = key(blocks[:len(n)], p, w)
     keys[:, len(JOINED):] = NO_KEY
-    if len(less):
-        blocks = sim_hashes(word_hash, sizes, cut(w - 1)[less])
-        for p in (0, 1):
-            keys[less, len(JOINED) + p] = key(blocks, p, w[less] - 1)
+    for p in (0, 1):
+        keys[less, len(JOINED) + p] = key(blocks[len(n):], p, w[less] - 1)
     return keys.view(np.int64)
 
 
-def _letters(clean, starts, ends, begin, end):
-    """Characters per class (255 at most), and all characters, of the lines that hold the words [begin, end).
+def _letters(clean, sizes, count, good):
+    """Characters per class (255 at most), and all characters, of the ``good`` ones of lines with ``count`` words.
 
     Words stand with one space between; spaces are not counted as letters.
     """
-    size = ends - starts
-    line = np.repeat(np.arange(len(begin)), end - begin)
-    words = np.repeat(begin - np.concatenate([[0], np.cumsum(end - begin)[:-1]]), end - begin) + np.arange(len(line))
-    size = size[words]
-    at = np.arange(int(size.sum())) + np.repeat(starts[words] - (np.cumsum(size) - size), size)
-    kind = LETTER[clean[at]]
-    real = kind >= 0
-    cell = np.repeat(line * CLASSES, size)[real] + kind[real]
-    counts = np.bincount(cell, minlength=len(begin) * CLASSES).reshape(-1, CLASSES)
-    chars = counts.sum(axis=1) + np.maximum(end - begin - 1, 0)
+    kind = LETTER[clean[~textnp.WHITE[clean]]]              # the words' bytes, one word after the other
+    width = CLASSES + 1                                    # the last class is left out
+    line = np.repeat(np.arange(len(count)) * width, count)
+    cell = np.repeat(line, sizes) + kind
+    counts = np.bincount(cell, minlength=len(count) * width).reshape(-1, width)[good, :CLASSES]
+    chars = counts.sum(axis=1) + np.maximum(count[good] - 1, 0)
     return np.minimum(counts, 255).astype(np.uint8), chars.astype(np.int32)
 
 
@@ -187,7 +190,7 @@ def _lines(min_words: int, exact_words: int):
         for batch in batches:
             rest = batch.select(["doc_id", "md5"])
             for i, j, data, offsets in textnp.blocks(batch.column("text")):
-                doc, no, h1, h2, keys, fuzzy, letters, chars = line_marks(
+                doc, no, h1, h2, keys, fuzzy, letters, chars, start, size = line_marks(
                     data, offsets, powers, min(min_words, exact_words), min_words)
                 mask = pa.array(~fuzzy)
                 held = pa.ListArray.from_arrays(
@@ -196,8 +199,9 @@ def _lines(min_words: int, exact_words: int):
                 part = rest.slice(i, j - i).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(no, pa.int32()), pa.array(h1), pa.array(h2),
-                     held, counts.cast(pa.binary()), pa.array(chars)],
-                    names=["doc_id", "md5", "line_no", "h1", "h2", "keys", "letters", "chars"])
+                     held, counts.cast(pa.binary()), pa.array(chars), pa.array(start, pa.int32()),
+                     pa.array(size, pa.int32())],
+                    names=["doc_id", "md5", "line_no", "h1", "h2", "keys", "letters", "chars", "start", "size"])
     return run
 
 
@@ -213,10 +217,11 @@ def _shared_start(a: str, b: str) -> int:
     return low
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
     """Levenshtein distance, a column of the table at a time as bits of one integer.
 
-    Equal starts and ends are cut off first; they never change the distance.
+    Equal starts and ends are cut off first; they never change the distance. A distance over ``most`` may
+    come out as any other number over it: a column changes it by one, so the rest can be too short to mend it.
     """
     start = _shared_start(a, b)
     a, b = a[start:], b[start:]
@@ -231,7 +236,10 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << k
     full, top = (1 << len(b)) - 1, 1 << len(b) - 1
     plus, minus, score = full, 0, len(b)
-    for c in a:
+    most += len(a)
+    for done, c in enumerate(a):
+        if score + done > most:
+            return score + done - len(a)
         eq = places.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -312,33 +320,30 @@ class Kernel:
         if len(v) == len(w) and sum(max(len(x), len(y)) for x, y in zip(v, w) if x != y) <= limit:
             return True
         # A lower bound: characters that only one side has must all be changed.
-        x, y = Counter(a), Counter(b)
-        if max((x - y).total(), (y - x).total()) > limit:
-            return False
-        # Another: one edit changes at most q substrings of length q.
-        q = 4
-        x, y = (Counter([c[k:k + q] for k in range(len(c) - q + 1)]) for c in (a, b))
-        if max((x - y).total(), (y - x).total()) > q * limit:
+        if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > limit:
             return False
-        return edit_distance(a, b) <= limit
+        return edit_distance(a, b, limit) <= limit
 
     def near_rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that are in a candidate pair of their (bucket, i, j) group.
+        """Rows that are in a candidate pair of their (bucket, slot, other) group; rows come in order of ``cell``
+        (the bucket, where that is null).
 
         Candidates have lengths that are near enough and, where rows carry them, letter counts, and
         share no smaller bucket. Looks at rows 1, 2, 3 ... apart while they share a group, so a batch of
         small groups costs a few array operations.
         """
-        for t, bounds in whole_groups(batches, ["bucket", "i", "j"]):
+        for t, bounds in whole_groups(batches, ["cell"]):
             names = [c for c in t.column_names if c not in ("chars", "letters", "keys")]
-            col = {c: t.column(c).to_numpy() for c in (*names, "chars")}
+            col = {c: t.column(c).to_numpy() for c in (*names, "chars") if c != "bucket"}
+            col["bucket"] = pc.coalesce(t.column("bucket"), t.column("cell")).to_numpy()
             letters = keys = None
             if "letters" in t.column_names:
                 keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
                 held = t.column("letters").combine_chunks().cast(pa.binary(CLASSES))
                 letters = np.frombuffer(held.buffers()[1], np.uint8, len(held) * CLASSES,
                                         held.offset * CLASSES).reshape(-1, CLASSES)
-            chars, cross = col["chars"], col["i"] != col["j"]
+            chars, bucket, slot, other = (col[c] for c in ("chars", "bucket", "slot", "other"))
+            dealt = bool(slot.any() or other.any())
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             hit = np.zeros(len(chars), dtype=bool)
             at = np.arange(len(chars))
@@ -350,12 +355,13 @@ class Kernel:
                 a, b = at, at + apart
                 near = np.abs(chars[a] - chars[b]) \
                     <= (1 - self.min_edit) * np.maximum(chars[a], chars[b]) + 1e-9
-                near &= ~cross[a] | (col["slot"][a] != col["slot"][b])
+                if dealt:       # the same bucket and pair of blocks; in different blocks, if there are two
+                    near &= (bucket[a] == bucket[b]) & (slot[a] == other[b]) & (other[a] == slot[b])
                 a, b = a[near], b[near]
                 if letters is not None:
                     own = self.near(letters[a], letters[b], chars[a], chars[b])
                     a, b = a[own], b[own]
-                    x, y, least = keys[a], keys[b], col["bucket"][a][:, None]
+                    x, y, least = keys[a], keys[b], bucket[a][:, None]
                     first = ~((x == y) & (x < least)).any(axis=1)
                     n = len(JOINED)                  # the outer pairs of one word less meet those of the other
                     for v, w in ((x, y), (y, x)):
@@ -366,9 +372,8 @@ class Kernel:
             yield pa.RecordBatch.from_arrays([pa.array(col[c][rows]) for c in names], names=names)
 
 
-def _where_first(doc: Column, md5: Column, line_no: Column) -> Column:
-    return F.struct(doc.isNull().alias("no_id"), doc.alias("doc_id"), md5.alias("md5"),
-                    line_no.alias("line_no"))
+def _where_first(*more: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "md5", "line_no", *more)
 
 
 def _id() -> Column:
@@ -385,7 +390,8 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     """(bucket, i, j, slot, h1, h2) of the lines with a candidate in a bucket, and the rows of
     ``different`` that may be among them.
 
-    Buckets that a sample shows to be large are dealt out over pairs of blocks. A first pass
+    Buckets that a sample shows to be large are dealt out over pairs of blocks; ``cell`` numbers a
+    bucket or such a pair, so rows are sorted by one number. A first pass
     looks at lengths only; the lines it leaves bring their letter counts and keys.
     """
     keyed = different.select(F.explode("keys").alias("bucket"), "chars", "h1").where(F.col("bucket") != NO_KEY)
@@ -395,23 +401,24 @@ def _near(different: DataFrame, kernel: Kernel) -> tuple[DataFrame, DataFrame]:
     k = F.coalesce(F.ceil(F.col("n") / buckets.BLOCK), F.lit(1)).cast("int")
     rows = keyed.join(F.broadcast(large), F.col("bucket") == F.col("_bucket"), "left") \
         .withColumn("k", k).withColumn("slot", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("k")).cast("int"))
-    rows = rows.select("bucket", "chars", "h1", "slot", F.explode(
+    rows = rows.select("bucket", "chars", "h1", "k", "slot", F.explode(
         F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    rows = rows.select("bucket", F.least("slot", "other").alias("i"),
-                       F.greatest("slot", "other").alias("j"), "slot", "chars", "h1")
+    rows = rows.select(F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64(
+        "bucket", F.least("slot", "other"), F.greatest("slot", "other"))).alias("cell"),
+        F.when(F.col("k") > 1, F.col("bucket")).alias("bucket"), "slot", "other", "chars", "h1")
 
     def passed(rows: DataFrame, kinds: str, name: str) -> DataFrame:
-        return stage(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-                     .mapInArrow(kernel.near_rows, f"bucket long, i int, j int, slot int, {kinds}"),
-                     name)
+        return stage(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(
+            kernel.near_rows, f"cell long, bucket long, slot int, other int, {kinds}"), name)
 
     hits = passed(rows, "h1 long", "near-lengths")
     ids = stage(hits.select(F.col("h1").alias("_h1")).distinct(), "near-ids")
     some = stage(different.join(small(ids, ids.count(), BROADCAST_IDS), F.col("h1") == F.col("_h1"),
                                 "left_semi"), "near-different")
     full = hits.join(some.select("h1", "h2", "chars", "letters", "keys"), "h1").select(
-        "bucket", "i", "j", "slot", "h1", "h2", "chars", "letters", "keys")
-    return passed(full, "h1 long, h2 long", "near-lines"), some
+        "cell", "bucket", "slot", "other", "h1", "h2", "chars", "letters", "keys")
+    return passed(full, "h1 long, h2 long", "near-lines").select(
+        "bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "h1", "h2"), some
 
 
 def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WORDS,
@@ -422,22 +429,23 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
         F.col(id_col).alias("doc_id"), F.md5(text_col).alias("md5"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     seen = stage(rows.mapInArrow(_lines(min_words, exact_words), f"doc_id {kind}, md5 string, line_no int, "
-                                 "h1 long, h2 long, keys array<long>, letters binary, chars int"), "lines")
-    where = _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no"))
+                                 "h1 long, h2 long, keys array<long>, letters binary, chars int, "
+                                 "start int, size int"), "lines")
     different = stage(seen.groupBy("h1", "h2").agg(
-        F.min(where).alias("first"), F.any_value("keys").alias("keys"),
+        F.min(_where_first("start", "size")).alias("first"), F.any_value("keys").alias("keys"),
         F.any_value("letters").alias("letters"), F.max("chars").alias("chars"), F.count("*").alias("times")),
         "different")
     needed, some = _near(different, kernel)
 
-    # The lines in question by document, which is split once for all of them.
+    # The lines in question by document; their bytes are cut out of its text.
     at = stage(some.join(needed.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy(
         F.col("first.doc_id").alias("_doc"), F.col("first.md5").alias("_md5")).agg(
-        F.collect_list(F.struct("first.line_no", "h1", "h2")).alias("want")), "near-documents")
+        F.collect_list(F.struct("first.start", "first.size", "h1", "h2")).alias("want")), "near-documents")
     cut = rows.join(small(at, at.count(), BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_doc"))
                     & (F.col("md5") == F.col("_md5"))) \
-        .select(F.split("text", "\n", -1).alias("lines"), F.explode("want").alias("w")) \
-        .select(F.concat_ws(".", "w.h1", "w.h2").alias("id"), F.get("lines", F.col("w.line_no")).alias("text"))
+        .select(F.col("text").cast("binary").alias("text"), F.explode("want").alias("w")) \
+        .select(F.concat_ws(".", "w.h1", "w.h2").alias("id"), F.substring(
+            "text", F.col("w.start") + 1, F.col("w.size")).cast("string").alias("text"))
 
     def fetch(full: DataFrame) -> DataFrame:
         return cut.join(full, "id")
@@ -447,20 +455,19 @@ def dropped_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words=M
                                F.col("chars").cast("bigint"))).alias("sig")),
                            fetch, kernel, "lines")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    grouped = different.join(roots, _id() == F.col("id"), "left") \
-        .select("h1", "h2", "first", "times", F.col("root"))
     # Groups of several lines keep their first occurrence; a line alone matters when it repeats.
-    keep = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("keep")) \
-        .withColumnRenamed("root", "_root")
-    alone = grouped.where("root is null and times > 1").select("h1", "h2", F.col("first").alias("keep"))
-    many = grouped.where("root is not null").join(keep, F.col("root") == F.col("_root")) \
-        .select("h1", "h2", "keep")
+    first = F.col("first").dropFields("start", "size").alias("first")
+    grouped = some.join(roots, _id() == F.col("id")).select("h1", "h2", first, "root")
+    keep = grouped.groupBy("root").agg(F.min("first").alias("keep")).withColumnRenamed("root", "_root")
+    alone = different.where("times > 1").join(roots, _id() == F.col("id"), "left_anti") \
+        .select("h1", "h2", first.alias("keep"))
+    many = grouped.join(keep, F.col("root") == F.col("_root")).select("h1", "h2", "keep")
     repeated = stage(alone.unionByName(many).withColumnsRenamed({"h1": "_h1", "h2": "_h2"}),
                      "repeated")
     n = repeated.count()
     gone = seen.join(small(repeated, n, BROADCAST_DOCS),
                      (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(
-        _where_first(F.col("doc_id"), F.col("md5"), F.col("line_no")) != F.col("keep"))
+        _where_first() != F.col("keep"))
     return stage(gone.groupBy("doc_id", "md5").agg(
         F.sort_array(F.collect_set("line_no")).alias("drop")), "dropped")
 
@@ -476,10 +483,11 @@ def without_repeats(docs: DataFrame, id_col="doc_id", text_col="text", lines_col
     on = F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("md5") == F.col("d_md5"))
     joined = rows.join(small(drops, n, BROADCAST_DOCS), on, "left")
     lines = F.split("text", "\n", -1)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(
         F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n"))
     return unwrapped(joined, docs.columns, **{
-        text_col: text, lines_col: F.coalesce(F.size(lines), F.lit(0)),
+        text_col: text, lines_col: F.coalesce(breaks + 1, F.lit(0)),
         dropped_col: F.coalesce(F.size("drop"), F.lit(0))})
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -736,6 +737,46 @@ def test_edit_distance():
         assert op8_line_dedup.edit_distance(a, b) == distance(a, b)
 
 
+def test_edit_distance_stops_over_the_limit():
+    r = random.Random(3)
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randrange(25))) for _ in range(2))
+        true, most = distance(a, b), r.randrange(20)
+        got = op8_line_dedup.edit_distance(a, b, most)
+        assert got == true if true <= most else got > most
+
+
+def test_line_marks_say_where_a_line_stands():
+    r, m = random.Random(84), op8_line_dedup
+    texts = ["", "\n", "", "ä ö\n\n--\nx", "one\n", "\ntwo words", "", *(
+        "\n".join(" ".join(r.choice([*VOCABULARY, "über", "3.5", "--"]) for _ in range(r.randrange(9)))
+                  for _ in range(r.randrange(6))) for _ in range(50)), ""]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    marks = m.line_marks(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]), textnp.Powers(), 1)
+    got = [(d, no, raw[d][start:start + size].decode(), chars, tuple(letters)) for d, no, letters, chars, start, size
+           in zip(*(marks[k].tolist() for k in (0, 1, 6, 7, 8, 9)))]
+    want = []
+    for d, t in enumerate(texts):
+        for no, line in enumerate(t.split("\n")):
+            norm = m.normal_line(line.encode())
+            if norm:
+                kinds = Counter(m.LETTER[c.encode()[0]] for c in norm if c != " ")
+                want.append((d, no, line, len(norm), tuple(kinds[k] for k in range(m.CLASSES))))
+    assert got == want
+
+
+def test_near_rows_keep_blocks_and_colliding_cells_apart():
+    """Rows of one cell meet in their own bucket and pair of blocks alone."""
+    rows = [(1, None, 0, 0, 10), (2, 8, 0, 1, 10), (2, 8, 0, 1, 10), (3, 8, 0, 1, 10), (3, 9, 1, 0, 10), (3, 8, 1, 0, 10),
+            (4, None, 0, 0, 10), (4, None, 0, 0, 10), (5, None, 0, 0, 10), (5, None, 0, 0, 20)]
+    columns = zip(("cell", "bucket", "slot", "other", "chars"), zip(*rows))
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in columns} | {
+        "h1": pa.array(range(len(rows)), pa.int64())})
+    out = [x for b in op8_line_dedup.Kernel(0.9).near_rows(iter([batch])) for x in b.to_pylist()]
+    assert [(x["h1"], x["bucket"]) for x in out] == [(3, 8), (5, 8), (6, 4), (7, 4)]
+
+
 # ----------------------------------------------------------------------------------- 9 url filter
 
 URLS = ["http://A.Example.ORG/en/1?x", "https://x.example.org/en/2", "ftp://example.org/es/", "HTTP://b.com/de/1#t",
